@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from .mixing import op3_entropy_mix
+from .quality import op7_quality_rules
 
-QUERIES = {f.__name__: f for f in (op3_entropy_mix,)}
+QUERIES = {f.__name__: f for f in (op3_entropy_mix, op7_quality_rules)}
 ORACLES: dict[str, str] = {}
 
 
