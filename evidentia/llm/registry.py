@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from . import pii
 from .mixing import op3_entropy_mix
+from .pii import op5_personal_data
 from .quality import op7_quality_rules
 
-QUERIES = {f.__name__: f for f in (op3_entropy_mix, op7_quality_rules)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op3_entropy_mix, op5_personal_data, op7_quality_rules)}
+ORACLES = {"op5_personal_data": pii.oracle()}
 
 
 def queries() -> dict:
