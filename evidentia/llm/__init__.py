@@ -1 +1,8 @@
 """Operators that large-scale training-data pipelines need. Nothing outside this subpackage imports it."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this subpackage travel to executors by value: they need not have it installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import pii
+from . import linededup, pii
+from .linededup import op4_line_dedup
 from .mixing import op3_entropy_mix
 from .pii import op5_personal_data
 from .quality import op7_quality_rules
 
-QUERIES = {f.__name__: f for f in (op3_entropy_mix, op5_personal_data, op7_quality_rules)}
-ORACLES = {"op5_personal_data": pii.oracle()}
+QUERIES = {f.__name__: f for f in (op3_entropy_mix, op4_line_dedup, op5_personal_data, op7_quality_rules)}
+ORACLES = {"op4_line_dedup": linededup.ORACLE, "op5_personal_data": pii.oracle()}
 
 
 def queries() -> dict:
