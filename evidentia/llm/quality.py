@@ -13,6 +13,8 @@ BUCKETS = 1 << 14
 SPREAD = 3.0
 #: One in so many trusted documents, by a hash of doc_id, takes no part in the counts and sets the threshold.
 HELD = 4
+#: The target's model is fitted on about so many trusted documents at most, chosen by a hash of doc_id.
+MOST_TRUSTED = 1 << 17
 SYMBOLS = "#*$%&|<>"
 
 
@@ -66,7 +68,7 @@ def text_rules(text: Column, hashes: Column) -> list[Column]:
     return [
         F.size(hashes).cast("bigint").alias("n_words"),
         F.length(F.translate(text, BLANKS, "")).cast("bigint").alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
+        F.when(text.rlike(f"[{SYMBOLS}]"), F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).otherwise(0).cast("bigint").alias("n_symbols"),
         once(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"),
         repeat_words(hashes).cast("bigint").alias("n_repeat_words"),
     ]
@@ -75,10 +77,11 @@ def text_rules(text: Column, hashes: Column) -> list[Column]:
 def ratio_weights(documents: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """One row with `weights`: for each bucket, ln of its share in the trusted documents over its share in all.
 
-    Counts are taken over every document, with one added to each bucket; trusted(doc_id) has each id once.
+    Counts are taken over every document, with one added to each bucket; trusted(doc_id) has each id once and is
+    bounded (see MOST_TRUSTED): it goes to every task, so that no text is shuffled.
     """
     docs = documents.select("doc_id", word_hashes(F.col("text")).alias("hashes"))
-    mark = trusted.select("doc_id", F.lit(1).alias("good"))
+    mark = F.broadcast(trusted.select("doc_id", F.lit(1).alias("good")))
     grams = docs.join(mark, "doc_id", "left").select("good", F.explode(buckets_of(F.col("hashes"), buckets)).alias("bucket"))
     counts = stored(grams.groupBy("bucket").agg(F.count("good").alias("good"), F.count(F.lit(1)).alias("every")), "grams")
     sums = counts.agg(F.coalesce(F.sum("good"), F.lit(0)).alias("all_good"), F.coalesce(F.sum("every"), F.lit(0)).alias("all"))
@@ -98,6 +101,10 @@ def judged(documents: DataFrame, labels: DataFrame, buckets: int = BUCKETS, spre
     """
     spark = documents.sparkSession
     trusted = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select("doc_id").dropna().distinct()
+    place = F.xxhash64("doc_id", F.lit("trusted"))
+    trusted = stored(trusted, "trusted")
+    every = max(1, -(-trusted.count() // MOST_TRUSTED))
+    trusted = trusted.where(F.pmod(place, F.lit(every)) == 0)
     held = F.pmod(F.xxhash64("doc_id"), F.lit(HELD)) == 0
     weights = stored(ratio_weights(documents, trusted.where(~held), buckets), "weights")
     hashed = documents.select("doc_id", "text", word_hashes(F.col("text")).alias("hashes"))
@@ -107,7 +114,7 @@ def judged(documents: DataFrame, labels: DataFrame, buckets: int = BUCKETS, spre
 
     score = F.when(F.size("hashes") > 0, once(buckets_of(F.col("hashes"), buckets), lambda b: mean_weight(b, F.col("weights")))).otherwise(0.0)
     one = stored(hashed.join(F.broadcast(weights)).select("doc_id", *text_rules(F.col("text"), F.col("hashes")), score.alias("score")), "scores")
-    good = one.where(F.col("n_words") >= least_words).join(trusted.where(held), "doc_id", "left_semi").agg(F.avg("score"), F.stddev_pop("score")).first()
+    good = one.where(F.col("n_words") >= least_words).join(F.broadcast(trusted.where(held)), "doc_id", "left_semi").agg(F.avg("score"), F.stddev_pop("score")).first()
     least = None if good[0] is None else round(good[0] - spread * good[1], 9)
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     fits = F.lit(True) if least is None else F.col("score") >= least
