@@ -32,26 +32,20 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.words: dict[bytes, bytes] = {}
         self.parts: dict[bytes, bytes] = {b"": b""}
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
+        # The model's byte alphabet: visible Latin-1 characters stand for themselves, the rest follow from 256 on.
+        seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = iter(range(256, 512))
+        self.alphabet = "".join(chr(b if b in seen else next(rest)) for b in range(256))
 
     def encoded(self, texts: list[bytes]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
 
-    def encoded_parts(self, parts: list[bytes], together: int = 2000) -> list[bytes]:
-        """As encoded(), for parts of one token run each: many are read as one text and told apart by their end tokens."""
-        out = []
-        for at in range(0, len(parts), together):
-            own = parts[at : at + together]
-            ids = np.array(self.tokenizer.encode(b" ".join(own).decode(), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            assert len(cuts) == len(own) and cuts[-1] == len(ids), "a part is not one token run"
-            data, cuts = ids.tobytes(), (4 * cuts).tolist()
-            out += [data[a:b] for a, b in zip([0, *cuts], cuts)]
-        return out
+    def encoded_part(self, part: bytes) -> bytes:
+        """As encoded(), for a part that is one lower-case token run: only the model itself is asked."""
+        return np.array([t.id for t in self.model.tokenize(part.decode("latin-1").translate(self.alphabet))], "<u4").tobytes()
 
     def learn(self, words: set[bytes]) -> None:
         if len(self.words) + len(words) > KEPT_WORDS:
@@ -64,9 +58,9 @@ class WordIds:
                 other.append(w)
             else:
                 plain[w] = (m[1], m[2].decode().lower().encode(), m[3])
-        if new := list({p for ps in plain.values() for p in ps} - self.parts.keys()):
-            self.parts.update(zip(new, self.encoded_parts(new)))
         part = self.parts
+        for p in {p for ps in plain.values() for p in ps if p not in part}:
+            part[p] = self.encoded_part(p)
         self.words.update((w, part[a] + part[b] + part[c]) for w, (a, b, c) in plain.items())
         if other:
             self.words.update(zip(other, self.encoded(other)))
