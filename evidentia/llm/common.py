@@ -48,6 +48,16 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def kept_by_worker(key, make):
+    """make(), made once in each Python worker: functions that travel by value share no module's variables between tasks."""
+    import sys
+
+    store = sys.__dict__.setdefault("_evidentia_kept", {})
+    if key not in store:
+        store[key] = make()
+    return store[key]
+
+
 def lower_ascii(c):
     return F.translate(c, UPPER, LOWER)
 

@@ -5,15 +5,13 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import kept_by_worker, stored
 
 #: Pieces that are packed together; blocks grow in number with the pieces, not in size.
 BLOCK = 8192
@@ -75,14 +73,14 @@ class WordIds:
         return b"".join(found)
 
 
-@lru_cache(maxsize=2)
 def word_ids(name: str) -> WordIds:
+    """The worker's store for a tokenizer file, given by its path or its name among the public tokenizers."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     if "/" not in name:
         import public_tokenizers
 
         name = public_tokenizers.path(name)
-    return WordIds(name)
+    return kept_by_worker(("words", name), lambda: WordIds(name))
 
 
 def pieces(documents: DataFrame, most: int = 2048, tokenizer: str = TOKENIZER, end_id: int = 0, with_ids: bool = False) -> DataFrame:
@@ -181,12 +179,13 @@ def packed(parts: DataFrame, most: int = 2048, block: int = BLOCK) -> DataFrame:
     blocks = max(1, -(-parts.count() // block))
     fields = [f"{n} {t}" for n, t in parts.dtypes if n != "turn"]
 
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        bins, offsets = best_two_fit(rows["length"].to_numpy(np.int64), most)
-        return rows.assign(sequence_id=(rows["block"].to_numpy(np.int64) << 32) + bins, offset=offsets).drop(columns=["turn", "block"])
+    def pack(rows: pa.Table) -> pa.Table:
+        bins, offsets = best_two_fit(rows["length"].to_numpy(), most)
+        numbers = (rows["block"].to_numpy().astype(np.int64) << 32) + bins
+        return rows.drop_columns(["turn", "block"]).append_column("sequence_id", pa.array(numbers)).append_column("offset", pa.array(offsets))
 
     dealt = parts.withColumn("block", F.pmod(F.xxhash64("turn"), F.lit(blocks)))
-    return dealt.groupBy("block").applyInPandas(pack, ", ".join([*fields, "sequence_id bigint", "offset bigint"]))
+    return dealt.groupBy("block").applyInArrow(pack, ", ".join([*fields, "sequence_id bigint", "offset bigint"]))
 
 
 def sequences(documents: DataFrame, most: int = 2048, **options) -> DataFrame:
