@@ -48,14 +48,14 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def kept_by_worker(key, make):
-    """make(), made once in each Python worker: functions that travel by value share no module's variables between tasks."""
+def kept_by_worker(kind: str, name: str, make):
+    """make(), made once in each Python worker, one of each kind: functions that travel by value share no variables between tasks."""
     import sys
 
     store = sys.__dict__.setdefault("_evidentia_kept", {})
-    if key not in store:
-        store[key] = make()
-    return store[key]
+    if store.get(kind, ("",))[0] != name:
+        store[kind] = (name, make())
+    return store[kind][1]
 
 
 def lower_ascii(c):

@@ -80,7 +80,7 @@ def word_ids(name: str) -> WordIds:
         import public_tokenizers
 
         name = public_tokenizers.path(name)
-    return kept_by_worker(("words", name), lambda: WordIds(name))
+    return kept_by_worker("words", name, lambda: WordIds(name))
 
 
 def pieces(documents: DataFrame, most: int = 2048, tokenizer: str = TOKENIZER, end_id: int = 0, with_ids: bool = False) -> DataFrame:
