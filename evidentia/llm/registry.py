@@ -10,8 +10,9 @@ from .packing import op10_best_two_fit
 from .quality import op7_quality_rules
 from .scoring import op8_log_bilinear
 from .simhash import op9_simhash_pigeonring
+from .urls import op1_url_filter
 
-QUERIES = {f.__name__: f for f in (op3_entropy_mix, op4_line_dedup, op5_personal_data, op7_quality_rules, op8_log_bilinear, op9_simhash_pigeonring, op10_best_two_fit)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op3_entropy_mix, op4_line_dedup, op5_personal_data, op7_quality_rules, op8_log_bilinear, op9_simhash_pigeonring, op10_best_two_fit)}
 ORACLES = {"op4_line_dedup": linededup.ORACLE, "op5_personal_data": pii.oracle()}
 
 
