@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import linededup, pii
+from . import linededup, pii, warc
 from .linededup import op4_line_dedup
 from .mixing import op3_entropy_mix
 from .pii import op5_personal_data
@@ -11,9 +11,10 @@ from .quality import op7_quality_rules
 from .scoring import op8_log_bilinear
 from .simhash import op9_simhash_pigeonring
 from .urls import op1_url_filter
+from .warc import op2_warc_histories
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op3_entropy_mix, op4_line_dedup, op5_personal_data, op7_quality_rules, op8_log_bilinear, op9_simhash_pigeonring, op10_best_two_fit)}
-ORACLES = {"op4_line_dedup": linededup.ORACLE, "op5_personal_data": pii.oracle()}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_warc_histories, op3_entropy_mix, op4_line_dedup, op5_personal_data, op7_quality_rules, op8_log_bilinear, op9_simhash_pigeonring, op10_best_two_fit)}
+ORACLES = {"op2_warc_histories": warc.oracle(), "op4_line_dedup": linededup.ORACLE, "op5_personal_data": pii.oracle()}
 
 
 def queries() -> dict:
