@@ -46,8 +46,6 @@ class WordIds:
         return np.array([t.id for t in self.model.tokenize(part.decode("latin-1").translate(self.alphabet))], "<u4").tobytes()
 
     def learn(self, words: set[bytes]) -> None:
-        if len(self.words) + len(words) > KEPT_WORDS:
-            self.words.clear()
         if len(self.parts) + len(words) > KEPT_WORDS:
             self.parts = {b"": b""}
         plain, other = {}, []
@@ -68,7 +66,11 @@ class WordIds:
         words = text.encode().split()
         found = list(map(self.words.get, words))
         if None in found:
-            self.learn({w for w, f in zip(words, found) if f is None})
+            new = {w for w, f in zip(words, found) if f is None}
+            if len(self.words) + len(new) > KEPT_WORDS:
+                self.words.clear()
+                new = set(words)
+            self.learn(new)
             found = list(map(self.words.__getitem__, words))
         return b"".join(found)
 
