@@ -90,35 +90,51 @@ def ratio_weights(documents: DataFrame, trusted: DataFrame, buckets: int = BUCKE
     return full.join(F.broadcast(sums)).groupBy().agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", ratio.alias("w")))), lambda x: x["w"]).alias("weights"))
 
 
-def judged(documents: DataFrame, labels: DataFrame, buckets: int = BUCKETS, spread: float = SPREAD, least_words: int = 50) -> DataFrame:
-    """A row for each document row: doc_id, the text rules, base_failed, score and kept.
+def with_scores(documents: DataFrame, weights: DataFrame, buckets: int) -> DataFrame:
+    """documents with `q`, a structure of the text rules and the score. A generator makes it, so that it is made once
+    whatever is filtered by it."""
+
+    def mean_weight(b, w):
+        return F.aggregate(b, F.lit(0.0), lambda s, x: s + F.get(w, x)) / F.size(b)
+
+    hashes, w = F.col("__hashes"), F.col("__weights")
+    score = F.when(F.size(hashes) > 0, once(buckets_of(hashes, buckets), lambda b: mean_weight(b, w))).otherwise(0.0)
+    rows = documents.withColumn("__hashes", word_hashes(F.col("text"))).join(F.broadcast(weights.withColumnRenamed("weights", "__weights")))
+    return rows.select(*documents.columns, F.explode(F.array(F.struct(*text_rules(F.col("text"), hashes), score.alias("score")))).alias("__q"))
+
+
+def judged_rows(documents: DataFrame, labels: DataFrame, buckets: int = BUCKETS, spread: float = SPREAD, least_words: int = 50) -> DataFrame:
+    """documents with `__q`: the text rules, score, base_failed and kept; see `judged`."""
+    good = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select("doc_id").dropna().distinct()
+    good = stored(good, "trusted")
+    every = max(1, -(-good.count() // MOST_TRUSTED))
+    good = good.where(F.pmod(F.xxhash64("doc_id", F.lit("trusted")), F.lit(every)) == 0)
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(HELD)) == 0
+    weights = stored(ratio_weights(documents, good.where(~held), buckets), "weights")
+    trusted = documents.select("doc_id", "text").join(F.broadcast(good.where(held)), "doc_id", "left_semi")
+    mean, deviation = with_scores(trusted, weights, buckets).where(F.col("__q.n_words") >= least_words).agg(F.avg("__q.score"), F.stddev_pop("__q.score")).first()
+    q = F.col("__q")
+    fits = F.lit(True) if mean is None else q["score"] >= round(mean - spread * deviation, 9)
+    failed = (q["n_words"] < least_words) | (100 * q["n_repeat_words"] > 50 * q["n_words"])
+    return with_scores(documents, weights, buckets).withColumn("__q", q.withField("base_failed", failed).withField("kept", ~failed & fits))
+
+
+def judged(documents: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """A row for each document row: doc_id, the text rules, score, base_failed and kept.
 
     score is the mean, over a whole text's words and pairs of neighbouring words, of their buckets' weights (0 for a
     text without words). Trusted documents are those that labels calls of quality 1 and not toxic; one in HELD of them
     is kept out of the target's counts. Every document is held against one threshold: the mean score of those held out
-    (of least_words words or more) less `spread` of their standard deviations; without any nothing is rejected by it. A null text counts as empty and fails the base rules. Null or repeated
-    labels and ids do not match or count once; repeated rows are judged alike; an empty table gives no rows.
+    (of least_words words or more) less `spread` of their standard deviations; without any, nothing is rejected by it.
+    A null text counts as empty and fails the base rules. Null labels and ids do not match, repeated ones count once;
+    repeated rows are judged alike; an empty table gives no rows.
     """
-    spark = documents.sparkSession
-    trusted = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select("doc_id").dropna().distinct()
-    place = F.xxhash64("doc_id", F.lit("trusted"))
-    trusted = stored(trusted, "trusted")
-    every = max(1, -(-trusted.count() // MOST_TRUSTED))
-    trusted = trusted.where(F.pmod(place, F.lit(every)) == 0)
-    held = F.pmod(F.xxhash64("doc_id"), F.lit(HELD)) == 0
-    weights = stored(ratio_weights(documents, trusted.where(~held), buckets), "weights")
-    hashed = documents.select("doc_id", "text", word_hashes(F.col("text")).alias("hashes"))
+    return judged_rows(documents.select("doc_id", "text"), labels, **options).select("doc_id", "__q.*")
 
-    def mean_weight(b, w):
-        return F.aggregate(b, F.lit(0.0), lambda s, x: s + F.get(w, x)) / F.size(b)
 
-    score = F.when(F.size("hashes") > 0, once(buckets_of(F.col("hashes"), buckets), lambda b: mean_weight(b, F.col("weights")))).otherwise(0.0)
-    one = stored(hashed.join(F.broadcast(weights)).select("doc_id", *text_rules(F.col("text"), F.col("hashes")), score.alias("score")), "scores")
-    good = one.where(F.col("n_words") >= least_words).join(F.broadcast(trusted.where(held)), "doc_id", "left_semi").agg(F.avg("score"), F.stddev_pop("score")).first()
-    least = None if good[0] is None else round(good[0] - spread * good[1], 9)
-    failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    fits = F.lit(True) if least is None else F.col("score") >= least
-    return one.withColumn("base_failed", failed).withColumn("kept", ~failed & fits)
+def accepted(documents: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """The document rows that `judged` keeps, with their columns."""
+    return judged_rows(documents, labels, **options).where("__q.kept").select(*documents.columns)
 
 
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
