@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conversation, rules, text  # noqa: F401  the modules register their queries
+from . import conversation, rules, selection, text  # noqa: F401  the modules register their queries
 from .common import ORACLES, QUERIES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["transcript"](spark, sf_dir)
+    return QUERIES["prune_paragraphs"](spark, sf_dir)
 
 
 def queries() -> dict:
