@@ -27,7 +27,7 @@ def transcript(turns: DataFrame, joint: str) -> DataFrame:
 def recent_context(turns: DataFrame, short: int = 80) -> DataFrame:
     """(conv_id, text): the last user turn, after the one before it if it is short."""
     order = Window.partitionBy("conv_id").orderBy("turn")
-    said = turns.where("role = 'user'").withColumn("before", F.lag("text").over(order)).groupBy("conv_id").agg(F.max_by(F.struct("text", "before"), "turn").alias("x"))
+    said = last_turns(turns.where("role = 'user'"), 2).withColumn("before", F.lag("text").over(order)).groupBy("conv_id").agg(F.max_by(F.struct("text", "before"), "turn").alias("x"))
     both = F.concat_ws("\n", "x.before", "x.text")
     return said.select("conv_id", F.when((F.length(F.trim("x.text")) <= short) & F.col("x.before").isNotNull(), both).otherwise(F.col("x.text")).alias("text"))
 

@@ -108,12 +108,29 @@ def quota_top(docs: DataFrame, group: str, source: str, k: int) -> DataFrame:
 
 
 def within_budget(docs: DataFrame, group: str, order: list, cost: Column, budget: int, stop: bool = False) -> DataFrame:
-    """(group, n_kept, n_dropped, used): a group's docs in order that fit a budget; see greedy_fit."""
+    """(group, n_kept, n_dropped, used): a group's docs in order that fit a budget; see greedy_fit.
+
+    However many docs a group has, few can be kept, and only those are gathered. Where a misfit ends it, they are the
+    ones whose running cost is within the budget. Where misfits are skipped, what is left of the budget only falls: of
+    the docs of one cost, those kept are the first ones, and budget // cost of them at most. Costs are whole and
+    positive; docs that cost more than the budget are counted as dropped.
+    """
     ranks = [c.alias(f"o{i}") for i, c in enumerate(order)]
-    own = docs.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(*ranks, cost.cast("bigint").alias("cost")))).alias("xs"))
-    kept = own.select(group, F.size("xs").alias("n"), greedy_fit(F.col("xs"), budget, stop).alias("kept"))
-    used = F.aggregate("kept", F.lit(0).cast("bigint"), lambda s, x: s + x["cost"])
-    return kept.select(group, F.size("kept").cast("bigint").alias("n_kept"), (F.col("n") - F.size("kept")).cast("bigint").alias("n_dropped"), used.alias("used"))
+    rows = docs.select(group, *ranks, cost.cast("bigint").alias("cost"))
+    by = [f"o{i}" for i in range(len(order))]
+    total = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
+    if stop:
+        upto = Window.partitionBy(group).orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
+        few = rows.withColumn("upto", F.sum("cost").over(upto)).where(F.col("upto") <= budget)
+        kept = few.groupBy(group).agg(F.count(F.lit(1)).alias("n_kept"), F.sum("cost").alias("used"))
+    else:
+        place = F.row_number().over(Window.partitionBy(group, "cost").orderBy(*by))
+        few = rows.where(F.col("cost") <= budget).withColumn("place", place).where((F.col("place") <= budget) & (F.col("place") * F.col("cost") <= budget))
+        own = few.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(*by, "cost"))).alias("xs")).select(group, greedy_fit(F.col("xs"), budget).alias("kept"))
+        kept = own.select(group, F.size("kept").cast("bigint").alias("n_kept"), F.aggregate("kept", F.lit(0).cast("bigint"), lambda s, x: s + x["cost"]).alias("used"))
+    both = total.join(kept, group, "left")
+    n = F.coalesce("n_kept", F.lit(0).cast("bigint"))
+    return both.select(group, n.alias("n_kept"), (F.col("n") - n).alias("n_dropped"), F.coalesce("used", F.lit(0).cast("bigint")).alias("used"))
 
 
 def hash_split(docs: DataFrame, key: str, share: float) -> DataFrame:

@@ -87,11 +87,11 @@ EXPERT, LAY = ["tion[a-z]*", "ment", "keit", "ción"], [" he ", " de ", " is ",
     f"SELECT conv_id, CASE WHEN e > l THEN 'professional' WHEN l > 0 THEN 'lay' ELSE 'unknown' END AS persona FROM (SELECT conv_id, {' + '.join(f'{hit(p)}::INT' for p in EXPERT)} AS e, {' + '.join(f'{hit(p)}::INT' for p in LAY)} AS l FROM (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations WHERE role = 'user' GROUP BY conv_id))",
 )
 def persona_vote(spark, d):
-    """Votes of patterns over a conversation's user turns; the answers' words do not count."""
-    from ..operators.conversation import transcript
-
-    said = transcript(table(spark, d, "conversations").where("role = 'user'"), "\n")
-    return said.select("conv_id", R.persona(F.col("text"), EXPERT, LAY).alias("persona"))
+    """Votes of patterns over a conversation's user turns; the answers' words do not count, and each pattern votes once."""
+    text, said = F.col("text"), table(spark, d, "conversations").where("role = 'user'")
+    once = lambda ps: sum((F.bool_or(text.rlike(p)).cast("int") for p in ps), F.lit(0))
+    n = said.groupBy("conv_id").agg(once(EXPERT).alias("e"), once(LAY).alias("l"))
+    return n.select("conv_id", F.when(F.col("e") > F.col("l"), "professional").when(F.col("l") > 0, "lay").otherwise("unknown").alias("persona"))
 
 
 WORDS = {"animal": ["bird", "hor", "eat"], "number": ["one", "ein", "un "], "place": ["there", "ici", "aqu"], "time": ["ora", "hour", "heu"]}

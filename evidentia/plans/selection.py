@@ -44,9 +44,10 @@ def prune_paragraphs(spark, d):
 
 @query("evidence_pack")
 def evidence_pack(spark, d):
-    """Five documents for each query, packed into 6,000 characters."""
-    docs = with_query(spark, d).withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy("doc_id"))).where("rank <= 5")
-    evidence = docs.select("item_id", F.col("doc_id").alias("pos"), (F.col("n_chars") % 97 / 97).alias("relevance"), "text")
+    """The five most relevant documents of each query, packed into 6,000 characters."""
+    docs = with_query(spark, d).select("item_id", F.col("doc_id").alias("pos"), (F.col("n_chars") % 97 / 97).alias("relevance"), "text")
+    best = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("relevance"), "pos"))
+    evidence = docs.withColumn("rank", best).where("rank <= 5").drop("rank")
     kept = S.packed_evidence(evidence, "item_id", 6000)
     return kept.select("item_id", "pos", "place", F.md5("text").alias("digest"))
 
@@ -154,10 +155,10 @@ def render_warning(spark, d):
     return table(spark, d, "documents").select("doc_id", F.concat_ws(" / ", *parts).alias("warning"))
 
 
-@query("search_union", "SELECT 0 AS source_pos, doc_id AS id, text FROM documents WHERE doc_id < 50 UNION ALL SELECT 1, item_id, text FROM benchmark UNION ALL SELECT 2, page_id, url FROM pages")
+@query("search_union", "SELECT 0 AS source_pos, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark UNION ALL SELECT 2, page_id, url FROM pages")
 def search_union(spark, d):
     """The results of several sources, one after another."""
-    docs, items, pages = table(spark, d, "documents").where("doc_id < 50"), table(spark, d, "benchmark"), table(spark, d, "pages")
+    docs, items, pages = table(spark, d, "documents"), table(spark, d, "benchmark"), table(spark, d, "pages")
     parts = [docs.select("doc_id", "text"), items.select("item_id", "text"), pages.select("page_id", "url")]
     out = [p.toDF("id", "text").withColumn("source_pos", F.lit(i)) for i, p in enumerate(parts)]
     return out[0].unionByName(out[1]).unionByName(out[2])
