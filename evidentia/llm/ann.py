@@ -135,7 +135,7 @@ def build_shard(key: tuple, rows: pa.Table) -> pa.Table:
     ids, vectors = ids[order], vectors[order]
     x = (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).astype(np.float32)
     layers = build_graph(x)
-    row = {"shard": key[0].as_py(), "ids": ids.tobytes(), "vectors": x.tobytes(), "dim": x.shape[1], "nodes": [a.tobytes() for a, _ in layers], "links": [b.tobytes() for _, b in layers]}
+    row = {"shard": key[1].as_py(), "ids": ids.tobytes(), "vectors": x.tobytes(), "dim": x.shape[1], "nodes": [a.tobytes() for a, _ in layers], "links": [b.tobytes() for _, b in layers]}
     return pa.Table.from_pylist([row], pa.schema([("shard", pa.int32()), ("ids", pa.binary()), ("vectors", pa.binary()), ("dim", pa.int32()), ("nodes", pa.list_(pa.binary())), ("links", pa.list_(pa.binary()))]))
 
 
@@ -180,10 +180,10 @@ def equal_vectors(vectors: DataFrame, most: int) -> DataFrame:
     return few.select(F.col("members")[0].alias("rep"), "members")
 
 
-def index_of(vectors: DataFrame, shards: int) -> DataFrame:
-    """The stored graphs of vectors(vec_id, vector), dealt over shards by a hash of vec_id."""
-    dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-    return stored(dealt.groupBy("shard").applyInArrow(build_shard, INDEX), "graphs")
+def index_of(vectors: DataFrame) -> DataFrame:
+    """The stored graphs of vectors(vec_id, vector, dim, shards), dealt over each length's shards by a hash of vec_id."""
+    dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.col("shards")).cast("int")).drop("shards")
+    return stored(dealt.groupBy("dim", "shard").applyInArrow(build_shard, INDEX), "graphs")
 
 
 def searched(key: tuple, queries: pa.Table, index: pa.Table, k: int, open_: int) -> pa.Table:
@@ -213,21 +213,16 @@ def nearest(embeddings: DataFrame, queries: DataFrame, k: int = 5, shard: int =
     vectors = stored(usable(embeddings), "vectors")
     same = stored(equal_vectors(vectors, k + 1), "equal")
     reps = vectors.join(same, vectors["vec_id"] == same["rep"]).select("vec_id", "vector")
-    dims = [r[0] for r in vectors.select(F.size("vector").alias("d")).distinct().limit(1000).collect()]
+    shards = reps.groupBy(F.size("vector").alias("dim")).agg(F.ceil(F.count(F.lit(1)) / shard).cast("int").alias("shards"))
+    shards = stored(shards, "shards")  # a row for each length of vectors
+    graphs = index_of(reps.withColumn("dim", F.size("vector")).join(shards, "dim"))
     asked = stored(vectors.join(queries.select("vec_id").distinct(), "vec_id").withColumnRenamed("vec_id", "query_id"), "queries")
-    n = asked.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-    found = None
-    for d in dims:
-        own = reps.where(F.size("vector") == d)
-        shards = max(1, -(-own.count() // shard))
-        graphs = index_of(own, shards).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        sent = asked.where(F.size("vector") == d).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-        part = sent.groupBy("shard", "block").cogroup(graphs.groupBy("shard", "block")).applyInArrow(lambda key, q, g: searched(key, q, g, k + 1, open_), "query_id bigint, rep bigint, near float")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return embeddings.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    sent = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("dim", F.size("vector"))
+    sent = sent.join(shards, "dim").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).drop("shards")
+    copied = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    both = sent.groupBy("dim", "shard", "block").cogroup(copied.groupBy("dim", "shard", "block"))
+    found = both.applyInArrow(lambda key, q, g: searched(key, q, g, k + 1, open_), "query_id bigint, rep bigint, near float")
     best = Window.partitionBy("query_id").orderBy(F.desc("near"), "rep")  # shards times k + 1 rows of a query
     found = stored(found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= 2 * k + 4).select("query_id", "rep"), "found")
     scored = (

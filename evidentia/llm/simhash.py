@@ -126,8 +126,8 @@ def near_duplicates(documents: DataFrame, size: int = 3, segments: int = SEGMENT
 def one_of_each(documents: DataFrame, **options) -> DataFrame:
     """documents without near duplicates: of each component the row of its smallest doc_id stays, of equal ids any one."""
     found = near_duplicates(documents, **options)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("class_fp").agg(F.min("doc_id").alias("__id"))
-    rows = documents.join(kept, documents["doc_id"].eqNullSafe(F.col("__id"))).drop("__id", "class_fp")
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("class_fp").agg(F.min("doc_id").alias("__id")).select("__id")
+    rows = documents.join(kept, documents["doc_id"].eqNullSafe(F.col("__id"))).drop("__id")
     return rows.dropDuplicates(["doc_id"])
 
 
