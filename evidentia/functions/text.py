@@ -153,3 +153,31 @@ def first_match(c, pattern: str) -> Column:
 def cite_ids(c, pattern: str = r"cite-[0-9a-f]{6,32}") -> Column:
     """A text's citation ids, in order of their first place."""
     return F.array_distinct(find_all(c, pattern))
+
+
+def squeezed(c, most: int) -> Column:
+    """A text with runs of blanks and tabs as one blank, trimmed and cut."""
+    return F.left(F.trim(F.regexp_replace(_text(c), r"[ \t]+", " ")), F.lit(most))
+
+
+def compact(c, most: int, mark: str = "...") -> Column:
+    """A value as compact JSON, cut with a mark."""
+    text = F.to_json(c)
+    return F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most)), F.lit(mark))).otherwise(text)
+
+
+def prefixed(c, category: Column, prefixes: dict[str, str], default: str, within: int = 250) -> Column:
+    """A text after its category's prefix, unless that stands near its start already."""
+    table = F.create_map(*[F.lit(x) for kv in prefixes.items() for x in kv])
+    prefix = F.coalesce(F.try_element_at(table, category), F.lit(default))
+    return F.when(F.contains(F.left(_text(c), F.lit(within)), prefix), _text(c)).otherwise(F.concat(prefix, F.lit("\n\n"), _text(c)))
+
+
+def decorated(c, mark: str, addition: str) -> Column:
+    """A search phrase with an addition, unless it holds the mark already."""
+    return F.when(F.contains(_text(c), F.lit(mark)), _text(c)).otherwise(F.concat_ws(" ", _text(c), F.lit(addition)))
+
+
+def templated(parts: list[tuple[Column, str]]) -> Column:
+    """The lines of those parts whose condition holds, in order."""
+    return F.concat_ws("\n", *[F.when(holds, F.lit(line)) for holds, line in parts])

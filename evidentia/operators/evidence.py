@@ -112,9 +112,12 @@ def usable(payload: Column, markers: list[str]) -> Column:
 
 
 def outer_json(text: Column) -> Column:
-    """What stands from the first opening to the last closing brace, if it parses; else null."""
+    """What stands from the first opening to the last closing brace, if it is one flat object that parses; else null.
+
+    The parser reads a first value and no further, so that more braces need a scan of their own.
+    """
     found = F.regexp_extract(text, r"(?s)\{.*\}", 0)
-    return F.when(F.try_parse_json(found).isNotNull() & (found != ""), found)
+    return F.when(found.rlike(r"^\{[^{}]*\}$") & F.try_parse_json(found).isNotNull(), found)
 
 
 def balanced(text: str | None) -> str | None:
@@ -141,7 +144,7 @@ def balanced(text: str | None) -> str | None:
 
 
 def salvaged(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, json): the object that a text holds: what its outer braces enclose, if that parses, else the first balanced one."""
+    """(key, json): the object that a text holds: the one flat object that its braces enclose, else the first balanced one."""
 
     def scan(batches):
         for batch in batches:

@@ -83,6 +83,34 @@ def digest_gate(mode: Column, size: Column, budget: Column, dropped: Column, rem
     )
 
 
+def tool_cap(tool: Column, quick: list[str], short: float = 8.0, long: float = 18.0) -> Column:
+    """The most seconds that a tool may take: quick ones less."""
+    return F.when(tool.isin(*quick), short).otherwise(long)
+
+
+def cached(calls: DataFrame, key: str, at: str, ttl: float) -> DataFrame:
+    """calls(key, at, ok) with `hit`: whether an answer to the same key stands in a cache at that time.
+
+    An answer stands for ttl seconds from its call, without being renewed; failed calls (not ok) are not kept. A key's
+    calls stream through one task in order, which holds a time alone.
+    """
+
+    def fold(batches):
+        now, since = None, None
+        for batch in batches:
+            hits = []
+            for k, t, ok in zip(*(batch.column(c).to_pylist() for c in (key, at, "ok"))):
+                if k != now:
+                    now, since = k, None
+                hits.append(since is not None and t - since < ttl)
+                if not hits[-1] and ok:
+                    since = t
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hits, pa.bool_())], [*batch.schema.names, "hit"])
+
+    dealt = calls.repartition(key).sortWithinPartitions(key, at)
+    return dealt.mapInArrow(fold, ", ".join([*(f"{n} {t}" for n, t in calls.dtypes), "hit boolean"]))
+
+
 def planned(log: DataFrame, budget: int = 4, seconds: float = 60.0, most_barren: int = 2) -> DataFrame:
     """(request, pos, outcome) for each call of log(request, pos, tool, key, valid, cite, seconds).
 

@@ -64,6 +64,18 @@ def call_planner(spark, d):
     return P.planned(log, 6, 30.0).select(F.col("request").alias("user_id"), F.col("pos").alias("event_id"), "outcome")
 
 
+@query("tool_cap", "SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN 8.0::DOUBLE ELSE 18.0::DOUBLE END AS seconds FROM events")
+def tool_cap(spark, d):
+    return table(spark, d, "events").select("event_id", P.tool_cap(F.col("event_type"), ["click", "view"]).alias("seconds"))
+
+
+@query("ttl_cache")
+def ttl_cache(spark, d):
+    """Which calls a cache of a day, by user and tool, would have answered."""
+    calls = table(spark, d, "events").select(F.concat_ws("|", "user_id", "event_type").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("at"), "event_id", (F.col("value") > 40).alias("ok"))
+    return P.cached(calls, "key", "at", 86_400e6).select("event_id", "hit")
+
+
 @query("hop_budget", "SELECT event_id, CASE WHEN event_type = 'error' THEN 2 ELSE greatest(3, (user_id % 5)::INT) END AS hops FROM events")
 def hop_budget(spark, d):
     urgent = F.col("event_type") == "error"

@@ -31,7 +31,7 @@ def text_of(spark: SparkSession, path: str) -> str | None:
     at = jvm.org.apache.hadoop.fs.Path(path)
     if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
         return None
-    return spark.read.option("wholetext", True).text(path).first()[0]
+    return spark.read.text(path, wholetext=True).first()[0]
 
 
 def dictionary(spark: SparkSession, path: str) -> dict:
