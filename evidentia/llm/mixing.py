@@ -99,16 +99,16 @@ def copies(documents: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.5, ca
     """A row for each document row: doc_id, digest (of the text), source, size, source_size, target and copies (0 to cap).
 
     Sizes are words of whole texts (null: 0). Rates come from `tilts` and are rounded to copies in segments of about
-    SEGMENT documents of a source, dealt by a hash of doc_id: from the longest to the shortest document, each gets the
+    SEGMENT documents of a source, dealt by a hash of doc_id and text: from the longest to the shortest document, each gets the
     copies nearest to its rate times its size plus the words still owed, so that a segment misses its rates' words by
     less than its shortest documents. Documents without words have one copy. Null sources are a source; null doc_ids
-    are dealt together; repeated rows are documents each; an empty table gives no rows. Reruns agree: every sum is of
+    are dealt by their texts; repeated rows are documents each; an empty table gives no rows. Reruns agree: every sum is of
     whole numbers and every order is total up to equal documents.
     """
     sizes = documents.select("doc_id", F.xxhash64("text").alias("digest"), "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"))
     sizes = stored(sizes, "sizes")
     found = tilts(sizes, source_targets(sizes, weights, share, cap), cap).withColumnRenamed("source", "s")
-    segment = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("docs") / SEGMENT))
+    segment = F.pmod(F.xxhash64("doc_id", "digest"), F.ceil(F.col("docs") / SEGMENT))
     rate = F.coalesce(F.exp(F.least(F.col("tilt") * F.col("size") / F.col("mean"), F.lit(math.log(cap)))), F.lit(float(cap)))
     dealt = (
         sizes.join(found, F.col("source").eqNullSafe(F.col("s")))
