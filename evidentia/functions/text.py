@@ -181,3 +181,8 @@ def decorated(c, mark: str, addition: str) -> Column:
 def templated(parts: list[tuple[Column, str]]) -> Column:
     """The lines of those parts whose condition holds, in order."""
     return F.concat_ws("\n", *[F.when(holds, F.lit(line)) for holds, line in parts])
+
+
+def names_product(c, suffixes: str = DOSAGE_FORMS) -> Column:
+    """Whether a name looks like a product's: by its ending, or by any Latin letter."""
+    return F.trim(_text(c)).rlike(f"(?:{suffixes})$|[A-Za-z]")

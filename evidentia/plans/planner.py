@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import planner as P
 from ..operators.digest import digested, refined
-from ..sources.providers import TableSource, first_sentence
+from ..sources.providers import TableSource, TableTools, first_sentence
 from ..streaming.session import session_stream
 from .common import ORACLES, query, quoted, table
 from .conversation import PACK
@@ -128,6 +128,18 @@ def source_candidates(spark, d):
     return found.select(F.md5("query").alias("query"), "place", "title")
 
 
+@query(
+    "tool_replay",
+    "WITH r AS (SELECT event_type, props, min(user_id::VARCHAR) AS payload FROM events WHERE value <= 60 GROUP BY ALL) SELECT e.event_id, r.payload FROM events e LEFT JOIN r USING (event_type, props)",
+)
+def tool_replay(spark, d):
+    """Calls answered from a record of earlier ones; long ones are recorded as errors."""
+    events = table(spark, d, "events")
+    recorded = events.select(F.col("event_type").alias("tool"), F.col("props").alias("key"), F.col("user_id").cast("string").alias("payload"), (F.col("value") > 60).alias("is_error"))
+    calls = events.select("event_id", F.col("event_type").alias("tool"), F.col("props").alias("key"))
+    return TableTools(recorded).answers(calls).select("event_id", "payload")
+
+
 @query("session_fold", ORACLES["session_replay"])
 def session_fold(spark, d):
     """The session facts from a stream of the turns, read to its end; of each conversation the last row counts."""

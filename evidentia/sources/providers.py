@@ -50,6 +50,23 @@ def first_sentence(text: str | None, most: int = 200) -> str:
     return re.split(r"(?<=[.!?])\s", (text or "").strip(), maxsplit=1)[0][:most]
 
 
+class ToolProvider(Protocol):
+    def answers(self, calls: DataFrame) -> DataFrame: ...
+
+
+class TableTools:
+    """Recorded answers, (tool, key, payload, is_error), as a tool server."""
+
+    def __init__(self, recorded: DataFrame):
+        self.recorded = recorded
+
+    def answers(self, calls: DataFrame) -> DataFrame:
+        """calls(tool, key) with `payload`: the recorded answer; null where there is none or it is an error, which must
+        never become evidence. Of several recordings of a call the least payload counts."""
+        good = self.recorded.where(~F.coalesce("is_error", F.lit(False))).groupBy(F.col("tool").alias("__tool"), F.col("key").alias("__key")).agg(F.min("payload").alias("payload"))
+        return calls.join(good, (F.col("tool") == F.col("__tool")) & (F.col("key") == F.col("__key")), "left").drop("__tool", "__key")
+
+
 class TableSource:
     """Documents of a table, docs(title, text), as a search service."""
 

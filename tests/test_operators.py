@@ -38,6 +38,7 @@ def test_text_functions(spark):
     assert one(spark, "x [pt]", X.decorated("text", "[pt]", "review[pt]")) == "x [pt]"
     assert one(spark, "x", X.templated([(F.lit(True), "a"), (F.lit(False), "b"), (F.lit(True), "c")])) == "a\nc"
     assert one(spark, "안녕 hello", X.language("text")) == "ko"
+    assert one(spark, "타이레놀정", X.names_product("text")) and not one(spark, "두통", X.names_product("text"))
 
 
 def chunks(text, size):
