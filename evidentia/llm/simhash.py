@@ -36,15 +36,16 @@ def fingerprint_of(text: str | None, size: int = 3) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(documents: DataFrame, size: int = 3) -> DataFrame:
-    """(doc_id, fp) for each document row; fp is the fingerprint's bits as a long."""
+def fingerprints(documents: DataFrame, size: int = 3, keyed: bool = False) -> DataFrame:
+    """(doc_id, fp), if `keyed` with row_key, for each document row; fp is the fingerprint's bits as a long."""
 
     def hashed(batches):
         for batch in batches:
             fps = np.array([fingerprint_of(t, size) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", *batch.schema.names[2:]])
 
-    return documents.select("doc_id", "text").mapInArrow(hashed, f"doc_id {dict(documents.dtypes)['doc_id']}, fp bigint")
+    rows = documents.select("doc_id", "text", *[row_key().alias("row_key")] * keyed)
+    return rows.mapInArrow(hashed, f"doc_id {dict(documents.dtypes)['doc_id']}, fp bigint" + ", row_key string" * keyed)
 
 
 def signed(x: int) -> int:
@@ -104,15 +105,15 @@ def links(found: DataFrame, segments: int = SEGMENTS, bits: int = BITS, dense: i
     return near.select("a", "b").unionByName(stars).distinct()
 
 
-def near_duplicates(documents: DataFrame, size: int = 3, segments: int = SEGMENTS, bits: int = BITS, dense: int = DENSE) -> DataFrame:
-    """A row for each document row: doc_id, fp, class_fp and component_id.
+def near_duplicates(documents: DataFrame, size: int = 3, segments: int = SEGMENTS, bits: int = BITS, dense: int = DENSE, keyed: bool = False) -> DataFrame:
+    """A row for each document row: doc_id, fp, class_fp and component_id, and row_key if `keyed`.
 
     Words are lower-cased (A-Z) runs of non-blanks; a text with fewer than `size` words is one shingle, one without
     words (or null) has fingerprint zero. Fingerprints link at `bits` or fewer differing bits; class_fp stands for the
     component's fingerprints and component_id is its smallest doc_id (null if it has none). Repeated rows and equal
     texts are one fingerprint; an empty table gives no rows.
     """
-    docs = stored(fingerprints(documents, size), "fingerprints")
+    docs = stored(fingerprints(documents, size, keyed), "fingerprints")
     groups = stored(docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "groups")
     found = components(links(groups.select("fp"), segments, bits, dense), "a", "b")
     roots = groups.join(found, groups["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("class_fp"))
@@ -120,15 +121,27 @@ def near_duplicates(documents: DataFrame, size: int = 3, segments: int = SEGMENT
     ids = roots.groupBy("class_fp").agg(F.min("least").alias("component_id"))
     # A row for each fingerprint, joined to all documents: a fingerprint that many documents share is split by the join.
     named = stored(roots.join(ids, "class_fp").select(F.col("fp").alias("own"), "class_fp", "component_id"), "named")
-    return docs.join(named, docs["fp"] == named["own"]).select("doc_id", "fp", "class_fp", "component_id")
+    return docs.join(named, docs["fp"] == named["own"]).select(*docs.columns, "class_fp", "component_id")
+
+
+def row_key() -> Column:
+    """A hash of doc_id and text, for either of them null too: it tells rows without an id, or with equal ones, apart."""
+    i = F.col("doc_id").cast("string")
+    return F.sha2(F.concat(F.coalesce(F.concat(F.length(i).cast("string"), F.lit(":"), i), F.lit("-")), F.coalesce(F.concat(F.lit("t"), "text"), F.lit("-"))), 256)
+
+
+def one_row_of_each(documents: DataFrame, found: DataFrame) -> DataFrame:
+    """One row of documents for each class of found(doc_id, row_key, class_fp): that of the least doc_id, then of the least
+    key; rows without a doc_id come last. Rows of equal doc_id and text are one."""
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("row_key").alias("__kept"))
+    kept = found.groupBy("class_fp").agg(F.min(order).alias("least")).select("least.__kept")
+    rows = documents.withColumn("__key", row_key()).join(kept, F.col("__key") == F.col("__kept"), "left_semi")
+    return rows.dropDuplicates(["__key"]).drop("__key")
 
 
 def one_of_each(documents: DataFrame, **options) -> DataFrame:
-    """documents without near duplicates: of each component the row of its smallest doc_id stays, of equal ids any one."""
-    found = near_duplicates(documents, **options)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("class_fp").agg(F.min("doc_id").alias("__id")).select("__id")
-    rows = documents.join(kept, documents["doc_id"].eqNullSafe(F.col("__id"))).drop("__id")
-    return rows.dropDuplicates(["doc_id"])
+    """documents without near duplicates: of each component one row stays, that of its smallest doc_id if it has any."""
+    return one_row_of_each(documents, near_duplicates(documents, keyed=True, **options))
 
 
 def op9_simhash_pigeonring(spark, sf_dir: str) -> DataFrame:

@@ -69,3 +69,12 @@ def test_long_text():
 def test_many_copies(spark):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, "the very same words in every one of these copies").otherwise(F.concat(F.lit("text of its own "), F.sha2(F.col("id").cast("string"), 256), F.lit(" and so on"))).alias("text"))
     assert one_of_each(docs).count() == 1001
+
+
+def test_one_row_of_each_without_ids(spark):
+    """Different texts without an id all stay, and an id that repeats with another text keeps both."""
+    texts = [" ".join(f"{w}{k}" for w in "some words that no other text of this table holds at all".split()) for k in range(6)]
+    rows = [(None, texts[0]), (None, texts[0]), (None, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (8, texts[4]), (None, texts[5]), (9, texts[5])]
+    kept = one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    wanted = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (9, texts[5])]
+    assert sorted(str(tuple(r)) for r in kept) == sorted(map(str, wanted))
