@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -22,14 +23,35 @@ TOKENIZER = "word_bpe_49k.json"
 PLAIN_WORD = re.compile(rb"([!-&(-/:-@\[-`{-~]*)([A-Za-z]+|(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
 
 
+#: What a tokenizer's file says if its ids are those of its words: blanks part them and are dropped.
+BY_WORD = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
 class WordIds:
-    """Ids of whole texts by a tokenizer that never joins tokens across white space, word by word from a bounded store."""
+    """Ids of whole texts by a tokenizer file, just as the tokenizer itself gives them.
+
+    With a file as in BY_WORD, tokens never reach across white space: ids come word by word from a bounded store. Texts
+    that hold the string of an added token, which counts before any word does, and all texts of other files go to the
+    tokenizer whole.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        with open(path, encoding="utf-8") as file:
+            stated = json.load(file)
+        self.by_word = all(stated.get(k) == v for k, v in BY_WORD.items()) and stated["model"].get("type") == "BPE"
+        self.added = [t["content"] for t in stated.get("added_tokens", ())]
         self.model = self.tokenizer.model
         self.words: dict[bytes, bytes] = {}
         self.parts: dict[bytes, bytes] = {b"": b""}
@@ -63,6 +85,8 @@ class WordIds:
 
     def ids(self, text: str) -> bytes:
         """The text's ids as little-endian unsigned 32-bit numbers."""
+        if not self.by_word or any(t in text for t in self.added):
+            return self.encoded([text.encode()])[0]
         words = text.encode().split()
         found = list(map(self.words.get, words))
         if None in found:
@@ -88,8 +112,8 @@ def word_ids(name: str) -> WordIds:
 def pieces(documents: DataFrame, most: int = 2048, tokenizer: str = TOKENIZER, end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """A row for each piece: doc_id, piece, start, length, ids_crc32 and, if asked, ids (little-endian bytes).
 
-    A document is the ids of its whole text (null: none), then end_id; only longer ones than `most` are cut. The strings
-    of special tokens in a text are ordinary text.
+    A document is the ids of its whole text (null: none), as the unchanged tokenizer gives them (the string of a special
+    token is that token), then end_id; only longer ones than `most` are cut.
     """
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
 

@@ -14,9 +14,7 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    own = Tokenizer.from_file(PATH)
-    own.encode_special_tokens = True
-    return own
+    return Tokenizer.from_file(PATH)
 
 
 def ids_of(tokenizer, text):
@@ -25,11 +23,27 @@ def ids_of(tokenizer, text):
 
 def test_ids_are_the_tokenizers(tokenizer, texts):
     own = WordIds(PATH)
-    strange = ["don't DON'T l'été", "a  b\t\tc\n\n d ", "x\u00a0y\u2003z", "naïve Éa ß ÿ × ÷", "𝒳y 漢字 한국어", "1234.5e-6 $%& a1b2", "\x00\x01 \x1c \x85", "A.B.C...", "", " ", "_a_b__", "ﬁ e\u0301", "<|endoftext|> <s>", "''s 'S 'll"]
+    strange = ["don't DON'T l'été", "a  b\t\tc\n\n d ", "x\u00a0y\u2003z", "naïve Éa ß ÿ × ÷", "𝒳y 漢字 한국어", "1234.5e-6 $%& a1b2", "\x00\x01 \x1c \x85", "A.B.C...", "", " ", "_a_b__", "ﬁ e\u0301", "<|endoftext|> <s>", "''s 'S 'll", "<|startoftext|>", "a<|endoftext|>b c", "one two <|startoftext|>three<|endoftext|>", "<|ENDOFTEXT|> <|end of text|>", "x <|endoftext|><|endoftext|>\n"]
     for text in [*strange, *(t for _, t in texts)]:
         assert list(np.frombuffer(own.ids(text or "") + b"\0\0\0\0", "<u4")) == ids_of(tokenizer, text), text[:200]
 
 
+def test_special_tokens_are_the_tokenizers(spark, tokenizer):
+    texts = ["<|endoftext|>", "before<|startoftext|> after", None, "word " * 3000 + "<|endoftext|>"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    held(sequences(docs).collect(), list(enumerate(texts)), tokenizer)
+    assert 49407 in ids_of(tokenizer, texts[0])
+
+
+def test_other_tokenizer_files():
+    """A file whose tokens keep blanks is asked for whole texts."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, other = WordIds(path), Tokenizer.from_file(path)
+    assert not own.by_word
+    for text in ("", " two  words\n", "A<|endoftext|>b"):
+        assert list(np.frombuffer(own.ids(text), "<u4")) == other.encode(text, add_special_tokens=False).ids
+
+
 def held(rows, docs, tokenizer, most=2048):
     """Pieces put end to end are their documents, and places in sequences are gapless."""
     by, bins = {}, {}
