@@ -12,9 +12,8 @@ from .common import components, stored
 
 #: Segments of the ring and the most bits in which linked fingerprints differ.
 SEGMENTS, BITS = 8, 2
-#: Fingerprints that share a chain's exact part are held against each other up to so many; more are linked by their
-#: neighbours of one bit instead.
-DENSE = 32
+#: Fingerprints under one key from which on the key is split by the further segments of its chain.
+CROWDED = 32
 #: Hashes whose bits are counted at once.
 CHUNK = 1 << 16
 
@@ -76,14 +75,28 @@ def chain_fits(a: Column, b: Column, start: Column, segments: int, bits: int) ->
     return out
 
 
-def links(found: DataFrame, segments: int = SEGMENTS, bits: int = BITS, dense: int = DENSE) -> DataFrame:
+def longer_chains(ring: list[int], bits: int) -> tuple[list[list[int]], list[list[int]]]:
+    """For each start: the masks of its longer chain, one for each of its segments that may differ, and the rest of each.
+
+    A chain's first segments are equal; the segments after them differ in one bit altogether until the budget reaches
+    two, so all of them but one are equal too.
+    """
+    n = len(ring)
+    exact, longer = max(1, -(-n // bits) - 1), min(n, max(1, -(-2 * n // bits) - 1))
+    chains = [[[ring[(i + k) % n] for k in range(longer) if k != skip] for skip in range(exact, longer)] for i in range(n)]
+    return [[sum(c) for c in own] for own in chains], [[((1 << 64) - 1) ^ sum(c) for c in own] for own in chains]
+
+
+def links(found: DataFrame, segments: int = SEGMENTS, bits: int = BITS, crowded: int = CROWDED) -> DataFrame:
     """Links (a, b) that join the different fingerprints of found(fp) just as all pairs within `bits` bits do (bits 1 or 2).
 
     By the pigeonring principle, some chain around the ring stays within its proportional budgets wherever the whole ring
     does. The leading segments of such a chain, whose budget is below one bit, are equal: they are the key under which
-    fingerprints meet; the further budgets prune what meets, the last one being the full check. Where more than `dense`
-    fingerprints meet, their pairs are not listed: all fingerprints of such places are linked to the least one that lies
-    within one bit of the same 64-bit word, which joins exactly those within two bits of each other.
+    fingerprints meet; the further budgets prune what meets, the last one being the full check. A key under which more
+    than `crowded` meet is split along its chain: the segments whose budget is below two bits join the key, but for the
+    one that may differ, so that with the default ring 48 bits are equal instead of 24. Where more than `crowded` meet
+    even so (a cloud of fingerprints around one text), not all pairs are listed: on the bits that are left, any two within
+    two bits of each other lie within one bit of a common word, and those around a word are linked to their least.
     """
     ring = masks(segments)
     exact = max(1, -(-segments // bits) - 1)
@@ -92,20 +105,39 @@ def links(found: DataFrame, segments: int = SEGMENTS, bits: int = BITS, dense: i
     rows = stored(found.select("fp", at.alias("at")).select("fp", "at.*"), "chains")
     met = rows.groupBy("start", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = stored(rows.join(met, ["start", "key"]), "met")
-    few = met.where(F.col("n") <= dense)
-    other = few.select("start", "key", F.col("fp").alias("b"))
-    near = few.withColumnRenamed("fp", "a").join(other, ["start", "key"]).where((F.col("a") < F.col("b")) & chain_fits(F.col("a"), F.col("b"), F.col("start"), segments, bits))
-    many = met.where(F.col("n") > dense).select("fp").distinct()
-    flips = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(signed(1 << i))) for i in range(64)] if bits > 1 else [])
-    words = many.select("fp", F.explode(flips).alias("word"))
-    if bits == 1:
-        words = many.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(signed(((1 << 64) - 1) ^ (1 << i)))).alias("rest")) for i in range(64)])).alias("word"))
-    least = words.groupBy("word").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    stars = words.join(least, "word").where("fp != a").select("a", F.col("fp").alias("b"))
-    return near.select("a", "b").unionByName(stars).distinct()
-
-
-def near_duplicates(documents: DataFrame, size: int = 3, segments: int = SEGMENTS, bits: int = BITS, dense: int = DENSE, keyed: bool = False) -> DataFrame:
+    near = pairs_under(met.where(F.col("n") <= crowded), ["start", "key"], segments, bits)
+
+    chains, rests = longer_chains(ring, bits)
+    skips = len(chains[0])
+    mask = F.get(F.array(*[F.lit(signed(m)) for own in chains for m in own]), F.col("start") * skips + F.col("skip"))
+    long = met.where(F.col("n") > crowded).select("fp", "start", F.explode(F.sequence(F.lit(0), F.lit(skips - 1))).alias("skip"))
+    long = long.withColumn("key", F.col("fp").bitwiseAND(mask))
+    sizes = long.groupBy("start", "skip", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    long = stored(long.join(sizes, ["start", "skip", "key"]), "longer")
+    pairs = pairs_under(long.where(F.col("n") <= crowded), ["start", "skip", "key"], segments, bits)
+
+    free = [[[b for b in range(64) if rest >> b & 1] for rest in own] for own in rests]
+    most = max(len(b) for own in free for b in own)
+    ones = F.array(*[F.lit(signed(1 << b[k])) if k < len(b) else F.lit(None).cast("bigint") for own in free for b in own for k in range(most)])
+    bit = F.get(ones, (F.col("start") * skips + F.col("skip")) * most + F.col("k"))
+    cloud = long.where(F.col("n") > crowded).select("fp", "start", "skip", F.explode(F.sequence(F.lit(0 if bits == 1 else -1), F.lit(most - 1))).alias("k")).withColumn("bit", bit)
+    # Within one bit: equal once that bit is set. Within two bits: around the same word.
+    word = F.col("fp").bitwiseOR(F.col("bit")) if bits == 1 else F.when(F.col("k") < 0, F.col("fp")).otherwise(F.col("fp").bitwiseXOR(F.col("bit")))
+    by = ["word", "bit"] if bits == 1 else ["word"]
+    words = cloud.withColumn("word", word).where("word is not null").select("fp", *by).distinct()
+    least = words.groupBy(*by).agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    stars = words.join(least, by).where("fp != a").select("a", F.col("fp").alias("b"))
+    return near.unionByName(pairs).unionByName(stars).distinct()
+
+
+def pairs_under(met: DataFrame, by: list[str], segments: int, bits: int) -> DataFrame:
+    """The pairs (a, b) of met(fp, start, ...) under one key whose chains, from its start on, keep their budgets."""
+    other = met.select(*by, F.col("fp").alias("b"))
+    fits = chain_fits(F.col("a"), F.col("b"), F.col("start"), segments, bits)
+    return met.withColumnRenamed("fp", "a").join(other, by).where((F.col("a") < F.col("b")) & fits).select("a", "b")
+
+
+def near_duplicates(documents: DataFrame, size: int = 3, segments: int = SEGMENTS, bits: int = BITS, crowded: int = CROWDED, keyed: bool = False) -> DataFrame:
     """A row for each document row: doc_id, fp, class_fp and component_id, and row_key if `keyed`.
 
     Words are lower-cased (A-Z) runs of non-blanks; a text with fewer than `size` words is one shingle, one without
@@ -115,7 +147,7 @@ def near_duplicates(documents: DataFrame, size: int = 3, segments: int = SEGMENT
     """
     docs = stored(fingerprints(documents, size, keyed), "fingerprints")
     groups = stored(docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "groups")
-    found = components(links(groups.select("fp"), segments, bits, dense), "a", "b")
+    found = components(links(groups.select("fp"), segments, bits, crowded), "a", "b")
     roots = groups.join(found, groups["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("class_fp"))
     roots = stored(roots, "roots")
     ids = roots.groupBy("class_fp").agg(F.min("least").alias("component_id"))

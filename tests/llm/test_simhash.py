@@ -44,9 +44,25 @@ def test_links_join_what_all_pairs_join(spark):
         prints = [signed(p) for p in prints]
         wanted = [(a, b) for i, a in enumerate(prints) for b in prints[:i] if ((a ^ b) & (2**64 - 1)).bit_count() <= bits]
         found = spark.createDataFrame([(p,) for p in prints], "fp bigint")
-        for dense in (4, 32, 10_000):
-            pairs = [tuple(r) for r in links(found, bits=bits, dense=dense).collect()]
-            assert clusters(pairs, prints) == clusters(wanted, prints), (bits, dense)
+        for crowded in (1, 4, 32, 10_000):
+            pairs = [tuple(r) for r in links(found, bits=bits, crowded=crowded).collect()]
+            assert clusters(pairs, prints) == clusters(wanted, prints), (bits, crowded)
+
+
+def test_crowded_keys_are_split_along_the_ring(spark):
+    """Many unlike fingerprints under one 24-bit key, some near pairs among them, and a cloud around one word."""
+    rng = random.Random(9)
+    key = rng.getrandbits(24)
+    prints = {key | rng.getrandbits(40) << 24 for _ in range(1500)}
+    for p in rng.sample(sorted(prints), 40):
+        prints.add(p ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64))
+    centre = rng.getrandbits(64)
+    prints |= {centre ^ 1 << i ^ 1 << j for i in range(0, 64, 3) for j in range(i)}
+    prints = [signed(p) for p in prints]
+    wanted = [(a, b) for i, a in enumerate(prints) for b in prints[:i] if ((a ^ b) & (2**64 - 1)).bit_count() <= 2]
+    pairs = [tuple(r) for r in links(spark.createDataFrame([(p,) for p in prints], "fp bigint")).collect()]
+    assert all(((a ^ b) & (2**64 - 1)).bit_count() <= 2 for a, b in pairs)
+    assert clusters(pairs, prints) == clusters(wanted, prints)
 
 
 def test_awkward_rows(spark, awkward, empty):
