@@ -18,21 +18,31 @@ CROWDED = 32
 CHUNK = 1 << 16
 
 
-def fingerprint_of(text: str | None, size: int = 3) -> int:
-    """The 64-bit SimHash of a text's word shingles, repeats included."""
+def shingle_hashes(text: str | None, size: int = 3) -> np.ndarray:
+    """The hash of each of a text's word shingles, repeats included; fewer than `size` words are one shingle."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = ends - [len(w) + 1 for w in words]
     n = max(1, len(words) - size + 1)
     last = ends[len(words) - n :] - 1
-    digest, ones = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    for at in range(0, n, CHUNK):
-        hashes = np.array([digest(joined[a:b], 42) for a, b in zip(starts[at : min(at + CHUNK, n)].tolist(), last[at : at + CHUNK].tolist())], np.uint64)
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts[:n].tolist(), last.tolist())), np.uint64, n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), CHUNK):
+        ones += np.unpackbits(hashes[at : at + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint_of(text: str | None, size: int = 3) -> int:
+    """The 64-bit SimHash of a text's word shingles, repeats included."""
+    return majority(shingle_hashes(text, size))
 
 
 def fingerprints(documents: DataFrame, size: int = 3, keyed: bool = False) -> DataFrame:
