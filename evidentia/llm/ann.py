@@ -11,118 +11,168 @@ from pyspark.sql.window import Window
 from .common import stored
 from .quality import once
 
-#: Vectors of a shard, links of a node above the lowest layer (twice as many there), and nodes that a search keeps open.
-SHARD, LINKS, OPEN = 4096, 16, 128
-#: Queries that are searched together in a shard.
-QUERY_BLOCK = 2048
-#: Rows of distances that are held at once while a graph is built.
-ROWS = 512
-
-
-def linked(x: np.ndarray, most: int) -> np.ndarray:
-    """Flat neighbour arrays (-1: none) of unit vectors x: each node's nearest, pruned by the diversity heuristic (a
-    neighbour counts if it is nearer to the node than to every neighbour already taken), filled up with the nearest of
-    those left out, then linked back wherever there is room."""
-    n = len(x)
-    out = np.full((n, most), -1, np.int32)
-    if n < 2:
-        return out
-    seen = min(n - 1, 3 * most)
-    for at in range(0, n, ROWS):
-        near = x[at : at + ROWS] @ x.T
-        near[np.arange(len(near)), np.arange(at, at + len(near))] = -np.inf
-        best = np.argpartition(-near, seen - 1, axis=1)[:, :seen]
-        best = np.take_along_axis(best, np.argsort(-np.take_along_axis(near, best, 1), axis=1, kind="stable"), 1)
-        own = np.take_along_axis(near, best, 1)
-        among = x[best] @ x[best].transpose(0, 2, 1)
-        taken = np.zeros(best.shape, bool)
-        for k in range(seen):
-            closer = (among[:, k, :k] > own[:, k, None]) & taken[:, :k]
-            taken[:, k] = ~closer.any(1) & (taken[:, :k].sum(1) < most)
-        rank = np.argsort(~taken, axis=1, kind="stable")[:, :most]
-        chosen = np.take_along_axis(best, rank, 1)
-        out[at : at + ROWS, : chosen.shape[1]] = chosen
-    # Links back: a node that few others chose could not be reached otherwise.
-    half = max(1, most // 2)
-    keep = out[:, :half]
-    back = np.full((n, most - half), -1, np.int32)
-    source, target = np.repeat(np.arange(n), half), keep.ravel()
-    order = np.argsort(target, kind="stable")
-    source, target = source[order], target[order]
-    source, target = source[target >= 0], target[target >= 0]
-    place = np.arange(len(target)) - np.searchsorted(target, target)
-    fits = place < most - half
-    back[target[fits], place[fits]] = source[fits]
-    spare = out[:, half:]
-    return np.concatenate([keep, np.where(back >= 0, back, spare)], axis=1)
+#: Vectors that a shard holds at most, links of a node above the lowest layer (twice as many there), and nodes that a search
+#: keeps open, for a query and for a node that is put in.
+SHARD, LINKS, OPEN, OPEN_IN = 1 << 15, 16, 96, 64
+#: Queries that go to a shard together, and those (or new nodes) that walk through it together.
+QUERY_BLOCK, WALKERS = 1 << 15, 512
+#: Open nodes of a walker whose neighbours are read at once.
+WIDTH = 4
+#: How far two products of 32-bit unit vectors may lie apart that 64 bits show as one.
+SLACK = 1e-5
+
+
+def units(vectors: np.ndarray) -> np.ndarray:
+    """Rows at length 1; each is scaled by its largest component first, so that no square overflows or vanishes."""
+    x = vectors / np.abs(vectors).max(1, keepdims=True)
+    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+
+
+def walk(x: np.ndarray, links: np.ndarray, queries: np.ndarray, starts: np.ndarray, open_: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each query, the places of up to open_ near vectors of a layer x (-1: none), nearest first, and their products.
+
+    links are the layer's flat neighbour arrays (-1: none). From its starts on, each query reads the neighbours of its
+    nearest open nodes and keeps the open_ nearest of all that it has seen, until none of those is unread.
+    """
+    m, n = len(queries), len(x)
+    seen = np.zeros((m, n), bool)
+    found, score, done = np.full((m, open_), -1, np.int64), np.full((m, open_), -np.inf, np.float32), np.zeros((m, open_), bool)
+    active, near = np.arange(m), starts
+    while len(active):
+        row, column = np.nonzero(near >= 0)
+        code = np.unique(active[row] * n + near[row, column])
+        code = code[~seen.ravel()[code]]
+        seen.ravel()[code] = True
+        q, v = code // n, code % n
+        row = np.searchsorted(active, q)
+        counts = np.bincount(row, minlength=len(active))
+        place = np.arange(len(q)) - np.repeat(np.cumsum(counts) - counts, counts)
+        ids, value = (np.full((len(active), open_ + counts.max(initial=0)), none, t) for none, t in ((-1, np.int64), (-np.inf, np.float32)))
+        ids[:, :open_], value[:, :open_] = found[active], score[active]
+        ids[row, open_ + place], value[row, open_ + place] = v, np.einsum("ij,ij->i", queries[q], x[v])
+        read = np.zeros(ids.shape, bool)
+        read[:, :open_] = done[active]
+        top = np.argpartition(-value, open_ - 1, axis=1)[:, :open_]
+        found[active], score[active], read = (np.take_along_axis(y, top, 1) for y in (ids, value, read))
+        waiting = np.where(read | (found[active] < 0), -np.inf, score[active])
+        pick = np.argpartition(-waiting, min(WIDTH, open_) - 1, axis=1)[:, : min(WIDTH, open_)]
+        live = np.take_along_axis(waiting, pick, 1) > -np.inf
+        np.put_along_axis(read, pick, live | np.take_along_axis(read, pick, 1), 1)
+        done[active] = read
+        going = live.any(1)
+        active, pick, live = active[going], pick[going], live[going]
+        near = np.where(live[:, :, None], links[found[active[:, None], pick]], -1).reshape(len(active), live.shape[1] * links.shape[1])
+    order = np.argsort(-score, axis=1, kind="stable")
+    return np.take_along_axis(found, order, 1), np.take_along_axis(score, order, 1)
+
+
+def diverse(x: np.ndarray, ids: np.ndarray, score: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row's ids, nearest first (-1: none), up to `most`: first those nearer to the row's node than to every one
+    already taken, then the nearest of the others. As two arrays of width `most`, ids and products."""
+    vectors = x[np.maximum(ids, 0)]
+    among = vectors @ vectors.transpose(0, 2, 1)
+    taken = np.zeros(ids.shape, bool)
+    for k in range(ids.shape[1]):
+        closer = (among[:, k, :k] > score[:, k, None]) & taken[:, :k]
+        taken[:, k] = (ids[:, k] >= 0) & ~closer.any(1)
+    rank = np.argsort(np.where(ids < 0, 2, np.where(taken, 0, 1)), axis=1, kind="stable")[:, :most]
+    out, near = np.full((len(ids), most), -1, np.int32), np.full((len(ids), most), -np.inf, np.float32)
+    out[:, : rank.shape[1]], near[:, : rank.shape[1]] = np.take_along_axis(ids, rank, 1), np.take_along_axis(score, rank, 1)
+    return out, near
+
+
+class Layer:
+    """A layer's nodes (numbers of all vectors, rising) and, for those already put in, flat neighbour arrays over places."""
+
+    def __init__(self, x: np.ndarray, nodes: np.ndarray, most: int):
+        self.nodes, self.x, self.most = nodes, x[nodes], most
+        self.links, self.near = np.full((len(nodes), most), -1, np.int32), np.full((len(nodes), most), -np.inf, np.float32)
+
+    def put_in(self, new: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        """Links the nodes at places new to the best of ids, what a walk found, and of one another; and these back."""
+        own = self.x[new] @ self.x[new].T
+        np.fill_diagonal(own, -np.inf)
+        few = np.argsort(-own, axis=1, kind="stable")[:, :OPEN_IN]
+        ids = np.concatenate([ids, np.where(np.take_along_axis(own, few, 1) > -np.inf, new[few], -1)], 1)
+        score = np.concatenate([score, np.take_along_axis(own, few, 1)], 1)
+        order = np.argsort(-score, axis=1, kind="stable")[:, :OPEN_IN]
+        self.links[new], self.near[new] = diverse(self.x, np.take_along_axis(ids, order, 1), np.take_along_axis(score, order, 1), self.most)
+        source, target, value = np.repeat(new, self.most), self.links[new].ravel(), self.near[new].ravel()
+        fresh = target >= 0
+        source, target, value = source[fresh], target[fresh], value[fresh]
+        fresh = ~(self.links[target] == source[:, None]).any(1)
+        source, target, value = source[fresh], target[fresh], value[fresh]
+        order = np.lexsort((-value, target))
+        source, target, value = source[order], target[order], value[order]
+        at, first, counts = np.unique(target, return_index=True, return_counts=True)
+        place = np.arange(len(target)) - np.repeat(first, counts)
+        kept = place < self.most
+        row = np.repeat(np.arange(len(at)), counts)[kept]
+        ids, score = np.full((len(at), self.most), -1, np.int64), np.full((len(at), self.most), -np.inf, np.float32)
+        ids[row, place[kept]], score[row, place[kept]] = source[kept], value[kept]
+        ids, score = np.concatenate([self.links[at], ids], 1), np.concatenate([self.near[at], score], 1)
+        order = np.argsort(-score, axis=1, kind="stable")
+        ids, score = np.take_along_axis(ids, order, 1), np.take_along_axis(score, order, 1)
+        full = (ids >= 0).sum(1) > self.most
+        self.links[at[~full]], self.near[at[~full]] = ids[~full, : self.most], score[~full, : self.most]
+        for part in np.array_split(np.flatnonzero(full), -(-int(full.sum()) // WALKERS) or 1):
+            self.links[at[part]], self.near[at[part]] = diverse(self.x, ids[part], score[part], self.most)
 
 
 def build_graph(x: np.ndarray, most: int = LINKS) -> list[tuple[np.ndarray, np.ndarray]]:
     """The layers from the lowest up, each as its nodes' numbers and flat neighbour arrays over places in the layer.
 
-    A node's highest layer follows from a hash of its number, each layer holding one in `most` of the one below.
+    A node's highest layer follows from a hash of its number, each layer holding one in `most` of the one below. Nodes
+    are put in one after another, WALKERS at a time: they walk down from the top layer through the nodes that are in
+    already and are linked, in each layer that holds them, to what they find there.
     """
     n = len(x)
     noise = ((np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)) / float(1 << 53)
     level = np.floor(-np.log(np.maximum(noise, 1e-12)) / np.log(most)).astype(int)
     level[:1] = level.max(initial=0)
-    layers = []
-    for k in range(level.max(initial=0) + 1):
-        nodes = np.flatnonzero(level >= k).astype(np.int32)
-        layers.append((nodes, linked(x[nodes], 2 * most if k == 0 else most)))
-    return layers
+    layers = [Layer(x, np.flatnonzero(level >= k), 2 * most if k == 0 else most) for k in range(level.max(initial=0) + 1)]
+    for at in range(0, n, WALKERS):
+        end = min(n, at + WALKERS)
+        starts = np.zeros((end - at, 1), np.int64)
+        for k in range(len(layers) - 1, -1, -1):
+            layer = layers[k]
+            held, upto = np.searchsorted(layer.nodes, (at, end))
+            width = OPEN_IN if k == 0 else most
+            if held:
+                ids, score = walk(layer.x[:held], layer.links[:held], x[at:end], starts, width)
+            else:
+                ids, score = np.full((end - at, width), -1, np.int64), np.full((end - at, width), -np.inf, np.float32)
+            if upto > held:
+                inside = layer.nodes[held:upto] - at
+                layer.put_in(np.arange(held, upto), ids[inside], score[inside])
+            if k:
+                starts = below(layers[k - 1].nodes, layer.nodes, ids[:, :WIDTH]) if held else starts
+    return [(layer.nodes.astype(np.int32), layer.links) for layer in layers]
+
+
+def below(lower: np.ndarray, nodes: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The places in the layer below of the nodes at places (-1: none) of a layer."""
+    return np.where(places < 0, -1, np.searchsorted(lower, nodes[np.maximum(places, 0)]))
 
 
 def search_graph(x: np.ndarray, layers, queries: np.ndarray, k: int, open_: int = OPEN) -> tuple[np.ndarray, np.ndarray]:
-    """For each query, places of up to k near vectors of x (-1: none) and their products. All queries walk together."""
-    m, at = len(queries), np.zeros(len(queries), np.int64)  # places in the layer; the first node is in every layer
-    for level in range(len(layers) - 1, 0, -1):
+    """For each query, places of near vectors of x (-1: none), nearest first, and their products: open_ of them at most.
+
+    A walk that ends with fewer than k, though x holds more, has met a part of the graph without ways out: for such a
+    query all products are taken.
+    """
+    starts = np.zeros((len(queries), 1), np.int64)  # the first node is in every layer
+    for level in range(len(layers) - 1, -1, -1):
         nodes, links = layers[level]
-        y = x[nodes]
-        now = np.einsum("ij,ij->i", queries, y[at])
-        while True:
-            near = links[at]
-            score = np.where(near >= 0, np.einsum("ij,ikj->ik", queries, y[near]), -np.inf)
-            best = score.argmax(1)
-            better = score[np.arange(m), best] > now
-            if not better.any():
-                break
-            at = np.where(better, near[np.arange(m), best], at)
-            now = np.maximum(now, score[np.arange(m), best])
-        below = layers[level - 1][0]
-        at = np.searchsorted(below, nodes[at])
-    links = layers[0][1]
-    n, rows = len(x), np.arange(m)
-    visited = np.zeros((m, n), bool)
-    visited[rows, at] = True
-    found, score, done = np.full((m, open_), -1, np.int64), np.full((m, open_), -np.inf, x.dtype), np.zeros((m, open_), bool)
-    found[:, 0], score[:, 0] = at, np.einsum("ij,ij->i", queries, x[at])
-    active = rows
-    while len(active):
-        waiting = np.where(done[active] | (found[active] < 0), -np.inf, score[active])
-        pick = waiting.argmax(1)
-        live = waiting[np.arange(len(active)), pick] > -np.inf
-        active, pick = active[live], pick[live]
-        if not len(active):
-            break
-        done[active, pick] = True
-        near = links[found[active, pick]]
-        fresh = (near >= 0) & ~visited[active[:, None], near]
-        # A neighbour may be listed twice: the first listing counts.
-        order = np.argsort(near, axis=1, kind="stable")
-        twin = np.take_along_axis(near, order, 1)
-        again = np.zeros_like(fresh)
-        np.put_along_axis(again, order[:, 1:], twin[:, 1:] == twin[:, :-1], 1)
-        fresh &= ~again
-        visited[active[:, None], np.where(fresh, near, found[active, pick][:, None])] = True
-        value = np.where(fresh, np.einsum("ij,ikj->ik", queries[active], x[near]), -np.inf)
-        all_found = np.concatenate([found[active], np.where(fresh, near, -1)], 1)
-        all_score = np.concatenate([score[active], value], 1)
-        all_done = np.concatenate([done[active], np.zeros_like(fresh)], 1)
-        top = np.argsort(-all_score, axis=1, kind="stable")[:, :open_]
-        found[active], score[active], done[active] = (np.take_along_axis(a, top, 1) for a in (all_found, all_score, all_done))
-    k = min(k, open_)
-    return found[:, :k], score[:, :k]
+        ids, score = walk(x[nodes] if level else x, links, queries, starts, open_ if level == 0 else WIDTH)
+        starts = below(layers[level - 1][0], nodes, ids) if level else starts
+    short = np.flatnonzero((ids >= 0).sum(1) < min(k, len(x)))
+    for i in short:
+        value = x @ queries[i]
+        order = np.argsort(-value, kind="stable")[:open_]
+        ids[i], score[i] = -1, -np.inf
+        ids[i, : len(order)], score[i, : len(order)] = order, value[order]
+    return ids, score
 
 
 INDEX = "shard int, ids binary, vectors binary, dim int, nodes array<binary>, links array<binary>"
@@ -133,7 +183,7 @@ def build_shard(key: tuple, rows: pa.Table) -> pa.Table:
     ids, vectors = rows["vec_id"].to_numpy(), np.array(rows["vector"].to_pylist(), np.float64)
     order = np.argsort(ids)
     ids, vectors = ids[order], vectors[order]
-    x = (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).astype(np.float32)
+    x = units(vectors)
     layers = build_graph(x)
     row = {"shard": key[1].as_py(), "ids": ids.tobytes(), "vectors": x.tobytes(), "dim": x.shape[1], "nodes": [a.tobytes() for a, _ in layers], "links": [b.tobytes() for _, b in layers]}
     return pa.Table.from_pylist([row], pa.schema([("shard", pa.int32()), ("ids", pa.binary()), ("vectors", pa.binary()), ("dim", pa.int32()), ("nodes", pa.list_(pa.binary())), ("links", pa.list_(pa.binary()))]))
@@ -150,17 +200,25 @@ def usable(embeddings: DataFrame) -> DataFrame:
     return rows.groupBy("vec_id").agg(F.min("vector").alias("vector"))
 
 
+def scaled(v):
+    """An array of doubles over its largest component, so that no square overflows."""
+    return once(F.array_max(F.transform(v, lambda y: F.abs(y))), lambda m: F.transform(v, lambda x: x / m))
+
+
+def dot(p, q):
+    return F.aggregate(F.zip_with(p, q, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
 def cosine(a, b):
-    """The cosine of two arrays of doubles, each scaled by its largest component so that no square overflows."""
-    scaled = lambda v: once(F.array_max(F.transform(v, lambda y: F.abs(y))), lambda m: F.transform(v, lambda x: x / m))
-    dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    """The cosine of two arrays of doubles."""
     return once(scaled(a), lambda x: once(scaled(b), lambda y: dot(x, y) / (F.sqrt(dot(x, x)) * F.sqrt(dot(y, y)))))
 
 
-def equal_vectors(vectors: DataFrame, most: int) -> DataFrame:
-    """(rep, members) for each different vector: its least vec_id and its `most` least vec_ids, in order.
+def directions(vectors: DataFrame, most: int) -> DataFrame:
+    """(rep, members) for each different direction: its least vec_id and its `most` least vec_ids, in order.
 
-    Each task first keeps the `most` least of its own for each vector, so that no vector's rows are gathered whole.
+    Vectors are of one direction if their unit vectors agree to twelve digits. Each task first keeps the `most` least of
+    its own for each direction, so that no direction's rows are gathered whole.
     """
 
     def least(batches):
@@ -175,7 +233,9 @@ def equal_vectors(vectors: DataFrame, most: int) -> DataFrame:
             kept = np.arange(len(ids)) - starts[np.cumsum(new) - 1] < most
             yield pa.RecordBatch.from_arrays([pa.array(a[kept]), pa.array(b[kept]), pa.array(ids[kept])], ["a", "b", "vec_id"])
 
-    keys = vectors.select(F.xxhash64("vector").alias("a"), F.xxhash64(F.reverse("vector"), F.lit(1)).alias("b"), "vec_id")
+    v = scaled(F.col("vector"))
+    unit = once(v, lambda x: once(F.sqrt(dot(x, x)), lambda n: F.transform(x, lambda y: F.round(y / n, 12) + 0.0)))
+    keys = vectors.select("vec_id", unit.alias("unit")).select(F.xxhash64("unit").alias("a"), F.xxhash64(F.reverse("unit"), F.lit(1)).alias("b"), "vec_id")
     few = keys.mapInArrow(least, "a bigint, b bigint, vec_id bigint").groupBy("a", "b").agg(F.slice(F.array_sort(F.collect_list("vec_id")), 1, most).alias("members"))
     return few.select(F.col("members")[0].alias("rep"), "members")
 
@@ -187,6 +247,7 @@ def index_of(vectors: DataFrame) -> DataFrame:
 
 
 def searched(key: tuple, queries: pa.Table, index: pa.Table, k: int, open_: int) -> pa.Table:
+    """Each query's k nearest found in a shard, and all found that lie as near as the last of them."""
     schema = pa.schema([("query_id", pa.int64()), ("rep", pa.int64()), ("near", pa.float32())])
     if not queries.num_rows or not index.num_rows:
         return schema.empty_table()
@@ -194,24 +255,28 @@ def searched(key: tuple, queries: pa.Table, index: pa.Table, k: int, open_: int)
     ids, dim = np.frombuffer(x["ids"], np.int64), x["dim"]
     vectors = np.frombuffer(x["vectors"], np.float32).reshape(-1, dim)
     layers = [(np.frombuffer(a, np.int32), np.frombuffer(b, np.int32).reshape(len(a) // 4, -1)) for a, b in zip(x["nodes"], x["links"])]
-    asked, wanted = queries["query_id"].to_numpy(), np.array(queries["vector"].to_pylist(), np.float64)
-    wanted = (wanted / np.linalg.norm(wanted, axis=1, keepdims=True)).astype(np.float32)
-    at, near = search_graph(vectors, layers, wanted, k, open_)
-    hit = at >= 0
-    return pa.Table.from_arrays([pa.array(np.repeat(asked, hit.sum(1))), pa.array(ids[at[hit]]), pa.array(near[hit])], schema=schema)
+    out = []
+    for at in range(0, queries.num_rows, WALKERS):
+        some = queries.slice(at, WALKERS)
+        asked = some["query_id"].to_numpy()
+        place, near = search_graph(vectors, layers, units(np.array(some["vector"].to_pylist(), np.float64)), k, open_)
+        hit = (place >= 0) & (near >= near[:, min(k, near.shape[1]) - 1, None] - SLACK)
+        out.append(pa.Table.from_arrays([pa.array(np.repeat(asked, hit.sum(1))), pa.array(ids[place[hit]]), pa.array(near[hit])], schema=schema))
+    return pa.concat_tables(out)
 
 
 def nearest(embeddings: DataFrame, queries: DataFrame, k: int = 5, shard: int = SHARD, open_: int = OPEN) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query row of embeddings(vec_id, embedding), its k nearest other rows.
 
-    queries(vec_id) are rows of embeddings. Equal vectors are indexed once, with their least ids, so that copies neither
-    clog a graph nor hide one another. Each shard's graph answers the queries in blocks of bounded size; of all shards'
-    answers the nearest are scored again with the original vectors, in double precision, and ranked by cosine, then
-    vec_id. Vectors of differing lengths meet only their like. Rows that take no part have no answers; fewer candidates
-    give fewer rows; an empty table gives none.
+    queries(vec_id) are rows of embeddings. Vectors of one direction are indexed once, with their least ids, so that
+    copies neither clog a graph nor hide one another. Each shard's graph answers the queries in blocks of bounded size; of
+    all shards' answers the nearest, and all that lie as near as the last of them, are scored again with the original
+    vectors, in double precision, and ranked by cosine, then vec_id; cosines that agree to twelve digits are equal. Vectors
+    of differing lengths meet only their like. Rows that take no part have no answers; fewer candidates give fewer
+    rows; an empty table gives none.
     """
     vectors = stored(usable(embeddings), "vectors")
-    same = stored(equal_vectors(vectors, k + 1), "equal")
+    same = stored(directions(vectors, k + 1), "directions")
     reps = vectors.join(same, vectors["vec_id"] == same["rep"]).select("vec_id", "vector")
     shards = reps.groupBy(F.size("vector").alias("dim")).agg(F.ceil(F.count(F.lit(1)) / shard).cast("int").alias("shards"))
     shards = stored(shards, "shards")  # a row for each length of vectors
@@ -223,17 +288,19 @@ def nearest(embeddings: DataFrame, queries: DataFrame, k: int = 5, shard: int =
     copied = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     both = sent.groupBy("dim", "shard", "block").cogroup(copied.groupBy("dim", "shard", "block"))
     found = both.applyInArrow(lambda key, q, g: searched(key, q, g, k + 1, open_), "query_id bigint, rep bigint, near float")
-    best = Window.partitionBy("query_id").orderBy(F.desc("near"), "rep")  # shards times k + 1 rows of a query
-    found = stored(found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= 2 * k + 4).select("query_id", "rep"), "found")
+    own = Window.partitionBy("query_id")  # what the shards found for a query
+    found = found.withColumn("n", F.row_number().over(own.orderBy(F.desc("near"), "rep")))
+    last = F.coalesce(F.max(F.when(F.col("n") == k + 1, F.col("near"))).over(own), F.lit(-2.0))
+    found = stored(found.withColumn("last", last).where(F.col("near") >= F.col("last") - SLACK).select("query_id", "rep"), "found")
     scored = (
-        found.join(asked.select("query_id", F.col("vector").alias("q")), "query_id")
-        .join(vectors.withColumnRenamed("vec_id", "rep"), "rep")
-        .select("query_id", "rep", cosine(F.col("q"), F.col("vector")).alias("score"))
-        .join(same, "rep")
-        .select("query_id", "score", F.explode("members").alias("vec_id"))
+        found.join(same, "rep")
+        .select("query_id", F.explode("members").alias("vec_id"))
         .where("vec_id != query_id")
+        .join(asked.select("query_id", F.col("vector").alias("q")), "query_id")
+        .join(vectors, "vec_id")
+        .select("query_id", "vec_id", cosine(F.col("q"), F.col("vector")).alias("score"))
     )
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    rank = F.row_number().over(own.orderBy(F.desc(F.round("score", 12)), "vec_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -1,10 +1,12 @@
 import math
 
+import numpy as np
+
 from brute import cosine
 from conftest import DATA
 from pyspark.sql import functions as F
 
-from evidentia.llm.ann import nearest, op6_small_world
+from evidentia.llm.ann import build_graph, nearest, op6_small_world, search_graph, units
 
 
 def brute(rows: dict, queries, k=5):
@@ -53,3 +55,31 @@ def test_awkward_vectors(spark):
     found = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in nearest(df, df.where("vec_id % 50 = 0")).collect())
     assert found == [(0, 1, 50), (0, 2, 7), (50, 1, 7), (50, 2, 0), (100, 1, 8)]
     assert nearest(df.limit(0), df).count() == 0 and nearest(df, df.limit(0)).count() == 0
+
+
+def test_parallel_vectors_tie(spark):
+    """199 vectors of one direction and many lengths: the least ids come first."""
+    rows = [(i, [0.3 * (i + 1), 0.7 * (i + 1), -0.1 * (i + 1)]) for i in range(200)] + [(1000 + i, [1.0, -1.0 * i, 2.0]) for i in range(50)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    found = nearest(df, df.where("vec_id = 0 or vec_id = 150"), shard=64).collect()
+    assert [r["vec_id"] for r in sorted(found, key=lambda r: r["rank"]) if r["query_id"] == 0] == [1, 2, 3, 4, 5]
+    assert [r["vec_id"] for r in sorted(found, key=lambda r: r["rank"]) if r["query_id"] == 150] == [0, 1, 2, 3, 4]
+
+
+def test_huge_and_tiny_doubles_and_few_candidates(spark):
+    rows = [(0, [1e200, 1e200]), (1, [1e-200, 1e-200]), (2, [-1e300, 1e300]), (3, [1.0, 0.0]), (4, [1e-310, 2e-310])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    found = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in nearest(df, df.where("vec_id in (0, 1)")).collect())
+    assert found == [(0, 1, 1), (0, 2, 4), (0, 3, 3), (0, 4, 2), (1, 1, 0), (1, 2, 4), (1, 3, 3), (1, 4, 2)]
+
+
+def test_graph_reaches_far_apart_clouds():
+    """Tight clouds far from one another: what a walk cannot reach is found all the same."""
+    rng = np.random.default_rng(4)
+    x = units(np.concatenate([rng.normal(0, 1, (1, 16)) + rng.normal(0, 1e-3, (300, 16)) for _ in range(7)]))
+    layers = build_graph(x)
+    assert all(links.max() < len(nodes) for nodes, links in layers)
+    place, near = search_graph(x, layers, x[::20], 6)
+    assert (near[:, :6] > 0.999).all() and (place[:, :6] >= 0).all()
+    one = units(np.eye(3))
+    assert (search_graph(one, build_graph(one), one, 3)[0][:, :3] >= 0).all()
