@@ -13,20 +13,24 @@ from pyspark.sql import functions as F
 
 from .common import kept_by_worker, stored
 
-#: Classes of the neural model: the most frequent words, the end token and one class for all other words. What the
-#: driver trains on is a table of their neighbour counts, CLASSES squared at most.
-CLASSES = 512
-DIM = 32
-NOISE = 10.0
+#: Words of the model's vocabulary at most (those counted LEAST_COUNT times or more), beside the end token and one for all
+#: other words, and the classes over which the vocabulary is dealt.
+MODEL, LEAST_COUNT, CLASSES = 1 << 15, 5, 128
+#: Context words, and components of a word's vector.
+CONTEXT, DIM = 2, 24
+#: Noise words for each word that is read, and how many of a class are drawn for a batch (of classes, four times as many).
+NOISE, DRAWN = 8.0, 16
+#: Tokens of a training batch, at first and at last (an eighth of what a task has read), the learning rate (of biases, a tenth), and where the sums of squared gradients start: few data then stay near
+#: the words' frequencies.
+FIRST, BATCH, RATE, START = 1 << 11, 1 << 14, 0.15, 1.0
 #: Words whose counts go to every task; the counts of the others are joined.
 HEAD = 1 << 17
-STEPS = 200
-#: Weight of the prior on the parameters, in tokens: few data then stay near the words' frequencies.
-PRIOR = 8.0
 SMOOTH = 0.1
 END = b"\n"  # no word holds a blank
-#: Different words that a counting task holds at once.
-HELD_WORDS = 1 << 18
+#: Different words that a counting task holds at once, and tokens that are scored at once.
+HELD_WORDS, SCORED = 1 << 18, 1 << 14
+#: Parts in which tasks' parameters travel to where they are averaged.
+PARTS = 64
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -65,70 +69,260 @@ def word_counts(documents: DataFrame) -> DataFrame:
     return rows.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def neighbour_counts(documents: DataFrame, classes: dict[bytes, int], size: int) -> DataFrame:
-    """(pair, n) over the training documents: how often class pair % size follows class pair // size."""
-    sent = documents.sparkSession.sparkContext.broadcast(classes)
+class Model:
+    """Parameters of a log-bilinear model whose words stand in classes of neighbouring frequency.
 
-    def counted(batches):
-        n, get, other, end = np.zeros(size * size, np.int64), sent.value.get, size - 1, sent.value[END]
+    A token's context is the sum of the vectors of the words before it, each mapped by its position's matrix. The context's
+    product with a class vector plus a bias is the class's score, that with a word's vector plus a bias the word's score
+    among the words of its class. Words are numbered by falling count, so that a class is a range of numbers.
+    """
+
+    def __init__(self, counts: np.ndarray, classes: int = CLASSES, dim: int = DIM, context: int = CONTEXT, seed: int = 7):
+        rng, n = np.random.default_rng(seed), len(counts)
+        mass = np.cumsum(np.sqrt(counts))
+        self.of = np.unique(np.minimum((mass / mass[-1] * classes).astype(np.int64), classes - 1), return_inverse=True)[1]
+        self.starts = np.searchsorted(self.of, np.arange(self.of[-1] + 2))
+        share = counts / counts.sum()
+        self.class_share = np.add.reduceat(share, self.starts[:-1])
+        self.word_share = share / self.class_share[self.of]
+        f = np.float32
+        self.params = {
+            "r": rng.normal(0, 0.1, (n, dim)).astype(f), "q": np.zeros((n, dim), f), "b": np.log(self.word_share).astype(f),
+            "c": np.stack([np.eye(dim) / (k + 1) for k in range(context)]).astype(f), "u": np.zeros((len(self.class_share), dim), f), "d": np.log(self.class_share).astype(f),
+        }
+        self.dim, self.context = dim, context
+
+    def scores(self, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """The natural log-probability of each token given the ids before it, one row for each position of the context.
+
+        Both levels are normalised over all their classes and words, by matrix products.
+        """
+        p, own = self.params, self.of[ids]
+        order = np.argsort(own.astype(np.uint16), kind="stable")
+        ids, own = ids[order], own[order]
+        h = mapped(p["r"], p["c"], before[:, order])
+        s = h @ p["u"].T
+        s += p["d"]
+        out = s[np.arange(len(ids)), own] - log_sum(s)
+        for k, x, y in segments(own):
+            a, b = self.starts[k], self.starts[k + 1]
+            if b - a > 1:
+                s = h[x:y] @ p["q"][a:b].T
+                s += p["b"][a:b]
+                out[x:y] += s[np.arange(y - x), ids[x:y] - a] - log_sum(s)
+        back = np.empty(len(out))
+        back[order] = out
+        return back
+
+
+def mapped(r: np.ndarray, c: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Each token's context: the sum of the mapped vectors of the words before it."""
+    h = r[before[0]] @ c[0]
+    for k in range(1, len(c)):
+        h += r[before[k]] @ c[k]
+    return h
+
+
+def log_sum(s: np.ndarray) -> np.ndarray:
+    """ln of the sum of exp(s) over each row; s is overwritten."""
+    most = s.max()
+    if most > 60 or s.min() < most - 80:  # beyond the range of 32-bit numbers: row by row
+        most = s.max(1, keepdims=True)
+        s -= most
+        return np.log(np.exp(s, out=s).sum(1)) + most[:, 0]
+    return np.log(np.exp(s, out=s).sum(1))
+
+
+def segments(own: np.ndarray) -> list[tuple[int, int, int]]:
+    """(class, from, to) for each class in a rising array of classes."""
+    cuts = np.flatnonzero(np.diff(own)) + 1
+    starts = [0, *cuts.tolist()] if len(own) else []
+    return list(zip(own[starts].tolist(), starts, [*cuts.tolist(), len(own)]))
+
+
+def above(score: np.ndarray, shift: np.ndarray) -> np.ndarray:
+    """The probability that what has the score is data and not noise."""
+    return 1 / (1 + np.exp(shift - score))
+
+
+class Learner:
+    """Steps of noise-contrastive estimation over batches of tokens, by adaptive gradients from a model's parameters."""
+
+    def __init__(self, model: Model, noise: float = NOISE, drawn: int = DRAWN, rate: float = RATE, start: float = START, seed: int = 11):
+        self.m, self.noise, self.drawn, self.rate = model, noise, drawn, np.float32(rate)
+        self.p = {k: v.copy() for k, v in model.params.items()}
+        self.squares = {k: np.full_like(v, start) for k, v in self.p.items()}
+        self.read = np.zeros(len(model.of), np.int64)
+        self.rng = np.random.default_rng(seed)
+        self.word_bounds, self.class_bounds = np.cumsum(model.word_share), np.cumsum(model.class_share)
+        self.word_shift, self.class_shift = (np.log(noise * x).astype(np.float32) for x in (model.word_share, model.class_share))
+
+    def move(self, name: str, g: np.ndarray, at=slice(None)) -> None:
+        squares = self.squares[name][at] + g * g
+        self.squares[name][at] = squares
+        self.p[name][at] -= (self.rate if g.ndim > 1 else self.rate / 10) * g / np.sqrt(squares)
+
+    def rows(self, keys: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The different keys, and the sums of the columns of g (components, keys) for each."""
+        at = np.flatnonzero(np.bincount(keys, minlength=len(self.read)))
+        return at, np.stack([np.bincount(keys, x, len(self.read))[at] for x in g], 1).astype(np.float32)
+
+    def step(self, before: np.ndarray, ids: np.ndarray) -> None:
+        """One step over the tokens ids and the ids before them."""
+        m, p, weight = self.m, self.p, np.float32(self.noise / self.drawn)
+        order = np.argsort(m.of[ids].astype(np.uint16), kind="stable")
+        before, ids = before[:, order], ids[order]
+        own = m.of[ids]
+        h = mapped(p["r"], p["c"], before)
+        # Classes: the class that is read against classes drawn by their shares, the same ones for all tokens of the batch.
+        drawn = np.searchsorted(self.class_bounds, self.rng.random(4 * self.drawn)).clip(0, len(m.class_share) - 1)
+        g = weight / 4 * above(h @ p["u"][drawn].T + p["d"][drawn], self.class_shift[drawn])
+        hit = above(np.einsum("td,td->t", h, p["u"][own]) + p["d"][own], self.class_shift[own]) - 1
+        back = g @ p["u"][drawn] + hit[:, None] * p["u"][own]
+        to_u, to_d = np.zeros_like(p["u"]), np.bincount(own, hit, len(p["d"])).astype(np.float32)
+        np.add.at(to_u, drawn, g.T @ h)
+        np.add.at(to_d, drawn, g.sum(0))
+        # Words: the word that is read against words drawn from its class, the same ones for a class in this batch.
+        single = np.diff(m.starts) == 1
+        real = above(np.einsum("td,td->t", h, p["q"][ids]) + p["b"][ids], self.word_shift[ids])
+        read = np.where(single[own], 0, real - 1).astype(np.float32)
+        back += read[:, None] * p["q"][ids]
+        keys, grads = [ids], [read * h.T]
+        biases = [read]
+        for k, x, y in segments(own):
+            to_u[k] += hit[x:y] @ h[x:y]
+            if not single[k]:
+                drawn = np.searchsorted(self.word_bounds, k + self.rng.random(self.drawn)).clip(m.starts[k], m.starts[k + 1] - 1)
+                q = p["q"][drawn]
+                g = weight * above(h[x:y] @ q.T + p["b"][drawn], self.word_shift[drawn])
+                back[x:y] += g @ q
+                keys.append(drawn)
+                grads.append(h[x:y].T @ g)
+                biases.append(g.sum(0))
+        keys = np.concatenate(keys)
+        at, to_q = self.rows(keys, np.concatenate(grads, 1))
+        moves = [("u", to_u, slice(None)), ("d", to_d, slice(None)), ("q", to_q, at), ("b", np.bincount(keys, np.concatenate(biases), len(self.read))[at].astype(np.float32), at)]
+        moves.append(("c", np.stack([p["r"][before[k]].T @ back for k in range(m.context)]), slice(None)))
+        at, to_r = self.rows(before.ravel(), np.concatenate([p["c"][k] @ back.T for k in range(m.context)], 1))
+        moves.append(("r", to_r, at))
+        self.read += np.bincount(before.ravel(), minlength=len(self.read)) + np.bincount(ids, minlength=len(self.read))
+        for name, g, at in moves:
+            self.move(name, g, at)
+
+
+def before_each(ids: np.ndarray, context: int, end: int) -> np.ndarray:
+    """The ids before each token of a document, the end token standing before its first."""
+    padded = np.concatenate([np.full(context, end, ids.dtype), ids])
+    return np.stack([padded[context - 1 - k : len(padded) - 1 - k] for k in range(context)])
+
+
+class Vocabulary:
+    """Numbers of the words whose counts are known to every task, and the model's number of each."""
+
+    def __init__(self, counts: dict[bytes, int], total: int, distinct: int, most: int = MODEL, least: int = LEAST_COUNT):
+        self.words = sorted(counts.keys() | {END}, key=lambda w: (w != END, -counts.get(w, 0), w))
+        n = np.array([counts.get(w, 0) for w in self.words], float)
+        inside = np.zeros(len(n), bool)
+        inside[0] = True
+        inside[1 : most + 1] = n[1 : most + 1] >= least
+        #: Tokens of words outside the model, and how many such words there are.
+        self.rest, self.kinds = total - n[inside].sum(), distinct - int((n[inside] > 0).sum())
+        size = np.concatenate([np.maximum(n[inside], SMOOTH), [self.rest + SMOOTH * (self.kinds + 1)]])
+        order = np.argsort(-size, kind="stable")
+        place = np.empty(len(size), np.int64)
+        place[order] = np.arange(len(size))
+        #: Counts by the model's numbers; its number for each known word, then that of all other words.
+        self.sizes, self.other, self.end = size[order], int(place[-1]), int(place[0])
+        self.model_ids = np.full(len(n) + 1, self.other, np.int64)
+        self.model_ids[np.flatnonzero(inside)] = place[:-1]
+        self.logs = np.concatenate([np.log10(n + SMOOTH), [0.0]])
+        self.seen = np.concatenate([n > 0, [False]])
+
+    def index(self) -> dict[bytes, int]:
+        return {w: i for i, w in enumerate(self.words)}
+
+
+def trained(documents: DataFrame, vocabulary: Vocabulary, **options) -> Model:
+    """A model trained on every training document: each task steps through its documents, in batches of tokens, from the
+    same start, and a word's vectors are averaged over the tasks by how often each has read it."""
+    spark, name = documents.sparkSession, uuid.uuid4().hex
+    sent = spark.sparkContext.broadcast((vocabulary, options))
+    shared, own = ("c", "u", "d"), ("r", "q", "b")
+
+    def packed(learner: Learner, part: int) -> bytes:
+        p = learner.p
+        if part == PARTS:
+            return np.concatenate([[float(learner.read.sum())], *[p[k].ravel() for k in shared]]).astype(np.float64).tobytes()
+        return np.concatenate([learner.read[part::PARTS, None], p["r"][part::PARTS], p["q"][part::PARTS], p["b"][part::PARTS, None]], 1).astype(np.float32).tobytes()
+
+    def learn(batches):
+        words, options = sent.value
+        index = kept_by_worker("index", name, words.index)
+        learner, before, ids, held, read, size = None, [], [], 0, 0, FIRST
         for batch in batches:
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if trains(i):
-                    ids = np.array([end, *[get(w, other) for w in words_of(text)], end], np.int64)
-                    pairs, times = np.unique(ids[:-1] * size + ids[1:], return_counts=True)
-                    n[pairs] += times
-        seen = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(n[seen], pa.int64())], ["pair", "n"])
+                    learner = learner or Learner(Model(words.sizes, **options))
+                    own_words = words_of(text)
+                    new = words.model_ids[np.fromiter((index.get(w, -1) for w in own_words), np.int64, len(own_words))]
+                    new = np.append(new, words.end)
+                    before.append(before_each(new, learner.m.context, words.end))
+                    ids.append(new)
+                    held += len(new)
+                if held >= size:
+                    x, y, at = np.concatenate(before, 1), np.concatenate(ids), 0
+                    while held - at >= size:
+                        learner.step(x[:, at : at + size], y[at : at + size])
+                        at, read = at + size, read + size
+                        size = min(BATCH, max(FIRST, read // 8))
+                    before, ids, held = [x[:, at:]], [y[at:]], held - at
+        if learner:
+            if held:
+                learner.step(np.concatenate(before, 1), np.concatenate(ids))
+            for part in range(PARTS + 1):
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([packed(learner, part)], pa.binary())], ["part", "data"])
 
-    rows = documents.select("doc_id", "text").mapInArrow(counted, "pair bigint, n bigint")
-    return rows.groupBy("pair").agg(F.sum("n").alias("n"))
+    def averaged(batches):
+        words, options = sent.value
+        width, sums = 2 * options.get("dim", DIM) + 2, {}
+        for batch in batches:
+            for part, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                x = np.frombuffer(data, np.float64 if part == PARTS else np.float32).astype(np.float64)
+                x = x if part == PARTS else x.reshape(-1, width)
+                weight = x[:1] if part == PARTS else x[:, :1]
+                x = np.concatenate([weight, x[len(weight) :] * weight]) if part == PARTS else np.concatenate([weight, x[:, 1:] * weight], 1)
+                sums[part] = sums[part] + x if part in sums else x
+        for part, x in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["part", "data"])
 
+    found = documents.select("doc_id", "text").mapInArrow(learn, "part int, data binary")
+    model = Model(vocabulary.sizes, **options)
+    width = 2 * model.dim + 2
+    for part, data in found.repartition(PARTS, "part").mapInArrow(averaged, "part int, data binary").collect():  # a row for each part
+        x = np.frombuffer(data, np.float64)
+        if part == PARTS:
+            x, at = (x[1:] / x[0]).astype(np.float32), 0
+            for k in shared:
+                n = model.params[k].size
+                model.params[k], at = x[at : at + n].reshape(model.params[k].shape), at + n
+        else:
+            x = x.reshape(-1, width)
+            read = np.flatnonzero(x[:, 0] > 0)
+            mean, at = (x[read, 1:] / x[read, :1]).astype(np.float32), part + PARTS * read
+            model.params["r"][at], model.params["q"][at], model.params["b"][at] = mean[:, : model.dim], mean[:, model.dim : -1], mean[:, -1]
+    return model
 
-def train(counts: np.ndarray, dim: int = DIM, noise: float = NOISE, steps: int = STEPS, prior: float = PRIOR, seed: int = 7) -> np.ndarray:
-    """The model's normalised natural log-probabilities [context, next], from counts[context, next].
 
-    The score of a next word is the product of a linear map of the context word's vector with the next word's vector,
-    plus its bias. Noise-contrastive estimation tells the counted pairs from `noise` times as many drawn from the words'
-    frequencies, in expectation over the noise, with a Gaussian prior of weight `prior` around the words' frequencies alone,
-    so that few data give no more than they show; Adam steps over all pairs at once. The scores are then normalised by
-    matrix products over all classes.
-    """
-    size, rng = len(counts), np.random.default_rng(seed)
-    total = max(counts.sum(), 1)
-    data = (counts / total).astype(np.float32)
-    context, word = data.sum(1, keepdims=True), (counts.sum(0) + SMOOTH) / (total + SMOOTH * size)
-    drawn = (noise * context * word[None, :]).astype(np.float32)
-    shift = np.log(noise * word).astype(np.float32)
-    p = {"r": rng.normal(0, 0.1, (size, dim)), "c": np.eye(dim), "q": rng.normal(0, 0.1, (size, dim)), "b": np.log(word)}
-    p = {k: v.astype(np.float32) for k, v in p.items()}
-    m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
-    scale = np.float32(size)  # of the gradients: a mean over pairs is small
-    pull, rare = np.float32(scale * prior / total), np.log(word).astype(np.float32)
-    for t in range(1, steps + 1):
-        hidden = p["r"] @ p["c"]
-        real = 1 / (1 + np.exp(shift - (hidden @ p["q"].T + p["b"])))  # that a pair is data
-        g = scale * (drawn * real - data * (1 - real))
-        back = g @ p["q"]
-        grads = {"q": g.T @ hidden + pull * p["q"], "b": g.sum(0) + pull * (p["b"] - rare), "r": back @ p["c"].T + pull * p["r"], "c": p["r"].T @ back}
-        rate = 0.05 * (1 - t / (steps + 1))
-        for k, x in grads.items():
-            m[k] = 0.9 * m[k] + 0.1 * x
-            v[k] = 0.99 * v[k] + 0.01 * x * x
-            p[k] = p[k] - np.float32(rate) * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-8)
-    scores = (p["r"] @ p["c"]).astype(np.float64) @ p["q"].T.astype(np.float64) + p["b"]
-    scores -= scores.max(1, keepdims=True)
-    return scores - np.log(np.exp(scores).sum(1, keepdims=True))
-
-
-def scored(documents: DataFrame, classes: int = CLASSES, head: int = HEAD) -> DataFrame:
+def scored(documents: DataFrame, head: int = HEAD, most: int = MODEL, **options) -> DataFrame:
     """A row for each document row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score.
 
     Tokens are the lower-cased (A-Z) words of the whole text and one end. Training documents are those whose
-    crc32(doc_id as text) mod 10 is not 0 (a null id counts as the text None); every one of them is counted. base_score is the
-    smoothed unigram's log10 probability. score is the log-bilinear model's: each token's class given the class of the
-    token before it (the end token before the first), and, for a word without a class of its own, the smoothed share of
-    that word among all such words, one share being left for words never seen: the probabilities of all next words add
-    up to 1. A null or empty text is the end alone; repeated rows are scored each; an empty table gives no rows.
+    crc32(doc_id as text) mod 10 is not 0 (a null id counts as the text None); every one of them is counted, and read in
+    training. base_score is the smoothed unigram's log10 probability. score is the log-bilinear model's: the class and then
+    the word given the words before it (the end token before the first), and, for a word outside the model's vocabulary,
+    the smoothed share of that word among all such words, one share being left for words never seen: the probabilities
+    of all next words add up to 1. A null or empty text is the end alone; repeated rows are scored each; an empty table
+    gives no rows.
     """
     spark = documents.sparkSession
     counts = stored(word_counts(documents), "words")
@@ -141,45 +335,38 @@ def scored(documents: DataFrame, classes: int = CLASSES, head: int = HEAD) -> Da
             break
         least, room = at, room - n
     known = {bytes(r["word"]): r["n"] for r in counts.where(step >= least).collect()}
-    order = sorted(known, key=lambda w: (-known[w], w))
-    own = [w for w in order if w != END][: classes - 2]
-    ids = {w: i for i, w in enumerate([*own, END])}
-    size = len(ids) + 1
-    table = np.zeros(size * size, np.int64)
-    pairs = neighbour_counts(documents, ids, size).toPandas()  # size * size rows at most
-    table[pairs["pair"].to_numpy()] = pairs["n"].to_numpy()
-    logs = train(table.reshape(size, size)) / np.log(10)
-    covered = sum(known.get(w, 0) for w in ids)
-    rest, kinds = total - covered, distinct - sum(w in known for w in ids)
-    base_floor, rest_floor = np.log10(total + SMOOTH * (distinct + 1)), np.log10(rest + SMOOTH * (kinds + 1))
-    sent = spark.sparkContext.broadcast((ids, {w: (n, ids.get(w, size - 1)) for w, n in known.items()}, logs))
-    name = uuid.uuid4().hex
+    if END not in known:  # it is not among the head's words, or there is no training document
+        known |= {bytes(r["word"]): r["n"] for r in counts.where(F.col("word") == F.lit(END)).collect()}
+    vocabulary = Vocabulary(known, total, distinct, most)
+    model = trained(documents, vocabulary, **options)
+    base_floor, rest_floor = np.log10(total + SMOOTH * (distinct + 1)), np.log10(vocabulary.rest + SMOOTH * (vocabulary.kinds + 1))
+    sent, name = spark.sparkContext.broadcast((vocabulary, model)), uuid.uuid4().hex
 
     def begun(batches):
-        ids, known, logs = sent.value
-        table = kept_by_worker("scores", name, lambda: {w: (np.log10(n + SMOOTH), c) for w, (n, c) in known.items()})
-        get, end, none, other = table.get, ids[END], (0.0, -1), size - 1
+        v, m = sent.value
+        index = kept_by_worker("index", name, v.index)
         for batch in batches:
-            out: list[tuple] = []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = [*words_of(text), END]
-                pairs = np.array([get(w, none) for w in words])
-                logs_n, cls = pairs[:, 0], pairs[:, 1].astype(np.int64)
-                tail = Counter(w for w, c in zip(words, cls.tolist()) if c < 0)
-                seen = cls >= 0
-                cls[~seen] = other
-                before = np.concatenate([[end], cls[:-1]])
-                score = logs[before, cls].sum() + logs_n[(cls == other) & seen].sum() - rest_floor * (cls == other).sum()
-                base = logs_n[seen].sum() - base_floor * len(words)
-                out.append((held_out(i), len(words), int(seen.sum()), base, score, list(tail.keys()), list(tail.values())))
-            columns = list(zip(*out)) or [()] * 7
+            texts = [[*words_of(t), END] for t in batch.column(1).to_pylist()]
+            if not texts:
+                continue
+            sizes = np.array([len(t) for t in texts])
+            starts = np.cumsum(sizes) - sizes
+            at = np.fromiter((index.get(w, -1) for t in texts for w in t), np.int64, sizes.sum())
+            ids = v.model_ids[at]
+            before = np.concatenate([before_each(x, m.context, v.end) for x in np.split(ids, starts[1:])], 1)
+            logs = np.concatenate([m.scores(before[:, i : i + SCORED], ids[i : i + SCORED]) for i in range(0, len(ids), SCORED)]) / np.log(10)
+            outside = ids == v.other
+            logs = logs + np.where(outside, v.logs[at] - rest_floor, 0.0)
+            base, model_score, seen = (np.add.reduceat(x, starts) for x in (v.logs[at] - base_floor, logs, v.seen[at].astype(np.int64)))
+            tails = [Counter(w for w, i in zip(t, at[a : a + n].tolist()) if i < 0) for t, a, n in zip(texts, starts.tolist(), sizes.tolist())]
+            columns = [[held_out(i) for i in batch.column(0).to_pylist()], sizes, seen, base, model_score, [list(c.keys()) for c in tails], [list(c.values()) for c in tails]]
             kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(columns, kinds)]], ["doc_id", "held_out", "n_tokens", "known", "base", "model", "words", "times"])
 
     fields = f"doc_id {dict(documents.dtypes)['doc_id']}, held_out boolean, n_tokens bigint, known bigint, base double, model double, words array<binary>, times array<bigint>"
     first = stored(documents.select("doc_id", "text").mapInArrow(begun, fields).withColumn("row", F.monotonically_increasing_id()), "scored")
     tail = first.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
-    tail = tail.join(counts.where(step < least).withColumnRenamed("word", "w"), F.col("word") == F.col("w"), "left")
+    tail = tail.join(counts.where((step < least) & (F.col("word") != F.lit(END))).withColumnRenamed("word", "w"), F.col("word") == F.col("w"), "left")
     gain = F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + SMOOTH)
     more = tail.groupBy(F.col("row").alias("r")).agg(F.sum(gain).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("times"))).alias("found"))
     joined = first.drop("words", "times").join(more, F.col("row") == F.col("r"), "left")

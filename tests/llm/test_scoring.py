@@ -7,7 +7,7 @@ import pytest
 from brute import ASCII, unigram, words
 from conftest import DATA, ROWS
 
-from evidentia.llm.scoring import op8_log_bilinear, scored, train
+from evidentia.llm.scoring import Learner, Model, before_each, op8_log_bilinear, scored
 
 
 def out(i):
@@ -42,24 +42,66 @@ def test_better_than_unigrams_on_held_out_texts(rows):
 
 
 def test_words_beyond_the_head_are_joined(spark, documents, rows):
-    few = scored(documents, head=600).collect()
-    for a, b in zip(sorted(few), sorted(rows)):
-        assert a["n_known"] == b["n_known"] and a["base_score"] == pytest.approx(b["base_score"], abs=1e-6) and a["score"] == pytest.approx(b["score"], abs=1e-6)
-
-
-def test_rows_of_the_model_are_normalised():
-    logs = train(np.random.default_rng(0).integers(0, 50, (12, 12)))
-    assert np.allclose(np.exp(logs).sum(1), 1)
+    few, all_of_them = (scored(documents, head=h, most=300).collect() for h in (600, 1 << 17))
+    for a, b, c in zip(sorted(few), sorted(rows), sorted(all_of_them)):
+        assert a["n_known"] == b["n_known"] and a["base_score"] == pytest.approx(b["base_score"], abs=1e-6)
+        assert a["score"] == pytest.approx(c["score"], abs=1e-2)
+
+
+def test_the_model_is_normalised():
+    """Over all words of the vocabulary, for any context, before and after steps of training."""
+    rng = np.random.default_rng(0)
+    model = Model(np.sort(rng.integers(1, 5000, 400))[::-1].astype(float), classes=20, dim=8)
+    learner = Learner(model)
+    for _ in range(5):
+        ids = rng.integers(0, 400, 3000)
+        learner.step(rng.integers(0, 400, (model.context, 3000)), ids)
+    for params in (model.params, learner.p):
+        model.params = params
+        for context in ([3, 5], [399, 0]):
+            before = np.repeat(np.array(context)[:, None], 400, 1)
+            assert np.exp(model.scores(before, np.arange(400)).astype(float)).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_training_learns_what_follows_what():
+    """A language in which each word is followed by one of two: the model comes near one bit a word."""
+    rng = np.random.default_rng(1)
+    n, size = 60_000, 50
+    ids = np.zeros(n, np.int64)
+    for i in range(1, n):
+        ids[i] = (7 * ids[i - 1] + 3 + rng.integers(0, 2)) % size
+    counts = np.bincount(ids, minlength=size).astype(float)
+    order = np.argsort(-counts, kind="stable")
+    place = np.argsort(order)
+    ids = place[ids]
+    model = Model(counts[order], classes=5)
+    learner = Learner(model)
+    before = before_each(ids, model.context, 0)
+    start = model.scores(before, ids).mean()
+    for _ in range(6):
+        for at in range(0, n, 1000):
+            learner.step(before[:, at : at + 1000], ids[at : at + 1000])
+    model.params = learner.p
+    assert start < -3.5 and model.scores(before, ids).mean() > -1.6
 
 
 def test_texts_share_a_probability_of_one(spark):
-    """All texts of up to three words, over the words of the corpus and one for all that were never seen."""
-    corpus = [(i, " ".join("abcd"[(i * k + k * k) % 4] for k in range(i % 4))) for i in range(400) if not out(i)]
+    """All texts of up to three words, over the words of the corpus and one for all that were never seen; the corpus is
+    large enough for the model to see, better than unigrams can, that its texts end there."""
+    corpus = [(i, " ".join("abcd"[(i * k + k * k) % 4] for k in range(i % 4))) for i in range(20_000) if not out(i)]
     asked = [" ".join(p) for n in range(4) for p in itertools.product(("a", "b", "c", "d", "never"), repeat=n)]
-    ids = itertools.islice((i for i in range(1000, 100_000) if out(i)), len(asked))
+    ids = itertools.islice((i for i in range(50_000, 200_000) if out(i)), len(asked))
     docs = spark.createDataFrame([*corpus, *zip(ids, asked)], "doc_id bigint, text string")
-    total = sum(10 ** r["score"] for r in scored(docs, classes=4).where("held_out").collect())
-    assert 0.9 < total < 1.0001
+    rows = scored(docs, most=2).where("held_out").collect()
+    total, unigrams = (sum(10 ** r[c] for r in rows) for c in ("score", "base_score"))
+    assert 0.8 < unigrams < total < 1.0001
+
+
+def test_tasks_are_averaged(spark, documents, rows):
+    """Over several tasks, held-out texts still score better than by unigrams."""
+    many = scored(documents.repartition(4)).collect()
+    new, base = (sum(r[c] for r in many if r["held_out"]) for c in ("score", "base_score"))
+    assert 0 > new > base and base == pytest.approx(sum(r["base_score"] for r in rows if r["held_out"]), abs=1e-3)
 
 
 def test_awkward_rows(spark, awkward, empty):
