@@ -15,10 +15,10 @@ from .common import kept_by_worker, stored
 
 #: Words of the model's vocabulary at most (those counted LEAST_COUNT times or more), beside the end token and one for all
 #: other words, and the classes over which the vocabulary is dealt.
-MODEL, LEAST_COUNT, CLASSES = 1 << 15, 5, 128
+MODEL, LEAST_COUNT, CLASSES = 1 << 14, 5, 64
 #: Context words, and components of a word's vector.
-CONTEXT, DIM = 2, 24
-#: Noise words for each word that is read, and how many of a class are drawn for a batch (of classes, four times as many).
+CONTEXT, DIM = 2, 16
+#: Noise words for each word that is read, and how many of a class are drawn for a batch (of classes, twice as many).
 NOISE, DRAWN = 8.0, 16
 #: Tokens of a training batch, at first and at last (an eighth of what a task has read), the learning rate (of biases, a tenth), and where the sums of squared gradients start: few data then stay near
 #: the words' frequencies.
@@ -175,29 +175,32 @@ class Learner:
         own = m.of[ids]
         h = mapped(p["r"], p["c"], before)
         # Classes: the class that is read against classes drawn by their shares, the same ones for all tokens of the batch.
-        drawn = np.searchsorted(self.class_bounds, self.rng.random(4 * self.drawn)).clip(0, len(m.class_share) - 1)
-        g = weight / 4 * above(h @ p["u"][drawn].T + p["d"][drawn], self.class_shift[drawn])
-        hit = above(np.einsum("td,td->t", h, p["u"][own]) + p["d"][own], self.class_shift[own]) - 1
-        back = g @ p["u"][drawn] + hit[:, None] * p["u"][own]
-        to_u, to_d = np.zeros_like(p["u"]), np.bincount(own, hit, len(p["d"])).astype(np.float32)
+        drawn = np.searchsorted(self.class_bounds, self.rng.random(2 * self.drawn)).clip(0, len(m.class_share) - 1)
+        g = weight / 2 * above(h @ p["u"][drawn].T + p["d"][drawn], self.class_shift[drawn])
+        back = g @ p["u"][drawn]
+        to_u, to_d = np.zeros_like(p["u"]), np.zeros_like(p["d"])
         np.add.at(to_u, drawn, g.T @ h)
         np.add.at(to_d, drawn, g.sum(0))
         # Words: the word that is read against words drawn from its class, the same ones for a class in this batch.
-        single = np.diff(m.starts) == 1
-        real = above(np.einsum("td,td->t", h, p["q"][ids]) + p["b"][ids], self.word_shift[ids])
+        single, q = np.diff(m.starts) == 1, p["q"][ids]
+        real = above(np.einsum("td,td->t", h, q) + p["b"][ids], self.word_shift[ids])
         read = np.where(single[own], 0, real - 1).astype(np.float32)
-        back += read[:, None] * p["q"][ids]
-        keys, grads = [ids], [read * h.T]
-        biases = [read]
+        q *= read[:, None]
+        back += q
+        keys, grads, biases = [ids], [read * h.T], [read]
         for k, x, y in segments(own):
-            to_u[k] += hit[x:y] @ h[x:y]
+            hk, bk = h[x:y], back[x:y]
+            hit = above(hk @ p["u"][k] + p["d"][k], self.class_shift[k]) - 1
+            bk += np.outer(hit, p["u"][k])
+            to_u[k] += hit @ hk
+            to_d[k] += hit.sum()
             if not single[k]:
                 drawn = np.searchsorted(self.word_bounds, k + self.rng.random(self.drawn)).clip(m.starts[k], m.starts[k + 1] - 1)
                 q = p["q"][drawn]
-                g = weight * above(h[x:y] @ q.T + p["b"][drawn], self.word_shift[drawn])
-                back[x:y] += g @ q
+                g = weight * above(hk @ q.T + p["b"][drawn], self.word_shift[drawn])
+                bk += g @ q
                 keys.append(drawn)
-                grads.append(h[x:y].T @ g)
+                grads.append(hk.T @ g)
                 biases.append(g.sum(0))
         keys = np.concatenate(keys)
         at, to_q = self.rows(keys, np.concatenate(grads, 1))
@@ -216,6 +219,18 @@ def before_each(ids: np.ndarray, context: int, end: int) -> np.ndarray:
     return np.stack([padded[context - 1 - k : len(padded) - 1 - k] for k in range(context)])
 
 
+def parts_of(texts: list, most: int):
+    """(first, last) of runs of texts of about eight times `most` characters or one text."""
+    first = held = 0
+    for i, t in enumerate(texts):
+        held += len(t or "") + 1
+        if held > 8 * most:
+            yield first, i + 1
+            first, held = i + 1, 0
+    if first < len(texts):
+        yield first, len(texts)
+
+
 class Vocabulary:
     """Numbers of the words whose counts are known to every task, and the model's number of each."""
 
@@ -346,22 +361,24 @@ def scored(documents: DataFrame, head: int = HEAD, most: int = MODEL, **options)
         v, m = sent.value
         index = kept_by_worker("index", name, v.index)
         for batch in batches:
-            texts = [[*words_of(t), END] for t in batch.column(1).to_pylist()]
-            if not texts:
-                continue
-            sizes = np.array([len(t) for t in texts])
-            starts = np.cumsum(sizes) - sizes
-            at = np.fromiter((index.get(w, -1) for t in texts for w in t), np.int64, sizes.sum())
-            ids = v.model_ids[at]
-            before = np.concatenate([before_each(x, m.context, v.end) for x in np.split(ids, starts[1:])], 1)
-            logs = np.concatenate([m.scores(before[:, i : i + SCORED], ids[i : i + SCORED]) for i in range(0, len(ids), SCORED)]) / np.log(10)
-            outside = ids == v.other
-            logs = logs + np.where(outside, v.logs[at] - rest_floor, 0.0)
-            base, model_score, seen = (np.add.reduceat(x, starts) for x in (v.logs[at] - base_floor, logs, v.seen[at].astype(np.int64)))
-            tails = [Counter(w for w, i in zip(t, at[a : a + n].tolist()) if i < 0) for t, a, n in zip(texts, starts.tolist(), sizes.tolist())]
-            columns = [[held_out(i) for i in batch.column(0).to_pylist()], sizes, seen, base, model_score, [list(c.keys()) for c in tails], [list(c.values()) for c in tails]]
-            kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(columns, kinds)]], ["doc_id", "held_out", "n_tokens", "known", "base", "model", "words", "times"])
+            ids_of, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for first, last in parts_of(texts, SCORED):
+                yield part(v, m, index, batch.column(0).slice(first, last - first), ids_of[first:last], texts[first:last])
+
+    def part(v, m, index, doc_ids, plain_ids, texts):
+        texts = [[*words_of(t), END] for t in texts]
+        sizes = np.array([len(t) for t in texts])
+        starts = np.cumsum(sizes) - sizes
+        at = np.fromiter((index.get(w, -1) for t in texts for w in t), np.int64, sizes.sum())
+        ids = v.model_ids[at]
+        before = np.concatenate([before_each(x, m.context, v.end) for x in np.split(ids, starts[1:])], 1)
+        logs = np.concatenate([m.scores(before[:, i : i + SCORED], ids[i : i + SCORED]) for i in range(0, len(ids), SCORED)]) / np.log(10)
+        logs = logs + np.where(ids == v.other, v.logs[at] - rest_floor, 0.0)
+        base, model_score, seen = (np.add.reduceat(x, starts) for x in (v.logs[at] - base_floor, logs, v.seen[at].astype(np.int64)))
+        tails = [Counter(w for w, i in zip(t, at[a : a + n].tolist()) if i < 0) for t, a, n in zip(texts, starts.tolist(), sizes.tolist())]
+        columns = [[held_out(i) for i in plain_ids], sizes, seen, base, model_score, [list(c.keys()) for c in tails], [list(c.values()) for c in tails]]
+        kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
+        return pa.RecordBatch.from_arrays([doc_ids, *[pa.array(c, t) for c, t in zip(columns, kinds)]], ["doc_id", "held_out", "n_tokens", "known", "base", "model", "words", "times"])
 
     fields = f"doc_id {dict(documents.dtypes)['doc_id']}, held_out boolean, n_tokens bigint, known bigint, base double, model double, words array<binary>, times array<bigint>"
     first = stored(documents.select("doc_id", "text").mapInArrow(begun, fields).withColumn("row", F.monotonically_increasing_id()), "scored")
