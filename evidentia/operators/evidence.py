@@ -12,47 +12,68 @@ from pyspark.sql import functions as F
 
 # Names of fields in payloads.
 BODY_KEYS = ("content", "text", "body", "row", "snippet")
-PLUMBING = {"cite_uid", "url", "title", "score", "id", "pages", "items", "meta"}
+PLUMBING = {
+    "cite_uid", "source_id", "tool_result_type", "layer", "url", "source_url", "source_type", "title", "doc_title",
+    "relevance_score", "row_key", "case_id", "node_id", "doc_id", "provider", "ancestors", "range", "specialty", "doc_url",
+    "source_version", "match_type", "is_headword", "revision",
+}
 CITE = re.compile(r"cite-[0-9a-f]{6,32}")
-MOST_DEPTH = 64
 
 
 def parsed(payload: str | None):
+    """A payload's value; one that is no JSON, or is nested deeper than the parser goes, is none and gives no evidence."""
     try:
         return json.loads(payload or "")
-    except ValueError:
+    except (ValueError, RecursionError):
         return None
 
 
-def objects(value, strings: bool = False, depth: int = 0) -> Iterator[dict]:
+def objects(value, strings: bool = False) -> Iterator[dict]:
     """Every object in a parsed payload, parents before children; with strings, also those in strings that hold JSON."""
-    if depth > MOST_DEPTH:
-        raise ValueError(f"a payload is nested more than {MOST_DEPTH} deep")
-    if isinstance(value, dict):
-        yield value
-        value = list(value.values())
-    if isinstance(value, list):
-        for x in value:
-            yield from objects(x, strings, depth + 1)
-    elif strings and isinstance(value, str) and value.lstrip()[:1] in ("{", "["):
-        yield from objects(parsed(value), strings, depth + 1)
-
-
-def fields_of(x: dict) -> str:
+    open_ = [iter([value])]
+    while open_:
+        for x in open_[-1]:
+            if isinstance(x, str) and strings and x.lstrip()[:1] in ("{", "["):
+                x = parsed(x)
+            if isinstance(x, dict):
+                yield x
+            if isinstance(x, (dict, list)):
+                open_.append(iter(x.values() if isinstance(x, dict) else x))
+                break
+        else:
+            open_.pop()
+
+
+def fields_of(x: dict, most: int = 600) -> str:
+    """An object's fields as lines, without those of plumbing, empty ones and nested ones of over `most` characters."""
     lines = []
     for k, v in x.items():
-        v = json.dumps(v, ensure_ascii=False) if isinstance(v, (dict, list)) else v
-        if k not in PLUMBING and v not in (None, "", "[]", "{}") and not (isinstance(v, str) and len(v) > 600 and v[0] in "[{"):
-            lines.append(f"{k}: {v}")
+        if k in PLUMBING or v is None or v in ("", [], {}):
+            continue
+        if isinstance(v, (dict, list)):
+            v = json.dumps(v, ensure_ascii=False)
+            if len(v) > most:
+                continue
+        lines.append(f"{k}: {v}")
     return "\n".join(lines)
 
 
+def pages_of(x: dict, numbered: bool) -> str:
+    """The texts of an object's pages, and the paths of the charts on them."""
+    parts = []
+    for i, page in enumerate(x["pages"], 1):
+        if isinstance(page, dict):
+            text = str(page.get("text") or "")
+            parts.append(f"[p.{page.get('page', i)}] {text}" if numbered and text else text)
+            charts = page.get("charts") if isinstance(page.get("charts"), list) else []
+            parts += [f"[flowchart] {path}" for chart in charts if isinstance(chart, dict) for path in chart.get("paths") or []]
+    return "\n".join(filter(None, parts))
+
+
 def body_of(x: dict, numbered: bool = False) -> str:
-    """The texts of an object's pages (numbered, if asked), else its first text field, else its other fields."""
-    pages = x.get("pages")
-    if isinstance(pages, list) and pages:
-        texts = [(p.get("page", i), p.get("text") or "") for i, p in enumerate(pages, 1) if isinstance(p, dict)]
-        return "\n".join(f"[p.{n}] {t}" if numbered else t for n, t in texts if t)
+    """The text of an object's pages (numbered, if asked), else its first text field, else its other fields."""
+    if isinstance(x.get("pages"), list) and (text := pages_of(x, numbered)):
+        return text
     for k in BODY_KEYS:
         if v := x.get(k):
             return v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
@@ -79,8 +100,9 @@ def cited_v3(payload: str | None) -> list[tuple[str, str]]:
     return found or [(c, "") for c in dict.fromkeys(CITE.findall(payload or ""))]
 
 
-def harvested(payloads: DataFrame, key: str, payload: str, how=cited_v1, first: bool = False) -> DataFrame:
-    """(key, cite_uid, body): of each id the longest body, of equal lengths the first; or, with first, the first."""
+def harvested(payloads: DataFrame, key: str, payload: str, how=cited_v1, first: bool = False, blank: bool = False) -> DataFrame:
+    """(key, cite_uid, body): of each id the longest body, of equal lengths the first; or, with first, the first. Evidence
+    without a body is left out, unless `blank` asks for it."""
 
     def rows(batches):
         for batch in batches:
@@ -94,7 +116,8 @@ def harvested(payloads: DataFrame, key: str, payload: str, how=cited_v1, first:
 
     found = payloads.select(key, payload).mapInArrow(rows, f"{key} {dict(payloads.dtypes)[key]}, pos int, cite_uid string, body string")
     rank = F.struct(F.lit(0) if first else F.length("body"), -F.col("pos"))
-    return found.where("cite_uid != ''").groupBy(key, "cite_uid").agg(F.max_by("body", rank).alias("body"))
+    best = found.where("cite_uid != ''").groupBy(key, "cite_uid").agg(F.max_by("body", rank).alias("body"))
+    return best if blank else best.where(F.col("body").rlike(r"\S"))
 
 
 def rendered_fields(payload: Column, dropped: list[str], most: int = 600) -> Column:
@@ -169,3 +192,12 @@ def sse_answer(body: Column, how: str = "last_result") -> Column:
         good = F.filter(good, lambda x: F.try_variant_get(F.try_parse_json(x), "$.result", "string").isNotNull())
     picked = F.try_element_at(good, F.lit(1 if how == "first" else -1))
     return F.when(F.ltrim(body).startswith("{"), body).otherwise(picked)
+
+
+def call_arguments(call: Column) -> Column:
+    """(name, arguments) of a call's JSON: its arguments stand there as an object or as a string that holds one; anything
+    else gives way to an empty object."""
+    raw = F.get_json_object(call, "$.function.arguments")
+    whole = F.trim(raw).startswith("{") & F.try_parse_json(raw).isNotNull()
+    name = F.coalesce(F.get_json_object(call, "$.function.name"), F.lit(""))
+    return F.struct(name.alias("name"), F.when(whole, raw).otherwise("{}").alias("arguments"))

@@ -41,6 +41,26 @@ def first_letters_up(c: Column) -> Column:
     return F.array_join(F.transform(F.split(c, " "), lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.substring(w, F.lit(2), F.length(w)))), " ")
 
 
+def corpus_language(tool: Column, args: Column, matched: list[str], tags: dict[str, str], collections: dict[str, str], databases: dict[str, str]) -> Column:
+    """The language of what a call searches, from its arguments' JSON: en for tools that are matched by summaries, else by
+    corpus_tag, then collection_name, then db_name, the first that is listed; any where none is."""
+    found = []
+    for field, table in (("corpus_tag", tags), ("collection_name", collections), ("db_name", databases)):
+        if table:
+            listed = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
+            found.append(F.try_element_at(listed, F.coalesce(F.get_json_object(args, f"$.{field}"), F.lit(""))))
+    return F.when(tool.isin(*matched), "en").otherwise(F.coalesce(*found, F.lit("any")))
+
+
+def offered(definitions: DataFrame, wanted: list[str], most: int = 900) -> DataFrame:
+    """(place, name, description, schema) of the wanted tools that definitions(name, description, schema) has, in the
+    order of the request; unknown names are left out, descriptions are cut, a missing schema is an empty object's."""
+    named = F.array(*map(F.lit, wanted)) if wanted else F.array().cast("array<string>")
+    rows = definitions.where(F.col("name").isin(*wanted)).withColumn("place", F.array_position(named, F.col("name")))
+    empty = F.lit('{"type": "object", "properties": {}}')
+    return rows.select("place", "name", F.left(F.coalesce("description", F.lit("")), F.lit(most)).alias("description"), F.coalesce("schema", empty).alias("schema"))
+
+
 def call_key(tool: Column, args: Column) -> Column:
     """A call's key: the tool and its arguments (a map) sorted by name."""
     pairs = F.transform(F.array_sort(F.map_entries(args)), lambda e: F.concat_ws("=", e["key"], e["value"]))

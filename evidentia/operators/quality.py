@@ -7,29 +7,36 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 
-#: Signs that may repeat without being a defect, and what a whole answer ends with.
-RULE_SIGNS = r"\s\-=_*#|.~"
-TRAILING = r"""[\s*_`~>)\]}"'”’]+$"""
-CLOSED = r"[.!?。…:다요죠음함]$"
+# What a whole answer ends with, what may stand after its end, the signs that may repeat without being a
+# defect, the signs of lines that only divide, and citations.
+CLOSED = r"[.!?。\)\]]$|[다요음임함]$|[:：]$"
+TRAILING = "[\\s*_`~\"'“”‘’]+$"
+RUN = r"([^-=*_~#\s])\1{19,}"
+RULE_LINE = r"^[\s>*_=~#-]+$"
+CITATION = r"\[([0-9]{1,2})\]"
 
 
-def repeated_lines(texts: DataFrame, key: str, text: str, least_chars: int = 12, signs: str = r"^[-|=*_\s:]+$") -> DataFrame:
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def repeated_lines(texts: DataFrame, key: str, text: str, least_chars: int = 12, signs: str = RULE_LINE) -> DataFrame:
     """(key, most): how often the most frequent line of a text stands in it; lines of least_chars or fewer characters
     and lines of signs alone do not count. Lines are counted by their hash and partially aggregated."""
-    lines = texts.select(key, F.explode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("line")).select(key, F.trim("line").alias("line"))
+    lines = texts.select(key, F.explode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("line")).select(key, stripped(F.col("line")).alias("line"))
     kept = lines.where((F.length("line") > least_chars) & ~F.col("line").rlike(signs))
     return kept.groupBy(key, F.md5("line").alias("line")).agg(F.count(F.lit(1)).alias("n")).groupBy(key).agg(F.max("n").alias("most"))
 
 
-def most_repeated(text: Column, least_chars: int = 12, signs: str = r"^[-|=*_\s:]+$") -> Column:
+def most_repeated(text: Column, least_chars: int = 12, signs: str = RULE_LINE) -> Column:
     """As repeated_lines, for a draft of ordinary length, inside its row."""
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: (F.length(x) > least_chars) & ~x.rlike(signs))
+    lines = F.filter(F.transform(F.split(text, "\n"), stripped), lambda x: (F.length(x) > least_chars) & ~x.rlike(signs))
     run = lambda s, x: F.when(x == s["line"], F.struct(x.alias("line"), (s["n"] + 1).alias("n"), F.greatest(s["most"], s["n"] + 1).alias("most"))).otherwise(F.struct(x.alias("line"), F.lit(1).alias("n"), F.greatest(s["most"], F.lit(1)).alias("most")))
     return F.aggregate(F.array_sort(lines), F.struct(F.lit("").alias("line"), F.lit(0).alias("n"), F.lit(0).alias("most")), run, lambda s: s["most"])
 
 
 def cited_numbers(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(r"\[([0-9]{1,3})\]"), F.lit(1)), lambda x: x.cast("int"))
+    return F.transform(F.regexp_extract_all(text, F.lit(CITATION), F.lit(1)), lambda x: x.cast("int"))
 
 
 def invented(text: Column, n_evidence: Column) -> Column:
@@ -39,21 +46,20 @@ def invented(text: Column, n_evidence: Column) -> Column:
 
 def defects(draft: Column, question: Column, n_evidence: Column, deflection: str, script: str = "[가-힣]", closed: str = CLOSED) -> Column:
     """The defects of a draft, in order: empty (alone), short, open, run, repeat, script, citation, deflect."""
-    text = F.coalesce(draft, F.lit(""))
+    text = stripped(F.coalesce(draft, F.lit("")))
     bare = F.regexp_replace(text, TRAILING, "")
-    own = F.regexp_count(text, F.lit(script))
-    few = F.coalesce(question, F.lit("")).rlike(script) & (own < F.greatest(F.lit(5), F.floor(F.length(text) / 20).cast("int")))
-    left = F.length(F.trim(F.regexp_replace(text, deflection, "")))
+    asked = F.regexp_count(F.coalesce(question, F.lit("")), F.lit(script)) >= 3
+    few = asked & (F.regexp_count(text, F.lit(script)) < F.greatest(F.lit(5), F.floor(F.length(text) / 20).cast("int")))
     flags = [
-        F.when(F.length(F.trim(text)) < 40, "short"),
+        F.when(F.length(text) < 40, "short"),
         F.when(~bare.rlike(closed), "open"),
-        F.when(text.rlike(rf"([^{RULE_SIGNS}])\1{{19}}"), "run"),
+        F.when(text.rlike(RUN), "run"),
         F.when(most_repeated(text) >= 3, "repeat"),
         F.when(few, "script"),
         F.when(F.size(invented(text, n_evidence)) > 0, "citation"),
-        F.when(text.rlike(deflection) & (F.length(text) < 300) & (left < 150), "deflect"),
+        F.when(text.rlike(deflection) & (F.length(text) < 300) & (F.length(F.regexp_replace(text, deflection, "")) < 150), "deflect"),
     ]
-    return F.when(F.trim(text) == "", F.array(F.lit("empty"))).otherwise(F.array_compact(F.array(*flags)))
+    return F.when(text == "", F.array(F.lit("empty"))).otherwise(F.array_compact(F.array(*flags)))
 
 
 def gaps(question: Column, answer: Column, asks: str = "[?？]") -> Column:

@@ -143,3 +143,10 @@ def evict_oldest(messages: DataFrame, group: str, order: str, size: str, budget:
     """messages with evicted: the oldest go until what is left of a group is within the budget."""
     newest = Window.partitionBy(group).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
     return messages.withColumn("evicted", F.sum(size).over(newest) > budget)
+
+
+def best_items(items: DataFrame, group: str, score: str, pos: str, most: int = 6) -> DataFrame:
+    """items with `place`: the `most` of each group with the highest score (null: 0), of equal ones the first. Each task
+    cuts its own before the rows are shuffled."""
+    order = Window.partitionBy(group).orderBy(F.desc(F.coalesce(score, F.lit(0.0))), pos)
+    return items.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)

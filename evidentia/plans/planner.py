@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import evidence as E
 from ..operators import planner as P
 from ..operators.digest import digested, refined
 from ..sources.providers import TableSource, TableTools, first_sentence
@@ -154,3 +155,32 @@ def session_fold(spark, d):
     running.awaitTermination()
     last = spark.read.schema(facts.schema).parquet(f"{path}/facts").groupBy("conv_id").agg(F.max_by(F.struct("age", "taking", "asked_about", "risks", "n_turns"), "n_turns").alias("x"))
     return last.select("conv_id", "x.*")
+
+
+WANTED = ["7", "none", "3", "12", "3x", "0"]
+
+
+@query("offered_tools", "SELECT list_position(['7', 'none', '3', '12', '3x', '0'], item_id::VARCHAR)::BIGINT AS place, item_id::VARCHAR AS name, left(text, 100) AS description, '{\"type\": \"object\", \"properties\": {}}' AS schema FROM benchmark WHERE item_id::VARCHAR IN ('7', 'none', '3', '12', '3x', '0')")
+def offered_tools(spark, d):
+    """Items stand for tool definitions: those asked for, in the order of the request."""
+    definitions = table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("name"), F.col("text").alias("description"), F.lit(None).cast("string").alias("schema"))
+    return P.offered(definitions, WANTED, 100).withColumn("place", F.col("place").cast("bigint"))
+
+
+@query("call_arguments", "SELECT conv_id, turn, CASE WHEN turn % 4 = 3 THEN '' ELSE role END AS name, CASE WHEN turn % 4 < 2 THEN turn END AS n FROM conversations")
+def call_arguments(spark, d):
+    """Arguments as an object, as a string that holds one, as a broken string, and not at all."""
+    args = F.to_json(F.struct(F.col("turn").alias("n")))
+    whole = F.concat(F.lit('{"function": {"name": "'), "role", F.lit('", "arguments": '))
+    call = F.when(F.col("turn") % 4 == 0, F.concat(whole, args, F.lit("}}"))).when(F.col("turn") % 4 == 1, F.concat(whole, F.to_json(F.array(args)).substr(F.lit(2), F.length(F.to_json(F.array(args))) - 2), F.lit("}}")))
+    call = call.when(F.col("turn") % 4 == 2, F.concat(whole, F.lit('"{broken"}}'))).otherwise("{}")
+    done = table(spark, d, "conversations").select("conv_id", "turn", E.call_arguments(call).alias("x"))
+    return done.select("conv_id", "turn", "x.name", F.get_json_object("x.arguments", "$.n").cast("bigint").alias("n"))
+
+
+@query("corpus_language", "SELECT doc_id, CASE WHEN source = 'src3' THEN 'en' WHEN lang IN ('de', 'fr') THEN lang WHEN source IN ('src1', 'src2') THEN 'es' ELSE 'any' END AS language FROM documents")
+def corpus_language(spark, d):
+    """Sources stand for tools and databases, languages for corpus tags."""
+    args = F.to_json(F.struct(F.col("lang").alias("corpus_tag"), F.lit("unlisted").alias("collection_name"), F.col("source").alias("db_name")))
+    found = P.corpus_language(F.col("source"), args, ["src3"], {"de": "de", "fr": "fr"}, {"k": "ko"}, {"src1": "es", "src2": "es"})
+    return table(spark, d, "documents").select("doc_id", found.alias("language"))

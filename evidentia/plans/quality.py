@@ -10,8 +10,8 @@ from ..operators import quality as Q
 from .common import query, quoted, table
 from .text import TRIM
 
-SIGNS = r"^[-|=*_\s:]+$"
-LINES = f"SELECT {{0}}, trim(unnest(string_split({{1}}, chr(10)))) AS line FROM {{2}}"
+SIGNS = Q.RULE_LINE
+LINES = "SELECT {0}, regexp_replace(unnest(string_split({1}, chr(10))), '^\\s+|\\s+$', '', 'g') AS line FROM {2}"
 
 
 @query("dup_lines", f"SELECT doc_id, max(n) AS most FROM (SELECT doc_id, line, count(*) AS n FROM ({LINES.format('doc_id', 'text', 'documents')}) WHERE length(line) > 12 AND NOT regexp_matches(line, '{SIGNS}') GROUP BY doc_id, line) GROUP BY doc_id HAVING max(n) >= 3")
@@ -21,7 +21,7 @@ def dup_lines(spark, d):
 
 DEFLECT = " (?:there|you|pas|nicht)"
 ANSWERS = "(SELECT conv_id, turn, text AS answer, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS question, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS asker, role FROM conversations)"
-CITED = "list_transform(regexp_extract_all({0}, '\\[([0-9]{{1,3}})\\]', 1), lambda x: x::INT)"
+CITED = "list_transform(regexp_extract_all({0}, '\\[([0-9]{{1,2}})\\]', 1), lambda x: x::INT)"
 
 
 def answers(spark, d):
@@ -31,17 +31,18 @@ def answers(spark, d):
     return rows.where("role = 'assistant'").select("conv_id", "turn", "question", F.col("text").alias("answer"))
 
 
-BARE = r"regexp_replace(answer, '[\s*_`~>)\]}\x22\x27”’]+$', '')"
-RUN = "len(list_filter(list_distinct(string_split(answer, '')), lambda c: NOT regexp_matches(c, '[\\s\\-=_*#|.~]') AND contains(answer, repeat(c, 20)))) > 0"
+BODY = r"regexp_replace(answer, '^\s+|\s+$', '', 'g')"
+BARE = f"regexp_replace({BODY}, {quoted(Q.TRAILING)}, '')"
+RUN = f"len(list_filter(list_distinct(string_split({BODY}, '')), lambda c: NOT regexp_matches(c, '[-=*_~#\\s]') AND contains({BODY}, repeat(c, 20)))) > 0"
 REPEATS = f"SELECT conv_id, turn, max(n) AS most FROM (SELECT conv_id, turn, line, count(*) AS n FROM ({LINES.format('conv_id, turn', 'answer', ANSWERS)} WHERE role = 'assistant') WHERE length(line) > 12 AND NOT regexp_matches(line, '{SIGNS}') GROUP BY ALL) GROUP BY ALL"
-LEFT = f"length(trim(regexp_replace(answer, '{DEFLECT}', '', 'g')))"
+LEFT = f"length(regexp_replace({BODY}, '{DEFLECT}', '', 'g'))"
 
 
 @query(
     "defect_flags",
-    f"SELECT conv_id, turn, CASE WHEN trim(answer) = '' THEN 'empty' ELSE concat_ws(',', CASE WHEN length(trim(answer)) < 40 THEN 'short' END, CASE WHEN NOT regexp_matches({BARE}, '{Q.CLOSED}') THEN 'open' END, CASE WHEN {RUN} THEN 'run' END, "
-    f"CASE WHEN most >= 3 THEN 'repeat' END, CASE WHEN regexp_matches(coalesce(question, ''), 'é') AND len(regexp_extract_all(answer, 'é')) < greatest(5, length(answer) // 20) THEN 'script' END, "
-    f"CASE WHEN len(list_filter({CITED.format('answer')}, lambda n: n < 1 OR n > 3)) > 0 THEN 'citation' END, CASE WHEN regexp_matches(answer, '{DEFLECT}') AND length(answer) < 300 AND {LEFT} < 150 THEN 'deflect' END) END AS defects "
+    f"SELECT conv_id, turn, CASE WHEN {BODY} = '' THEN 'empty' ELSE concat_ws(',', CASE WHEN length({BODY}) < 40 THEN 'short' END, CASE WHEN NOT regexp_matches({BARE}, {quoted(Q.CLOSED)}) THEN 'open' END, CASE WHEN {RUN} THEN 'run' END, "
+    f"CASE WHEN most >= 3 THEN 'repeat' END, CASE WHEN len(regexp_extract_all(coalesce(question, ''), 'é')) >= 3 AND len(regexp_extract_all({BODY}, 'é')) < greatest(5, length({BODY}) // 20) THEN 'script' END, "
+    f"CASE WHEN len(list_filter({CITED.format(BODY)}, lambda n: n < 1 OR n > 3)) > 0 THEN 'citation' END, CASE WHEN regexp_matches({BODY}, '{DEFLECT}') AND length({BODY}) < 300 AND {LEFT} < 150 THEN 'deflect' END) END AS defects "
     f"FROM {ANSWERS} LEFT JOIN ({REPEATS}) USING (conv_id, turn) WHERE role = 'assistant'",
 )
 def defect_flags(spark, d):
@@ -97,7 +98,7 @@ OLD = f"{TRIM.format('''coalesce(question, '')''')}"
 
 @query(
     "review_decide",
-    f"SELECT conv_id, turn, reason = 'revised' AS accepted, reason, length(CASE WHEN reason = 'revised' THEN new ELSE old END) AS n_chars FROM (SELECT conv_id, turn, {NEW} AS new, {OLD} AS old, CASE WHEN turn % 7 = 6 THEN 'unparsed' WHEN turn % 5 = 4 THEN 'cut' WHEN contains(answer, '!!') THEN 'kept' WHEN {NEW} = '' THEN 'empty' WHEN length({NEW}) < length({OLD}) // 2 THEN 'short' WHEN NOT regexp_matches({BARE}, '{Q.CLOSED}') OR length(trim(answer)) < 40 THEN 'defects' ELSE 'revised' END AS reason FROM {ANSWERS} WHERE role = 'assistant')",
+    f"SELECT conv_id, turn, reason = 'revised' AS accepted, reason, length(CASE WHEN reason = 'revised' THEN new ELSE old END) AS n_chars FROM (SELECT conv_id, turn, {NEW} AS new, {OLD} AS old, CASE WHEN turn % 7 = 6 THEN 'unparsed' WHEN turn % 5 = 4 THEN 'cut' WHEN contains(answer, '!!') THEN 'kept' WHEN {NEW} = '' THEN 'empty' WHEN length({NEW}) < length({OLD}) // 2 THEN 'short' WHEN NOT regexp_matches({BARE}, {quoted(Q.CLOSED)}) OR length({BODY}) < 40 THEN 'defects' ELSE 'revised' END AS reason FROM {ANSWERS} WHERE role = 'assistant')",
 )
 def review_decide(spark, d):
     """The turn before stands for the draft and the answer for its revision; verdicts follow from the texts."""

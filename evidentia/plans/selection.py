@@ -162,3 +162,10 @@ def search_union(spark, d):
     parts = [docs.select("doc_id", "text"), items.select("item_id", "text"), pages.select("page_id", "url")]
     out = [p.toDF("id", "text").withColumn("source_pos", F.lit(i)) for i, p in enumerate(parts)]
     return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query("best_items", "SELECT source, doc_id, place FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY coalesce(CASE WHEN n_chars % 11 > 0 THEN n_chars % 97 / 97::DOUBLE END, 0) DESC, doc_id) AS place FROM documents) WHERE place <= 6")
+def best_items(spark, d):
+    """The six most relevant documents of each source; some have no score."""
+    items = table(spark, d, "documents").select("source", "doc_id", F.when(F.col("n_chars") % 11 > 0, F.col("n_chars") % 97 / 97).alias("score"))
+    return S.best_items(items, "source", "score", "doc_id").select("source", "doc_id", "place")

@@ -165,7 +165,16 @@ def test_payloads(spark):
     assert evidence.cited_v2(json.dumps(deep))[0] == ("x", "[p.3] p3")
     assert evidence.cited_v3(json.dumps({"s": json.dumps(deep)}))[1] == ("x", "a longer body")
     assert evidence.cited_v3("broken { cite-00ff00 and cite-00ff00") == [("cite-00ff00", "")]
-    assert evidence.cited_v1(json.dumps({"cite_uid": "y", "score": 1, "dose": 5, "note": None, "list": []})) == [("y", "dose: 5")]
+    assert evidence.cited_v1(json.dumps({"cite_uid": "y", "relevance_score": 1, "dose": 5, "note": None, "list": []})) == [("y", "dose: 5")]
+    charts = {"cite_uid": "z", "pages": [{"text": "step one", "charts": [{"paths": ["a > b", "a > c"]}, None]}, {"text": None}]}
+    assert evidence.cited_v1(json.dumps(charts)) == [("z", "step one\n[flowchart] a > b\n[flowchart] a > c")]
+    assert evidence.cited_v1(json.dumps({"cite_uid": "w", "pages": [{"text": ""}], "content": "after empty pages"})) == [("w", "after empty pages")]
+    plain = {"cite_uid": "v", "provider": "p", "doc_title": "t", "kor": "열", "usable": True, "long": ["x" * 700], "text_like": "[" * 700}
+    assert evidence.cited_v1(json.dumps(plain)) == [("v", "kor: 열\nusable: True\ntext_like: " + "[" * 700)]
+    nested = "[" * 500 + json.dumps({"cite_uid": "n", "text": "far down"}) + "]" * 500
+    assert evidence.cited_v1(nested) == [("n", "far down")] and evidence.cited_v1("[" * 200_000) == []
+    blank = spark.createDataFrame([(1, json.dumps([{"cite_uid": "b", "text": " \n"}, {"cite_uid": "c", "text": "c"}]))], "k int, p string")
+    assert [r["cite_uid"] for r in evidence.harvested(blank, "k", "p").collect()] == ["c"] and evidence.harvested(blank, "k", "p", blank=True).count() == 2
     assert evidence.cited_v1(None) == [] == evidence.cited_v1("{")
     rows = spark.createDataFrame([(1, json.dumps(deep)), (2, None), (3, "")], "k int, p string")
     assert [tuple(r) for r in evidence.harvested(rows, "k", "p").collect()] == [(1, "x", "a longer body")]
@@ -182,6 +191,10 @@ def test_defects(spark):
     cases = {"": ["empty"], None: ["empty"], "Too short.": ["short"], good[:-1]: ["open"], good + "**": [], "a" * 30 + " " + good: ["run"], "-" * 60 + "\n" + good: [], (good + "\n") * 3: ["repeat"], good + " [7].": ["citation"], "ask a doctor " + good: ["deflect"]}
     for text, wanted in cases.items():
         assert one(spark, text, quality.defects(F.col("text"), F.lit("why?"), F.lit(3), "ask a doctor")) == wanted, text
+    more = {good + " " + "." * 25: ["run"], "|" * 20 + " " + good: ["run"], "~" * 40 + " " + good: [], good[:-1] + " 바랍니다.**": [], good[:-1] + " 있음": [], good[:-1] + " 바꿈임": [], good[:-1] + " 다음과 같다：": [], good[:-1] + " (see)": [], good[:-1] + " 죠": ["open"], good + " [123].": [], good + " [12].": ["citation"], (">>> --- === ***\n" * 4) + good: [], ("| --- | --- | --- |\n" * 3) + good: ["repeat"]}
+    for text, wanted in more.items():
+        assert one(spark, text, quality.defects(F.col("text"), F.lit("why?"), F.lit(3), "ask a doctor")) == wanted, text
+    assert one(spark, good, quality.defects(F.col("text"), F.lit("왜"), F.lit(3), "(?!)")) == []
     assert one(spark, good, quality.defects(F.col("text"), F.lit("왜 그런가요?"), F.lit(3), "(?!)")) == ["script"]
 
 
