@@ -17,8 +17,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; a temporary one where it is unset."""
+    """The folder in spark.checkpoint.dir, which driver and executors share; a temporary one where it is unset and all runs
+    on this machine."""
     if not (folder := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.conf.get("spark.master", "local").split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir is unset: executors need a folder that all of them share")
         if not OWN:
             OWN.append(f"file://{tempfile.mkdtemp(prefix='evidentia-')}")
         folder = OWN[0]

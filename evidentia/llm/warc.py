@@ -10,11 +10,13 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import new_path, stored
 
-#: Records that an archive file holds at most, and index rows that a merging task is meant to get.
-FILE_RECORDS, MERGE_ROWS = 2048, 1 << 13
+#: Bytes of payload and records that an archive file holds at most (a larger record is a file), and index rows that a
+#: merging task is meant to get.
+FILE_BYTES, FILE_RECORDS, MERGE_ROWS = 1 << 27, 2048, 1 << 13
 BREAK = "\r\n"
 EPOCH = 1_700_000_000
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -76,13 +78,19 @@ def record(run: str) -> Column:
 
 
 def write_archives(pages: DataFrame, path: str, least: int = 0, file_records: int = FILE_RECORDS) -> None:
-    """A WARC record for each row of pages(page_id, url, ts, payload), in gzipped archive files at path.
+    """A WARC record for each row of pages(page_id, url, ts, payload), in gzipped archive files in folders of path.
 
-    Spark's text writer ends each record with the two line breaks that the format asks for. A file holds file_records
-    records at most, since one task reads a file as a whole.
+    Spark's text writer ends each record with the two line breaks that the format asks for. One task reads a file as a
+    whole, so files are bounded by bytes: records go to one of four folders by the size of their payload, and a file of a
+    folder holds no more records than FILE_BYTES have room for.
     """
-    text = decided(pages, least).select(record(uuid.uuid4().hex[:12]).alias("value"))
-    text.write.option("lineSep", BREAK * 2).option("compression", "gzip").option("maxRecordsPerFile", file_records).text(path)
+    records = decided(pages, least)
+    name, over = uuid.uuid4().hex[:12], -1
+    for i, n in enumerate((file_records, 128, 8, 1)):
+        most = FILE_BYTES // n if n > 1 else 1 << 31
+        own = records.where((F.col("size") > over) & (F.col("size") <= most)).select(record(name).alias("value"))
+        own.write.option("lineSep", BREAK * 2).option("compression", "gzip").option("maxRecordsPerFile", n).text(f"{path}/{i}")
+        over = most
 
 
 def records_of(data: bytes) -> Iterator[tuple[int, dict[str, str], memoryview]]:
@@ -126,7 +134,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
 
     schema = pa.schema([("file", pa.string()), ("offset", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("date", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())])
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path).select("path", "content")
     return files.mapInArrow(read, "file string, offset bigint, page_id bigint, url string, date string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string")
 
 
@@ -165,15 +173,16 @@ class LoserTree:
 
 def sorted_runs(captures: DataFrame) -> DataFrame:
     """The index of the captures as locally sorted runs, one for each task: run, key, date and the captures' columns."""
-    index = captures.withColumn("key", url_key(F.col("url"))).withColumn("run", F.spark_partition_id())
+    index = captures.drop("key", "run").withColumn("key", url_key(F.col("url"))).withColumn("run", F.spark_partition_id())
     return stored(index.sortWithinPartitions("key", "date", "page_id", "file", "offset"), "runs")
 
 
 def merged_histories(runs: DataFrame, rows: int = MERGE_ROWS) -> DataFrame:
     """The captures in global order by key, date, page_id, file and offset, with `range` and `place`, a row's order in it.
 
-    Range partitioning cuts every run at the same keys (also inside the history of one url, which may be long); in each
-    range the runs' slices, in order as they were written, are merged by a loser tree.
+    Range partitioning cuts every run at the same keys (also inside the history of one url, which may be long). In each
+    range, the stretches in which a run's rows arrive in order (its slice, or the blocks of it) are merged by a loser
+    tree; nothing is sorted again.
     """
     order = ["key", "date", "page_id", "file", "offset"]
     parts = max(1, -(-runs.count() // rows))
@@ -189,12 +198,14 @@ def merged_histories(runs: DataFrame, rows: int = MERGE_ROWS) -> DataFrame:
         columns = [whole[c].to_pylist() for c in order]
         blank = lambda v: (v is not None, v if v is not None else 0)  # noqa: E731  nulls first, as Spark sorts them
         keys = list(zip(columns[0], columns[1], map(blank, columns[2]), columns[3], columns[4]))
-        slices: dict[int, list[int]] = {}
+        stretches: list[list[int]] = []
+        open_: dict[int, list[int]] = {}  # of each run, the stretch that may go on
         for i, run in enumerate(whole[names[run_at]].to_pylist()):
-            slices.setdefault(run, []).append(i)
-        for own in slices.values():  # blocks of one run may arrive out of order; each is sorted, so this only joins them
-            own.sort(key=keys.__getitem__)
-        tree = LoserTree([iter([(keys[i], i) for i in own]) for _, own in sorted(slices.items())])
+            if run not in open_ or keys[open_[run][-1]] > keys[i]:
+                stretches.append(own := [])
+                open_[run] = own
+            open_[run].append(i)
+        tree = LoserTree([iter([(keys[i], i) for i in own]) for own in stretches])
         taken = pa.array([i for _, i in tree], pa.int64())
         out = whole.take(taken).append_column("place", pa.array(range(len(taken)), pa.int64()))
         yield from out.combine_chunks().to_batches(max_chunksize=10_000)
@@ -204,6 +215,23 @@ def merged_histories(runs: DataFrame, rows: int = MERGE_ROWS) -> DataFrame:
     return dealt.mapInArrow(merge, f"{fields}, place bigint").withColumn("range", F.spark_partition_id())
 
 
+def histories(merged: DataFrame) -> DataFrame:
+    """merged_histories' rows with `position`, the place in the global order, from 0, and `capture`, that in the history of
+    the row's key, from 0. Ranges are counted, and one row of each gives where it starts."""
+    by_key = Window.partitionBy("range", "key").orderBy("place")
+    rows = stored(merged.withColumn("__k", F.row_number().over(by_key) - 1), "histories")
+    ranges = rows.groupBy("range").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each MERGE_ROWS rows
+    starts = ranges.select(F.col("range").alias("__r"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    # Only a history that reaches into a range from the one before goes on there: those are its first keys.
+    parts = rows.groupBy("key", "range").agg(F.count(F.lit(1)).alias("__n"))
+    earlier = Window.partitionBy("key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(F.col("key").alias("__key"), F.col("range").alias("__p"), F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__held")).where("__held > 0")
+    rows = rows.join(starts, F.col("range") == F.col("__r")).join(parts, (F.col("key") == F.col("__key")) & (F.col("range") == F.col("__p")), "left")
+    placed = rows.withColumn("position", F.col("__start") + F.col("place")).withColumn("capture", F.col("__k") + F.coalesce("__held", F.lit(0)))
+    return placed.drop("__k", "__r", "__start", "__key", "__p", "__held")
+
+
 def archived(pages: DataFrame, least: int = 0, path: str | None = None) -> DataFrame:
     """Writes pages(page_id, url, html and, if there, ts in seconds) to archives, reads them back and returns their
     merged capture histories.
@@ -217,20 +245,23 @@ def archived(pages: DataFrame, least: int = 0, path: str | None = None) -> DataF
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", ts.cast("bigint").alias("ts"), F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     path = path or new_path(pages.sparkSession, "archives")
     write_archives(rows, path, least)
-    return merged_histories(sorted_runs(read_archives(pages.sparkSession, path)))
+    return histories(merged_histories(sorted_runs(read_archives(pages.sparkSession, path))))
 
 
 def op2_warc_histories(spark, sf_dir: str) -> DataFrame:
     found = archived(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
-    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "key", "position", "capture")
 
 
 def oracle() -> str:
     value = lambda k: f"CAST('0x' || substr(h, {5 * k + 1}, 5) AS BIGINT)"
     digits = " || ".join(f"substr('{ALPHABET}', ({value(k)} >> {bits}) % 32 + 1, 1)" for k in range(8) for bits in (15, 10, 5, 0))
+    rest = r"regexp_replace(lower(coalesce(url, '')), '^[a-z][a-z0-9+.-]*://', '')"
+    key = "array_to_string(list_reverse(string_split(regexp_extract(r, '^[^/?#]*'), '.')), ',') || ')' || substr(r, length(regexp_extract(r, '^[^/?#]*')) + 1)"
     return (
-        "WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages), "
-        "q AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS last FROM p) "
+        f"WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h, {rest} AS r, coalesce(page_id, 0) % 100000000 AS ts FROM pages), "
+        f"q AS (SELECT *, {key} AS key, max(page_id) OVER (PARTITION BY html) AS last FROM p) "
         f"SELECT page_id, strlen(html) AS payload_bytes, {digits} AS payload_digest, "
-        "CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to FROM q"
+        "CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to, "
+        "key, row_number() OVER (ORDER BY key, ts, page_id) - 1 AS position, row_number() OVER (PARTITION BY key ORDER BY ts, page_id) - 1 AS capture FROM q"
     )
