@@ -1,4 +1,4 @@
-"""Dropping repeated lines: a sharded minimal perfect hash indexes the lines that many documents share."""
+"""Dropping repeated lines: a sharded minimal perfect hash indexes all different lines and the counts of their documents."""
 
 from __future__ import annotations
 
@@ -111,23 +111,23 @@ def document_lines(documents: DataFrame, least: int) -> DataFrame:
 def doomed_lines(documents: DataFrame, least: int = 20, least_docs: int = 3) -> DataFrame:
     """(doc_id, a, b) for each line that a document loses, by the index of shared lines.
 
-    Lines are counted once a document; what reaches least_docs goes to the shards of a minimal perfect hash, with a
-    64-bit fingerprint beside the 64 bits that place a key. Documents' lines probe the shards' arrays. A shard that
-    serves far more lines than the others (lines that a large part of all documents hold) is copied over salts, each
-    of which answers for its part of the documents.
+    Lines are counted once a document, and every different line goes to the shards of a minimal perfect hash, with a
+    64-bit fingerprint beside the 64 bits that place a key, its count and its last document. Documents' lines probe the
+    shards' arrays: the count decides. A shard that serves far more lines than the others (lines that a large part of
+    all documents hold) is copied over salts, each of which answers for its part of the documents.
     """
     spark = documents.sparkSession
     lines = stored(document_lines(documents, least).distinct(), "lines")
     n = lines.count()
     shards = max(LEAST_SHARDS, -(-n // SHARD_ROWS))
     shard = F.pmod(F.col("a"), F.lit(shards)).cast("int")
-    shared = lines.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last")).where(F.col("n_docs") >= least_docs)
-    shared = stored(shared.withColumn("shard", shard), "shared")
+    counted = lines.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last"))
+    counted = stored(counted.withColumn("shard", shard), "counted")
     load = max(1, 2 * n // shards)
     # At most n / load shards, less than the shards' number, can need salts; a row for each goes to every task.
-    salts = shared.groupBy("shard").agg(F.ceil(F.sum("n_docs") / load).cast("int").alias("salts"))
+    salts = counted.groupBy("shard").agg(F.ceil(F.sum("n_docs") / load).cast("int").alias("salts"))
     salts = stored(salts, "salts")
-    index = stored(shared.join(F.broadcast(salts), "shard").groupBy("shard").applyInPandas(build_shard, SHARD), "index")
+    index = stored(counted.join(salts, "shard").groupBy("shard").applyInPandas(build_shard, SHARD), "index")
     hot = F.broadcast(salts.where("salts > 1"))
     asked = lines.withColumn("shard", shard).join(hot, "shard", "left").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.coalesce("salts", F.lit(1))).cast("int"))
     copied = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
