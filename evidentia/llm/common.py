@@ -61,6 +61,13 @@ def kept_by_worker(kind: str, name: str, make):
     return store[kind][1]
 
 
+def few_rows(batches, most: int = 512):
+    """Arrow batches cut into ones of few rows, so that a task holds few texts at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, most):
+            yield batch.slice(at, most)
+
+
 def lower_ascii(c):
     return F.translate(c, UPPER, LOWER)
 

@@ -12,12 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept_by_worker, stored
+from .common import few_rows, kept_by_worker, stored
 
 #: Pieces that are packed together; blocks grow in number with the pieces, not in size.
 BLOCK = 8192
 #: Words whose ids a worker keeps; beyond it, it starts anew.
-KEPT_WORDS = 1 << 19
+KEPT_WORDS = 1 << 18
 TOKENIZER = "word_bpe_49k.json"
 #: A word of Latin letters between ASCII signs: each part is a token run of its own for the tokenizer.
 PLAIN_WORD = re.compile(rb"([!-&(-/:-@\[-`{-~]*)([A-Za-z]+|(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
@@ -119,7 +119,7 @@ def pieces(documents: DataFrame, most: int = 2048, tokenizer: str = TOKENIZER, e
 
     def cut(batches):
         ids_of, end = word_ids(tokenizer), np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in few_rows(batches):
             at, rows = [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 ids = memoryview(ids_of.ids(text or "") + end)
