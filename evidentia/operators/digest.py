@@ -9,23 +9,25 @@ from ..functions import text as X
 from ..sources.providers import Summariser, called
 
 
-def digested(items: DataFrame, key: str, text: str, summarise: Summariser, size: int = 2000, most_chunks: int = 16, separator: str = "\n\n") -> DataFrame:
+def digested(items: DataFrame, key: str, text: str, summarise: Summariser, size: int = 2000, most_chunks: int | None = 16, separator: str = "\n\n") -> DataFrame:
     """(key, text, n_called): each item's text as the summaries of its chunks, in order.
 
-    The first most_chunks chunks are given to the provider; a summary that fails (null) or is empty gives way to the
-    chunk's start, as do the chunks beyond. Chunks, not items, are spread over the tasks.
+    The first most_chunks chunks (None: all) are given to the provider; a summary that fails (null) or is empty gives way
+    to the chunk's start, as do the chunks beyond. Chunks, not items, are spread over the tasks.
     """
     parts = items.select(key, F.posexplode_outer(X.chunks(text, size, separator)).alias("pos", "chunk"))
-    asked = called(parts.where(F.col("pos") < most_chunks), "chunk", summarise, "note")
-    rest = parts.where(F.coalesce("pos", F.lit(1 << 30)) >= most_chunks).withColumn("note", F.lit(None).cast("string"))
+    within = F.col("pos").isNotNull() & F.lit(True if most_chunks is None else F.col("pos") < most_chunks)
+    asked = called(parts.where(within), "chunk", summarise, "note")
+    rest = parts.where(~within).withColumn("note", F.lit(None).cast("string"))
     rows = asked.withColumn("asked", F.lit(1)).unionByName(rest.withColumn("asked", F.lit(0)))
     note = F.coalesce(F.nullif(F.trim("note"), F.lit("")), F.left("chunk", F.lit(200)))
     return rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", note.alias("note")))).alias("xs"), F.sum("asked").cast("bigint").alias("n_called")).select(key, F.array_join(F.transform("xs", lambda x: x["note"]), "\n").alias("text"), "n_called")
 
 
-def refined(items: DataFrame, key: str, text: str, refine, size: int = 2000, most_chunks: int = 16, separator: str = "\n\n") -> DataFrame:
+def refined(items: DataFrame, key: str, text: str, refine, size: int = 2000, most_chunks: int | None = 16, separator: str = "\n\n") -> DataFrame:
     """(key, text): one note for each item, carried through its chunks in order by refine(note, chunk); a chunk for which
-    it returns nothing leaves the note as it is, and the number of chunks left unread is added."""
+    it returns nothing leaves the note as it is. Of more than most_chunks chunks (None: no such bound) the rest is left
+    unread, and their number is added."""
     import pyarrow as pa
 
     def fold(batches):
@@ -35,7 +37,7 @@ def refined(items: DataFrame, key: str, text: str, refine, size: int = 2000, mos
                 note = ""
                 for chunk in (chunks or [])[:most_chunks]:
                     note = refine(note, chunk) or note
-                unread = len(chunks or []) - most_chunks
+                unread = 0 if most_chunks is None else len(chunks or []) - most_chunks
                 notes.append(note + (f"\n[{unread} unread]" if unread > 0 else ""))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(notes, pa.string())], [key, "text"])
 

@@ -103,14 +103,14 @@ def digest_gate(spark, d):
 @query("digest_map")
 def digest_map(spark, d):
     """Documents as the first sentences of their chunks, by the offline summariser."""
-    done = digested(table(spark, d, "documents"), "doc_id", "text", first_sentence, separator="\n")
+    done = digested(table(spark, d, "documents"), "doc_id", "text", first_sentence, most_chunks=None, separator="\n")
     return done.select("doc_id", "n_called", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("digest"))
 
 
 @query("digest_refine")
 def digest_refine(spark, d):
     """One note for a document, carried from chunk to chunk; here the longer of the note and a chunk's first sentence."""
-    done = refined(table(spark, d, "documents"), "doc_id", "text", lambda note, chunk: max(note, first_sentence(chunk), key=len), separator="\n")
+    done = refined(table(spark, d, "documents"), "doc_id", "text", lambda note, chunk: max(note, first_sentence(chunk), key=len), most_chunks=None, separator="\n")
     return done.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("digest"))
 
 

@@ -44,12 +44,14 @@ def prune_paragraphs(spark, d):
 
 @query("evidence_pack")
 def evidence_pack(spark, d):
-    """The five most relevant documents of each query, packed into 6,000 characters."""
+    """The five most relevant documents of each query, packed into 6,000 characters. Of equal fingerprints only the first
+    takes a place; ids alone are compared, and texts are fetched for those chosen."""
     docs = with_query(spark, d).select("item_id", F.col("doc_id").alias("pos"), (F.col("n_chars") % 97 / 97).alias("relevance"), "text")
+    ids = docs.select("item_id", "pos", "relevance", X.fingerprint("text").alias("fp"))
+    first = ids.where("fp != ''").groupBy("item_id", "fp").agg(F.min(F.struct("pos", "relevance")).alias("x")).select("item_id", "x.*")
     best = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("relevance"), "pos"))
-    evidence = docs.withColumn("rank", best).where("rank <= 5").drop("rank")
-    kept = S.packed_evidence(evidence, "item_id", 6000)
-    return kept.select("item_id", "pos", "place", F.md5("text").alias("digest"))
+    few = first.unionByName(ids.where("fp = ''").drop("fp")).withColumn("rank", best).where("rank <= 5").select("item_id", "pos")
+    return S.packed_evidence(docs.join(few, ["item_id", "pos"], "left_semi"), "item_id", 6000).select("item_id", "pos", "place", F.md5("text").alias("digest"))
 
 
 @query("quota_topk")
@@ -137,12 +139,14 @@ def evidence_best(spark, d):
     return table(spark, d, "documents").groupBy("source").agg(best).select("source", (-F.col("x.pos")).alias("doc_id"), "x.n_chars")
 
 
-@query("render_block", "SELECT source, md5(string_agg('[' || n || '] ' || left(text, 100), chr(10) ORDER BY n) || CASE WHEN max(c) > 5 THEN chr(10) || (max(c) - 5) || ' more' ELSE '' END) AS digest FROM (SELECT source, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n, count(*) OVER (PARTITION BY source) AS c FROM documents) WHERE n <= 5 GROUP BY source")
+@query("render_block", "SELECT source, md5(string_agg('[' || n || '] ' || text, chr(10) ORDER BY n) || CASE WHEN max(c) > 5 THEN chr(10) || (max(c) - 5) || ' more' ELSE '' END) AS digest FROM (SELECT source, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n, count(*) OVER (PARTITION BY source) AS c FROM documents) WHERE n <= 5 GROUP BY source")
 def render_block(spark, d):
     """Numbered blocks of a source's first five texts, and how many were left out."""
-    docs = table(spark, d, "documents").select("source", "doc_id", F.left("text", F.lit(100)).alias("text"))
+    docs = table(spark, d, "documents").select("source", "doc_id", "text")
     totals = docs.groupBy("source").agg(F.count(F.lit(1)).alias("c"))
-    first = docs.withColumn("n", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).where("n <= 5")
+    place = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
+    few = docs.select("source", "doc_id").withColumn("n", place).where("n <= 5")  # ids alone go to the windows
+    first = few.join(docs.select("doc_id", "text"), "doc_id")
     own = first.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("n", "text"))).alias("xs")).join(totals, "source")
     block = F.array_join(F.transform("xs", lambda x: F.concat(F.lit("["), x["n"].cast("string"), F.lit("] "), x["text"])), "\n")
     more = F.when(F.col("c") > 5, F.concat(F.lit("\n"), (F.col("c") - 5).cast("string"), F.lit(" more"))).otherwise("")

@@ -1,5 +1,6 @@
 """Operators against plain Python versions, and cases that the tables do not hold."""
 
+import hashlib
 import json
 import math
 import random
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import text as X
 from evidentia.operators import entities, evaluation, evidence, planner, quality, rules, selection
-from evidentia.operators.digest import digested
+from evidentia.operators.digest import digested, refined
 from evidentia.operators.overlay import first_filled, keep_first, overlay
 from evidentia.plans import registry
 from evidentia.sources import files
@@ -244,6 +245,28 @@ def test_digest(spark):
     lines = got[1]["text"].split("\n")
     assert got[1]["n_called"] == 5 and lines[:3] == ["Part 0.", "Part 1.", "Part 2."] and lines[3].startswith("Part 3. More") and len(lines) == 20
     assert got[2]["text"] == got[3]["text"] == ""
+    whole = {r["k"]: r for r in digested(docs, "k", "text", failing, size=60, most_chunks=None).collect()}
+    assert whole[1]["n_called"] == 20 and whole[1]["text"].split("\n")[19] == "Part 19." and whole[2]["n_called"] == 0
+
+
+def test_refined(spark):
+    texts = {1: "\n\n".join(f"Part {i}." + "x" * 50 for i in range(20)), 2: "", 3: None, 4: "Short."}
+    docs = spark.createDataFrame(list(texts.items()), "k int, text string")
+    note = lambda had, chunk: None if "Part 3." in chunk else had + chunk[:8].rstrip("x")
+    for most in (5, None):
+        wanted = {2: "", 3: "", 4: "Short."}
+        wanted[1] = "".join(f"Part {i}." for i in range(20)[:most] if i != 3) + ("\n[15 unread]" if most else "")
+        assert {r["k"]: r["text"] for r in refined(docs, "k", "text", note, size=60, most_chunks=most).collect()} == wanted
+
+
+def test_copies_take_one_place(spark, tmp_path):
+    """Evidence by plain Python: of equal texts the first, then the five most relevant, evenly cut."""
+    texts = ["same text " * 30] * 4 + [f"other {i} " * 300 for i in range(6)]
+    rows = [(40 * i, t, 90 - i) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "words")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(r["pos"], r["digest"]) for r in registry.queries()["evidence_pack"](spark, str(tmp_path)).collect()}
+    assert got == {(40 * i, hashlib.md5(texts[i][:1200].encode()).hexdigest()) for i in (0, 4, 5, 6, 7)}
 
 
 def test_files(spark, tmp_path):
