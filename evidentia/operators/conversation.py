@@ -49,10 +49,10 @@ def deictic(turns: DataFrame, name: str, back: int = 3) -> DataFrame:
     return now.select("conv_id").join(one.where("n = 1"), "conv_id", "left").select("conv_id", "entity")
 
 
-def session(turns: DataFrame, taking: str, medicine: str, age: str, risks: dict[str, str]) -> DataFrame:
+def session(turns: DataFrame, taking: str, medicine: str, age: str, duration: str, risks: dict[str, str]) -> DataFrame:
     """A conversation's facts, folded over all its turns but the last user turn.
 
-    The earliest age wins; a risk is kept from its first turn; a named medicine is taken if its turn matches `taking`,
+    The earliest age and the earliest duration win; a risk is kept from its first turn; a named medicine is taken if its turn matches `taking`,
     else asked about. The folds are ordered aggregates, so that one pass over the turns makes them.
     """
     now = last_user(turns).select("conv_id", F.col("turn").alias("now"))
@@ -64,6 +64,7 @@ def session(turns: DataFrame, taking: str, medicine: str, age: str, risks: dict[
     kinds = F.array_compact(F.array(*[F.when(text.rlike(p), F.lit(k)) for k, p in risks.items()]))
     facts = old.groupBy("conv_id").agg(
         first(F.nullif(F.regexp_extract(text, age, 0), F.lit(""))).alias("age"),
+        first(F.nullif(F.regexp_extract(text, duration, 0), F.lit(""))).alias("duration"),
         seen(F.when(text.rlike(taking), named)).alias("taking"),
         seen(F.when(~text.rlike(taking), named)).alias("asked_about"),
         F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set(kinds)))), ",").alias("risks"),

@@ -153,7 +153,7 @@ def session_fold(spark, d):
     facts = session_stream(turns, **PACK)
     running = facts.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{path}/state").option("path", f"{path}/facts").trigger(availableNow=True).start()
     running.awaitTermination()
-    last = spark.read.schema(facts.schema).parquet(f"{path}/facts").groupBy("conv_id").agg(F.max_by(F.struct("age", "taking", "asked_about", "risks", "n_turns"), "n_turns").alias("x"))
+    last = spark.read.schema(facts.schema).parquet(f"{path}/facts").groupBy("conv_id").agg(F.max_by(F.struct("age", "duration", "taking", "asked_about", "risks", "n_turns"), "n_turns").alias("x"))
     return last.select("conv_id", "x.*")
 
 

@@ -9,12 +9,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-OUTPUT = "conv_id bigint, age string, taking string, asked_about string, risks string, n_turns bigint"
-STATE = "now bigint, text string, age_turn bigint, age string, taking string, asked string, risks string, n_turns bigint"
+OUTPUT = "conv_id bigint, age string, duration string, taking string, asked_about string, risks string, n_turns bigint"
+STATE = "now bigint, text string, age_turn bigint, age string, duration_turn bigint, duration string, taking string, asked string, risks string, n_turns bigint"
 JOINT = ","
 
 
-def session_stream(turns: DataFrame, taking: str, medicine: str, age: str, risks: dict[str, str]) -> DataFrame:
+def session_stream(turns: DataFrame, taking: str, medicine: str, age: str, duration: str, risks: dict[str, str]) -> DataFrame:
     """The facts of each conversation after each batch of turns(conv_id, turn, role, text), as operators.conversation's
     `session` finds them over all turns so far: the last user turn is held back until another one follows.
 
@@ -22,7 +22,7 @@ def session_stream(turns: DataFrame, taking: str, medicine: str, age: str, risks
     """
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now, text, age_turn, years, taken, asked, seen, n = state.get if state.exists else (-1, "", -1, None, "", "", "", 0)
+        now, text, age_turn, years, since_turn, since, taken, asked, seen, n = state.get if state.exists else (-1, "", -1, None, -1, None, "", "", "", 0)
         sets = {k: set(filter(None, v.split(JOINT))) for k, v in (("taken", taken), ("asked", asked), ("risks", seen))}
         for rows in batches:
             for turn, role, said in rows[["turn", "role", "text"]].itertuples(index=False):
@@ -36,12 +36,14 @@ def session_stream(turns: DataFrame, taking: str, medicine: str, age: str, risks
                 said = said or ""
                 if (m := re.search(age, said)) and (age_turn < 0 or turn < age_turn):
                     age_turn, years = turn, m[0]
+                if (m := re.search(duration, said)) and (since_turn < 0 or turn < since_turn):
+                    since_turn, since = turn, m[0]
                 if m := re.search(medicine, said):
                     sets["taken" if re.search(taking, said) else "asked"].add(m[0])
                 sets["risks"] |= {k for k, p in risks.items() if re.search(p, said)}
         taken, asked, seen = (JOINT.join(sorted(sets[k])) for k in ("taken", "asked", "risks"))
-        state.update((int(now), text, int(age_turn), years, taken, asked, seen, int(n)))
+        state.update((int(now), text, int(age_turn), years, int(since_turn), since, taken, asked, seen, int(n)))
         if now >= 0:
-            yield pd.DataFrame({"conv_id": [key[0]], "age": [years], "taking": [taken], "asked_about": [asked], "risks": [seen], "n_turns": [n]})
+            yield pd.DataFrame({"conv_id": [key[0]], "age": [years], "duration": [since], "taking": [taken], "asked_about": [asked], "risks": [seen], "n_turns": [n]})
 
     return turns.groupBy("conv_id").applyInPandasWithState(fold, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
