@@ -12,6 +12,8 @@ from .common import WORD, stored
 
 #: Documents that are rounded together; a source's segments grow in number with it, not in size.
 SEGMENT = 512
+#: Equal rows that are made at once.
+BLOCK = 1 << 12
 #: Steps in which the sums of a Newton step are added, so that the order of adding does not matter.
 GRAIN = 1024.0
 ROUNDS = 60
@@ -110,21 +112,30 @@ def copies(documents: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.5, ca
     found = tilts(sizes, source_targets(sizes, weights, share, cap), cap).withColumnRenamed("source", "s")
     segment = F.pmod(F.xxhash64("doc_id", "digest"), F.ceil(F.col("docs") / SEGMENT))
     rate = F.coalesce(F.exp(F.least(F.col("tilt") * F.col("size") / F.col("mean"), F.lit(math.log(cap)))), F.lit(float(cap)))
+    # Equal rows travel as one with a count, so that no number of repeats is gathered.
     dealt = (
         sizes.join(found, F.col("source").eqNullSafe(F.col("s")))
-        .groupBy("s", segment.alias("segment"), "source_size", "target")
-        .agg(F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("minus"), "doc_id", "digest", "size", rate.alias("rate")))).alias("docs"))
+        .groupBy("s", segment.alias("segment"), "source_size", "target", "doc_id", "digest", "size", rate.alias("rate"))
+        .agg(F.count(F.lit(1)).alias("rows"))
+        .groupBy("s", "segment", "source_size", "target")
+        .agg(F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("minus"), "doc_id", "digest", "size", "rate", "rows"))).alias("docs"))
     )
 
     def rounded(state, x):
-        owed = state["owed"] + x["rate"] * x["size"]
-        n = F.when(x["size"] == 0, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(float(cap)), F.round(owed / F.greatest(x["size"], F.lit(1))))))
-        return F.struct((owed - n * x["size"]).alias("owed"), F.concat(state["n"], F.array(n.cast("int"))).alias("n"))
+        owed = state["owed"] + x["rate"] * x["size"] * x["rows"]
+        n = F.when(x["size"] == 0, x["rows"]).otherwise(F.greatest(F.lit(0.0), F.least(cap * x["rows"].cast("double"), F.round(owed / F.greatest(x["size"], F.lit(1))))))
+        return F.struct((owed - n * x["size"]).alias("owed"), F.concat(state["n"], F.array(n.cast("bigint"))).alias("n"))
 
-    none = F.struct(F.lit(0.0).alias("owed"), F.array().cast("array<int>").alias("n"))
+    none = F.struct(F.lit(0.0).alias("owed"), F.array().cast("array<bigint>").alias("n"))
     chosen = F.explode(F.arrays_zip("docs", F.aggregate("docs", none, rounded)["n"].alias("n"))).alias("x")
     out = dealt.select(F.col("s").alias("source"), "source_size", "target", chosen)
-    return out.select("x.docs.doc_id", "x.docs.digest", "source", "x.docs.size", "source_size", "target", F.col("x.n").alias("copies"))
+    out = out.select("x.docs.doc_id", "x.docs.digest", "source", "x.docs.size", "source_size", "target", "x.docs.rows", "x.n")
+    # One of equal rows after another gets an even share of their copies; rows are made in blocks, never as one array.
+    block = F.explode(F.sequence(F.lit(0), F.floor((F.col("rows") - 1) / BLOCK))).alias("block")
+    out = out.select("*", block).withColumn("first", F.col("block") * BLOCK)
+    out = out.select("*", F.explode(F.sequence("first", F.least("rows", F.col("first") + BLOCK) - 1)).alias("at"))
+    n = F.floor(F.col("n") / F.col("rows")) + (F.col("at") < F.col("n") % F.col("rows")).cast("int")
+    return out.select("doc_id", "digest", "source", "size", "source_size", "target", n.cast("int").alias("copies"))
 
 
 def mixed(documents: DataFrame, **options) -> DataFrame:

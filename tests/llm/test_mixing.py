@@ -51,3 +51,13 @@ def test_hot_source(spark):
     docs = spark.range(6000).selectExpr("id as doc_id", "repeat('w ', cast(1 + id % 97 as int)) as text", "if(id % 3 = 0, 'a', if(id % 3 = 1, 'hot', null)) as source")
     wanted, taken = held(copies(docs).collect(), [tuple(r) for r in docs.select("source", "text").collect()])
     assert all(abs(taken[s] - wanted[s]) <= 0.01 * wanted[s] for s in wanted)
+
+
+def test_repeated_rows(spark):
+    """A third of all rows are one row: they are counted, not gathered, and share their copies evenly."""
+    docs = spark.range(15_000).selectExpr("if(id % 3 = 0, 0, id) as doc_id", "if(id % 3 = 0, 'one two three', repeat('w ', cast(1 + id % 97 as int))) as text", "if(id % 3 < 2, 'a', null) as source")
+    rows = copies(docs).collect()
+    wanted, taken = held(rows, [tuple(r) for r in docs.select("source", "text").collect()])
+    assert len(rows) == 15_000 and all(abs(taken[s] - wanted[s]) <= 0.01 * wanted[s] for s in wanted)
+    own = {r["copies"] for r in rows if r["doc_id"] == 0}
+    assert max(own) - min(own) <= 1
