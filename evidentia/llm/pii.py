@@ -7,14 +7,31 @@ from pyspark.sql import functions as F
 
 from .quality import once
 
+#: Lengths of account codes (IBAN) by country, as registered (fixed values).
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def account_code(length: int, countries: str) -> str:
+    """The pattern of one length's account codes, in groups of four with or without spaces."""
+    fours, rest = divmod(length - 4, 4)
+    last = rf"\x20?[A-Z0-9]{{{rest}}}" if rest else ""
+    return rf"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{{fours}}}{last}"
+
+
 #: Fixed patterns, plain.
 PLAIN = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
     "card": r"[0-9]([\x20-]?[0-9])+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"[A-Z]{2}[0-9]{2}(\x20?[A-Z0-9]{4}){2,7}(\x20?[A-Z0-9]{1,3})?",
+    "iban": "|".join(account_code(n, c) for n, c in IBAN_LENGTHS.items()),
     "identity": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
+    "secret": r"[A-Za-z0-9_-]{20,}",
 }
 #: The same matches without rescans: a match starts where a run of the first class does, or where the last match ended,
 #: and repeats are possessive, so that neither a long run nor a long repeat costs more than its length.
@@ -22,11 +39,12 @@ FAST = PLAIN | {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)",
     "card": r"(?:\G|(?<![0-9]))[0-9](?:[\x20-]?[0-9])++",
+    "secret": r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}+",
 }
 KINDS = tuple(PLAIN)
 BASE = KINDS[:4]
 #: What a text must hold to hold a kind at all.
-WORTH = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]", "iban": r"[A-Z]{2}[0-9]{2}", "identity": r"[0-9]{2}-[0-9]{4}"}
+WORTH = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]", "iban": r"[A-Z]{2}[0-9]{2}", "identity": r"[0-9]{2}-[0-9]{4}", "secret": r"[A-Za-z0-9_-]{20}"}
 #: Words whose presence near a span raises its score, and the score without them (fixed values).
 CONTEXT = {
     "email": "mail|contact|write",
@@ -35,8 +53,9 @@ CONTEXT = {
     "phone": "phone|call|tel|mobile|fax",
     "iban": "iban|bank|account|transfer|konto|compte|cuenta",
     "identity": "ssn|social security|identity|passport|tax id",
+    "secret": "secret|token|password|passwd|api.?key|access.?key|private.?key|credential",
 }
-SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "identity": 0.3}
+SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "identity": 0.3, "secret": 0.3}
 GAIN, LEAST, NEAR = 0.3, 0.5, 40
 SPAN = "struct<kind:string,start:int,end:int,score:double>"
 BLOCK = 256
@@ -68,8 +87,8 @@ def mod97(code: Column) -> Column:
     return F.aggregate(F.filter(F.split(moved, ""), lambda c: c != ""), F.lit(0), add) == 1
 
 
-def confirmed(kind: str, s: Column, before: Column) -> Column:
-    """The checks of one match; before is the text before it."""
+def confirmed(kind: str, s: Column, before: Column, after: Column) -> Column:
+    """The checks of one match; before and after are the texts beside it."""
     if kind == "ip":
         part = lambda p: F.regexp_replace(p, "^0+(?=.)", "")
         return F.forall(F.split(s, r"\."), lambda p: (F.length(part(p)) < 3) | ((F.length(part(p)) == 3) & (part(p) <= "255")))
@@ -78,9 +97,11 @@ def confirmed(kind: str, s: Column, before: Column) -> Column:
     if kind == "phone":
         return F.length(digits(s)).between(9, 15)
     if kind == "iban":
-        return once(F.replace(s, F.lit(" "), F.lit("")), lambda c: F.length(c).between(15, 34) & mod97(c)) & ~before.rlike("[A-Za-z0-9]$")
+        return once(F.replace(s, F.lit(" "), F.lit("")), mod97) & ~before.rlike("[A-Za-z0-9]$") & ~after.rlike("^[A-Za-z0-9]")
     if kind == "identity":
         return ~before.rlike("[0-9-]$")
+    if kind == "secret":
+        return s.rlike("[A-Za-z]") & s.rlike("[0-9].*[0-9].*[0-9].*[0-9]")
     return F.lit(True)
 
 
@@ -106,7 +127,7 @@ def spans_of(text: Column, kind: str) -> Column:
         def span(hit, i):
             start = F.get(starts, i)
             score = F.lit(SCORES[kind]) + F.when(F.lower(near(gaps, i)).rlike(CONTEXT[kind]), GAIN).otherwise(0.0)
-            ok = confirmed(kind, hit, F.get(gaps, i))
+            ok = confirmed(kind, hit, F.get(gaps, i), F.get(gaps, i + 1))
             ok = ok if kind in BASE else ok & (score >= LEAST)
             return F.when(ok, F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(hit)).alias("end"), score.alias("score")))
 
@@ -128,7 +149,8 @@ def personal_data(documents: DataFrame) -> DataFrame:
     """A row for each document row: doc_id and spans, an array of (kind, start, end, score) by kind, then start.
 
     Places are code points of the whole text, ends exclusive. Base kinds (email, ip, card, phone) keep every confirmed
-    match; the others (account codes by mod-97, identity numbers by context) need a score of LEAST. A null or empty text
+    match; the others (account codes by their country's length and mod-97, identity numbers and secrets by context) need a
+    score of LEAST. A null or empty text
     has no spans; repeated rows have the same spans each; an empty table gives no rows.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -171,8 +193,9 @@ def oracle() -> str:
         "ip": "len(list_filter(string_split(x.hit, '.'), lambda p: length(ltrim(p, '0')) > 3 OR (length(ltrim(p, '0')) = 3 AND ltrim(p, '0') > '255'))) = 0",
         "card": f"length({digit('x.hit')}) BETWEEN 13 AND 19 AND {luhn_sql}",
         "phone": f"length({digit('x.hit')}) BETWEEN 9 AND 15",
-        "iban": f"length({code}) BETWEEN 15 AND 34 AND list_reduce(list_concat([0], {values}), lambda a, v: (a * CASE WHEN v > 9 THEN 100 ELSE 10 END + v) % 97) = 1 AND NOT regexp_matches(x.gap, '[A-Za-z0-9]$')",
+        "iban": f"list_reduce(list_concat([0], {values}), lambda a, v: (a * CASE WHEN v > 9 THEN 100 ELSE 10 END + v) % 97) = 1 AND NOT regexp_matches(x.gap, '[A-Za-z0-9]$') AND NOT regexp_matches(x.next, '^[A-Za-z0-9]')",
         "identity": "NOT regexp_matches(x.gap, '[0-9-]$')",
+        "secret": "regexp_matches(x.hit, '[A-Za-z]') AND regexp_matches(x.hit, '[0-9].*[0-9].*[0-9].*[0-9]')",
     }
     parts = []
     for n, (kind, pattern) in enumerate(PLAIN.items()):

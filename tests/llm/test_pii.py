@@ -30,6 +30,18 @@ def test_checksums_and_context(spark):
     assert kinds == [{"iban"}, set(), {"identity"}, set()]
 
 
+def test_account_codes_by_country(spark):
+    """A capital word that follows is not part of the code; a code that goes on, or is of another length, is none."""
+    texts = ["LT12 1000 0111 0100 1000 THE", "LT121000011101001000", "LT1210000111010010005", "NO93 8601 1117 947 X", "GB82 WEST 1234 5698 7654 32", "ZZ82 WEST 1234 5698 7654 32"]
+    assert [[s for s in x if s[0] == "iban"] for x in found(spark, texts)] == [[("iban", 0, 24)], [("iban", 0, 20)], [], [("iban", 0, 18)], [("iban", 0, 27)], []]
+
+
+def test_secrets_by_context(spark):
+    key = "11acdfb36bb72224148e6160f674b4be45601bff"
+    texts = [f'token = "{key}"', f"commit {key}", "password: correct-horse-battery-staple", f"the api key is {key[:20]}, keep it"]
+    assert [[s for s in x if s[0] == "secret"] for x in found(spark, texts)] == [[("secret", 9, 49)], [], [], [("secret", 15, 35)]]
+
+
 def test_whole_table(spark):
     assert spark_rows(op5_personal_data(spark, DATA)) == duck(oracle(), DATA)
 
