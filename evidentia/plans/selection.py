@@ -63,13 +63,13 @@ def quota_topk(spark, d):
     return S.quota_top(docs, "lang", "source", 5)
 
 
-@query("context_budget")
+@query("context_budget", "WITH g AS (SELECT source, list({'used': c, 'n': 1::BIGINT} ORDER BY n_chars % 1000 DESC, doc_id) AS xs FROM (SELECT source, doc_id, n_chars, trunc(n_chars * 0.7::DOUBLE)::BIGINT + 1 AS c FROM documents) GROUP BY source), f AS (SELECT source, len(xs) AS total, list_reduce(list_concat([{'used': 0::BIGINT, 'n': 0::BIGINT}], xs), lambda s, x: CASE WHEN s.used + x.used <= 20000 THEN {'used': s.used + x.used, 'n': s.n + 1} ELSE s END) AS k FROM g) SELECT source, k.n AS n_kept, total - k.n AS n_dropped, k.used AS used FROM f")
 def context_budget(spark, d):
     docs = table(spark, d, "documents").select("source", "doc_id", "n_chars", (F.col("n_chars") * 0.7).cast("int").alias("tokens"))
     return S.within_budget(docs, "source", [-(F.col("n_chars") % 1000), F.col("doc_id")], F.col("tokens") + 1, 20_000)
 
 
-@query("render_budget")
+@query("render_budget", "SELECT source, count(*) FILTER (WHERE upto <= 12000) AS n_kept, count(*) FILTER (WHERE upto > 12000) AS n_dropped, coalesce(sum(size) FILTER (WHERE upto <= 12000), 0)::BIGINT AS used FROM (SELECT source, size, sum(size) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM (SELECT source, doc_id, least(n_chars, 4000) AS size FROM documents)) GROUP BY source")
 def render_budget(spark, d):
     docs = table(spark, d, "documents").select("source", "doc_id", F.least("n_chars", F.lit(4000)).alias("size"))
     return S.within_budget(docs, "source", [F.col("doc_id")], F.col("size"), 12_000, stop=True)
