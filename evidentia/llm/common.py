@@ -1,56 +1,18 @@
-"""What the operators share: tables in the cluster's shared folder, and connected components."""
+"""What the operators share, and connected components."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import new_path, remove, shared_folder, stored  # noqa: F401  the operators take them from here
+
 #: `[\x20\x09-\x0D]` as characters; words are the runs of anything else.
 BLANKS = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
-OWN: list[str] = []  # the folder of a session that has none
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; a temporary one where it is unset and all runs
-    on this machine."""
-    if not (folder := spark.conf.get("spark.checkpoint.dir", None)):
-        if not spark.conf.get("spark.master", "local").split("[")[0] == "local":
-            raise ValueError("spark.checkpoint.dir is unset: executors need a folder that all of them share")
-        if not OWN:
-            OWN.append(f"file://{tempfile.mkdtemp(prefix='evidentia-')}")
-        folder = OWN[0]
-    return folder.rstrip("/")
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder, removed when the driver ends."""
-    path = f"{shared_folder(spark)}/evidentia/{label}-{uuid.uuid4().hex}"
-    atexit.register(remove, spark, path)
-    return path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # noqa: BLE001  the session has ended: the folder's owner cleans up
-        pass
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: its lineage ends there, and lost executors cost no rerun."""
-    path = new_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def kept_by_worker(kind: str, name: str, make):
     """make(), made once in each Python worker, one of each kind: functions that travel by value share no variables between tasks."""
     import sys

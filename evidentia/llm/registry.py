@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from . import linededup, pii, warc
+from . import exactdedup, linededup, pii, warc
 from .ann import op6_small_world
+from .exactdedup import op12_content_sort
 from .linededup import op4_line_dedup
 from .mixing import op3_entropy_mix
 from .pii import op5_personal_data
@@ -14,8 +15,8 @@ from .simhash import op9_simhash_pigeonring
 from .urls import op1_url_filter
 from .warc import op2_warc_histories
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_warc_histories, op3_entropy_mix, op4_line_dedup, op5_personal_data, op6_small_world, op7_quality_rules, op8_log_bilinear, op9_simhash_pigeonring, op10_best_two_fit)}
-ORACLES = {"op2_warc_histories": warc.oracle(), "op4_line_dedup": linededup.ORACLE, "op5_personal_data": pii.oracle()}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_warc_histories, op3_entropy_mix, op4_line_dedup, op5_personal_data, op6_small_world, op7_quality_rules, op8_log_bilinear, op9_simhash_pigeonring, op10_best_two_fit, op12_content_sort)}
+ORACLES = {"op2_warc_histories": warc.oracle(), "op4_line_dedup": linededup.ORACLE, "op5_personal_data": pii.oracle(), "op12_content_sort": exactdedup.ORACLE}
 
 
 def queries() -> dict:
