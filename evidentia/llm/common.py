@@ -30,6 +30,15 @@ def few_rows(batches, most: int = 512):
             yield batch.slice(at, most)
 
 
+#: SQL for CRC-32, which DuckDB lacks: one row with the list t of the 256 remainders, and the checksum of a text by it.
+CRC_TABLE = "SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS v FROM range(256) r(i))"
+
+
+def crc_of(text: str, table: str) -> str:
+    signs = f"list_transform(range(strlen({text})), lambda k: ('0x' || substr(hex(encode({text})), 2 * k + 1, 2))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295, {signs}), lambda c, x: xor({table}[(xor(c, x) & 255) + 1], c >> 8)), 4294967295)"
+
+
 def lower_ascii(c):
     return F.translate(c, UPPER, LOWER)
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ranks import kth, numbered
-from .common import LOWER, UPPER, few_rows, kept_by_worker, stored
+from .common import CRC_TABLE, LOWER, UPPER, crc_of, few_rows, kept_by_worker, stored
 
 #: Hash buckets of features, the longest run of words, and the share (in percent) of documents that is drawn.
 BUCKETS, MOST, SHARE = 10_000, 1, 10
@@ -214,12 +214,10 @@ def op13_word_trie_resampling(spark, sf_dir: str) -> DataFrame:
 
 def oracle() -> str:
     words = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
-    table = "SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS v FROM range(256) r(i))"
-    signs = "list_transform(range(len(hex(encode(w))) // 2), lambda k: ('0x' || substr(hex(encode(w)), 2 * k + 1, 2))::BIGINT)"
     return (
         f"WITH d AS (SELECT doc_id, unnest({words}) AS w FROM documents), b AS (SELECT unnest({words}) AS w FROM benchmark), dc AS (SELECT doc_id, w, count(*) AS n FROM d GROUP BY ALL), "
         "c AS (SELECT w, sum(s)::BIGINT AS s, sum(t)::BIGINT AS t FROM (SELECT w, n AS s, 0 AS t FROM dc UNION ALL SELECT w, 0, 1 FROM b) GROUP BY w), "
-        f"k AS ({table}), h AS (SELECT w, s, q.t, xor(list_reduce(list_prepend(4294967295, bs), lambda c, x: xor(k.t[(xor(c, x) & 255) + 1], c >> 8)), 4294967295) % {BUCKETS} AS bucket FROM (SELECT *, {signs} AS bs FROM c) q, k), "
+        f"k AS ({CRC_TABLE}), h AS (SELECT w, s, c.t, {crc_of('w', 'k.t')} % {BUCKETS} AS bucket FROM c, k), "
         f"g AS (SELECT bucket, floor(1000 * ln((sum(t)::DOUBLE + 1) * (any_value(a.sa)::DOUBLE + {BUCKETS}) / ((sum(s)::DOUBLE + 1) * (any_value(a.ta)::DOUBLE + {BUCKETS}))))::BIGINT AS gain FROM h, (SELECT sum(s) AS sa, sum(t) AS ta FROM c) a GROUP BY bucket), "
         "w AS (SELECT doc_id, sum(n)::BIGINT AS n, floor(sum(n * gain)::DOUBLE / sum(n)::DOUBLE)::BIGINT AS weight FROM dc JOIN h USING (w) JOIN g USING (bucket) GROUP BY doc_id), "
         f"x AS (SELECT d.doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('{SEED}:' || d.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM documents d LEFT JOIN w USING (doc_id)), "
