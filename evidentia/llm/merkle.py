@@ -131,7 +131,7 @@ def proofs(documents: DataFrame, text: Column | None = None) -> DataFrame:
 
     n = sources.count()
     subroots = stored(roots, "subroots")
-    tops = subroots.select(F.lit(TOP).cast("bigint").alias("tree"), F.lit(n).cast("bigint").alias("n"), F.col("tree").alias("idx"), "digest")
+    tops = stored(subroots.select(F.lit(TOP).cast("bigint").alias("tree"), F.lit(n).cast("bigint").alias("n"), F.col("tree").alias("idx"), "digest"), "tops")
     top_runs, top, top_most = levels(tops)
     one = top.first()
     none = F.array().cast("array<struct<place:int,digests:array<binary>>>")
