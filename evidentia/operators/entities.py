@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import normal_key
+from .automaton import names_in
 from .overlay import keep_first
 
 
@@ -36,14 +37,9 @@ def class_expanded(terms: DataFrame, term: str, classes: DataFrame) -> DataFrame
     return terms.join(known, F.col(term) == F.col("__class"), "left").withColumn("member", F.coalesce("member", F.col(term))).drop("__class")
 
 
-def mentioned(texts: DataFrame, key: str, text: str, names: list[str], least: int = 2) -> DataFrame:
-    """(key, name): the names of a short list that a text holds, both without case, spaces and middle dots.
-
-    A list of a few thousand names at most goes into the plan; each text is normalised once and scanned within its row.
-    """
-    names = sorted({n for n in names if len(n) >= least})
-    held = F.filter(F.array(*[F.lit(n) for n in names]).cast("array<string>"), lambda n: F.contains(F.col("__t"), n))
-    return texts.select(key, normal_key(text, r"(?!)").alias("__t")).select(key, F.explode(held).alias("name"))
+def mentioned(texts: DataFrame, key: str, text: str, dictionary: DataFrame, name: str, least: int = 2) -> DataFrame:
+    """(key, name): the names of a dictionary table that a text holds, both without case, spaces and middle dots."""
+    return names_in(texts, key, text, dictionary, name, least, "names").drop("start")
 
 
 def pairs_of(items: DataFrame, group: str, item: str, pairs: DataFrame) -> DataFrame:

@@ -79,9 +79,8 @@ def placed(rows: DataFrame, group: list[str], order: list[Column], name: str = "
     group's first."""
     known = numbered(rows, [F.col(g) for g in group] + order, "__position")
     known = stored(known, "placed")
-    named = [F.struct(*group).alias("__group")]
-    first = known.groupBy(*named).agg(F.min("__position").alias("__first"))
-    joined = known.withColumn("__own", F.struct(*group)).join(first, F.col("__own").eqNullSafe(F.col("__group")))
+    first = known.groupBy(F.struct(*group).alias("__group")).agg(F.min("__position").alias("__first"))
+    joined = known.withColumn("__own", F.struct(*group)).join(first, F.col("__own") == F.col("__group"))  # nulls in structs are equal
     return joined.select(*rows.columns, (F.col("__position") - F.col("__first")).alias(name))
 
 
@@ -89,15 +88,14 @@ def running_sum(rows: DataFrame, group: list[str], order: list[Column], value: C
     """rows with the sum of a whole-number value over the rows of their group up to their own, by a segmented scan.
 
     Each block of a group is folded by itself; a second, smaller scan over one row for each block gives what came
-    before. No task sees more than a block of rows. Nulls count as nothing.
+    before. No task sees more than a block of rows (of two or more). Nulls count as nothing.
     """
-    inner, own = [f"__g{i}" for i in range(len(group))], F.coalesce(value.cast("bigint"), F.lit(0).cast("bigint"))
+    own = F.coalesce(value.cast("bigint"), F.lit(0).cast("bigint"))
     known = stored(blocks(rows.withColumn("__value", own), group, order, block), "scan")
-    sums = known.groupBy(*[F.col(g).alias(i) for g, i in zip(group, inner)], F.col("__block").alias("__b")).agg(F.sum("__value").alias("__sum"))
-    before = earlier(sums, inner, "__b", "__sum", block)
-    same = [F.col(g).eqNullSafe(F.col(i)) for g, i in zip(group, inner)]
-    joined = known.join(before, [*same, F.col("__block") == F.col("__b")])
-    upto = Window.partitionBy(*group, "__block").orderBy("__place").rowsBetween(Window.unboundedPreceding, 0)
+    sums = known.groupBy(F.struct(*group).alias("group"), F.col("__block").alias("block")).agg(F.sum("__value").alias("value"))
+    before = earlier(sums, block).select(F.col("group").alias("__group"), F.col("block").alias("__of"), F.col("before").alias("__before"))
+    joined = known.withColumn("__own", F.struct(*group)).join(before, (F.col("__own") == F.col("__group")) & (F.col("__block") == F.col("__of")))
+    upto = Window.partitionBy("__own", "__block").orderBy("__place").rowsBetween(Window.unboundedPreceding, 0)
     return joined.select(*rows.columns, (F.col("__before") + F.sum("__value").over(upto)).alias(name))
 
 
@@ -106,13 +104,12 @@ def blocks(rows: DataFrame, group: list[str], order: list[Column], block: int) -
     return placed(rows, group, order, "__place").withColumn("__block", F.expr(f"__place div {block}L"))
 
 
-def earlier(sums: DataFrame, group: list[str], order: str, value: str, block: int) -> DataFrame:
-    """sums with __before: the sum over the group's rows before a row's own. Scanned in blocks again while a group has more
-    than one block of them."""
+def earlier(sums: DataFrame, block: int) -> DataFrame:
+    """sums(group, block, value) with before: the sum over the group's blocks before a row's own. Scanned in blocks again
+    while a group has more than one of them."""
     sums = stored(sums, "sums")
-    most = sums.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    most = sums.groupBy("group").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     if most > block:
-        done = running_sum(sums, group, [F.col(order)], F.col(value), "__upto", block)
-        return done.withColumn("__before", F.col("__upto") - F.col(value)).drop("__upto", value)
-    upto = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return sums.withColumn("__before", F.coalesce(F.sum(value).over(upto), F.lit(0).cast("bigint"))).drop(value)
+        return running_sum(sums, ["group"], [F.col("block")], F.col("value"), "upto", block).select("group", "block", (F.col("upto") - F.col("value")).alias("before"))
+    upto = Window.partitionBy("group").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    return sums.select("group", "block", F.coalesce(F.sum("value").over(upto), F.lit(0).cast("bigint")).alias("before"))

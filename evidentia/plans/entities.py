@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import normal_key
 from ..operators import entities as E
+from ..operators.automaton import names_in
 from ..operators.overlay import overlay
 from .common import query, quoted, table
 
@@ -43,13 +45,44 @@ def class_expand(spark, d):
     return E.class_expanded(table(spark, d, "part").select("p_partkey", "p_type"), "p_type", spark.createDataFrame(CLASSES, "p_type string, member string")).select("p_partkey", "member")
 
 
-NAMES = ["thereth", "tionand", "eauxle", "undder", "lacasa", "erthe", "ouen", "isand"]
 BARE = "translate(lower(trim({})), ' ·', '')"
+WORDS = "[A-Za-z]{6,}"
+#: The dictionary: what parts are called, and the longer words of the benchmark's items.
+NAMES = f"(SELECT DISTINCT {BARE.format('n')} AS name FROM (SELECT p_name AS n FROM part UNION ALL SELECT unnest(regexp_extract_all(text, '{WORDS}')) FROM benchmark))"
 
 
-@query("dict_contains_join", f"SELECT doc_id, name FROM documents JOIN {values([(n,) for n in NAMES], 'name')} ON contains({BARE.format('text')}, name)")
+def dictionary(spark, d):
+    words = table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(WORDS), F.lit(0))).alias("name"))
+    return table(spark, d, "part").select(F.col("p_name").alias("name")).unionByName(words)
+
+
+@query("dict_contains_join", f"SELECT doc_id, name, instr({BARE.format('text')}, name) - 1 AS start FROM documents JOIN {NAMES} ON contains({BARE.format('text')}, name)")
 def dict_contains_join(spark, d):
-    return E.mentioned(table(spark, d, "documents"), "doc_id", "text", NAMES)
+    """The names of the dictionary that a text holds, each with its first place."""
+    return names_in(table(spark, d, "documents"), "doc_id", "text", dictionary(spark, d), "name", keep="names")
+
+
+@query(
+    "dict_all_hits",
+    f"WITH n AS MATERIALIZED {NAMES}, z AS (SELECT DISTINCT length(name) AS l FROM n), d AS (SELECT doc_id, {BARE.format('text')} AS t FROM documents), p AS (SELECT doc_id, t, unnest(range(length(t))) AS start FROM d) "
+    "SELECT doc_id, name, count(*) AS n_hits, min(start) AS first, max(start) AS last, sum(start)::BIGINT AS places FROM (SELECT doc_id, start, substr(t, start + 1, l) AS name FROM p, z WHERE start + l <= length(t)) JOIN n USING (name) GROUP BY doc_id, name",
+)
+def dict_all_hits(spark, d):
+    """How often and where each name stands in a text, inside longer names and over others too."""
+    found = names_in(table(spark, d, "documents"), "doc_id", "text", dictionary(spark, d), "name")
+    return found.groupBy("doc_id", "name").agg(F.count(F.lit(1)).alias("n_hits"), F.min("start").alias("first"), F.max("start").alias("last"), F.sum("start").alias("places"))
+
+
+@query(
+    "dict_longest_hits",
+    f"WITH RECURSIVE n AS MATERIALIZED {NAMES}, z AS (SELECT DISTINCT length(name) AS l FROM n), d AS (SELECT item_id, {BARE.format('text')} AS t FROM benchmark), p AS (SELECT item_id, t, unnest(range(length(t))) AS start FROM d), "
+    "h AS MATERIALIZED (SELECT item_id, start, max(l) AS l FROM (SELECT item_id, start, substr(t, start + 1, l) AS name, l FROM p, z WHERE start + l <= length(t)) JOIN n USING (name) GROUP BY item_id, start), "
+    "r(item_id, start, until) AS (SELECT item_id, min(start), arg_min(start + l, start) FROM h GROUP BY item_id UNION ALL SELECT r.item_id, min(h.start), arg_min(h.start + h.l, h.start) FROM r JOIN h ON h.item_id = r.item_id AND h.start >= r.until GROUP BY r.item_id) "
+    "SELECT item_id, start, substr(t, start + 1, until - start) AS name FROM r JOIN d USING (item_id)",
+)
+def dict_longest_hits(spark, d):
+    """The names that a text is made of, from the left on the longest at each place, without overlap."""
+    return names_in(table(spark, d, "benchmark"), "item_id", "text", dictionary(spark, d), "name", keep="longest")
 
 
 PAIRS = [(a, b, "mix" if (a + b) % 2 else "clash", f"{a} with {b}") for a in range(0, 200, 7) for b in range(1, 200, 11) if a != b]
@@ -118,30 +151,27 @@ def hit_dedupe(spark, d):
     return E.hits_once(hits, "user_id", ["event_type"], "severity", "event_id").select("user_id", "event_type", "severity", "event_id")
 
 
-KNOWN = ["the", "and", "les", "der", "los"]
-
-
 @query(
     "mention_verify",
-    f"SELECT doc_id, k AS name, min(pos) AS pos FROM (SELECT doc_id, 0 AS pos, regexp_extract(text, '[A-Za-z]+') AS name, regexp_extract(text, '[A-Za-z]+') AS span, text FROM documents UNION ALL SELECT doc_id, 1, 'the', 't h e', text FROM documents UNION ALL SELECT doc_id, 2, 'zzz', 'the', text FROM documents) "
-    f"CROSS JOIN LATERAL (SELECT {BARE.format('name')} AS k) WHERE span <> '' AND (contains(text, span) OR contains({BARE.format('text')}, {BARE.format('span')})) AND k IN ({', '.join(map(quoted, KNOWN))}) GROUP BY doc_id, k",
+    f"SELECT doc_id, k AS name, min(pos) AS pos FROM (SELECT doc_id, 0 AS pos, regexp_extract(text, '{WORDS}') AS name, regexp_extract(text, '{WORDS}') AS span, text FROM documents UNION ALL SELECT doc_id, 1, upper(regexp_extract(text, '{WORDS}')), 't h e', text FROM documents UNION ALL SELECT doc_id, 2, 'zzz', 'the', text FROM documents) "
+    f"CROSS JOIN LATERAL (SELECT {BARE.format('name')} AS k) WHERE span <> '' AND (contains(text, span) OR contains({BARE.format('text')}, {BARE.format('span')})) AND k IN {NAMES} GROUP BY doc_id, k",
 )
 def mention_verify(spark, d):
     """Mentions that a rule and a model propose: kept if their span stands in the text and a dictionary has the name."""
     docs = table(spark, d, "documents").select("doc_id", "text")
-    word = F.regexp_extract("text", "[A-Za-z]+", 0)
-    proposed = F.array(*[F.struct(F.lit(i).alias("pos"), n.alias("name"), s.alias("span")) for i, (n, s) in enumerate([(word, word), (F.lit("the"), F.lit("t h e")), (F.lit("zzz"), F.lit("the"))])])
+    word = F.regexp_extract("text", WORDS, 0)
+    proposed = F.array(*[F.struct(F.lit(i).alias("pos"), n.alias("name"), s.alias("span")) for i, (n, s) in enumerate([(word, word), (F.upper(word), F.lit("t h e")), (F.lit("zzz"), F.lit("the"))])])
     mentions = docs.select("doc_id", F.inline(proposed))
-    known = spark.createDataFrame([(k,) for k in KNOWN], "k string")
+    known = dictionary(spark, d).select(normal_key("name", r"(?!)").alias("k"))
     return E.verified(mentions, docs, "doc_id", known).select("doc_id", F.col("k").alias("name"), "pos")
 
 
-@query("output_mentions", f"SELECT doc_id, string_agg(name, ',' ORDER BY name) AS names FROM (SELECT doc_id, name FROM documents JOIN {values([(n,) for n in NAMES], 'name')} ON contains({BARE.format('text')}, name) UNION SELECT doc_id, lower(v.member) FROM documents JOIN {values(CLASSES, 'p_type, member')} ON contains(text, v.member)) GROUP BY doc_id")
+@query("output_mentions", f"SELECT doc_id, string_agg(name, ',' ORDER BY name) AS names FROM (SELECT doc_id, name FROM documents JOIN {NAMES} ON contains({BARE.format('text')}, name) UNION SELECT doc_id, lower(v.member) FROM documents JOIN {values(CLASSES, 'p_type, member')} ON contains(text, v.member)) GROUP BY doc_id")
 def output_mentions(spark, d):
     """The sorted names and class members that a text speaks of."""
     docs = table(spark, d, "documents")
     held = F.filter(F.array(*[F.lit(m) for _, m in CLASSES]), lambda m: F.contains(F.col("text"), m))
-    own = E.mentioned(docs, "doc_id", "text", NAMES).unionByName(docs.select("doc_id", F.explode(held).alias("name")))
+    own = E.mentioned(docs, "doc_id", "text", dictionary(spark, d), "name").unionByName(docs.select("doc_id", F.explode(held).alias("name")))
     return own.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("name")), ",").alias("names"))
 
 

@@ -12,7 +12,7 @@ from compare import DATA
 from pyspark.sql import functions as F
 
 from evidentia.functions import text as X
-from evidentia.operators import entities, evaluation, evidence, planner, quality, rules, selection
+from evidentia.operators import automaton, entities, evaluation, evidence, planner, quality, ranks, rules, selection
 from evidentia.operators.digest import digested, refined
 from evidentia.operators.overlay import first_filled, keep_first, overlay
 from evidentia.plans import registry
@@ -292,3 +292,77 @@ def test_no_python_in_built_in_queries(spark):
         if name not in python:
             plan = f(spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
             assert not re.search("Python|Arrow|Pandas|Cartesian", plan), name
+
+
+def places(names, texts):
+    out = set()
+    for key, text in texts:
+        bare = (text or "").strip(" ").lower().replace(" ", "").replace("·", "")
+        for n in names:
+            at = bare.find(n)
+            while at >= 0:
+                out.add((key, n, at))
+                at = bare.find(n, at + 1)
+    return out
+
+
+def longest(found):
+    """The leftmost longest of all places, without overlap."""
+    out, until = set(), {}
+    for key, n, at in sorted(found, key=lambda x: (x[0], x[2], -len(x[1]))):
+        if at >= until.get(key, 0):
+            out.add((key, n, at))
+            until[key] = at + len(n)
+    return out
+
+
+@pytest.mark.parametrize("most,dense,wide", [(1 << 21, 1 << 22, 4096), (40, 12, 3), (9, 1, 1)])
+def test_names_of_a_dictionary_table(spark, monkeypatch, most, dense, wide):
+    """All places, overlapping ones too, whatever the dense rows, the chunks and the number of automata."""
+    for name, value in (("MOST_CHARACTERS", most), ("DENSE", dense), ("WIDE", wide), ("AT_ONCE", 50)):
+        monkeypatch.setattr(automaton, name, value)
+    rng = random.Random(most)
+    spelled = ["".join(rng.choices("abcé𝒳", k=rng.randint(1, 6))) for _ in range(25)] + ["A b c", "a·b", None, "", "x"]
+    names = {n.lower().replace(" ", "").replace("·", "") for n in spelled if n}
+    texts = [(i, "".join(rng.choices("abcé𝒳z B·", k=rng.randint(0, 80)))) for i in range(20)] + [(20, None), (21, ""), (22, "abc" * 2000)]
+    docs, dictionary = spark.createDataFrame(texts, "id bigint, text string"), spark.createDataFrame([(n,) for n in spelled], "n string")
+    wanted = {x for x in places(names, texts) if len(x[1]) >= 2}
+    every = [tuple(r) for r in automaton.names_in(docs, "id", "text", dictionary, "n").collect()]
+    assert len(every) == len(set(every)) and set(every) == wanted
+    assert {tuple(r) for r in automaton.names_in(docs, "id", "text", dictionary, "n", keep="longest").collect()} == longest(wanted)
+    first = {}
+    for key, n, at in wanted:
+        first[key, n] = min(at, first.get((key, n), at))
+    assert {((r[0], r[1]), r[2]) for r in automaton.names_in(docs, "id", "text", dictionary, "n", keep="names").collect()} == set(first.items())
+    assert automaton.names_in(docs, "id", "text", dictionary.where("n is null"), "n").count() == 0
+    assert automaton.names_in(docs.limit(0), "id", "text", dictionary, "n").count() == 0
+
+
+def test_a_hundred_thousand_names(spark):
+    """Names from a DataFrame, none of them in the plan: the same pairs as a join of all words with the names."""
+    names = spark.range(100_000).select(F.concat(F.lit("n"), F.conv(F.col("id") * 7919, 10, 26), F.lit("q")).alias("n"))
+    docs = spark.range(300).select("id", F.concat_ws(" ; ", *[F.concat(F.lit("n"), F.conv((F.col("id") * 31 + i) * 7919 % (100_000 * 7919 + 5), 10, 26), F.lit("q")) for i in range(8)]).alias("text"))
+    found = automaton.names_in(docs, "id", "text", names, "n", keep="names").select("id", "name").distinct()
+    words = docs.select("id", F.explode(F.split(F.lower("text"), " ; ")).alias("name")).join(names.select(F.lower("n").alias("name")), "name").select("id", "name").distinct()
+    assert found.exceptAll(words).where("not name like '%q%'").count() == 0 and words.exceptAll(found).count() == 0
+
+
+def test_places_in_groups_of_any_size(spark):
+    """Running sums and choices by rank, with a group of half of all rows cut into blocks."""
+    kind = F.when(F.col("id") % 2 == 0, 0).when(F.col("id") % 9 == 0, None).otherwise(F.col("id") % 5)
+    rows = spark.range(2000).select(kind.alias("g"), (F.col("id") * 7919 % 2000).alias("o"), F.when(F.col("id") % 11 > 0, F.col("id") % 13).alias("v"))
+    own = sorted(map(tuple, rows.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    wanted, sums, counts = [], defaultdict(int), defaultdict(int)
+    for g, o, v in own:
+        sums[g] += v or 0
+        wanted.append((g, o, v, sums[g], counts[g]))
+        counts[g] += 1
+    for block in (7, 1 << 16):
+        summed = ranks.running_sum(rows, ["g"], [F.col("o")], F.col("v"), block=block)
+        assert sorted(map(tuple, summed.collect()), key=repr) == sorted((w[:4] for w in wanted), key=repr)
+    assert sorted(map(tuple, ranks.placed(rows, ["g"], [F.col("o")]).collect()), key=repr) == sorted(((*w[:3], w[4]) for w in wanted), key=repr)
+    for k in (0, 1, 100, 1999, 2000, 5000):
+        got = ranks.first_by(rows, F.coalesce("v", F.lit(-(1 << 63) + 1)), [F.col("o")], k, "chosen").where("chosen").collect()
+        best = sorted(own, key=lambda r: (-(1 << 63) + 1 if r[2] is None else r[2], r[1]))[:k]
+        assert sorted(r["o"] for r in got) == sorted(r[1] for r in best)
+    assert ranks.numbered(rows.limit(0), [F.col("o")]).count() == 0 and ranks.running_sum(rows.limit(0), ["g"], [F.col("o")], F.col("v")).count() == 0
