@@ -1,6 +1,6 @@
 """Scoring runs and examples: rubric points, means by tag, order statistics, rule checks and the most missed criteria.
 
-Order statistics count equal values first: what a window sorts is a group's different values, not its rows.
+Order statistics count equal values first, and no task sorts more than a block of a group's different values.
 """
 
 from __future__ import annotations
@@ -9,13 +9,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.shared import stored
+from .ranks import BLOCK, running_sum
 
-def counted(rows: DataFrame, group: list[str], value: str) -> DataFrame:
-    """(group, value, n, upto, total): each different value, how many rows have it, and how many have it or less."""
-    n = rows.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("n"))
-    own = Window.partitionBy(*group)
-    upto = own.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    return n.withColumn("upto", F.sum("n").over(upto)).withColumn("total", F.sum("n").over(own))
+
+def counted(rows: DataFrame, group: list[str], value: str, block: int = BLOCK) -> DataFrame:
+    """(group, value, n, upto, total): each different value, how many rows have it, and how many have it or less. Where a
+    group has many different values, they are summed up in blocks."""
+    n = stored(rows.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("n")), "values")
+    total = n.groupBy(F.struct(*group).alias("__group")).agg(F.sum("n").alias("total"))
+    upto = running_sum(n, group, [F.col(value)], F.col("n"), "upto", block)
+    return upto.withColumn("__own", F.struct(*group)).join(total, F.col("__own") == F.col("__group")).drop("__own", "__group")
 
 
 def at_place(value: str, place: Column) -> Column:

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
+from ..sources.shared import stored
 from .overlay import keep_first
+from .ranks import BLOCK, placed, running_sum
 
 
 def normal_arguments(calls: DataFrame, spec: DataFrame, pools: DataFrame, language: Column, words_up: bool = True) -> DataFrame:
@@ -71,15 +73,21 @@ def first_calls(calls: DataFrame, keys: list[str], pos: str) -> DataFrame:
     return keep_first(calls, keys, [pos])
 
 
-def barren(calls: DataFrame, request: str, tool: str, pos: str, fruitful: str, most: int = 2) -> DataFrame:
+def barren(calls: DataFrame, request: str, tool: str, pos: str, fruitful: str, most: int = 2, block: int = BLOCK) -> DataFrame:
     """calls with `run`, a tool's calls without result since its last fruitful one, and `closed`: whether the tool was
-    closed before this call, since a run had reached `most`."""
-    own = Window.partitionBy(request, tool).orderBy(pos)
-    upto = own.rowsBetween(Window.unboundedPreceding, 0)
-    before = own.rowsBetween(Window.unboundedPreceding, -1)
-    rows = calls.withColumn("__island", F.sum(F.col(fruitful).cast("int")).over(upto))
-    rows = rows.withColumn("run", F.sum((~F.col(fruitful)).cast("int")).over(Window.partitionBy(request, tool, "__island").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.withColumn("closed", F.coalesce(F.max(F.col("run") >= most).over(before), F.lit(False))).drop("__island")
+    closed before this call, since a run had reached `most`. A log may put any share of its calls under one tool: what
+    is known of the calls before comes from places and sums that are scanned in blocks."""
+    group = [request, tool]
+    known = placed(calls.withColumn("__good", F.col(fruitful).cast("int")), group, [F.col(pos)], "__nth", block)
+    known = stored(running_sum(known, group, [F.col("__nth")], F.col("__good"), "__island", block), "islands")
+    # A fruitful call begins an island; before the first one there is an island without such a call.
+    begins = known.groupBy(F.struct(*group, "__island").alias("__of")).agg(F.min("__nth").alias("__begin"))
+    run = F.col("__nth") - F.col("__begin") + (F.col("__island") == 0).cast("bigint")
+    rows = known.withColumn("__own", F.struct(*group, "__island")).join(begins, F.col("__own") == F.col("__of")).withColumn("run", run)
+    rows = stored(rows.drop("__own", "__of", "__begin"), "runs")
+    ends = rows.where(F.col("run") >= most).groupBy(F.struct(*group).alias("__group")).agg(F.min("__nth").alias("__end"))
+    joined = rows.withColumn("__own", F.struct(*group)).join(ends, F.col("__own") == F.col("__group"), "left")
+    return joined.select(*calls.columns, "run", F.coalesce(F.col("__nth") > F.col("__end"), F.lit(False)).alias("closed"))
 
 
 def hop_budget(budget: Column, least: Column, urgent: Column) -> Column:

@@ -74,24 +74,34 @@ def first_by(rows: DataFrame, value: Column, ties: list[Column], k: int, name: s
     return clear.drop("__value").unionByName(tied.drop("__value", "__place"))
 
 
-def placed(rows: DataFrame, group: list[str], order: list[Column], name: str = "place") -> DataFrame:
-    """rows with their place (from 0) within their group, and no group in one task: places in the whole order less the
-    group's first."""
-    known = numbered(rows, [F.col(g) for g in group] + order, "__position")
-    known = stored(known, "placed")
+def largest(rows: DataFrame, group: list[str]) -> int:
+    """How many rows the largest group has."""
+    return rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+
+
+def placed(rows: DataFrame, group: list[str], order: list[Column], name: str = "place", block: int = BLOCK) -> DataFrame:
+    """rows with their place (from 0) within their group. Groups of up to `block` rows are sorted by a window; where there is
+    a larger one, places are those in the whole order less the group's first, and no group is in one task."""
+    if largest(rows, group) <= block:
+        return rows.withColumn(name, (F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1).cast("bigint"))
+    known = stored(numbered(rows, [F.col(g) for g in group] + order, "__position"), "placed")
     first = known.groupBy(F.struct(*group).alias("__group")).agg(F.min("__position").alias("__first"))
     joined = known.withColumn("__own", F.struct(*group)).join(first, F.col("__own") == F.col("__group"))  # nulls in structs are equal
     return joined.select(*rows.columns, (F.col("__position") - F.col("__first")).alias(name))
 
 
 def running_sum(rows: DataFrame, group: list[str], order: list[Column], value: Column, name: str = "upto", block: int = BLOCK) -> DataFrame:
-    """rows with the sum of a whole-number value over the rows of their group up to their own, by a segmented scan.
+    """rows with the sum of a whole-number value over the rows of their group up to their own.
 
-    Each block of a group is folded by itself; a second, smaller scan over one row for each block gives what came
-    before. No task sees more than a block of rows (of two or more). Nulls count as nothing.
+    Groups of up to `block` rows (two or more) are folded by a window. Where there is a larger one, this is a segmented
+    scan: each block of a group is folded by itself, and a second, smaller scan over one row for each block gives what
+    came before, so no task sees more than a block of rows. Nulls count as nothing.
     """
     own = F.coalesce(value.cast("bigint"), F.lit(0).cast("bigint"))
-    known = stored(blocks(rows.withColumn("__value", own), group, order, block), "scan")
+    if largest(rows, group) <= block:
+        return rows.withColumn(name, F.sum(own).over(Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    places = placed(rows.withColumn("__value", own), group, order, "__place", block)
+    known = stored(places.withColumn("__block", F.expr(f"__place div {block}L")), "scan")
     sums = known.groupBy(F.struct(*group).alias("group"), F.col("__block").alias("block")).agg(F.sum("__value").alias("value"))
     before = earlier(sums, block).select(F.col("group").alias("__group"), F.col("block").alias("__of"), F.col("before").alias("__before"))
     joined = known.withColumn("__own", F.struct(*group)).join(before, (F.col("__own") == F.col("__group")) & (F.col("__block") == F.col("__of")))
@@ -99,17 +109,11 @@ def running_sum(rows: DataFrame, group: list[str], order: list[Column], value: C
     return joined.select(*rows.columns, (F.col("__before") + F.sum("__value").over(upto)).alias(name))
 
 
-def blocks(rows: DataFrame, group: list[str], order: list[Column], block: int) -> DataFrame:
-    """rows with their place in their group and the number of the block that the place falls into."""
-    return placed(rows, group, order, "__place").withColumn("__block", F.expr(f"__place div {block}L"))
-
-
 def earlier(sums: DataFrame, block: int) -> DataFrame:
     """sums(group, block, value) with before: the sum over the group's blocks before a row's own. Scanned in blocks again
     while a group has more than one of them."""
     sums = stored(sums, "sums")
-    most = sums.groupBy("group").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    if most > block:
+    if largest(sums, ["group"]) > block:
         return running_sum(sums, ["group"], [F.col("block")], F.col("value"), "upto", block).select("group", "block", (F.col("upto") - F.col("value")).alias("before"))
     upto = Window.partitionBy("group").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     return sums.select("group", "block", F.coalesce(F.sum("value").over(upto), F.lit(0).cast("bigint")).alias("before"))

@@ -6,11 +6,14 @@ shuffle of its own, and items are spread over all tasks.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
+from .ranks import first_by, running_sum
 
 
 def passage_scores(items: DataFrame, key: str, text: str, query: str, separator: str = r"\n\s*\n", least: int = 30) -> DataFrame:
@@ -120,8 +123,7 @@ def within_budget(docs: DataFrame, group: str, order: list, cost: Column, budget
     by = [f"o{i}" for i in range(len(order))]
     total = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
     if stop:
-        upto = Window.partitionBy(group).orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
-        few = rows.withColumn("upto", F.sum("cost").over(upto)).where(F.col("upto") <= budget)
+        few = running_sum(rows, [group], [F.col(o) for o in by], F.col("cost"), "upto").where(F.col("upto") <= budget)
         kept = few.groupBy(group).agg(F.count(F.lit(1)).alias("n_kept"), F.sum("cost").alias("used"))
     else:
         place = F.row_number().over(Window.partitionBy(group, "cost").orderBy(*by))
@@ -134,15 +136,15 @@ def within_budget(docs: DataFrame, group: str, order: list, cost: Column, budget
 
 
 def hash_split(docs: DataFrame, key: str, share: float) -> DataFrame:
-    """docs with held: whether a document's hash falls into the share that is held out. It needs no order and no shuffle."""
-    place = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    return docs.withColumn("held", place < share)
+    """docs with held: whether a document is among the floor(n * share) that are held out, those of the least hash of their
+    key (ties to the smaller key). The size is exact and nothing is sorted: the hash at the cut is found by counting."""
+    order = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 15), 16, 10).cast("bigint")
+    return first_by(docs, F.coalesce(order, F.lit(-1).cast("bigint")), [F.col(key)], math.floor(docs.count() * share), "held")
 
 
 def evict_oldest(messages: DataFrame, group: str, order: str, size: str, budget: int) -> DataFrame:
     """messages with evicted: the oldest go until what is left of a group is within the budget."""
-    newest = Window.partitionBy(group).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
-    return messages.withColumn("evicted", F.sum(size).over(newest) > budget)
+    return running_sum(messages, [group], [F.desc(order)], F.col(size), "__upto").withColumn("evicted", F.col("__upto") > budget).drop("__upto")
 
 
 def best_items(items: DataFrame, group: str, score: str, pos: str, most: int = 6) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conversation, entities, evaluation, evidence, planner, quality, rules, selection, text  # noqa: F401  the modules register their queries
+from . import conversation, entities, evaluation, evidence, planner, quality, replies, rules, selection, text  # noqa: F401  the modules register their queries
 from .common import ORACLES, QUERIES
 
 

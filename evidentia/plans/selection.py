@@ -75,8 +75,9 @@ def render_budget(spark, d):
     return S.within_budget(docs, "source", [F.col("doc_id")], F.col("size"), 12_000, stop=True)
 
 
-@query("holdout_split", "SELECT doc_id, ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT / 4294967296::DOUBLE < 0.2 AS held FROM documents")
+@query("holdout_split", "SELECT doc_id, row_number() OVER (ORDER BY ('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT, doc_id) <= floor(count(*) OVER () * 0.2::DOUBLE) AS held FROM documents")
 def holdout_split(spark, d):
+    """A fifth of the documents, to the document."""
     return S.hash_split(table(spark, d, "documents").select("doc_id"), "doc_id", 0.2)
 
 

@@ -366,3 +366,49 @@ def test_places_in_groups_of_any_size(spark):
         best = sorted(own, key=lambda r: (-(1 << 63) + 1 if r[2] is None else r[2], r[1]))[:k]
         assert sorted(r["o"] for r in got) == sorted(r[1] for r in best)
     assert ranks.numbered(rows.limit(0), [F.col("o")]).count() == 0 and ranks.running_sum(rows.limit(0), ["g"], [F.col("o")], F.col("v")).count() == 0
+
+
+def test_folds_of_a_hot_group(spark, monkeypatch):
+    """Half of all rows under one key, and blocks of seven: closed tools, budgets, evictions, holdouts and order statistics
+    are those of plain folds."""
+    for module in (ranks, planner, evaluation):
+        monkeypatch.setattr(module, "BLOCK", 7)
+    for f in (ranks.placed, ranks.running_sum, planner.barren, evaluation.counted):
+        monkeypatch.setattr(f, "__defaults__", tuple(7 if x == 1 << 16 else x for x in f.__defaults__))
+    rng = random.Random(5)
+    rows = [(0 if i % 2 else i % 6, i, rng.randint(1, 9), rng.random() < 0.4, round(rng.random(), 4)) for i in range(400)]
+    df = spark.createDataFrame(rows, "g bigint, pos bigint, size bigint, good boolean, score double").withColumn("tool", F.lit("t"))
+    groups = defaultdict(list)
+    for r in rows:
+        groups[r[0]].append(r)
+
+    runs, closed, wanted = defaultdict(int), defaultdict(bool), {}
+    for g, own in groups.items():
+        for _, pos, _, good, _ in own:
+            runs[g] = 0 if good else runs[g] + 1
+            wanted[pos] = runs[g], closed[g]
+            closed[g] |= runs[g] >= 2
+    assert {r["pos"]: (r["run"], r["closed"]) for r in planner.barren(df, "g", "tool", "pos", "good").collect()} == wanted
+
+    kept = {r["g"]: (r["n_kept"], r["n_dropped"], r["used"]) for r in selection.within_budget(df, "g", [F.col("pos")], F.col("size"), 40, stop=True).collect()}
+    gone = {r["pos"]: r["evicted"] for r in selection.evict_oldest(df, "g", "pos", "size", 40).collect()}
+    for g, own in groups.items():
+        used, n = 0, 0
+        for r in own:
+            if used + r[2] > 40:
+                break
+            used, n = used + r[2], n + 1
+        assert kept[g] == (n, len(own) - n, used)
+        left = 0
+        for r in reversed(own):
+            left += r[2]
+            assert gone[r[1]] == (left > 40)
+
+    held = selection.hash_split(df, "pos", 0.33).where("held").collect()
+    first = sorted(rows, key=lambda r: (int(hashlib.md5(str(r[1]).encode()).hexdigest()[:15], 16), r[1]))[: math.floor(400 * 0.33)]
+    assert sorted(r["pos"] for r in held) == sorted(r[1] for r in first)
+
+    medians = {r["g"]: r["median"] for r in evaluation.medians(df, ["g"], "score").collect()}
+    for g, own in groups.items():
+        xs = sorted(r[4] for r in own)
+        assert medians[g] == pytest.approx((xs[(len(xs) - 1) // 2] + xs[len(xs) // 2]) / 2)
