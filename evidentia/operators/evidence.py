@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
+
 # Names of fields in payloads.
 BODY_KEYS = ("content", "text", "body", "row", "snippet")
 PLUMBING = {
@@ -44,6 +48,11 @@ def objects(value, strings: bool = False) -> Iterator[dict]:
             open_.pop()
 
 
+def said(v) -> str:
+    """A value as text: nested ones as JSON."""
+    return json.dumps(v, ensure_ascii=False) if isinstance(v, (dict, list)) else str(v)
+
+
 def fields_of(x: dict, most: int = 600) -> str:
     """An object's fields as lines, without those of plumbing, empty ones and nested ones of over `most` characters."""
     lines = []
@@ -63,7 +72,7 @@ def pages_of(x: dict, numbered: bool) -> str:
     parts = []
     for i, page in enumerate(x["pages"], 1):
         if isinstance(page, dict):
-            text = str(page.get("text") or "")
+            text = said(page.get("text") or "")
             parts.append(f"[p.{page.get('page', i)}] {text}" if numbered and text else text)
             charts = page.get("charts") if isinstance(page.get("charts"), list) else []
             parts += [f"[flowchart] {path}" for chart in charts if isinstance(chart, dict) for path in chart.get("paths") or []]
@@ -89,7 +98,7 @@ def cited_v2(payload: str | None, most: int = 4000) -> list[tuple[str, str]]:
     out = []
     for x in objects(parsed(payload)):
         if isinstance(x.get("cite_uid"), str) and x["cite_uid"]:
-            head = " ".join(str(x[k]) for k in ("title", "url") if x.get(k))
+            head = " ".join(said(x[k]) for k in ("title", "url") if x.get(k))
             out.append((x["cite_uid"], "\n".join(filter(None, (head, body_of(x, numbered=True))))[:most]))
     return out
 
@@ -100,23 +109,147 @@ def cited_v3(payload: str | None) -> list[tuple[str, str]]:
     return found or [(c, "") for c in dict.fromkeys(CITE.findall(payload or ""))]
 
 
-def harvested(payloads: DataFrame, key: str, payload: str, how=cited_v1, first: bool = False, blank: bool = False) -> DataFrame:
-    """(key, cite_uid, body): of each id the longest body, of equal lengths the first; or, with first, the first. Evidence
-    without a body is left out, unless `blank` asks for it."""
+def entries_of(raw: Column) -> Column:
+    """The fields of an object, or the items of an array, in their order: (key, raw, kind). raw is a string's own text or the
+    JSON of anything else, null for null; kind is the type that a variant of it has."""
+    texts, kinds = F.from_json(raw, "map<string,string>"), F.from_json(raw, "map<string,variant>")
+    items, item_kinds = F.from_json(raw, "array<string>"), F.from_json(raw, "array<variant>")
+    kind = lambda x: F.coalesce(F.schema_of_variant(x), F.lit("VOID"))
+    fields = F.arrays_zip(F.map_keys(texts).alias("key"), F.map_values(texts).alias("raw"), F.transform(F.map_values(kinds), kind).alias("kind"))
+    parts = F.arrays_zip(F.transform(items, lambda x: F.lit(None).cast("string")).alias("key"), items.alias("raw"), F.transform(item_kinds, kind).alias("kind"))
+    return F.when(F.ltrim(raw).startswith("{"), fields).otherwise(parts)
+
+
+def holds(x: Column) -> Column:
+    """Whether an entry counts as filled: not null, empty, zero or false."""
+    return x["raw"].isNotNull() & (x["raw"] != "") & ((x["kind"] == "STRING") | ~(x["raw"].isin("false", "[]", "{}") | x["raw"].rlike(r"^-?0(\.0*)?(E0)?$")))
+
+
+def spaced(raw: Column) -> Column:
+    """Compact JSON with a blank after each comma and colon that stands outside strings."""
+    parts = F.regexp_extract_all(raw, F.lit(r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[^"]++'), F.lit(0))
+    return F.array_join(F.transform(parts, lambda x: F.when(x.startswith('"'), x).otherwise(F.replace(F.replace(x, F.lit(","), F.lit(", ")), F.lit(":"), F.lit(": ")))), "")
+
+
+def named(entries: Column, key: str) -> Column:
+    return F.get(F.filter(entries, lambda x: x["key"] == key), F.lit(0))
+
+
+def shown(x: Column) -> Column:
+    """An entry's value as text."""
+    return F.when(x["kind"] == "STRING", x["raw"]).when(x["kind"] == "BOOLEAN", F.initcap(x["raw"])).when(x["kind"].rlike("^(OBJECT|ARRAY)"), spaced(x["raw"])).otherwise(x["raw"])
+
+
+def body_column(entries: Column, numbered: bool, most: int = 600) -> Column:
+    """body_of for an object's entries, as an expression."""
+
+    def page_lines(x, i):
+        own = entries_of(x["raw"])
+        text = named(own, "text")
+        said = F.when(holds(text), shown(text)).otherwise("")
+        if numbered:
+            said = F.when(said != "", F.concat(F.lit("[p."), F.coalesce(named(own, "page")["raw"], (i + 1).cast("string")), F.lit("] "), said)).otherwise("")
+        charts = F.filter(entries_of(F.when(named(own, "charts")["kind"].startswith("ARRAY"), named(own, "charts")["raw"])), lambda c: c["kind"].startswith("OBJECT"))
+        paths = F.flatten(F.transform(charts, lambda c: F.coalesce(F.from_json(named(entries_of(c["raw"]), "paths")["raw"], "array<string>"), F.array().cast("array<string>"))))
+        lines = F.concat(F.array(said), F.coalesce(F.transform(paths, lambda p: F.concat(F.lit("[flowchart] "), p)), F.array().cast("array<string>")))
+        return F.when(x["kind"].startswith("OBJECT"), F.array_join(F.filter(lines, lambda t: t != ""), "\n")).otherwise("")
+
+    pages = named(entries, "pages")
+    listed = F.transform(entries_of(F.when(pages["kind"].startswith("ARRAY"), pages["raw"])), page_lines)
+    paged = F.nullif(F.array_join(F.filter(listed, lambda t: t != ""), "\n"), F.lit(""))
+    first = [F.when(holds(named(entries, k)), F.when(named(entries, k)["kind"] == "STRING", named(entries, k)["raw"]).otherwise(spaced(named(entries, k)["raw"]))) for k in BODY_KEYS]
+    nested = lambda x: x["kind"].rlike("^(OBJECT|ARRAY)")
+    kept = F.filter(entries, lambda x: ~x["key"].isin(*PLUMBING) & x["raw"].isNotNull() & (x["raw"] != "") & ~(nested(x) & (x["raw"].isin("[]", "{}") | (F.length(spaced(x["raw"])) > most))))
+    fields = F.array_join(F.transform(kept, lambda x: F.concat(x["key"], F.lit(": "), shown(x))), "\n")
+    return F.coalesce(paged, *first, fields)
+
+
+def head_column(entries: Column) -> Column:
+    found = [F.when(holds(named(entries, k)), shown(named(entries, k))) for k in ("title", "url")]
+    return F.concat_ws(" ", *found)
+
+
+class Harvest(NamedTuple):
+    """How payloads are read: with page numbers and a head of title and url, cut; also within strings that hold JSON, with
+    the ids of a payload's text where it has no objects. `plain` is the same for one payload that is too deep for columns."""
+
+    plain: Callable[[str | None], list[tuple[str, str]]]
+    numbered: bool = False
+    most: int | None = None
+    strings: bool = False
+
+
+HOW = {"v1": Harvest(cited_v1), "v2": Harvest(cited_v2, numbered=True, most=4000), "v3": Harvest(cited_v3, strings=True)}
+
+
+def cited_objects(payloads: DataFrame, key: str, payload: str, how: Harvest, deepest: int) -> DataFrame:
+    """(key, at, cite_uid, body) of every cited object; `at` is its path of places, parents before what they hold.
+
+    One round for each level: what is left of a level are the objects and arrays that can hold a citation. A payload that
+    is no JSON, or repeats a key, holds none.
+    """
+    path = F.array().cast("array<int>")
+    own = F.when(F.ltrim(F.col(payload)).rlike(r"^[\[{]") & F.try_parse_json(payload).isNotNull(), F.col(payload))
+    left = payloads.select(F.col(key), path.alias("at"), own.alias("raw")).where("raw is not null")
+    parts = []
+    for _ in range(deepest):
+        left = stored(left, "level")
+        if left.isEmpty():
+            break
+        rows = left.withColumn("entries", entries_of(F.col("raw")))
+        cited = named(F.col("entries"), "cite_uid")
+        objects = rows.where(F.ltrim("raw").startswith("{") & (cited["kind"] == "STRING") & (cited["raw"] != ""))
+        body = body_column(F.col("entries"), how.numbered)
+        if how.numbered:
+            body = F.array_join(F.filter(F.array(head_column(F.col("entries")), body), lambda x: x != ""), "\n")
+        parts.append(objects.select(key, "at", cited["raw"].alias("cite_uid"), (body if how.most is None else F.left(body, F.lit(how.most))).alias("body")))
+        inner = rows.select(key, "at", F.posexplode("entries").alias("pos", "x")).select(key, F.concat("at", F.array("pos")).alias("at"), "x.*")
+        nested = F.col("kind").rlike("^(OBJECT|ARRAY)")
+        if how.strings:
+            nested = nested | ((F.col("kind") == "STRING") & F.ltrim("raw").rlike(r"^[\[{]") & F.try_parse_json("raw").isNotNull())
+        # A key may be spelled with an escape where the text has not been parsed yet.
+        left = inner.where(nested & (F.contains("raw", F.lit("cite_uid")) | F.contains("raw", F.lit("\\u")))).select(key, "at", "raw")
+    else:
+        left = stored(left, "level")
+        if not left.isEmpty():
+            parts.append(deeper(left, key, how))
+    empty = payloads.sparkSession.createDataFrame([], f"{key} {dict(payloads.dtypes)[key]}, at array<int>, cite_uid string, body string")
+    return reduce(DataFrame.unionByName, parts, empty)
+
+
+def deeper(left: DataFrame, key: str, how: Harvest) -> DataFrame:
+    """What is nested deeper than rounds go: read value by value."""
 
     def rows(batches):
         for batch in batches:
-            at, out = [], []
-            for i, p in enumerate(batch.column(1).to_pylist()):
-                for n, (cite, body) in enumerate(how(p)):
-                    at.append(i)
-                    out.append((n, cite, body))
-            n, cites, bodies = zip(*out) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(n, pa.int32()), pa.array(cites, pa.string()), pa.array(bodies, pa.string())], [key, "pos", "cite_uid", "body"])
-
-    found = payloads.select(key, payload).mapInArrow(rows, f"{key} {dict(payloads.dtypes)[key]}, pos int, cite_uid string, body string")
-    rank = F.struct(F.lit(0) if first else F.length("body"), -F.col("pos"))
-    best = found.where("cite_uid != ''").groupBy(key, "cite_uid").agg(F.max_by("body", rank).alias("body"))
+            places, paths, cites, bodies = [], [], [], []
+            for i, (at, raw) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                for n, (cite, body) in enumerate(how.plain(raw)):
+                    places.append(i)
+                    paths.append([*at, n])
+                    cites.append(cite)
+                    bodies.append(body)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(places, pa.int64())), pa.array(paths, pa.list_(pa.int32())), pa.array(cites, pa.string()), pa.array(bodies, pa.string())], [key, "at", "cite_uid", "body"])
+
+    return left.mapInArrow(rows, f"{key} {dict(left.dtypes)[key]}, at array<int>, cite_uid string, body string")
+
+
+def harvested(payloads: DataFrame, key: str, payload: str, how: str = "v1", first: bool = False, blank: bool = False, deepest: int = 64) -> DataFrame:
+    """(key, cite_uid, body): of each id the longest body, of equal lengths the first; or, with first, the first. Evidence
+    without a body is left out, unless `blank` asks for it.
+
+    All of it is expressions, one round for each level of the payloads; only what is nested deeper than `deepest` levels
+    is read value by value in Arrow batches.
+    """
+    found = cited_objects(payloads, key, payload, HOW[how], deepest)
+    if HOW[how].strings:
+        found = stored(found, "cited")
+        ids = F.array_distinct(F.regexp_extract_all(F.coalesce(payload, F.lit("")), F.lit(CITE.pattern), F.lit(0)))
+        bare = payloads.join(found.select(F.col(key).alias("__key")).distinct(), F.col(key) == F.col("__key"), "left_anti")
+        said = bare.select(key, F.posexplode(ids).alias("pos", "cite_uid"))
+        found = found.unionByName(said.select(key, F.array("pos").alias("at"), "cite_uid", F.lit("").alias("body")))
+    rank = F.struct("at") if first else F.struct(-F.length("body"), "at")
+    best = found.groupBy(key, "cite_uid").agg(F.min_by("body", rank).alias("body"))
     return best if blank else best.where(F.col("body").rlike(r"\S"))
 
 

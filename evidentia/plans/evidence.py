@@ -38,7 +38,7 @@ def harvest_v2(spark, d):
     """With page numbers and a head."""
     pages = F.array(*[F.struct(F.lit(i).alias("page"), F.col(c).alias("text")) for i, c in enumerate(("role", "text"), 1)])
     hit = F.struct(F.col("cite").alias("cite_uid"), F.col("role").alias("title"), F.concat(F.lit("http://x/"), "turn").alias("url"), pages.alias("pages"))
-    return harvest_of(turns(spark, d), F.to_json(F.struct(F.array(hit).alias("data"))), how=E.cited_v2)
+    return harvest_of(turns(spark, d), F.to_json(F.struct(F.array(hit).alias("data"))), how="v2")
 
 
 @query("harvest_v3", DIGESTS.format("text"))
@@ -47,7 +47,7 @@ def harvest_v3(spark, d):
     hit = F.struct(F.col("cite").alias("cite_uid"), F.col("text").alias("text"))
     later = F.struct(F.col("cite").alias("cite_uid"), F.concat("text", F.lit(" and more")).alias("text"))
     payload = F.to_json(F.struct(F.to_json(F.struct(F.array(hit, later).alias("items"))).alias("content")))
-    return harvest_of(turns(spark, d), payload, how=E.cited_v3, first=True)
+    return harvest_of(turns(spark, d), payload, how="v3", first=True)
 
 
 @query("render_fields", "SELECT p_partkey, 'p_name: ' || p_name || chr(10) || 'p_brand: ' || p_brand || chr(10) || 'p_size: ' || p_size AS fields FROM part")

@@ -181,6 +181,45 @@ def test_payloads(spark):
     assert [tuple(r) for r in evidence.harvested(rows, "k", "p").collect()] == [(1, "x", "a longer body")]
 
 
+def payload_of(rng, depth):
+    kind = rng.random()
+    if depth <= 0 or kind < 0.3:
+        return rng.choice(["", 'text, with: "quotes" \\ and\nlines', "é열", "[not", '{"a": 1}', 0, 5, -3, True, False, None, [], {}, "0", "false", " \n"])
+    if kind < 0.55:
+        return [payload_of(rng, depth - 1) for _ in range(rng.randint(0, 3))]
+    out = {k: payload_of(rng, depth - 1) for k in rng.sample(["pages", "content", "text", "title", "url", "dose", "note: x", "a.b'c", "doc_id", "snippet", "inner"], rng.randint(0, 5))}
+    if rng.random() < 0.6:
+        out["cite_uid"] = rng.choice(["cite-0a0b0c", "y", "z", "", 5, None])
+    if rng.random() < 0.3:
+        out["pages"] = [rng.choice([{"text": payload_of(rng, 0), "page": rng.choice([3, "iv"])}, {"text": "p", "charts": [{"paths": ["a > b", "c"]}, None, {"paths": None}]}, None, "x", {}]) for _ in range(rng.randint(0, 3))]
+    if rng.random() < 0.2:
+        out["s"] = json.dumps(payload_of(rng, 1))
+    return dict(sorted(out.items(), key=lambda _: rng.random()))
+
+
+@pytest.mark.parametrize("how,plain,first,deepest", [("v1", evidence.cited_v1, False, 64), ("v2", evidence.cited_v2, True, 2), ("v3", evidence.cited_v3, False, 64), ("v3", evidence.cited_v3, True, 1)])
+def test_harvest_by_rounds(spark, how, plain, first, deepest):
+    """The rounds of expressions find what a walk over the parsed payload finds, and no Python is planned for them."""
+    rng = random.Random(deepest)
+    payloads = [json.dumps(payload_of(rng, 4), ensure_ascii=rng.random() < 0.5, indent=rng.choice([None, 1])) for _ in range(150)]
+    payloads += [None, "", "{", "5", '"x"', "broken { cite-00ff00 and cite-00ff00", json.dumps({"s": "[1,"}), '{"cite_uid": "a", "cite_uid": "b"}']
+    wanted = {}
+    for i, p in enumerate(payloads[:-1]):  # a repeated key makes a payload malformed
+        for cite, body in plain(p):
+            if cite and ((i, cite) not in wanted or not first and len(body) > len(wanted[i, cite])):
+                wanted[i, cite] = body
+    found = evidence.harvested(spark.createDataFrame(list(enumerate(payloads)), "k int, p string"), "k", "p", how, first, blank=True, deepest=deepest)
+    assert {(r["k"], r["cite_uid"]): r["body"] for r in found.collect()} == wanted
+    if deepest == 64:
+        assert "MapInArrow" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_deep_payloads(spark):
+    nested = "[" * 90 + json.dumps({"cite_uid": "n", "text": "far down"}) + "]" * 90
+    rows = spark.createDataFrame([(1, nested), (2, "[" * 200_000)], "k int, p string")
+    assert [tuple(r) for r in evidence.harvested(rows, "k", "p", deepest=5).collect()] == [(1, "n", "far down")]
+
+
 def test_salvaged_json(spark):
     texts = {1: 'x {"a": "}"} y', 2: '{"a": 1} and {"b": 2}', 3: "none {", 4: '```json\n{"c": {"d": 1}}\n``` {', 5: None, 6: '{"e": "\\"}"} }'}
     got = {r["k"]: r["json"] for r in evidence.salvaged(spark.createDataFrame(list(texts.items()), "k int, t string"), "k", "t").collect()}
