@@ -49,11 +49,13 @@ def deictic(turns: DataFrame, name: str, back: int = 3) -> DataFrame:
     return now.select("conv_id").join(one.where("n = 1"), "conv_id", "left").select("conv_id", "entity")
 
 
-def session(turns: DataFrame, taking: str, medicine: str, age: str, duration: str, risks: dict[str, str]) -> DataFrame:
+def session(turns: DataFrame, taking: str, medicine: str, age: str, duration: str, risks: dict[str, str], flag: str | None = None, cuts: tuple[int, int] = (1200, 1200), latest: int = 8) -> DataFrame:
     """A conversation's facts, folded over all its turns but the last user turn.
 
     The earliest age and the earliest duration win; a risk is kept from its first turn; a named medicine is taken if its turn matches `taking`,
-    else asked about. The folds are ordered aggregates, so that one pass over the turns makes them.
+    else asked about; once a turn has the risk `flag`, the conversation stays flagged. The folds are ordered aggregates, so
+    that one pass over the turns makes them. history has the `latest` turns of user and assistant, cut to so many
+    characters each, in order.
     """
     now = last_user(turns).select("conv_id", F.col("turn").alias("now"))
     old = turns.where("role = 'user'").join(now, "conv_id").where("turn != now")
@@ -68,6 +70,12 @@ def session(turns: DataFrame, taking: str, medicine: str, age: str, duration: st
         seen(F.when(text.rlike(taking), named)).alias("taking"),
         seen(F.when(~text.rlike(taking), named)).alias("asked_about"),
         F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set(kinds)))), ",").alias("risks"),
+        (F.bool_or(text.rlike(risks[flag])) if flag else F.lit(False)).alias("flagged"),
         F.count(F.lit(1)).alias("n_turns"),
     )
-    return now.select("conv_id").join(facts, "conv_id", "left").na.fill("", ["taking", "asked_about", "risks"]).na.fill(0, ["n_turns"])
+    said = turns.where("role in ('user', 'assistant')").join(now, "conv_id").where("role != 'user' or turn != now")
+    cut = F.left(F.coalesce("text", F.lit("")), F.when(F.col("role") == "user", cuts[0]).otherwise(cuts[1]))
+    shown = last_turns(said, latest).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", cut.alias("text")))).alias("xs"))
+    shown = shown.select("conv_id", F.transform("xs", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("history"))
+    rows = now.select("conv_id").join(facts, "conv_id", "left").join(shown, "conv_id", "left").na.fill("", ["taking", "asked_about", "risks"]).na.fill(0, ["n_turns"])
+    return rows.withColumn("flagged", F.coalesce("flagged", F.lit(False))).withColumn("history", F.coalesce("history", F.array().cast("array<struct<role:string,text:string>>")))

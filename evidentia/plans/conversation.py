@@ -47,18 +47,27 @@ def deictic_resolve(spark, d):
     return C.deictic(table(spark, d, "conversations"), NAME)
 
 
-PACK = {"taking": "(?: the | de )", "medicine": "[a-z]*tion[a-z]*", "age": "[0-9]+", "duration": "[0-9]+ [a-z]+", "risks": {"a": "ous", "b": "ent", "c": "ich"}}
+PACK = {"taking": "(?: the | de )", "medicine": "[a-z]*tion[a-z]*", "age": "[0-9]+", "duration": "[0-9]+ [a-z]+", "risks": {"a": "ous", "b": "ent", "c": "ich"}, "flag": "b"}
 
 
-@query(
-    "session_replay",
+#: {user} and {assistant}: the characters to which turns are cut.
+SESSION = (
     "WITH n AS (SELECT conv_id, max(turn) AS now FROM conversations WHERE role = 'user' GROUP BY conv_id), o AS (SELECT conv_id, turn, text, nullif(regexp_extract(text, '[a-z]*tion[a-z]*'), '') AS m, nullif(regexp_extract(text, '[0-9]+'), '') AS g, nullif(regexp_extract(text, '[0-9]+ [a-z]+'), '') AS u, regexp_matches(text, '(?: the | de )') AS tk FROM conversations JOIN n USING (conv_id) WHERE role = 'user' AND turn <> now), "
     "f AS (SELECT conv_id, arg_min(g, turn) FILTER (WHERE g IS NOT NULL) AS age, arg_min(u, turn) FILTER (WHERE u IS NOT NULL) AS duration, coalesce(array_to_string(list_sort(list_distinct(list(m) FILTER (WHERE tk AND m IS NOT NULL))), ','), '') AS taking, coalesce(array_to_string(list_sort(list_distinct(list(m) FILTER (WHERE NOT tk AND m IS NOT NULL))), ','), '') AS asked_about, "
-    "concat_ws(',', CASE WHEN bool_or(contains(text, 'ous')) THEN 'a' END, CASE WHEN bool_or(contains(text, 'ent')) THEN 'b' END, CASE WHEN bool_or(contains(text, 'ich')) THEN 'c' END) AS risks, count(*) AS n_turns FROM o GROUP BY conv_id) "
-    "SELECT n.conv_id, age, duration, coalesce(taking, '') AS taking, coalesce(asked_about, '') AS asked_about, coalesce(risks, '') AS risks, coalesce(n_turns, 0) AS n_turns FROM n LEFT JOIN f USING (conv_id)",
+    "bool_or(contains(text, 'ent')) AS flagged, concat_ws(',', CASE WHEN bool_or(contains(text, 'ous')) THEN 'a' END, CASE WHEN bool_or(contains(text, 'ent')) THEN 'b' END, CASE WHEN bool_or(contains(text, 'ich')) THEN 'c' END) AS risks, count(*) AS n_turns FROM o GROUP BY conv_id), "
+    "h AS (SELECT conv_id, string_agg(role || ':' || left(coalesce(text, ''), CASE role WHEN 'user' THEN {user} ELSE {assistant} END), chr(10) ORDER BY turn) AS history FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations JOIN n USING (conv_id) WHERE role IN ('user', 'assistant') AND (role <> 'user' OR turn <> now)) WHERE k <= 8 GROUP BY conv_id) "
+    "SELECT n.conv_id, age, duration, coalesce(taking, '') AS taking, coalesce(asked_about, '') AS asked_about, coalesce(risks, '') AS risks, coalesce(flagged, false) AS flagged, md5(coalesce(history, '')) AS history, coalesce(n_turns, 0) AS n_turns FROM n LEFT JOIN f USING (conv_id) LEFT JOIN h USING (conv_id)"
 )
+
+
+def history_digest(c="history"):
+    return F.md5(F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["role"], x["text"])), "\n")).alias("history")
+
+
+@query("session_replay", SESSION.replace("{user}", "1200").replace("{assistant}", "1200"))
 def session_replay(spark, d):
-    return C.session(table(spark, d, "conversations"), **PACK)
+    found = C.session(table(spark, d, "conversations"), **PACK)
+    return found.select(*[c for c in found.columns if c != "history"], history_digest())
 
 
 @query(

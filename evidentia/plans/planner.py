@@ -9,9 +9,10 @@ from ..operators import evidence as E
 from ..operators import planner as P
 from ..operators.digest import digested, refined
 from ..sources.providers import TableSource, TableTools, first_sentence
+from ..sources.shared import new_path
 from ..streaming.session import session_stream
-from .common import ORACLES, query, quoted, table
-from .conversation import PACK
+from .common import query, quoted, table
+from .conversation import PACK, SESSION, history_digest
 
 SPEC = [("user", "fr", "phrase"), ("assistant", None, "keywords"), ("judge", "en", "ingredient")]
 LANG = "CASE WHEN contains({}, 'é') THEN 'fr' ELSE 'en' END"
@@ -141,20 +142,18 @@ def tool_replay(spark, d):
     return TableTools(recorded).answers(calls).select("event_id", "payload")
 
 
-@query("session_fold", ORACLES["session_replay"])
+@query("session_fold", SESSION.replace("{user}", "800").replace("{assistant}", "1200"))
 def session_fold(spark, d):
     """The session facts from a stream of the turns, read to its end; of each conversation the last row counts."""
-    import uuid
-
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}").rstrip("/")
-    path = f"{folder}/session-{uuid.uuid4().hex}"
+    path = new_path(spark, "session")
     schema = table(spark, d, "conversations").schema
     turns = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(d)
-    facts = session_stream(turns, **PACK)
+    facts = session_stream(turns, **PACK, cuts=(800, 1200))
     running = facts.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{path}/state").option("path", f"{path}/facts").trigger(availableNow=True).start()
     running.awaitTermination()
-    last = spark.read.schema(facts.schema).parquet(f"{path}/facts").groupBy("conv_id").agg(F.max_by(F.struct("age", "duration", "taking", "asked_about", "risks", "n_turns"), "n_turns").alias("x"))
-    return last.select("conv_id", "x.*")
+    columns = [c for c in facts.columns if c not in ("conv_id", "seen")]
+    last = spark.read.schema(facts.schema).parquet(f"{path}/facts").groupBy("conv_id").agg(F.max_by(F.struct(*columns), "seen").alias("x")).select("conv_id", "x.*")
+    return last.select("conv_id", *[c for c in columns if c != "history"], history_digest())
 
 
 WANTED = ["7", "none", "3", "12", "3x", "0"]

@@ -12,12 +12,14 @@ from compare import DATA
 from pyspark.sql import functions as F
 
 from evidentia.functions import text as X
-from evidentia.operators import automaton, entities, evaluation, evidence, planner, quality, ranks, rules, selection
+from evidentia.operators import automaton, conversation, entities, evaluation, evidence, planner, quality, ranks, rules, selection
 from evidentia.operators.digest import digested, refined
 from evidentia.operators.overlay import first_filled, keep_first, overlay
 from evidentia.plans import registry
+from evidentia.plans.conversation import PACK
 from evidentia.sources import files
 from evidentia.sources.providers import first_sentence
+from evidentia.streaming.session import session_stream
 
 
 def one(spark, text, column):
@@ -451,3 +453,25 @@ def test_folds_of_a_hot_group(spark, monkeypatch):
     for g, own in groups.items():
         xs = sorted(r[4] for r in own)
         assert medians[g] == pytest.approx((xs[(len(xs) - 1) // 2] + xs[len(xs) // 2]) / 2)
+
+
+def test_session_in_several_batches(spark, tmp_path):
+    """A stream whose turns come in two batches and out of order ends where the batch fold does: the flag stays, the history
+    is the last eight turns, cut."""
+    rng = random.Random(8)
+    said = ["the station hurt, 65 years", "of a nation for 3 days", "silent", "x" * 1500, None, "dangerous and different", "sich the motion"]
+    rows = [(c, t, rng.choice(["user", "assistant", "system"]), rng.choice(said)) for c in range(12) for t in range(rng.randint(1, 25))]
+    rng.shuffle(rows)
+    ddl = "conv_id bigint, turn bigint, role string, text string"
+    for part in (rows[::2], rows[1::2]):
+        spark.createDataFrame(part, ddl).coalesce(1).write.mode("append").parquet(f"{tmp_path}/turns")
+    stream = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/turns")
+    facts = session_stream(stream, **PACK, cuts=(800, 1200))
+    facts.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/state").option("path", f"{tmp_path}/facts").trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.schema(facts.schema).parquet(f"{tmp_path}/facts")
+    assert found.groupBy("conv_id").count().where("count > 1").count() > 0
+    wanted = conversation.session(spark.createDataFrame(rows, ddl), **PACK, cuts=(800, 1200))
+    last = found.groupBy("conv_id").agg(F.max_by(F.struct(*wanted.columns), "seen").alias("x")).select("x.*")
+    assert sorted(map(tuple, last.collect())) == sorted(map(tuple, wanted.collect()))
+    flagged = {c for c, t, r, x in rows if r == "user" and "ent" in (x or "") and t < max(u for d, u, s, _ in rows if d == c and s == "user")}
+    assert {r["conv_id"] for r in wanted.where("flagged").collect()} == flagged
