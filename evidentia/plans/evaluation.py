@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import evaluation as V
+from ..operators import linediff as D
+from ..sources.shared import stored
 from .common import query, quoted, table
 
 RUNS = "(SELECT user_id, event_type, event_id, value, floor(value * 10)::BIGINT AS latency, event_type = 'error' AS failed FROM events)"
@@ -113,3 +115,26 @@ def run_diff(spark, d):
     lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_linestatus").alias("a"), F.max("l_linestatus").alias("b"))
     after = lines.select("o_orderkey", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise("P").alias("o_orderstatus"))
     return V.changed(table(spark, d, "orders"), after, "o_orderkey", "o_orderstatus")
+
+
+#: A later run of the documents: lines with two digits on end are gone, and a last line is new.
+LATER = "array_to_string(list_append(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '[0-9]{2}')), '-- ' || doc_id || ' of a later run'), chr(10))"
+
+
+def later_run(spark, d):
+    lines = F.filter(F.split("text", "\n"), lambda x: ~x.rlike("[0-9]{2}"))
+    own = F.array_join(F.concat(lines, F.array(F.concat(F.lit("-- "), F.col("doc_id").cast("string"), F.lit(" of a later run")))), "\n")
+    return table(spark, d, "documents").where("doc_id % 3 != 1").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(own).alias("text"))
+
+
+@query(
+    "run_line_diff",
+    f"SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN len(old) ELSE len(old) + 1 - len(new) END AS n_removed, CASE WHEN doc_id % 3 = 1 THEN 0 ELSE 1 END AS n_added, CASE WHEN doc_id % 3 = 2 THEN md5(array_to_string(new, chr(10))) END AS after FROM (SELECT doc_id, string_split(text, chr(10)) AS old, string_split({LATER}, chr(10)) AS new FROM documents) WHERE doc_id % 3 <> 0",
+)
+def run_line_diff(spark, d):
+    """Two runs of the documents, line by line: some texts are gone, some have lost lines and won one. The patches, applied
+    to the first run, give the second."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    found = stored(D.line_diffs(docs, later_run(spark, d), "doc_id", "text"), "diffs")
+    after = D.patched(docs, "doc_id", "text", found).select(F.col("doc_id").alias("id"), F.md5("patched").alias("after"))
+    return found.join(after, F.col("doc_id") == F.col("id")).select("doc_id", "n_removed", "n_added", "after")

@@ -8,11 +8,12 @@ from ..functions import text as X
 from ..operators import evidence as E
 from ..operators import planner as P
 from ..operators.digest import digested, refined
-from ..sources.providers import TableSource, TableTools, first_sentence
+from ..sources.providers import TableSource, TableTools
 from ..sources.shared import new_path
 from ..streaming.session import session_stream
 from .common import query, quoted, table
 from .conversation import PACK, SESSION, history_digest
+from .text import chunk_sql
 
 SPEC = [("user", "fr", "phrase"), ("assistant", None, "keywords"), ("judge", "en", "ingredient")]
 LANG = "CASE WHEN contains({}, 'é') THEN 'fr' ELSE 'en' END"
@@ -101,18 +102,46 @@ def digest_gate(spark, d):
     return table(spark, d, "documents").select("doc_id", reason.alias("reason"))
 
 
-@query("digest_map")
+#: Sizes of the digest: of a chunk, of what the offline provider takes for short, of a note, of all; notes met at a time.
+CHUNK, SHORT, NOTE, BUDGET, FAN = 600, 60, 150, 400, 3
+
+
+def start_of(text: str) -> str | None:
+    """An offline provider: the start of a text; it fails for short ones, and finds nothing in what begins with a digit."""
+    return None if len(text) < SHORT else "NONE" if text[0].isdigit() else text[:NOTE].strip(" ")
+
+
+START = f"CASE WHEN length(@) < {SHORT} THEN @ WHEN regexp_matches(@, '^[0-9]') THEN '' ELSE trim(left(@, {NOTE}), ' ') END"
+
+
+@query(
+    "digest_map",
+    f"WITH RECURSIVE d AS (SELECT doc_id, text FROM documents), c AS MATERIALIZED ({chunk_sql(CHUNK)}), "
+    f"t(doc_id, level, notes, calls) AS (SELECT doc_id, 0, list_transform(cs, lambda x: {START.replace('@', 'x')}), 0::BIGINT FROM c UNION ALL "
+    f"SELECT doc_id, level + 1, list_transform(js, lambda x: CASE WHEN length(x) > {BUDGET} THEN {START.replace('@', 'x')} ELSE x END), calls + len(list_filter(js, lambda x: length(x) > {BUDGET})) FROM "
+    f"(SELECT doc_id, level, calls, list_transform(range((len(notes) + {FAN - 1}) // {FAN}), lambda g: array_to_string(list_filter(notes[{FAN} * g + 1 : {FAN} * g + {FAN}], lambda n: n <> ''), chr(10))) AS js FROM t WHERE len(notes) > 1 OR level = 0) WHERE len(js) > 0) "
+    "SELECT c.doc_id, len(cs) AS n_chunks, len(cs) AS n_called, coalesce(calls, 0) AS n_merged, md5(coalesce(notes[1], '')) AS digest FROM c LEFT JOIN (SELECT doc_id, arg_max(notes, level) AS notes, max(calls) AS calls FROM t GROUP BY doc_id) USING (doc_id)",
+)
 def digest_map(spark, d):
-    """Documents as the first sentences of their chunks, by the offline summariser."""
-    done = digested(table(spark, d, "documents"), "doc_id", "text", first_sentence, most_chunks=None, separator="\n")
-    return done.select("doc_id", "n_called", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("digest"))
+    """Whole documents as notes that meet in a tree until they are within a budget."""
+    docs = table(spark, d, "documents").select("doc_id", "text", F.lit("").alias("query"))
+    done = digested(docs, "doc_id", "text", "query", start_of, BUDGET, CHUNK, None, FAN, SHORT, "\n")
+    return done.select("doc_id", "n_chunks", "n_called", "n_merged", F.md5("text").alias("digest"))
+
 
+def longer_start(note: str, chunk: str) -> str:
+    return max(note, chunk[:NOTE].rstrip(), key=len)
 
-@query("digest_refine")
+
+@query(
+    "digest_refine",
+    f"WITH d AS (SELECT doc_id, text FROM documents), c AS ({chunk_sql(CHUNK)}), n AS (SELECT doc_id, cs, list_reduce(list_prepend('', list_transform(cs[1:16], lambda x: regexp_replace(left(x, {NOTE}), '\\s+$', ''))), lambda a, b: CASE WHEN length(b) > length(a) THEN b ELSE a END) AS note FROM c) "
+    "SELECT doc_id, md5(note || CASE WHEN len(cs) > 16 THEN chr(10) || '[' || (len(cs) - 16) || ' unread]' ELSE '' END) AS digest FROM n",
+)
 def digest_refine(spark, d):
-    """One note for a document, carried from chunk to chunk; here the longer of the note and a chunk's first sentence."""
-    done = refined(table(spark, d, "documents"), "doc_id", "text", lambda note, chunk: max(note, first_sentence(chunk), key=len), most_chunks=None, separator="\n")
-    return done.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("digest"))
+    """One note for a document, carried from chunk to chunk, here the longest start of one; what is not read is said."""
+    docs = table(spark, d, "documents").select("doc_id", "text", F.lit("").alias("query"))
+    return refined(docs, "doc_id", "text", "query", longer_start, BUDGET, CHUNK, 16, "\n").select("doc_id", F.md5("text").alias("digest"))
 
 
 TOKENS = f"list_distinct(list_transform(regexp_extract_all(text, {quoted(X.TOKEN_SCORING)}), lambda w: lower(w)))"

@@ -116,7 +116,18 @@ def paragraphs(spark, d):
     return p.select("doc_id", (F.col("i") + 1).cast("decimal(38,0)").alias("place"), F.md5("p").alias("digest"))
 
 
-@query("chunk_greedy")
+def chunk_sql(size: int) -> str:
+    """d(doc_id, text): (doc_id, cs), a text's chunks as a fold over its lines."""
+    start = "{'out': []::VARCHAR[], 'open': '', 'used': 0::BIGINT}"
+    flush = f"s.used > 0 AND s.used + length(x.open) > {size}"
+    step = f"{{'out': CASE WHEN {flush} THEN list_append(s.out, s.open) ELSE s.out END, 'open': CASE WHEN {flush} OR s.used = 0 THEN x.open ELSE s.open || chr(10) || chr(10) || x.open END, 'used': CASE WHEN {flush} THEN 0 ELSE s.used END + length(x.open) + 2}}"
+    strip = "regexp_replace(regexp_replace(@, '^\\s+', ''), '\\s+$', '')"
+    parts = f"list_filter(list_transform(string_split(t, chr(10)), lambda p: {strip.replace('@', 'p')}), lambda p: p <> '')"
+    fold = f"list_reduce(list_prepend({start}, list_transform({parts}, lambda p: {{'out': []::VARCHAR[], 'open': p, 'used': 0::BIGINT}})), lambda s, x: {step})"
+    return f"SELECT doc_id, CASE WHEN t = '' THEN []::VARCHAR[] WHEN length(t) <= {size} THEN [t] ELSE list_filter(list_append(f.out, CASE WHEN f.used > 0 THEN f.open ELSE '' END), lambda c: c <> '') END AS cs FROM (SELECT doc_id, t, {fold} AS f FROM (SELECT doc_id, {strip.replace('@', 'text')} AS t FROM d))"
+
+
+@query("chunk_greedy", f"WITH d AS (SELECT doc_id, text FROM documents), c AS ({chunk_sql(2000)}) SELECT doc_id, generate_subscripts(cs, 1) AS place, length(unnest(cs)) AS n_chars, md5(unnest(cs)) AS digest FROM c")
 def chunk_greedy(spark, d):
     c = table(spark, d, "documents").select("doc_id", F.posexplode(X.chunks("text", 2000, "\n")).alias("i", "c"))
     return c.select("doc_id", (F.col("i") + 1).cast("bigint").alias("place"), F.length("c").cast("bigint").alias("n_chars"), F.md5("c").alias("digest"))

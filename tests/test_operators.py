@@ -12,7 +12,7 @@ from compare import DATA
 from pyspark.sql import functions as F
 
 from evidentia.functions import text as X
-from evidentia.operators import automaton, conversation, entities, evaluation, evidence, planner, quality, ranks, rules, selection
+from evidentia.operators import automaton, conversation, entities, evaluation, evidence, linediff, planner, quality, ranks, rules, selection
 from evidentia.operators.digest import digested, refined
 from evidentia.operators.overlay import first_filled, keep_first, overlay
 from evidentia.plans import registry
@@ -275,29 +275,55 @@ def test_pairs_never_meet_all_others(spark):
 
 
 def test_digest(spark):
-    docs = spark.createDataFrame([(1, "\n\n".join(f"Part {i}. More of it." + "x" * 50 for i in range(20))), (2, ""), (3, None)], "k int, text string")
+    """Failed chunks and those beyond the bound are filled by extracts; nothing is left out, and the rest is within the budget."""
+    docs = spark.createDataFrame([(1, "\n\n".join(f"Part {i}. More of it." + "x" * 50 for i in range(20))), (2, ""), (3, None), (4, "NONE of this")], "k int, text string").withColumn("q", F.lit(None).cast("string"))
 
     def failing(chunk):
         if "Part 3." in chunk:
             raise ValueError("no answer")
-        return first_sentence(chunk)
+        return "none" if "Part 4." in chunk else first_sentence(chunk)
 
-    got = {r["k"]: r for r in digested(docs, "k", "text", failing, size=60, most_chunks=5).collect()}
+    got = {r["k"]: r for r in digested(docs, "k", "text", "q", failing, size=60, most_chunks=5, fill=30).collect()}
     lines = got[1]["text"].split("\n")
-    assert got[1]["n_called"] == 5 and lines[:3] == ["Part 0.", "Part 1.", "Part 2."] and lines[3].startswith("Part 3. More") and len(lines) == 20
-    assert got[2]["text"] == got[3]["text"] == ""
-    whole = {r["k"]: r for r in digested(docs, "k", "text", failing, size=60, most_chunks=None).collect()}
-    assert whole[1]["n_called"] == 20 and whole[1]["text"].split("\n")[19] == "Part 19." and whole[2]["n_called"] == 0
+    assert lines[:4] == ["Part 0.", "Part 1.", "Part 2.", "Part 3. More of it." + "x" * 11] and len(lines) == 19 and lines[4].startswith("Part 5. More")
+    assert (got[1]["n_chunks"], got[1]["n_called"], got[1]["n_merged"]) == (20, 5, 0)
+    assert [(got[k]["text"], got[k]["n_chunks"]) for k in (2, 3)] == [("", 0)] * 2 and got[4]["text"] == "NONE of this"
+    whole = {r["k"]: r for r in digested(docs, "k", "text", "q", failing, size=60, most_chunks=None).collect()}
+    assert whole[1]["n_called"] == 20 and whole[1]["text"].split("\n")[-1] == "Part 19."
+
+
+@pytest.mark.parametrize("fan,budget", [(2, 40), (8, 100)])
+def test_digest_tree(spark, fan, budget):
+    """The tree by plain Python: what meets and is too long is noted once more, or cut where the provider fails."""
+    text = "\n\n".join(f"{i} part, {'y' * (1 + i % 17)}" for i in range(70))
+    note = lambda x: x.upper() if "7" not in x else None  # noqa: E731  notes as long as what they are of, or none
+    notes, merged = [note(c) or c for c in text.split("\n\n")], 0
+    while len(notes) > 1:
+        joined = ["\n".join(notes[i : i + fan]) for i in range(0, len(notes), fan)]
+        merged += sum(len(j) > budget for j in joined)
+        notes = [(note(j) or j) if len(j) > budget else j for j in joined]
+        cut = {j: r["text"] for j in notes if len(j) > budget for r in selection.pruned(spark.createDataFrame([(1, j, "")], "k int, text string, q string"), "k", "text", "q", budget).collect()}
+        notes = [cut[j][:budget] if j in cut else j for j in notes]
+        assert all(len(n) <= budget for n in notes)
+    docs = spark.createDataFrame([(1, text, "")], "k int, text string, q string")
+    got = digested(docs, "k", "text", "q", note, budget, 10, None, fan, 100).first()
+    assert (got["text"], got["n_merged"], got["n_chunks"]) == (notes[0], merged, 70)
 
 
 def test_refined(spark):
-    texts = {1: "\n\n".join(f"Part {i}." + "x" * 50 for i in range(20)), 2: "", 3: None, 4: "Short."}
-    docs = spark.createDataFrame(list(texts.items()), "k int, text string")
-    note = lambda had, chunk: None if "Part 3." in chunk else had + chunk[:8].rstrip("x")
+    texts = {1: "\n\n".join(f"Part {i}." + "x" * 50 for i in range(20)), 2: "", 3: None, 4: "Short.", 5: "stop here", 6: "\n\n".join(["a" * 59, "stop" + "b" * 50, "c" * 59])}
+    docs = spark.createDataFrame(list(texts.items()), "k int, text string").withColumn("q", F.lit(""))
+
+    def note(had, chunk):
+        if "stop" in chunk:
+            raise ValueError("no answer")
+        return None if "Part 3." in chunk else had + chunk[:8].rstrip("x")
+
     for most in (5, None):
-        wanted = {2: "", 3: "", 4: "Short."}
+        wanted = {2: "", 3: "", 4: "Short.", 5: "stop here", 6: "aaaaaaaa\n[2 unread]"}
         wanted[1] = "".join(f"Part {i}." for i in range(20)[:most] if i != 3) + ("\n[15 unread]" if most else "")
-        assert {r["k"]: r["text"] for r in refined(docs, "k", "text", note, size=60, most_chunks=most).collect()} == wanted
+        assert {r["k"]: r["text"] for r in refined(docs, "k", "text", "q", note, size=60, most_chunks=most).collect()} == wanted
+    assert max(len(r["text"]) for r in refined(docs, "k", "text", "q", note, budget=50, size=60, most_chunks=None).collect()) <= 50
 
 
 def test_copies_take_one_place(spark, tmp_path):
@@ -475,3 +501,41 @@ def test_session_in_several_batches(spark, tmp_path):
     assert sorted(map(tuple, last.collect())) == sorted(map(tuple, wanted.collect()))
     flagged = {c for c, t, r, x in rows if r == "user" and "ent" in (x or "") and t < max(u for d, u, s, _ in rows if d == c and s == "user")}
     assert {r["conv_id"] for r in wanted.where("flagged").collect()} == flagged
+
+
+def longest_common(a, b):
+    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+    return table[-1][-1]
+
+
+@pytest.mark.parametrize("work", [250_000, 3])
+def test_line_scripts(monkeypatch, work):
+    """Scripts are the shortest where that is affordable, and always lead from one text to the other."""
+    monkeypatch.setattr(linediff, "MOST_WORK", work)
+    rng = random.Random(work)
+    for _ in range(800):
+        a, b = ([rng.choice("abcdefgh") for _ in range(rng.randint(0, 14))] for _ in range(2))
+        if work > 3:
+            assert len(linediff.common(a, b)) == longest_common(a, b)
+        for context in (0, 1, 3):
+            patch = linediff.hunks(a, b, context)
+            assert linediff.applied(a, patch) == b
+            assert all(h["old_start"] + h["old_lines"] <= k["old_start"] for h, k in zip(patch, patch[1:]))
+
+
+def test_line_diffs(spark):
+    before = {1: "a\nb\nc\nd\ne\nf\ng\nh", 2: "same\n", 3: "gone", 4: None, 5: "", 6: "x\ny", None: "no key"}
+    after = {1: "a\nb\nc\nD\ne\nf\ng\nh", 2: "same\n", 4: "now", 5: "\n", 6: None, 7: "new", None: "no  key"}
+    a, b = (spark.createDataFrame(list(x.items()), "k int, text string") for x in (before, after))
+    found = linediff.line_diffs(a, b, "k", "text", 2)
+    got = {r["k"]: r for r in linediff.unified(found).collect()}
+    assert set(got) == {1, 3, 4, 5, 6, 7, None}
+    assert got[1]["patch"] == "@@ -2,5 +2,5 @@\n b\n c\n-d\n+D\n e\n f"
+    assert [(got[k]["n_removed"], got[k]["n_added"]) for k in (3, 4, 5, 6, 7, None)] == [(1, 0), (0, 1), (0, 1), (2, 0), (0, 1), (1, 1)]
+    done = {r["k"]: r["patched"] for r in linediff.patched(a, "k", "text", found).collect()}
+    assert done == {k: after.get(k) for k in before}
+    other = spark.createDataFrame([(1, "other")], "k int, text string")
+    assert linediff.patched(other, "k", "text", found).first()["patched"] is None
