@@ -5,6 +5,8 @@ Order statistics count equal values first, and no task sorts more than a block o
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -98,11 +100,61 @@ def rule_eval(texts: DataFrame, text: str, positive: str, rules: list[tuple[str,
     return rows.groupBy("rule").agg(share(F.col("positive")).alias("recall"), share(~F.col("positive")).alias("false_rate"))
 
 
-def top_phrases(texts: DataFrame, text: str, k: int, words: tuple[int, int] = (2, 4), size: tuple[int, int] = (6, 40)) -> DataFrame:
+def top_phrases(texts: DataFrame, text: str, k: int, words: tuple[int, int] = (2, 4), size: tuple[int, int] = (6, 40), counters: int = 1 << 16) -> DataFrame:
     """(phrase, n): the k most frequent runs of Latin words in lower-cased texts, ties by the phrase."""
     runs = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"[a-z]+(?: [a-z]+){{{words[0] - 1},{words[1] - 1}}}"), F.lit(0))
-    rows = texts.select(F.explode(runs).alias("phrase")).where(F.length("phrase").between(*size))
-    return rows.groupBy("phrase").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "phrase").limit(k)
+    return most_frequent(texts.select(F.filter(runs, lambda p: F.length(p).between(*size)).alias("phrases")), "phrases", k, counters).withColumnRenamed("value", "phrase")
+
+
+def most_frequent(rows: DataFrame, values: str, k: int, counters: int = 1 << 16) -> DataFrame:
+    """(value, n): the k most frequent strings of an array column, ties by the value, counted exactly.
+
+    Frequent values are proposed by summaries of `counters` values, one for each task (Misra and Gries): whenever one is
+    full, a number is taken from all its counts, and what falls to zero is dropped. A value that a task has dropped, or
+    counts too low, is short by at most what the task has taken in all, so over all tasks a value that nobody proposes
+    stands at most E times, E being the sum of what they took. The second pass counts what may be among the first k: the
+    values whose proposed count and E together reach the k-th highest proposed count. If the k-th of the exact counts is
+    over E, no other value can be among them; else the pass is made again with four times the counters, until E is
+    small enough (with no more different values in a task than counters it is 0). So what is shuffled are the
+    proposals, and not every value of the corpus.
+    """
+    rows = rows.select(F.col(values).alias("values"))
+    while True:
+        summaries = stored(rows.mapInArrow(summary_of(counters), "value string, n bigint, taken bigint"), "summaries")
+        error = summaries.agg(F.sum("taken")).first()[0] or 0
+        proposed = stored(summaries.where("value is not null").groupBy("value").agg(F.sum("n").alias("low")), "proposed")
+        kth = proposed.orderBy(F.desc("low")).limit(k).agg(F.min("low"), F.count(F.lit(1))).first()
+        likely = proposed.where(F.col("low") + error >= (kth[0] if kth[1] == k else 0))
+        if error:
+            exact = rows.select(F.explode("values").alias("value")).join(likely.select("value"), "value").groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+        else:
+            exact = likely.select("value", F.col("low").alias("n"))
+        top = stored(exact.orderBy(F.desc("n"), "value").limit(k), "top")
+        least = top.agg(F.min("n"), F.count(F.lit(1))).first()
+        if not error or (least[1] == k and least[0] > error):
+            return top
+        counters *= 4
+
+
+def summary_of(counters: int):
+    def run(batches):
+        counts, taken = {}, 0
+        for batch in batches:
+            for value, n in counted_values(batch.column(0)):
+                counts[value] = counts.get(value, 0) + n
+            if len(counts) > 2 * counters:
+                # What the first value beyond the counters has is taken from all: at most `counters` are left.
+                cut = sorted(counts.values(), reverse=True)[counters]
+                taken += cut
+                counts = {v: n - cut for v, n in counts.items() if n > cut}
+        yield pa.RecordBatch.from_arrays([pa.array([*counts, None], pa.string()), pa.array([*counts.values(), 0], pa.int64()), pa.array([0] * len(counts) + [taken], pa.int64())], ["value", "n", "taken"])
+
+    return run
+
+
+def counted_values(column: pa.Array):
+    found = pc.value_counts(column.flatten())
+    return zip(found.field(0).to_pylist(), found.field(1).to_pylist())
 
 
 def changed(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:

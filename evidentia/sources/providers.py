@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.text import tokens
+from .shared import stored
 
 
 class Summariser(Protocol):
@@ -74,14 +75,37 @@ class TableSource:
         self.docs = docs
 
     def candidates(self, queries: DataFrame, k: int) -> DataFrame:
-        """(query, place, title, text) of the k documents that share most scoring tokens with each query.
+        """(query, place, title, text) of the k documents that share most scoring tokens with each query, ties by title.
 
-        Queries and documents meet by their tokens; counts are partially aggregated and only each query's k best titles
-        go on.
+        An inverted index with document frequencies: a query lists the documents of its rarest tokens only, twice as many
+        tokens in each round, and counts for those documents how many of its tokens they share. A document that is not
+        listed shares none of the r tokens listed so far, so at most all but r: as soon as k documents share more than
+        that, the query is done. Words that nearly all documents hold are looked up in documents, and never list them.
         """
-        terms = queries.select("query").distinct().select("query", F.explode(tokens("query")).alias("w"))
-        words = self.docs.select("title", F.explode(tokens("text")).alias("w"))
-        shared = terms.join(words, "w").groupBy("query", "title").agg(F.count(F.lit(1)).alias("n"))
-        place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("n"), "title"))
-        best = shared.withColumn("place", place).where(F.col("place") <= k)
-        return best.join(self.docs.select("title", "text"), "title").select("query", "place", "title", "text")
+        titles = stored(self.docs.select("title", tokens("text").alias("own")), "titles")
+        index = titles.select("title", F.explode("own").alias("w"))
+        df = index.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+        asked = queries.select("query").distinct().select("query", F.xxhash64("query").alias("id"), tokens("query").alias("q"))
+        terms = asked.select("id", F.explode("q").alias("w")).join(df, "w")
+        # Tokens that no document holds list nothing and are shared by none.
+        ranked = terms.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("ws"))
+        left = stored(ranked.select("id", F.transform("ws", lambda x: x["w"]).alias("ws")), "asked")
+        index, done, rounds = stored(index, "index"), None, 1
+        while True:
+            listed = left.select("id", "ws", F.explode(F.slice("ws", 1, rounds)).alias("w"))
+            pairs = listed.select("id", "w").join(index, "w").select("id", "title").distinct()
+            shared = F.size(F.array_intersect("own", "ws")).alias("n")
+            counted = pairs.join(titles, "title").join(left, "id").select("id", "title", shared)
+            place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("n"), "title"))
+            best = stored(counted.withColumn("place", place).where(F.col("place") <= k), "best")
+            worst = best.groupBy("id").agg(F.count(F.lit(1)).alias("n_found"), F.min("n").alias("least"))
+            state = left.join(worst, "id", "left")
+            sure = (F.size("ws") <= rounds) | ((F.col("n_found") >= k) & (F.col("least") > F.size("ws") - rounds))
+            state = stored(state.select("id", "ws", F.coalesce(sure, F.lit(False)).alias("sure")), "state")
+            fine = best.join(state.where("sure").select("id"), "id", "left_semi")
+            done = fine if done is None else done.unionByName(fine)
+            left, rounds = state.where("not sure").select("id", "ws"), 2 * rounds
+            if left.isEmpty():
+                break
+        named = asked.select("id", "query")
+        return done.join(named, "id").join(self.docs.select("title", "text"), "title").select("query", "place", "title", "text")

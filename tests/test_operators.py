@@ -18,7 +18,7 @@ from evidentia.operators.overlay import first_filled, keep_first, overlay
 from evidentia.plans import registry
 from evidentia.plans.conversation import PACK
 from evidentia.sources import files
-from evidentia.sources.providers import first_sentence
+from evidentia.sources.providers import TableSource, first_sentence
 from evidentia.streaming.session import session_stream
 
 
@@ -539,3 +539,34 @@ def test_line_diffs(spark):
     assert done == {k: after.get(k) for k in before}
     other = spark.createDataFrame([(1, "other")], "k int, text string")
     assert linediff.patched(other, "k", "text", found).first()["patched"] is None
+
+
+@pytest.mark.parametrize("counters", [2, 8, 1 << 16])
+def test_most_frequent_values(spark, counters):
+    """Exact and whole, however few values a summary holds: skewed and flat counts, ties, nulls and empty arrays."""
+    rng = random.Random(counters)
+    for weights in ([2**-i for i in range(30)], [1.0] * 30):
+        rows = [(rng.choices([f"v{i:02}" for i in range(30)], weights, k=rng.randint(0, 9)),) for _ in range(300)] + [(None,), ([],)]
+        counts = defaultdict(int)
+        for (own,) in rows:
+            for v in own or []:
+                counts[v] += 1
+        for k in (3, 40):
+            wanted = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:k]
+            found = evaluation.most_frequent(spark.createDataFrame(rows, "xs array<string>").repartition(5), "xs", k, counters)
+            assert sorted(map(tuple, found.collect()), key=lambda x: (-x[1], x[0])) == wanted
+    assert evaluation.most_frequent(spark.createDataFrame([], "xs array<string>"), "xs", 3, counters).count() == 0
+
+
+def test_search_by_rare_words(spark):
+    """The best documents by plain counting; common words list no documents."""
+    rng = random.Random(4)
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(200)]
+    docs = [(f"t{i:03}", " ".join(rng.choices(words, [1 / (j + 1) for j in range(200)], k=30))) for i in range(150)] + [("null", None)]
+    asked = [" ".join(rng.sample(words, 12)) for _ in range(20)] + ["waa", "nothing here", "waa wab wac", ""]
+    found = defaultdict(list)
+    for r in TableSource(spark.createDataFrame(docs, "title string, text string")).candidates(spark.createDataFrame([(q,) for q in asked] * 2, "query string"), 3).orderBy("place").collect():
+        found[r["query"]].append(r["title"])
+    for q in asked:
+        shared = [(-len(set(q.split()) & set((t or "").split())), title) for title, t in docs]
+        assert found[q] == [t for n, t in sorted(shared) if n < 0][:3], q
