@@ -1,14 +1,12 @@
-"""Planning calls: normal arguments, repeats, closed tools, budgets of calls and time, and what a recorded log would do.
+"""Planning calls: normal arguments, repeats, closed tools, budgets of calls and time, and what a recorded log shows of them.
 
 A log has a row for each requested call, in the order of `pos` within a `request`.
 """
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..sources.shared import stored
@@ -116,66 +114,33 @@ def tool_cap(tool: Column, quick: list[str], short: float = 8.0, long: float = 1
     return F.when(tool.isin(*quick), short).otherwise(long)
 
 
-def cached(calls: DataFrame, key: str, at: str, ttl: float) -> DataFrame:
-    """calls(key, at, ok) with `hit`: whether an answer to the same key stands in a cache at that time.
+def repeats(calls: DataFrame, key: str, at: str, order: str, ok: str, within: float, block: int = BLOCK) -> DataFrame:
+    """calls with `since`, the time since the last earlier call of the same key that went well, and `repeat`: whether that is
+    less than `within`. It says what of a log a cache might have answered; no cache is played through.
 
-    An answer stands for ttl seconds from its call, without being renewed; failed calls (not ok) are not kept. A key's
-    calls stream through one task in order, which holds a time alone.
+    How many good calls came before is a running sum, scanned in blocks, so that no key is sorted in one task; the last of
+    them is then looked up by its number.
     """
-
-    def fold(batches):
-        now, since = None, None
-        for batch in batches:
-            hits = []
-            for k, t, ok in zip(*(batch.column(c).to_pylist() for c in (key, at, "ok"))):
-                if k != now:
-                    now, since = k, None
-                hits.append(since is not None and t - since < ttl)
-                if not hits[-1] and ok:
-                    since = t
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hits, pa.bool_())], [*batch.schema.names, "hit"])
-
-    dealt = calls.repartition(key).sortWithinPartitions(key, at)
-    return dealt.mapInArrow(fold, ", ".join([*(f"{n} {t}" for n, t in calls.dtypes), "hit boolean"]))
-
-
-def planned(log: DataFrame, budget: int = 4, seconds: float = 60.0, most_barren: int = 2) -> DataFrame:
-    """(request, pos, outcome) for each call of log(request, pos, tool, key, valid, cite, seconds).
-
-    A call is refused for the first reason that holds: contract (not valid), duplicate (of an earlier key, run or not),
-    closed (its tool gave nothing new `most_barren` times running), budget, time. Else it runs, costs a call and its
-    seconds, and tells whether its id is new. A request's calls stream through one task in order: what is held is its
-    keys and ids, not its rows.
-    """
-
-    def fold(batches):
-        now, keys, ids, runs, left, spent = None, set(), set(), {}, budget, 0.0
-        for batch in batches:
-            out = []
-            for request, _, tool, key, valid, cite, took in zip(*(c.to_pylist() for c in batch.columns)):
-                if request != now:
-                    now, keys, ids, runs, left, spent = request, set(), set(), {}, budget, 0.0
-                repeated = key in keys
-                if not valid:
-                    out.append("contract")
-                    continue
-                keys.add(key)
-                if repeated:
-                    out.append("duplicate")
-                elif runs.get(tool, 0) >= most_barren:
-                    out.append("closed")
-                elif left <= 0:
-                    out.append("budget")
-                elif spent >= seconds:
-                    out.append("time")
-                else:
-                    new = cite is not None and cite not in ids
-                    ids.add(cite)
-                    runs[tool] = 0 if new else runs.get(tool, 0) + 1
-                    left, spent = left - 1, spent + (took or 0.0)
-                    out.append("new" if new else "nothing new")
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["request", "pos", "outcome"])
-
-    kinds = dict(log.dtypes)
-    dealt = log.select("request", "pos", "tool", "key", "valid", "cite", "seconds").repartition("request").sortWithinPartitions("request", "pos")
-    return dealt.mapInArrow(fold, f"request {kinds['request']}, pos {kinds['pos']}, outcome string")
+    good = F.coalesce(F.col(ok), F.lit(False)).cast("bigint")
+    known = stored(running_sum(calls.withColumn("__good", good), [key], [F.col(at), F.col(order)], F.col("__good"), "__upto", block), "calls")
+    last = known.where("__good = 1").select(F.struct(key, F.col("__upto").alias("n")).alias("__last"), F.col(at).alias("__at"))
+    joined = known.withColumn("__own", F.struct(key, (F.col("__upto") - F.col("__good")).alias("n"))).join(last, F.col("__own") == F.col("__last"), "left")
+    since = F.col(at) - F.col("__at")
+    return joined.select(*calls.columns, since.alias("since"), F.coalesce(since < within, F.lit(False)).alias("repeat"))
+
+
+def over_budget(log: DataFrame, request: str, pos: str, key: str, valid: str, seconds: str, most: int, most_seconds: int, block: int = BLOCK) -> DataFrame:
+    """(request, pos, kind, n_before, spent_before) for each call of a log: whether it broke its contract (not valid), asked
+    again what the request had asked before, came after `most` different valid calls, or after `most_seconds` (whole
+    seconds) of them; else fine. Sums run over all different valid calls of a request, scanned in blocks: the log is
+    counted, and no planner is played through."""
+    good = log.where(F.coalesce(F.col(valid), F.lit(False)))
+    first = good.groupBy(F.struct(request, key).alias("__first")).agg(F.min(pos).alias("__pos"))
+    rows = log.withColumn("__own", F.struct(request, key)).join(first, F.col("__own") == F.col("__first"), "left")
+    counts = F.coalesce(F.col(valid) & (F.col(pos) == F.col("__pos")), F.lit(False))
+    rows = rows.withColumn("__counts", counts.cast("bigint")).withColumn("__cost", F.when(counts, F.col(seconds)).otherwise(0).cast("bigint")).drop("__own", "__first")
+    rows = running_sum(rows, [request], [F.col(pos)], F.col("__counts"), "__n", block)
+    rows = running_sum(rows, [request], [F.col(pos)], F.col("__cost"), "__spent", block)
+    n, spent = F.col("__n") - F.col("__counts"), F.col("__spent") - F.col("__cost")
+    kind = F.when(~F.coalesce(F.col(valid), F.lit(False)), "contract").when(F.col(pos) > F.col("__pos"), "repeat").when(n >= most, "over calls").when(spent >= most_seconds, "over time").otherwise("fine")
+    return rows.select(request, pos, kind.alias("kind"), n.alias("n_before"), spent.alias("spent_before"))

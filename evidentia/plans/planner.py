@@ -59,12 +59,17 @@ def barren_tools(spark, d):
     return P.barren(calls, "user_id", "event_type", "event_id", "fruitful").drop("fruitful")
 
 
-@query("call_planner")
+@query(
+    "call_planner",
+    "WITH e AS (SELECT user_id, event_id, event_type <> 'signup' AS valid, event_type || '|' || props AS key, floor(value / 10)::BIGINT AS s FROM events), f AS (SELECT *, CASE WHEN valid THEN row_number() OVER (PARTITION BY user_id, key, valid ORDER BY event_id) END AS k FROM e), "
+    "g AS (SELECT *, sum(CASE WHEN k = 1 THEN 1 ELSE 0 END) OVER w AS n, sum(CASE WHEN k = 1 THEN s ELSE 0 END) OVER w AS t FROM f WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)), h AS (SELECT user_id, event_id, valid, k, (n - CASE WHEN k = 1 THEN 1 ELSE 0 END)::BIGINT AS n_before, (t - CASE WHEN k = 1 THEN s ELSE 0 END)::BIGINT AS spent_before FROM g) "
+    "SELECT user_id, event_id, CASE WHEN NOT valid THEN 'contract' WHEN k > 1 THEN 'repeat' WHEN n_before >= 6 THEN 'over calls' WHEN spent_before >= 30 THEN 'over time' ELSE 'fine' END AS kind, n_before, spent_before FROM h",
+)
 def call_planner(spark, d):
-    """What a budget of calls and time would have let run."""
+    """Which calls of a log broke the contract, asked again, or came after a budget of calls or time was used up."""
     events = table(spark, d, "events")
-    log = events.select(F.col("user_id").alias("request"), F.col("event_id").alias("pos"), F.col("event_type").alias("tool"), F.concat_ws("|", "event_type", "props").alias("key"), (F.col("event_type") != "signup").alias("valid"), F.when(F.col("value") > 40, F.col("props")).alias("cite"), (F.col("value") / 10).alias("seconds"))
-    return P.planned(log, 6, 30.0).select(F.col("request").alias("user_id"), F.col("pos").alias("event_id"), "outcome")
+    log = events.select("user_id", "event_id", F.concat_ws("|", "event_type", "props").alias("key"), (F.col("event_type") != "signup").alias("valid"), F.floor(F.col("value") / 10).alias("seconds"))
+    return P.over_budget(log, "user_id", "event_id", "key", "valid", "seconds", 6, 30)
 
 
 @query("tool_cap", "SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN 8.0::DOUBLE ELSE 18.0::DOUBLE END AS seconds FROM events")
@@ -72,11 +77,14 @@ def tool_cap(spark, d):
     return table(spark, d, "events").select("event_id", P.tool_cap(F.col("event_type"), ["click", "view"]).alias("seconds"))
 
 
-@query("ttl_cache")
+@query(
+    "ttl_cache",
+    "WITH e AS (SELECT event_id, user_id, event_type, epoch_us(ts::TIMESTAMP) AS t, value > 40 AS ok FROM events) SELECT event_id, t - p AS since, coalesce(t - p < 86400000000, false) AS repeat FROM (SELECT *, max(CASE WHEN ok THEN t END) OVER (PARTITION BY user_id, event_type ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM e)",
+)
 def ttl_cache(spark, d):
-    """Which calls a cache of a day, by user and tool, would have answered."""
-    calls = table(spark, d, "events").select(F.concat_ws("|", "user_id", "event_type").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("at"), "event_id", (F.col("value") > 40).alias("ok"))
-    return P.cached(calls, "key", "at", 86_400e6).select("event_id", "hit")
+    """Which calls came within a day of a good one by the same user with the same tool."""
+    calls = table(spark, d, "events").select(F.concat_ws("|", "user_id", "event_type").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_id", (F.col("value") > 40).alias("ok"))
+    return P.repeats(calls, "key", "at", "event_id", "ok", 86_400_000_000).select("event_id", "since", "repeat")
 
 
 @query("hop_budget", "SELECT event_id, CASE WHEN event_type = 'error' THEN 2 ELSE greatest(3, (user_id % 5)::INT) END AS hops FROM events")

@@ -133,33 +133,30 @@ def test_evidence_is_packed(spark):
     assert [r["pos"] for r in got] == [1, 0, 3] and sum(len(r["text"]) for r in got) <= 1300
 
 
-def test_planner(spark):
-    events = registry.queries()["call_planner"](spark, str(DATA))
-    got = {(r["user_id"], r["event_id"]): r["outcome"] for r in events.collect()}
-    log = defaultdict(list)
-    for r in spark.read.parquet(f"{DATA}/events.parquet").collect():
-        log[r["user_id"]].append(r)
-    for user, calls in log.items():
-        keys, ids, barren, left, spent = set(), set(), defaultdict(int), 6, 0.0
-        for r in sorted(calls, key=lambda r: r["event_id"]):
-            key = (r["event_type"], r["props"])
-            if r["event_type"] == "signup":
-                want = "contract"
-            else:
-                want = "duplicate" if key in keys else "closed" if barren[r["event_type"]] >= 2 else "budget" if left <= 0 else "time" if spent >= 30 else None
-                keys.add(key)
-                if want is None:
-                    new = r["value"] > 40 and r["props"] not in ids
-                    ids.add(r["props"] if r["value"] > 40 else None)
-                    barren[r["event_type"]] = 0 if new else barren[r["event_type"]] + 1
-                    left, spent, want = left - 1, spent + r["value"] / 10, "new" if new else "nothing new"
-            assert got[user, r["event_id"]] == want
-
-
-def test_cache(spark):
-    calls = [("a", 0.0, True), ("a", 5.0, True), ("a", 10.0, True), ("a", 12.0, True), ("b", 1.0, False), ("b", 2.0, True), ("b", 3.0, True)]
-    got = planner.cached(spark.createDataFrame(calls, "key string, at double, ok boolean"), "key", "at", 10.0).orderBy("key", "at").collect()
-    assert [r["hit"] for r in got] == [False, True, False, True, False, False, True]
+@pytest.mark.parametrize("block", [3, 1 << 16])
+def test_logs_are_counted(spark, block):
+    """Repeats and budgets by plain folds, with one request and one key holding most of the log."""
+    rng = random.Random(block)
+    log = [(0 if i % 3 else i % 5, i, rng.choice("abcdefgh"), rng.random() < 0.8, rng.randint(0, 4)) for i in range(120)] + [(9, 500, "a", None, 1)]
+    df = spark.createDataFrame(log, "request int, pos int, key string, valid boolean, seconds int")
+    seen, sums, wanted = set(), defaultdict(lambda: [0, 0]), {}
+    for request, pos, key, valid, seconds in log:
+        n, spent = sums[request]
+        again = (request, key) in seen
+        wanted[request, pos] = ("contract" if not valid else "repeat" if again else "over calls" if n >= 4 else "over time" if spent >= 6 else "fine"), n, spent
+        if valid and not again:
+            seen.add((request, key))
+            sums[request] = [n + 1, spent + seconds]
+    got = planner.over_budget(df, "request", "pos", "key", "valid", "seconds", 4, 6, block)
+    assert {(r["request"], r["pos"]): (r["kind"], r["n_before"], r["spent_before"]) for r in got.collect()} == wanted
+
+    last, since = {}, {}
+    for request, pos, _, ok, _ in log:
+        since[pos] = None if request not in last else pos - last[request]
+        if ok:
+            last[request] = pos
+    got = planner.repeats(df, "request", "pos", "pos", "valid", 5, block).collect()
+    assert {r["pos"]: (r["since"], r["repeat"]) for r in got} == {p: (s, s is not None and s < 5) for p, s in since.items()}
 
 
 def test_payloads(spark):
