@@ -107,11 +107,14 @@ def judged_rows(documents: DataFrame, labels: DataFrame, buckets: int = BUCKETS,
     """documents with `__q`: the text rules, score, base_failed and kept; see `judged`."""
     good = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select("doc_id").dropna().distinct()
     good = stored(good, "trusted")
-    every = max(1, -(-good.count() // MOST_TRUSTED))
-    good = good.where(F.pmod(F.xxhash64("doc_id", F.lit("trusted")), F.lit(every)) == 0)
     held = F.pmod(F.xxhash64("doc_id"), F.lit(HELD)) == 0
-    weights = stored(ratio_weights(documents, good.where(~held), buckets), "weights")
-    trusted = documents.select("doc_id", "text").join(F.broadcast(good.where(held)), "doc_id", "left_semi")
+    fitting, judging = good.where(~held), good.where(held)
+    every = max(1, -(-fitting.count() // MOST_TRUSTED))
+    fitting = fitting.where(F.pmod(F.xxhash64("doc_id", F.lit("trusted")), F.lit(every)) == 0)
+    weights = stored(ratio_weights(documents, fitting, buckets), "weights")
+    # All that are held out set the threshold: few ids go to the texts, many meet them in a shuffle.
+    few = judging.count() <= MOST_TRUSTED
+    trusted = documents.select("doc_id", "text").join(F.broadcast(judging) if few else judging.hint("merge"), "doc_id", "left_semi")
     mean, deviation = with_scores(trusted, weights, buckets).where(F.col("__q.n_words") >= least_words).agg(F.avg("__q.score"), F.stddev_pop("__q.score")).first()
     q = F.col("__q")
     fits = F.lit(True) if mean is None else q["score"] >= round(mean - spread * deviation, 9)
@@ -124,8 +127,8 @@ def judged(documents: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
     score is the mean, over a whole text's words and pairs of neighbouring words, of their buckets' weights (0 for a
     text without words). Trusted documents are those that labels calls of quality 1 and not toxic; one in HELD of them
-    is kept out of the target's counts. Every document is held against one threshold: the mean score of those held out
-    (of least_words words or more) less `spread` of their standard deviations; without any, nothing is rejected by it.
+    is kept out of the target's counts, which are taken over about MOST_TRUSTED of the others at most. Every document is held against one threshold: the mean score of those held out
+    (all of them that have least_words words or more) less `spread` of their standard deviations; without any, nothing is rejected by it.
     A null text counts as empty and fails the base rules. Null labels and ids do not match, repeated ones count once;
     repeated rows are judged alike; an empty table gives no rows.
     """

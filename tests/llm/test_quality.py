@@ -35,6 +35,21 @@ def test_score_by_hand(spark):
     assert min(score[i] for i in range(20)) > max(score[i] for i in range(20, 40))
 
 
+def test_all_held_out_set_the_threshold(spark, documents, monkeypatch):
+    """The bound on what fits the target's model leaves the threshold alone: it is that of all that are held out."""
+    from evidentia.llm import quality
+
+    labels = spark.range(200).selectExpr("id as doc_id", "1 as quality", "0 as toxic").union(spark.read.parquet(f"{DATA}/labels.parquet").selectExpr("doc_id", "1", "0"))
+    monkeypatch.setattr(quality, "MOST_TRUSTED", 5)
+    rows = judged(documents, labels, spread=0.5)
+    held = documents.where(f"pmod(xxhash64(doc_id), {quality.HELD}) = 0").select("doc_id").join(labels.select("doc_id").distinct(), "doc_id")
+    scores = [r["score"] for r in rows.where("n_words >= 50").join(held, "doc_id").collect()]
+    mean = sum(scores) / len(scores)
+    least = mean - 0.5 * (sum((x - mean) ** 2 for x in scores) / len(scores)) ** 0.5
+    fine = rows.where("not base_failed").collect()
+    assert len(scores) > 5 and all(r["kept"] == (r["score"] >= least) for r in fine if abs(r["score"] - least) > 1e-8)
+
+
 def test_no_labels(spark, documents):
     none = spark.createDataFrame([(None, 1, 0), (3, None, None)], "doc_id bigint, quality int, toxic int")
     assert judged(documents, none).where("kept = base_failed").count() == 0
