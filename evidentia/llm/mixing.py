@@ -141,13 +141,16 @@ def copies(documents: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.5, ca
 def mixed(documents: DataFrame, **options) -> DataFrame:
     """The mix itself: each document row as often as its copies, with the columns of documents.
 
-    Rows that repeat a doc_id and a text share their copies; which of them carry the copies' other columns is not set.
+    Rows that repeat a doc_id, a text and a source share their copies; which of them carry the copies' other columns is
+    not set. Rows are made in blocks, never as one array of all copies of a row.
     """
     cols = documents.columns
-    n = copies(documents, **options).groupBy(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).agg(F.sum("copies").cast("int").alias("__copies"))
-    rows = documents.withColumn("__digest2", F.xxhash64("text")).dropDuplicates(["doc_id", "__digest2"])
-    kept = rows.join(n.where("__copies > 0"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__digest2") == F.col("__digest")))
-    return kept.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*cols)
+    n = copies(documents, **options).groupBy(F.struct("doc_id", "digest", "source").alias("__own")).agg(F.sum("copies").alias("__copies"))
+    rows = documents.withColumn("__row", F.struct("doc_id", F.xxhash64("text").alias("digest"), "source")).dropDuplicates(["__row"])
+    kept = rows.join(n.where("__copies > 0"), F.col("__row") == F.col("__own"))  # nulls in structs are equal
+    kept = kept.withColumn("__block", F.explode(F.sequence(F.lit(0), F.floor((F.col("__copies") - 1) / BLOCK))))
+    first = F.col("__block") * BLOCK
+    return kept.withColumn("__copy", F.explode(F.sequence(first, F.least("__copies", first + BLOCK) - 1))).select(*cols)
 
 
 def op3_entropy_mix(spark, sf_dir: str) -> DataFrame:

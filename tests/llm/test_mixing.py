@@ -47,6 +47,14 @@ def test_awkward_rows(spark, awkward, empty):
     assert copies(empty).count() == 0 and mixed(empty).count() == 0
 
 
+def test_repeats_under_two_sources(spark):
+    """One doc_id and text under two sources: each source takes its own words."""
+    docs = spark.createDataFrame([(i % 3, "w " * (40 + i % 3 * 9), "a" if i % 4 else "b") for i in range(60)], "doc_id bigint, text string, source string")
+    taken = lambda rows: {r[0]: r[1] for r in rows.collect()}
+    wanted = taken(copies(docs).selectExpr("source", "size * copies as n").groupBy("source").sum("n"))
+    assert taken(mixed(docs).selectExpr("source", "size(split(trim(text), ' ')) as n").groupBy("source").sum("n")) == wanted
+
+
 def test_hot_source(spark):
     docs = spark.range(6000).selectExpr("id as doc_id", "repeat('w ', cast(1 + id % 97 as int)) as text", "if(id % 3 = 0, 'a', if(id % 3 = 1, 'hot', null)) as source")
     wanted, taken = held(copies(docs).collect(), [tuple(r) for r in docs.select("source", "text").collect()])
