@@ -120,13 +120,22 @@ def running(a: Column) -> Column:
 
 
 def spans_of(text: Column, kind: str) -> Column:
-    """The spans of a kind in a text, in order. Matches and the gaps between them come from one pattern and give the places."""
-    near = lambda gaps, i: F.concat(F.right(F.get(gaps, i), F.lit(NEAR)), F.lit(" "), F.left(F.get(gaps, i + 1), F.lit(NEAR)))
+    """The spans of a kind in a text, in order. Matches and the gaps between them come from one pattern and give the places.
+
+    Context words are looked for in the text around a match's place, so that a match beside another one of its kind has the
+    same context; for base kinds, which stay whatever their score, the gaps beside them do.
+    """
+
+    def near(gaps, i, start, end):
+        if kind in BASE:
+            return F.concat(F.right(F.get(gaps, i), F.lit(NEAR)), F.lit(" "), F.left(F.get(gaps, i + 1), F.lit(NEAR)))
+        first = F.greatest(start - NEAR, F.lit(0))
+        return F.concat(F.substring(text, first + 1, start - first), F.lit(" "), F.substring(text, end + 1, F.lit(NEAR)))
 
     def made(hits, gaps, starts):
         def span(hit, i):
             start = F.get(starts, i)
-            score = F.lit(SCORES[kind]) + F.when(F.lower(near(gaps, i)).rlike(CONTEXT[kind]), GAIN).otherwise(0.0)
+            score = F.lit(SCORES[kind]) + F.when(F.lower(near(gaps, i, start, start + F.length(hit))).rlike(CONTEXT[kind]), GAIN).otherwise(0.0)
             ok = confirmed(kind, hit, F.get(gaps, i), F.get(gaps, i + 1))
             ok = ok if kind in BASE else ok & (score >= LEAST)
             return F.when(ok, F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(hit)).alias("end"), score.alias("score")))
@@ -199,11 +208,12 @@ def oracle() -> str:
     }
     parts = []
     for n, (kind, pattern) in enumerate(PLAIN.items()):
-        score = f"{SCORES[kind]} + CASE WHEN regexp_matches(lower(right(x.gap, {NEAR}) || ' ' || left(x.next, {NEAR})), '{CONTEXT[kind]}') THEN {GAIN} ELSE 0 END >= {LEAST}"
+        near = f"substr(t, greatest(x.at - {NEAR}, 0) + 1, least(x.at, {NEAR})) || ' ' || substr(t, x.at + length(x.hit) + 1, {NEAR})"
+        score = f"{SCORES[kind]} + CASE WHEN regexp_matches(lower({near}), '{CONTEXT[kind]}') THEN {GAIN} ELSE 0 END >= {LEAST}"
         kept = ok[kind] if kind in BASE else f"({ok[kind]}) AND ({score})"
         parts.append(
-            f"SELECT rid, {n} AS k, '{kind}' AS kind, x.at AS s, x.at + length(x.hit) AS e FROM (SELECT rid, unnest(list_transform(range(1, len(h) + 1), lambda i: {{'hit': h[i], 'gap': g[i], 'next': g[i + 1], 'at': list_sum(list_transform(g[1:i], lambda y: length(y)))::BIGINT + coalesce(list_sum(list_transform(h[1:i - 1], lambda y: length(y))), 0)::BIGINT}})) AS x "
-            f"FROM (SELECT rid, regexp_extract_all(t, '{pattern}') AS h, string_split_regex(t, '{pattern}') AS g FROM d)) WHERE {kept}"
+            f"SELECT rid, {n} AS k, '{kind}' AS kind, x.at AS s, x.at + length(x.hit) AS e FROM (SELECT rid, t, unnest(list_transform(range(1, len(h) + 1), lambda i: {{'hit': h[i], 'gap': g[i], 'next': g[i + 1], 'at': list_sum(list_transform(g[1:i], lambda y: length(y)))::BIGINT + coalesce(list_sum(list_transform(h[1:i - 1], lambda y: length(y))), 0)::BIGINT}})) AS x "
+            f"FROM (SELECT rid, t, regexp_extract_all(t, '{pattern}') AS h, string_split_regex(t, '{pattern}') AS g FROM d)) WHERE {kept}"
         )
     joined = "coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY k, s){}, '')".format
     counts = ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in BASE)

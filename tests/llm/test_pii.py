@@ -24,6 +24,13 @@ def test_base_spans_of_anything(spark, texts):
         assert [s for s in spans if s[0] in ("email", "ip", "card", "phone")] == base_spans(text), text
 
 
+def test_context_by_place(spark):
+    """A context word counts for a second match too that stands near it."""
+    a, b = "Ab12Cd34Ef56Gh78Ij90", "Zy98Xw76Vu54Ts32Rq10"
+    assert [s[0] for s in found(spark, [f"password: {a} {b}"])[0]] == ["secret"] * 2
+    assert found(spark, [f"{a} {b} " + "x " * 60 + "password"])[0] == []
+
+
 def test_checksums_and_context(spark):
     texts = ["my iban is DE89 3704 0044 0532 0130 00 thanks", "iban DE89 3704 0044 0532 0130 01", "ssn 078-05-1120", "part 078-05-1120"]
     kinds = [{s[0] for s in x} - {"card"} for x in found(spark, texts)]
