@@ -8,18 +8,23 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import kept_by_worker, stored
 
-#: Words of the model's vocabulary at most (those counted LEAST_COUNT times or more), beside the end token and one for all
-#: other words, and the classes over which the vocabulary is dealt.
-MODEL, LEAST_COUNT, CLASSES = 1 << 14, 5, 64
+#: Words of the model's vocabulary (those counted LEAST_COUNT times or more), beside the end token and one for all other
+#: words: so many, or GROWTH times the root of the training tokens, where that is more; HEAD bounds them. The classes over
+#: which the vocabulary is dealt: so many, or SPREAD times the vocabulary's root.
+MODEL, GROWTH, LEAST_COUNT, CLASSES, SPREAD = 1 << 15, 4, 5, 64, 0.7
 #: Context words, and components of a word's vector.
-CONTEXT, DIM = 2, 16
+CONTEXT, DIM = 2, 24
+#: Learners are the root of the training tokens over EACH: their number follows from the corpus, not from the tasks. All
+#: start a round from the same parameters, which are averaged after it; a single learner needs no rounds.
+EACH, ROUNDS = 1 << 20, 4
 #: Noise words for each word that is read, and how many of a class are drawn for a batch (of classes, twice as many).
-NOISE, DRAWN = 8.0, 16
+NOISE, DRAWN = 8.0, 32
 #: Tokens of a training batch, at first and at last (an eighth of what a task has read), the learning rate (of biases, a tenth), and where the sums of squared gradients start: few data then stay near
 #: the words' frequencies.
 FIRST, BATCH, RATE, START = 1 << 11, 1 << 14, 0.15, 1.0
@@ -77,8 +82,9 @@ class Model:
     among the words of its class. Words are numbered by falling count, so that a class is a range of numbers.
     """
 
-    def __init__(self, counts: np.ndarray, classes: int = CLASSES, dim: int = DIM, context: int = CONTEXT, seed: int = 7):
+    def __init__(self, counts: np.ndarray, classes: int | None = None, dim: int = DIM, context: int = CONTEXT, seed: int = 7):
         rng, n = np.random.default_rng(seed), len(counts)
+        classes = classes or max(CLASSES, int(SPREAD * n**0.5))
         mass = np.cumsum(np.sqrt(counts))
         self.of = np.unique(np.minimum((mass / mass[-1] * classes).astype(np.int64), classes - 1), return_inverse=True)[1]
         self.starts = np.searchsorted(self.of, np.arange(self.of[-1] + 2))
@@ -148,10 +154,10 @@ def above(score: np.ndarray, shift: np.ndarray) -> np.ndarray:
 class Learner:
     """Steps of noise-contrastive estimation over batches of tokens, by adaptive gradients from a model's parameters."""
 
-    def __init__(self, model: Model, noise: float = NOISE, drawn: int = DRAWN, rate: float = RATE, start: float = START, seed: int = 11):
+    def __init__(self, model: Model, noise: float = NOISE, drawn: int = DRAWN, rate: float = RATE, start: float = START, seed=11, squares: dict | None = None):
         self.m, self.noise, self.drawn, self.rate = model, noise, drawn, np.float32(rate)
         self.p = {k: v.copy() for k, v in model.params.items()}
-        self.squares = {k: np.full_like(v, start) for k, v in self.p.items()}
+        self.squares = {k: v.copy() for k, v in squares.items()} if squares else {k: np.full_like(v, start) for k, v in self.p.items()}
         self.read = np.zeros(len(model.of), np.int64)
         self.rng = np.random.default_rng(seed)
         self.word_bounds, self.class_bounds = np.cumsum(model.word_share), np.cumsum(model.class_share)
@@ -257,78 +263,124 @@ class Vocabulary:
         return {w: i for i, w in enumerate(self.words)}
 
 
-def trained(documents: DataFrame, vocabulary: Vocabulary, **options) -> Model:
-    """A model trained on every training document: each task steps through its documents, in batches of tokens, from the
-    same start, and a word's vectors are averaged over the tasks by how often each has read it."""
-    spark, name = documents.sparkSession, uuid.uuid4().hex
-    sent = spark.sparkContext.broadcast((vocabulary, options))
-    shared, own = ("c", "u", "d"), ("r", "q", "b")
+def encoded(documents: DataFrame, vocabulary: Vocabulary, learners: int, rounds: int) -> DataFrame:
+    """Each document once as numbers: doc_id, held_out, the learner and round that it is dealt to by its id, h by which a
+    learner's documents are ordered, the known words' places (-1 for others; the end last), and the others with their counts."""
+    sent, name = documents.sparkSession.sparkContext.broadcast(vocabulary), uuid.uuid4().hex
 
-    def packed(learner: Learner, part: int) -> bytes:
-        p = learner.p
-        if part == PARTS:
-            return np.concatenate([[float(learner.read.sum())], *[p[k].ravel() for k in shared]]).astype(np.float64).tobytes()
-        return np.concatenate([learner.read[part::PARTS, None], p["r"][part::PARTS], p["q"][part::PARTS], p["b"][part::PARTS, None]], 1).astype(np.float32).tobytes()
-
-    def learn(batches):
-        words, options = sent.value
-        index = kept_by_worker("index", name, words.index)
-        learner, before, ids, held, read, size = None, [], [], 0, 0, FIRST
+    def part(v, index, doc_ids, plain_ids, texts):
+        order = [zlib.crc32((t or "").encode(), zlib.crc32(str(i).encode())) for i, t in zip(plain_ids, texts)]
+        texts = [[*words_of(t), END] for t in texts]
+        dealt = [zlib.crc32(f"learner {i}".encode()) for i in plain_ids]
+        at = [np.fromiter((index.get(w, -1) for w in t), np.int32, len(t)) for t in texts]
+        tails = [Counter(w for w, i in zip(t, own.tolist()) if i < 0) for t, own in zip(texts, at)]
+        columns = [[held_out(i) for i in plain_ids], [x % learners for x in dealt], [x // learners % rounds for x in dealt], order, at, [list(c) for c in tails], [list(c.values()) for c in tails]]
+        kinds = [pa.bool_(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.int64())]
+        return pa.RecordBatch.from_arrays([doc_ids, *[pa.array(c, t) for c, t in zip(columns, kinds)]], ["doc_id", "held_out", "learner", "round", "h", "ids", "words", "times"])
+
+    def encode(batches):
+        v = sent.value
+        index = kept_by_worker("index", name, v.index)
         for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if trains(i):
-                    learner = learner or Learner(Model(words.sizes, **options))
-                    own_words = words_of(text)
-                    new = words.model_ids[np.fromiter((index.get(w, -1) for w in own_words), np.int64, len(own_words))]
-                    new = np.append(new, words.end)
-                    before.append(before_each(new, learner.m.context, words.end))
+            plain, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for first, last in parts_of(texts, SCORED):
+                yield part(v, index, batch.column(0).slice(first, last - first), plain[first:last], texts[first:last])
+
+    kind = dict(documents.dtypes)["doc_id"]
+    return stored(documents.select("doc_id", "text").mapInArrow(encode, f"doc_id {kind}, held_out boolean, learner int, round int, h bigint, ids array<int>, words array<binary>, times array<bigint>"), "encoded")
+
+
+def trained(rows: DataFrame, vocabulary: Vocabulary, total: int, learners: int, rounds: int, **options) -> Model:
+    """A model trained on all training documents of `encoded` rows.
+
+    In each round every learner steps through its documents of that round, in their order, from the same parameters and
+    sums of squared gradients; a word's are then averaged over the learners by how often each has read it, in the
+    learners' order. Neither the dealing nor the order depends on how the rows lie in partitions, so that runs agree.
+    """
+    spark, shared, own = rows.sparkSession, ("c", "u", "d"), ("r", "q", "b")
+    model = Model(vocabulary.sizes, **options)
+    squares = None
+    rows = rows.where("not held_out").select("learner", "round", "h", "ids")
+    for turn in range(rounds):
+        sent = spark.sparkContext.broadcast((vocabulary, model, squares))
+        began = total // (learners * rounds) * turn
+
+        def learn(batches, sent=sent, turn=turn, began=began):
+            words, model, squares = sent.value
+            now, learner, before, ids, held, read, size = None, None, [], [], 0, 0, 0
+
+            def packed():
+                both = [{k: x[k] for k in (*shared, *own)} for x in (learner.p, learner.squares)]
+                for part in range(PARTS):
+                    x = [x[:, None] if x.ndim == 1 else x for x in (learner.read[part::PARTS], *(p[k][part::PARTS] for p in both for k in own))]
+                    yield part, np.concatenate(x, 1).astype(np.float32).tobytes()
+                yield PARTS, np.concatenate([[float(learner.read.sum())], *[p[k].ravel() for p in both for k in shared]]).astype(np.float64).tobytes()
+
+            def done():
+                if held:
+                    learner.step(np.concatenate(before, 1), np.concatenate(ids))
+                for part, data in packed():
+                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([now], pa.int32()), pa.array([data], pa.binary())], ["part", "learner", "data"])
+
+            for batch in batches:
+                for who, at in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    if who != now:
+                        if learner:
+                            yield from done()
+                        now, learner = who, Learner(model, seed=[turn, who], squares=squares)
+                        before, ids, held, read = [], [], 0, began
+                        size = min(BATCH, max(FIRST, read // 8))
+                    new = words.model_ids[at.values.to_numpy(zero_copy_only=False)]
+                    before.append(before_each(new, model.context, words.end))
                     ids.append(new)
                     held += len(new)
-                if held >= size:
-                    x, y, at = np.concatenate(before, 1), np.concatenate(ids), 0
-                    while held - at >= size:
-                        learner.step(x[:, at : at + size], y[at : at + size])
-                        at, read = at + size, read + size
-                        size = min(BATCH, max(FIRST, read // 8))
-                    before, ids, held = [x[:, at:]], [y[at:]], held - at
-        if learner:
-            if held:
-                learner.step(np.concatenate(before, 1), np.concatenate(ids))
-            for part in range(PARTS + 1):
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([packed(learner, part)], pa.binary())], ["part", "data"])
-
-    def averaged(batches):
-        words, options = sent.value
-        width, sums = 2 * options.get("dim", DIM) + 2, {}
-        for batch in batches:
-            for part, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                x = np.frombuffer(data, np.float64 if part == PARTS else np.float32).astype(np.float64)
-                x = x if part == PARTS else x.reshape(-1, width)
-                weight = x[:1] if part == PARTS else x[:, :1]
-                x = np.concatenate([weight, x[len(weight) :] * weight]) if part == PARTS else np.concatenate([weight, x[:, 1:] * weight], 1)
-                sums[part] = sums[part] + x if part in sums else x
-        for part, x in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["part", "data"])
-
-    found = documents.select("doc_id", "text").mapInArrow(learn, "part int, data binary")
-    model = Model(vocabulary.sizes, **options)
-    width = 2 * model.dim + 2
-    for part, data in found.repartition(PARTS, "part").mapInArrow(averaged, "part int, data binary").collect():  # a row for each part
-        x = np.frombuffer(data, np.float64)
-        if part == PARTS:
-            x, at = (x[1:] / x[0]).astype(np.float32), 0
-            for k in shared:
-                n = model.params[k].size
-                model.params[k], at = x[at : at + n].reshape(model.params[k].shape), at + n
-        else:
-            x = x.reshape(-1, width)
-            read = np.flatnonzero(x[:, 0] > 0)
-            mean, at = (x[read, 1:] / x[read, :1]).astype(np.float32), part + PARTS * read
-            model.params["r"][at], model.params["q"][at], model.params["b"][at] = mean[:, : model.dim], mean[:, model.dim : -1], mean[:, -1]
+                    if held >= size:
+                        x, y, place = np.concatenate(before, 1), np.concatenate(ids), 0
+                        while held - place >= size:
+                            learner.step(x[:, place : place + size], y[place : place + size])
+                            place, read = place + size, read + size
+                            size = min(BATCH, max(FIRST, read // 8))
+                        before, ids, held = [x[:, place:]], [y[place:]], held - place
+            if learner:
+                yield from done()
+
+        def averaged(batches, dim=model.dim):
+            width, sums = 4 * dim + 3, {}
+            for batch in batches:
+                for part, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                    x = np.frombuffer(data, np.float64 if part == PARTS else np.float32).astype(np.float64)
+                    x = x[None] if part == PARTS else x.reshape(-1, width)
+                    x = np.concatenate([x[:, :1], x[:, 1:] * x[:, :1]], 1)
+                    sums[part] = sums[part] + x if part in sums else x
+            for part, x in sums.items():
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["part", "data"])
+
+        dealt = rows.where(F.col("round") == turn).drop("round").repartition(learners, "learner").sortWithinPartitions("learner", "h", "ids")
+        found = dealt.select("learner", "ids").mapInArrow(learn, "part int, learner int, data binary")
+        means = found.repartition(PARTS, "part").sortWithinPartitions("part", "learner").mapInArrow(averaged, "part int, data binary").collect()  # a row for each part
+        squares = squares or Learner(model).squares
+        for part, data in means:
+            x = np.frombuffer(data, np.float64)
+            if part == PARTS:
+                x, at = (x[1:] / x[0]).astype(np.float32), 0
+                for into in (model.params, squares):
+                    for k in shared:
+                        n = into[k].size
+                        into[k], at = x[at : at + n].reshape(into[k].shape), at + n
+            else:
+                x = x.reshape(-1, 4 * model.dim + 3)
+                read = np.flatnonzero(x[:, 0] > 0)
+                mean, at, first = (x[read, 1:] / x[read, :1]).astype(np.float32), part + PARTS * read, 0
+                for into in (model.params, squares):
+                    for k in own:
+                        n = 1 if into[k].ndim == 1 else model.dim
+                        into[k][at] = mean[:, first] if n == 1 else mean[:, first : first + n]
+                        first += n
+        sent.unpersist()
     return model
 
 
-def scored(documents: DataFrame, head: int = HEAD, most: int = MODEL, **options) -> DataFrame:
+def scored(documents: DataFrame, head: int = HEAD, most: int | None = None, learners: int | None = None, rounds: int = ROUNDS, **options) -> DataFrame:
     """A row for each document row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score.
 
     Tokens are the lower-cased (A-Z) words of the whole text and one end. Training documents are those whose
@@ -336,7 +388,7 @@ def scored(documents: DataFrame, head: int = HEAD, most: int = MODEL, **options)
     training. base_score is the smoothed unigram's log10 probability. score is the log-bilinear model's: the class and then
     the word given the words before it (the end token before the first), and, for a word outside the model's vocabulary,
     the smoothed share of that word among all such words, one share being left for words never seen: the probabilities
-    of all next words add up to 1. A null or empty text is the end alone; repeated rows are scored each; an empty table
+    of all next words add up to 1. The model depends on the documents alone, not on how they lie in partitions. A null or empty text is the end alone; repeated rows are scored each; an empty table
     gives no rows.
     """
     spark = documents.sparkSession
@@ -352,36 +404,37 @@ def scored(documents: DataFrame, head: int = HEAD, most: int = MODEL, **options)
     known = {bytes(r["word"]): r["n"] for r in counts.where(step >= least).collect()}
     if END not in known:  # it is not among the head's words, or there is no training document
         known |= {bytes(r["word"]): r["n"] for r in counts.where(F.col("word") == F.lit(END)).collect()}
-    vocabulary = Vocabulary(known, total, distinct, most)
-    model = trained(documents, vocabulary, **options)
+    vocabulary = Vocabulary(known, total, distinct, most or max(MODEL, int(GROWTH * total**0.5)))
+    learners = learners or max(1, round((total / EACH) ** 0.5))
+    rounds = rounds if learners > 1 else 1
+    rows = encoded(documents, vocabulary, learners, rounds)
+    model = trained(rows, vocabulary, total, learners, rounds, **options)
     base_floor, rest_floor = np.log10(total + SMOOTH * (distinct + 1)), np.log10(vocabulary.rest + SMOOTH * (vocabulary.kinds + 1))
-    sent, name = spark.sparkContext.broadcast((vocabulary, model)), uuid.uuid4().hex
+    sent = spark.sparkContext.broadcast((vocabulary, model))
 
     def begun(batches):
         v, m = sent.value
-        index = kept_by_worker("index", name, v.index)
         for batch in batches:
-            ids_of, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for first, last in parts_of(texts, SCORED):
-                yield part(v, m, index, batch.column(0).slice(first, last - first), ids_of[first:last], texts[first:last])
-
-    def part(v, m, index, doc_ids, plain_ids, texts):
-        texts = [[*words_of(t), END] for t in texts]
-        sizes = np.array([len(t) for t in texts])
+            sizes = pc.list_value_length(batch.column(4)).to_numpy(zero_copy_only=False)
+            slot = (np.cumsum(sizes) - sizes) // SCORED
+            cuts = np.flatnonzero(np.diff(slot, prepend=-1)).tolist() + [batch.num_rows]
+            for first, last in zip(cuts, cuts[1:]):
+                yield part(v, m, batch.slice(first, last - first))
+
+    def part(v, m, batch):
+        sizes = pc.list_value_length(batch.column(4)).to_numpy(zero_copy_only=False).astype(np.int64)
         starts = np.cumsum(sizes) - sizes
-        at = np.fromiter((index.get(w, -1) for t in texts for w in t), np.int64, sizes.sum())
+        at = batch.column(4).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
         ids = v.model_ids[at]
         before = np.concatenate([before_each(x, m.context, v.end) for x in np.split(ids, starts[1:])], 1)
         logs = np.concatenate([m.scores(before[:, i : i + SCORED], ids[i : i + SCORED]) for i in range(0, len(ids), SCORED)]) / np.log(10)
         logs = logs + np.where(ids == v.other, v.logs[at] - rest_floor, 0.0)
-        base, model_score, seen = (np.add.reduceat(x, starts) for x in (v.logs[at] - base_floor, logs, v.seen[at].astype(np.int64)))
-        tails = [Counter(w for w, i in zip(t, at[a : a + n].tolist()) if i < 0) for t, a, n in zip(texts, starts.tolist(), sizes.tolist())]
-        columns = [[held_out(i) for i in plain_ids], sizes, seen, base, model_score, [list(c.keys()) for c in tails], [list(c.values()) for c in tails]]
-        kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
-        return pa.RecordBatch.from_arrays([doc_ids, *[pa.array(c, t) for c, t in zip(columns, kinds)]], ["doc_id", "held_out", "n_tokens", "known", "base", "model", "words", "times"])
-
-    fields = f"doc_id {dict(documents.dtypes)['doc_id']}, held_out boolean, n_tokens bigint, known bigint, base double, model double, words array<binary>, times array<bigint>"
-    first = stored(documents.select("doc_id", "text").mapInArrow(begun, fields).withColumn("row", F.monotonically_increasing_id()), "scored")
+        columns = [sizes, *(np.add.reduceat(x, starts) for x in (v.seen[at].astype(np.int64), v.logs[at] - base_floor, logs))]
+        return pa.RecordBatch.from_arrays([*batch.columns[:4], *map(pa.array, columns)], [*batch.schema.names[:4], "n_tokens", "known", "base", "model"])
+
+    fields = f"doc_id {dict(documents.dtypes)['doc_id']}, held_out boolean, words array<binary>, times array<bigint>, n_tokens bigint, known bigint, base double, model double"
+    done = rows.select("doc_id", "held_out", "words", "times", "ids").mapInArrow(begun, fields)
+    first = stored(done.withColumn("row", F.monotonically_increasing_id()), "scored")
     tail = first.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
     tail = tail.join(counts.where((step < least) & (F.col("word") != F.lit(END))).withColumnRenamed("word", "w"), F.col("word") == F.col("w"), "left")
     gain = F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + SMOOTH)
