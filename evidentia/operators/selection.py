@@ -46,13 +46,13 @@ def greedy_fit(costs: Column, budget, stop: bool = False) -> Column:
 def pruned(items: DataFrame, key: str, text: str, query: str, budget: int, separator: str = r"\n", joint: str = "\n\n", least: int = 30) -> DataFrame:
     """(key, text, dropped): each item's text within a budget of characters.
 
-    A text that fits stays. Else its paragraphs are taken by falling score, then place, each with one character more
+    A text that fits stays. Else its paragraphs are taken by falling score (to nine digits), then place, each with one character more
     than its length, those that do not fit being skipped; if the best one does not fit, it is cut and stands alone. What
     is taken stands in its first order, with a mark of how many were left out.
     """
     whole = F.trim(F.coalesce(F.col(text), F.lit("")))
     scores = passage_scores(items.where(F.length(whole) > budget), key, text, query, separator, least)
-    own = scores.groupBy(key).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("rank"), "pos", (F.length("passage") + 1).cast("bigint").alias("cost"), "passage"))).alias("ps"))
+    own = scores.groupBy(key).agg(F.array_sort(F.collect_list(F.struct((-F.round("score", 9)).alias("rank"), "pos", (F.length("passage") + 1).cast("bigint").alias("cost"), "passage"))).alias("ps"))
     kept = greedy_fit(F.col("ps"), budget)
     own = own.select(key, "ps", kept.alias("kept"))
     alone = F.col("ps")[0]["cost"] > budget

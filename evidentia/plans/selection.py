@@ -15,7 +15,7 @@ def words_sql(text: str) -> str:
 
 
 PASSAGES = (
-    "p AS (SELECT d.doc_id, b.text AS query, list_filter(list_transform(string_split(d.text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> '') AS a FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40), "
+    "p AS (SELECT d.doc_id, b.text AS query, list_filter(list_transform(string_split(d.text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> '') AS a FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)), "
     "q AS (SELECT doc_id, query, unnest(a) AS x, generate_subscripts(a, 1) AS i FROM p), g AS (SELECT doc_id, query, x, i, sum(CASE WHEN i = 1 OR length(x) >= 30 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM q), "
     f"r AS (SELECT doc_id, any_value(query) AS query, n - 1 AS pos, string_agg(x, chr(10) ORDER BY i) AS passage FROM g GROUP BY doc_id, n), t AS (SELECT *, {words_sql('passage')} AS ts, count(*) OVER (PARTITION BY doc_id) AS total FROM r), "
     f"qw AS (SELECT DISTINCT doc_id, unnest({words_sql('query')}) AS w FROM r), pw AS (SELECT doc_id, pos, unnest(ts) AS w FROM t), h AS (SELECT pw.* FROM pw JOIN qw USING (doc_id, w)), df AS (SELECT doc_id, w, count(*) AS c FROM h GROUP BY doc_id, w), "
@@ -26,7 +26,7 @@ PASSAGES = (
 
 def with_query(spark, d):
     docs, items = table(spark, d, "documents"), table(spark, d, "benchmark")
-    return docs.withColumn("item_id", F.col("doc_id") % 40).join(items.withColumnRenamed("text", "query"), "item_id")
+    return docs.withColumn("item_id", F.col("doc_id") % max(1, items.count())).join(items.withColumnRenamed("text", "query"), "item_id")
 
 
 @query("para_score", f"WITH {PASSAGES} SELECT doc_id, pos::BIGINT AS pos, round(score, 6) AS score FROM sc")
@@ -35,14 +35,30 @@ def para_score(spark, d):
     return scores.select("doc_id", F.col("pos").cast("bigint").alias("pos"), F.round("score", 6).alias("score"))
 
 
-@query("prune_paragraphs")
+@query(
+    "prune_paragraphs",
+    f"WITH {PASSAGES}, o AS (SELECT doc_id, list({{'used': length(passage)::BIGINT + 1, 'kept': [{{'pos': pos, 'p': passage}}]}} ORDER BY round(score, 9) DESC, pos) AS xs FROM sc GROUP BY doc_id), "
+    "kf AS (SELECT doc_id, xs, list_reduce(list_prepend({'used': 0::BIGINT, 'kept': xs[1].kept[1:0]}, xs), lambda s, x: CASE WHEN s.used + x.used <= 1200 THEN {'used': s.used + x.used, 'kept': list_concat(s.kept, x.kept)} ELSE s END).kept AS kept FROM o), "
+    "w AS (SELECT doc_id, trim(text, ' ') AS t FROM documents), c AS (SELECT doc_id, xs[1].used > 1200 AS alone, xs[1].kept[1].p AS best, len(xs) AS n, kept FROM kf), "
+    "z AS (SELECT w.doc_id, CASE WHEN length(t) <= 1200 THEN 0 WHEN alone THEN n - 1 ELSE n - len(kept) END AS dropped, CASE WHEN length(t) <= 1200 THEN t ELSE CASE WHEN alone THEN left(best, 1200) ELSE array_to_string(list_transform(list_sort(kept), lambda x: x.p), chr(10) || chr(10)) END || CASE WHEN alone AND n > 1 THEN chr(10) || chr(10) || '[+' || (n - 1) || ']' WHEN NOT alone AND n > len(kept) THEN chr(10) || chr(10) || '[+' || (n - len(kept)) || ']' ELSE '' END END AS text FROM w JOIN c USING (doc_id)) "
+    "SELECT doc_id, dropped, length(text) AS n_chars, md5(text) AS digest FROM z",
+)
 def prune_paragraphs(spark, d):
     """The best passages of each document for its query, within 1,200 characters."""
     kept = S.pruned(with_query(spark, d), "doc_id", "text", "query", 1200)
     return kept.select("doc_id", "dropped", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("digest"))
 
 
-@query("evidence_pack")
+BARE = "regexp_replace(text, '[^\\p{L}\\p{N}_]+', '', 'g')"
+
+
+@query(
+    "evidence_pack",
+    f"WITH d AS (SELECT item_id, doc_id AS pos, n_chars % 97 / 97.0::DOUBLE AS relevance, documents.text, {BARE.replace('text', 'documents.text')} AS fp FROM documents JOIN benchmark ON item_id = doc_id % (SELECT count(*) FROM benchmark)), "
+    "u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id, fp ORDER BY pos) AS k FROM d) WHERE k = 1 OR fp = ''), f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY relevance DESC, pos) AS rank FROM u) WHERE rank <= 5), "
+    "c AS (SELECT item_id, pos, relevance, left(text, greatest(300, 6000 // count(*) OVER (PARTITION BY item_id))::INT) AS text FROM f), g AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY relevance DESC, pos) AS r, count(*) OVER (PARTITION BY item_id) AS n FROM c WHERE text <> '') "
+    "SELECT item_id, pos, row_number() OVER (PARTITION BY item_id ORDER BY CASE WHEN n >= 3 AND r = 1 THEN 0 WHEN n >= 3 AND r = 2 THEN 2 ELSE 1 END, pos) AS place, md5(text) AS digest FROM g",
+)
 def evidence_pack(spark, d):
     """The five most relevant documents of each query, packed into 6,000 characters. Of equal fingerprints only the first
     takes a place; ids alone are compared, and texts are fetched for those chosen."""
@@ -54,7 +70,13 @@ def evidence_pack(spark, d):
     return S.packed_evidence(docs.join(few, ["item_id", "pos"], "left_semi"), "item_id", 6000).select("item_id", "pos", "place", F.md5("text").alias("digest"))
 
 
-@query("quota_topk")
+@query(
+    "quota_topk",
+    "WITH d AS (SELECT lang, source, doc_id AS pos, n_chars % 1000 / 1000.0::DOUBLE AS score FROM documents), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY score DESC, pos) AS k FROM d) WHERE k <= 5), "
+    "o AS (SELECT lang, list({'o': [{'rank': -score, 'pos': pos, 'source': source}]} ORDER BY score DESC, pos) AS xs FROM b GROUP BY lang), "
+    "c AS (SELECT lang, list_transform(xs, lambda x: x.o[1]) AS every, CASE WHEN len(xs) <= 5 THEN list_transform(xs, lambda x: x.o[1]) ELSE list_reduce(list_prepend({'o': xs[1].o[1:0]}, xs), lambda s, x: CASE WHEN len(s.o) >= 5 OR (len(list_filter(s.o, lambda y: y.source = x.o[1].source)) >= 2 AND len(s.o) < 4) THEN s ELSE {'o': list_concat(s.o, x.o)} END).o END AS got FROM o), "
+    "f AS (SELECT lang, list_concat(got, list_filter(every, lambda x: NOT list_contains(got, x)))[1:5] AS xs FROM c) SELECT lang, generate_subscripts(xs, 1)::INT AS place, unnest(xs).pos AS pos, unnest(xs).source AS source FROM f",
+)
 def quota_topk(spark, d):
     """Five documents of a language, of one source two at most, but for the last place."""
     best = Window.partitionBy("lang", "source").orderBy(F.desc("score"), "pos")

@@ -155,10 +155,11 @@ def dose_parse(spark, d):
     )
 
 
-@query("md5_score", "SELECT doc_id, item_id, round(0.5::DOUBLE + 0.5::DOUBLE * (('0x' || substr(md5(b.text || d.source), 1, 4))::BIGINT / 65535::DOUBLE) - 0.05::DOUBLE * (doc_id % 5), 4) AS score FROM documents d JOIN benchmark b ON b.item_id = doc_id % 40")
+@query("md5_score", "SELECT doc_id, item_id, round(0.5::DOUBLE + 0.5::DOUBLE * (('0x' || substr(md5(b.text || d.source), 1, 4))::BIGINT / 65535::DOUBLE) - 0.05::DOUBLE * (doc_id % 5), 4) AS score FROM documents d JOIN benchmark b ON b.item_id = doc_id % (SELECT count(*) FROM benchmark)")
 def md5_score(spark, d):
     """A deterministic score of a query and a title, as an offline stand-in for a search service."""
-    docs, items = table(spark, d, "documents").select("doc_id", "source", (F.col("doc_id") % 40).alias("item_id")), table(spark, d, "benchmark")
+    items = table(spark, d, "benchmark")
+    docs = table(spark, d, "documents").select("doc_id", "source", (F.col("doc_id") % max(1, items.count())).alias("item_id"))
     share = F.conv(F.substring(F.md5(F.concat("text", "source")), 1, 4), 16, 10).cast("double") / 65535
     return docs.join(items, "item_id").select("doc_id", "item_id", F.round(0.5 + 0.5 * share - 0.05 * (F.col("doc_id") % 5), 4).alias("score"))
 
