@@ -183,41 +183,43 @@ HOW = {"v1": Harvest(cited_v1), "v2": Harvest(cited_v2, numbered=True, most=4000
 
 
 def cited_objects(payloads: DataFrame, key: str, payload: str, how: Harvest, deepest: int) -> DataFrame:
-    """(key, at, cite_uid, body) of every cited object; `at` is its path of places, parents before what they hold.
+    """(__key, at, cite_uid, body) of every cited object; `at` is its path of places, parents before what they hold.
 
     One round for each level: what is left of a level are the objects and arrays that can hold a citation. A payload that
     is no JSON, or repeats a key, holds none.
     """
     path = F.array().cast("array<int>")
     own = F.when(F.ltrim(F.col(payload)).rlike(r"^[\[{]") & F.try_parse_json(payload).isNotNull(), F.col(payload))
-    left = payloads.select(F.col(key), path.alias("at"), own.alias("raw")).where("raw is not null")
-    parts = []
+    left = payloads.select(F.col(key).alias("__key"), path.alias("at"), own.alias("raw")).where("raw is not null")
+    cited, deep = [], None
     for _ in range(deepest):
         left = stored(left, "level")
         if left.isEmpty():
             break
         rows = left.withColumn("entries", entries_of(F.col("raw")))
-        cited = named(F.col("entries"), "cite_uid")
-        objects = rows.where(F.ltrim("raw").startswith("{") & (cited["kind"] == "STRING") & (cited["raw"] != ""))
-        body = body_column(F.col("entries"), how.numbered)
-        if how.numbered:
-            body = F.array_join(F.filter(F.array(head_column(F.col("entries")), body), lambda x: x != ""), "\n")
-        parts.append(objects.select(key, "at", cited["raw"].alias("cite_uid"), (body if how.most is None else F.left(body, F.lit(how.most))).alias("body")))
-        inner = rows.select(key, "at", F.posexplode("entries").alias("pos", "x")).select(key, F.concat("at", F.array("pos")).alias("at"), "x.*")
+        uid = named(F.col("entries"), "cite_uid")
+        cited.append(rows.where(F.ltrim("raw").startswith("{") & (uid["kind"] == "STRING") & (uid["raw"] != "")).select("__key", "at", uid["raw"].alias("cite_uid"), "raw"))
+        inner = rows.select("__key", "at", F.posexplode("entries").alias("pos", "x")).select("__key", F.concat("at", F.array("pos")).alias("at"), "x.raw", "x.kind")
         nested = F.col("kind").rlike("^(OBJECT|ARRAY)")
         if how.strings:
             nested = nested | ((F.col("kind") == "STRING") & F.ltrim("raw").rlike(r"^[\[{]") & F.try_parse_json("raw").isNotNull())
         # A key may be spelled with an escape where the text has not been parsed yet.
-        left = inner.where(nested & (F.contains("raw", F.lit("cite_uid")) | F.contains("raw", F.lit("\\u")))).select(key, "at", "raw")
+        left = inner.where(nested & (F.contains("raw", F.lit("cite_uid")) | F.contains("raw", F.lit("\\u")))).select("__key", "at", "raw")
     else:
         left = stored(left, "level")
         if not left.isEmpty():
-            parts.append(deeper(left, key, how))
-    empty = payloads.sparkSession.createDataFrame([], f"{key} {dict(payloads.dtypes)[key]}, at array<int>, cite_uid string, body string")
-    return reduce(DataFrame.unionByName, parts, empty)
-
-
-def deeper(left: DataFrame, key: str, how: Harvest) -> DataFrame:
+            deep = deeper(left, how)
+    none = payloads.sparkSession.createDataFrame([], f"__key {dict(payloads.dtypes)[key]}, at array<int>, cite_uid string, raw string")
+    # The bodies of all levels at once: they are the larger part of the work.
+    objects = reduce(DataFrame.unionByName, cited, none).withColumn("entries", entries_of(F.col("raw")))
+    body = body_column(F.col("entries"), how.numbered)
+    if how.numbered:
+        body = F.array_join(F.filter(F.array(head_column(F.col("entries")), body), lambda x: x != ""), "\n")
+    found = objects.select("__key", "at", "cite_uid", (body if how.most is None else F.left(body, F.lit(how.most))).alias("body"))
+    return found if deep is None else found.unionByName(deep)
+
+
+def deeper(left: DataFrame, how: Harvest) -> DataFrame:
     """What is nested deeper than rounds go: read value by value."""
 
     def rows(batches):
@@ -229,9 +231,9 @@ def deeper(left: DataFrame, key: str, how: Harvest) -> DataFrame:
                     paths.append([*at, n])
                     cites.append(cite)
                     bodies.append(body)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(places, pa.int64())), pa.array(paths, pa.list_(pa.int32())), pa.array(cites, pa.string()), pa.array(bodies, pa.string())], [key, "at", "cite_uid", "body"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(places, pa.int64())), pa.array(paths, pa.list_(pa.int32())), pa.array(cites, pa.string()), pa.array(bodies, pa.string())], ["__key", "at", "cite_uid", "body"])
 
-    return left.mapInArrow(rows, f"{key} {dict(left.dtypes)[key]}, at array<int>, cite_uid string, body string")
+    return left.mapInArrow(rows, f"__key {dict(left.dtypes)['__key']}, at array<int>, cite_uid string, body string")
 
 
 def harvested(payloads: DataFrame, key: str, payload: str, how: str = "v1", first: bool = False, blank: bool = False, deepest: int = 64) -> DataFrame:
@@ -245,11 +247,11 @@ def harvested(payloads: DataFrame, key: str, payload: str, how: str = "v1", firs
     if HOW[how].strings:
         found = stored(found, "cited")
         ids = F.array_distinct(F.regexp_extract_all(F.coalesce(payload, F.lit("")), F.lit(CITE.pattern), F.lit(0)))
-        bare = payloads.join(found.select(F.col(key).alias("__key")).distinct(), F.col(key) == F.col("__key"), "left_anti")
-        said = bare.select(key, F.posexplode(ids).alias("pos", "cite_uid"))
-        found = found.unionByName(said.select(key, F.array("pos").alias("at"), "cite_uid", F.lit("").alias("body")))
+        bare = payloads.join(found.select("__key").distinct(), F.col(key) == F.col("__key"), "left_anti")
+        said = bare.select(F.col(key).alias("__key"), F.posexplode(ids).alias("pos", "cite_uid"))
+        found = found.unionByName(said.select("__key", F.array("pos").alias("at"), "cite_uid", F.lit("").alias("body")))
     rank = F.struct("at") if first else F.struct(-F.length("body"), "at")
-    best = found.groupBy(key, "cite_uid").agg(F.min_by("body", rank).alias("body"))
+    best = found.groupBy("__key", "cite_uid").agg(F.min_by("body", rank).alias("body")).withColumnRenamed("__key", key)
     return best if blank else best.where(F.col("body").rlike(r"\S"))
 
 
