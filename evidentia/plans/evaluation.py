@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluation as V
 from ..operators import linediff as D
-from ..sources.shared import stored
+from ..sources import files
+from ..sources.providers import called
+from ..sources.shared import new_path, stored
 from .common import query, quoted, table
 
 RUNS = "(SELECT user_id, event_type, event_id, value, floor(value * 10)::BIGINT AS latency, event_type = 'error' AS failed FROM events)"
@@ -138,3 +140,32 @@ def run_line_diff(spark, d):
     found = stored(D.line_diffs(docs, later_run(spark, d), "doc_id", "text"), "diffs")
     after = D.patched(docs, "doc_id", "text", found).select(F.col("doc_id").alias("id"), F.md5("patched").alias("after"))
     return found.join(after, F.col("doc_id") == F.col("id")).select("doc_id", "n_removed", "n_added", "after")
+
+
+#: A collection in two variants, each in a file of its own.
+VARIANTS = {"full": "full.jsonl", "numbers": "with-numbers.jsonl"}
+
+
+@query("benchmark_variants", "SELECT 'full' AS variant, item_id, md5(text) AS digest FROM benchmark UNION ALL SELECT 'numbers', item_id, md5(text) FROM benchmark WHERE regexp_matches(text, '[0-9]')")
+def benchmark_variants(spark, d):
+    """The benchmark's items as JSON lines in two named variants, read back by their names."""
+    items, folder = table(spark, d, "benchmark").select("item_id", "text"), new_path(spark, "variants")
+    for name, rows in (("full", items), ("numbers", items.where(F.col("text").rlike("[0-9]")))):
+        rows.select(F.to_json(F.struct("item_id", "text", F.lit(name).alias("unread"))).alias("value")).write.text(f"{folder}/{VARIANTS[name]}")
+    read = [files.variant_lines(spark, folder, v, VARIANTS, "item_id bigint, text string").select(F.lit(v).alias("variant"), "item_id", F.md5("text").alias("digest")) for v in VARIANTS]
+    return read[0].unionByName(read[1])
+
+
+def ends_well(text: str) -> bool:
+    """An offline judge: whether a text ends with a full stop; it gives no verdict on what is too short to judge."""
+    if len(text) < 40:
+        raise ValueError("too short to judge")
+    return text.rstrip().endswith(".")
+
+
+@query("judge_verdicts", "SELECT conv_id, turn, CASE WHEN length(text) >= 40 THEN ends_with(rtrim(text), '.') END AS verdict, CASE WHEN length(text) >= 40 THEN ends_with(rtrim(text), '.') ELSE regexp_matches(text, '[0-9]') END AS accepted FROM conversations WHERE role = 'assistant'")
+def judge_verdicts(spark, d):
+    """Answers as a judge sees them; where it fails there is no verdict, and a rule stands in for it."""
+    answers = table(spark, d, "conversations").where("role = 'assistant'").select("conv_id", "turn", "text")
+    done = called(answers, "text", ends_well, "verdict", "boolean")
+    return done.select("conv_id", "turn", "verdict", F.coalesce("verdict", F.col("text").rlike("[0-9]")).alias("accepted"))

@@ -18,6 +18,14 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return lines.select(F.from_json("value", schema).alias("x")).select("x.*")
 
 
+def variant_lines(spark: SparkSession, folder: str, variant: str, variants: dict[str, str], schema: str) -> DataFrame:
+    """The rows of one of a collection's named variants: `variants` has the file of each. A name that it does not have is an
+    error that says which there are; what a line holds beyond the schema is left out."""
+    if variant not in variants:
+        raise ValueError(f"no variant {variant!r}; there are {', '.join(sorted(variants))}")
+    return json_lines(spark, f"{folder.rstrip('/')}/{variants[variant]}", schema)
+
+
 def csv_rows(spark: SparkSession, path: str, aliases: dict[str, list[str]]) -> DataFrame:
     """The logical columns of a CSV file with a header, each from the first of its names whose value is not blank."""
     rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)

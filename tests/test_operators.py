@@ -41,6 +41,8 @@ def test_text_functions(spark):
     assert one(spark, "x [pt]", X.decorated("text", "[pt]", "review[pt]")) == "x [pt]"
     assert one(spark, "x", X.templated([(F.lit(True), "a"), (F.lit(False), "b"), (F.lit(True), "c")])) == "a\nc"
     assert one(spark, "안녕 hello", X.language("text")) == "ko"
+    assert one(spark, "é\"", X.compact(F.struct(F.col("text").alias("a"), F.lit(1).alias("b")), 40)) == '{"a":"é\\"","b":1}'
+    assert one(spark, "x" * 20, X.compact(F.struct(F.col("text").alias("a")), 8)) == '{"a":"xx...'
     assert one(spark, "타이레놀정", X.names_product("text")) and not one(spark, "두통", X.names_product("text"))
 
 
@@ -257,6 +259,13 @@ def test_overlays(spark):
     assert [r[0] for r in spark.createDataFrame([(" ", "b")], "p string, q string").select(first_filled(spark.createDataFrame([(" ", "b")], "p string, q string"), ["n", "p", "q"])).collect()] == ["b"]
 
 
+def test_named_variants(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"k": 1, "more": 2}\n\n{"k": 3}\n')
+    assert [r["k"] for r in files.variant_lines(spark, str(tmp_path), "full", {"full": "a.jsonl"}, "k int").collect()] == [1, 3]
+    with pytest.raises(ValueError, match="there are full"):
+        files.variant_lines(spark, str(tmp_path), "hard", {"full": "a.jsonl"}, "k int")
+
+
 def test_rule_packs():
     assert rules.checked([("a", ["x", "("]), ("b", ["y"])], {"a"}) == [("a", ["x"])]
     assert rules.laid_over([("a", ["1"]), ("b", ["2"])], [("b", ["3"]), ("c", ["4"])]) == [("a", ["1"]), ("b", ["3"]), ("c", ["4"])]
