@@ -184,7 +184,8 @@ def session_fold(spark, d):
     """The session facts from a stream of the turns, read to its end; of each conversation the last row counts."""
     path = new_path(spark, "session")
     schema = table(spark, d, "conversations").schema
-    turns = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(d)
+    # A pattern, since a stream takes a single file by no other path; it fits a folder of parts as well.
+    turns = spark.readStream.schema(schema).parquet(f"{d}/conversations.parque[t]")
     facts = session_stream(turns, **PACK, cuts=(800, 1200))
     running = facts.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{path}/state").option("path", f"{path}/facts").trigger(availableNow=True).start()
     running.awaitTermination()
