@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import uuid
+import math
 import zlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept_by_worker, stored
+from .common import stored
 
 #: Words of the model's vocabulary (those counted LEAST_COUNT times or more), beside the end token and one for all other
 #: words: so many, or GROWTH times the root of the training tokens, where that is more; HEAD bounds them. The classes over
@@ -28,18 +27,38 @@ NOISE, DRAWN = 8.0, 32
 #: Tokens of a training batch, at first and at last (an eighth of what a task has read), the learning rate (of biases, a tenth), and where the sums of squared gradients start: few data then stay near
 #: the words' frequencies.
 FIRST, BATCH, RATE, START = 1 << 11, 1 << 14, 0.15, 1.0
+#: Tokens that are held against all classes at once: what they need stays in a processor's cache.
+AT_ONCE = 1 << 10
 #: Words whose counts go to every task; the counts of the others are joined.
 HEAD = 1 << 17
 SMOOTH = 0.1
 END = b"\n"  # no word holds a blank
-#: Different words that a counting task holds at once, and tokens that are scored at once.
-HELD_WORDS, SCORED = 1 << 18, 1 << 14
+#: Characters of texts that are split into words at once (one text at least), and tokens that are scored at once.
+SPLIT, SCORED = 1 << 24, 1 << 16
 #: Parts in which tasks' parameters travel to where they are averaged.
 PARTS = 64
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode().lower().split()
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The different lower-cased (A-Z) words of all texts, each word's number in order, and how many words a text has."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    words, sizes = split.flatten().dictionary_encode(), pc.list_value_length(split).to_numpy(zero_copy_only=False)
+    at, words = words.indices.to_numpy(zero_copy_only=False), words.dictionary
+    none = pc.index(words, "").as_py()  # before, after and between blanks there may be empty ones
+    if none >= 0:
+        full = at != none
+        sizes = np.diff(np.concatenate([[0], np.cumsum(full)])[np.concatenate([[0], np.cumsum(sizes)])])
+        at = at[full]
+    return words.cast(pa.binary()), at, sizes
+
+
+def parts_of(batch: pa.RecordBatch, most: int = SPLIT):
+    """A batch of ids and texts in stretches of about `most` bytes of text."""
+    held = np.cumsum(pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts = [0, *(np.flatnonzero(np.diff(held // most)) + 1).tolist(), batch.num_rows]
+    for first, last in zip(cuts, cuts[1:]):
+        if last > first:
+            yield batch.slice(first, last - first)
 
 
 def held_out(doc_id) -> bool:
@@ -54,21 +73,12 @@ def word_counts(documents: DataFrame) -> DataFrame:
     """(word, n) over the training documents, with the end token of each under END."""
 
     def counted(batches):
-        n: Counter = Counter()
-
-        def out():
-            keys, values = list(n.keys()), list(n.values())
-            n.clear()
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(values, pa.int64())], ["word", "n"])
-
         for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if trains(i):
-                    n.update(words_of(text))
-                    n[END] += 1
-                    if len(n) > HELD_WORDS:
-                        yield out()
-        yield out()
+            for part in parts_of(batch):
+                texts = part.column(1).filter(pa.array([trains(i) for i in part.column(0).to_pylist()], pa.bool_()))
+                words, at, _ = words_of(texts)
+                words, n = pa.concat_arrays([words, pa.array([END], pa.binary())]), np.append(np.bincount(at, minlength=len(words)), len(texts))
+                yield pa.RecordBatch.from_arrays([words, pa.array(n, pa.int64())], ["word", "n"]).filter(pa.array(n > 0))
 
     rows = documents.select("doc_id", "text").mapInArrow(counted, "word binary, n bigint")
     return rows.groupBy("word").agg(F.sum("n").alias("n"))
@@ -106,37 +116,56 @@ class Model:
         p, own = self.params, self.of[ids]
         order = np.argsort(own.astype(np.uint16), kind="stable")
         ids, own = ids[order], own[order]
-        h = mapped(p["r"], p["c"], before[:, order])
-        s = h @ p["u"].T
-        s += p["d"]
-        out = s[np.arange(len(ids)), own] - log_sum(s)
+        room, before = Room(), before[:, order]
+        # Tokens after the same words share their context, and the sum over all classes.
+        code = sum(b.astype(object if len(self.of) ** self.context >> 62 else np.int64) * len(self.of) ** k for k, b in enumerate(before))
+        _, first, at = np.unique(code, return_index=True, return_inverse=True)
+        h = read_before(p["r"], before[:, first], room) @ p["c"].reshape(-1, self.dim)
+        classes = np.concatenate([log_sum(h[x : x + AT_ONCE], p["u"], p["d"], room) for x in range(0, len(h), AT_ONCE)] or [np.empty(0, h.dtype)])
+        h = np.take(h, at, 0, room("h", len(ids), self.dim), "clip")
+        rows = np.take(p["u"], own, 0, room("rows", len(ids), self.dim), "clip")
+        out = np.einsum("td,td->t", h, rows) + p["d"][own] - classes[at]
+        rows = np.take(p["q"], ids, 0, rows, "clip")
+        words = np.einsum("td,td->t", h, rows) + p["b"][ids]
         for k, x, y in segments(own):
             a, b = self.starts[k], self.starts[k + 1]
             if b - a > 1:
-                s = h[x:y] @ p["q"][a:b].T
-                s += p["b"][a:b]
-                out[x:y] += s[np.arange(y - x), ids[x:y] - a] - log_sum(s)
+                out[x:y] += words[x:y] - log_sum(h[x:y], p["q"][a:b], p["b"][a:b], room)
         back = np.empty(len(out))
         back[order] = out
         return back
 
 
-def mapped(r: np.ndarray, c: np.ndarray, before: np.ndarray) -> np.ndarray:
-    """Each token's context: the sum of the mapped vectors of the words before it."""
-    h = r[before[0]] @ c[0]
-    for k in range(1, len(c)):
-        h += r[before[k]] @ c[k]
-    return h
+class Room:
+    """Arrays that are used again for one purpose after the other: asking the system for memory costs more than the sums."""
+
+    def __init__(self):
+        self.held: dict = {}
+
+    def __call__(self, purpose: str, *shape: int) -> np.ndarray:
+        size = math.prod(shape)
+        if purpose not in self.held or self.held[purpose].size < size:
+            self.held[purpose] = np.empty(size + size // 4, np.float32)
+        return self.held[purpose][:size].reshape(shape)
 
 
-def log_sum(s: np.ndarray) -> np.ndarray:
-    """ln of the sum of exp(s) over each row; s is overwritten."""
-    most = s.max()
-    if most > 60 or s.min() < most - 80:  # beyond the range of 32-bit numbers: row by row
-        most = s.max(1, keepdims=True)
-        s -= most
-        return np.log(np.exp(s, out=s).sum(1)) + most[:, 0]
-    return np.log(np.exp(s, out=s).sum(1))
+def read_before(r: np.ndarray, before: np.ndarray, room: Room) -> np.ndarray:
+    """The vectors of the words before each token, side by side; their product with the stacked matrices is the context."""
+    keys = before.T.ravel()
+    return np.take(r, keys, 0, room("before", len(keys), r.shape[1]), "clip").reshape(before.shape[1], -1)
+
+
+def log_sum(h: np.ndarray, vectors: np.ndarray, biases: np.ndarray, room: Room) -> np.ndarray:
+    """ln of the sum of exp(score) over all vectors, for each row of h."""
+    s = np.matmul(h, vectors.T, out=room("scores", len(h), len(vectors)))
+    s += biases
+    with np.errstate(over="ignore"):
+        total = np.exp(s, out=s) @ np.ones(len(vectors), np.float32)
+    if 1e-30 < total.min() <= total.max() < 1e30:
+        return np.log(total)
+    s = h @ vectors.T + biases  # near the range of 32-bit numbers: row by row
+    most = s.max(1)
+    return most + np.log(np.exp(s - most[:, None]).sum(1))
 
 
 def segments(own: np.ndarray) -> list[tuple[int, int, int]]:
@@ -146,77 +175,120 @@ def segments(own: np.ndarray) -> list[tuple[int, int, int]]:
     return list(zip(own[starts].tolist(), starts, [*cuts.tolist(), len(own)]))
 
 
-def above(score: np.ndarray, shift: np.ndarray) -> np.ndarray:
-    """The probability that what has the score is data and not noise."""
-    return 1 / (1 + np.exp(shift - score))
-
-
 class Learner:
-    """Steps of noise-contrastive estimation over batches of tokens, by adaptive gradients from a model's parameters."""
+    """Steps of noise-contrastive estimation over batches of tokens, by adaptive gradients from a model's parameters.
+
+    A vector and its bias are one row, as a context is with a one at its end. q and b, and u and d, are views of them.
+    """
 
     def __init__(self, model: Model, noise: float = NOISE, drawn: int = DRAWN, rate: float = RATE, start: float = START, seed=11, squares: dict | None = None):
         self.m, self.noise, self.drawn, self.rate = model, noise, drawn, np.float32(rate)
-        self.p = {k: v.copy() for k, v in model.params.items()}
-        self.squares = {k: v.copy() for k, v in squares.items()} if squares else {k: np.full_like(v, start) for k, v in self.p.items()}
-        self.read = np.zeros(len(model.of), np.int64)
+        self.rows, self.p = self.joined(model.params)
+        self.square_rows, self.squares = self.joined(squares or {k: np.full_like(v, start) for k, v in model.params.items()})
+        self.read, self.place = np.zeros(len(model.of), np.int64), np.zeros(len(model.of), np.int64)
         self.rng = np.random.default_rng(seed)
         self.word_bounds, self.class_bounds = np.cumsum(model.word_share), np.cumsum(model.class_share)
         self.word_shift, self.class_shift = (np.log(noise * x).astype(np.float32) for x in (model.word_share, model.class_share))
-
-    def move(self, name: str, g: np.ndarray, at=slice(None)) -> None:
-        squares = self.squares[name][at] + g * g
-        self.squares[name][at] = squares
-        self.p[name][at] -= (self.rate if g.ndim > 1 else self.rate / 10) * g / np.sqrt(squares)
-
-    def rows(self, keys: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        self.single, self.room = np.diff(model.starts) == 1, Room()
+
+    @staticmethod
+    def joined(p: dict) -> tuple[dict, dict]:
+        """The rows of vectors and biases, and the parameters as views of them."""
+        rows = {"r": p["r"].copy(), "c": p["c"].copy(), "q": np.column_stack([p["q"], p["b"]]), "u": np.column_stack([p["u"], p["d"]])}
+        return rows, {"r": rows["r"], "q": rows["q"][:, :-1], "b": rows["q"][:, -1], "c": rows["c"], "u": rows["u"][:, :-1], "d": rows["u"][:, -1]}
+
+    def move(self, name: str, g: np.ndarray, at=None) -> None:
+        p, squares = self.rows[name], self.square_rows[name]
+        at = np.arange(len(p)) if at is None else at
+        s = np.take(squares, at, 0, self.room("squares", *g.shape), "clip")
+        s += np.multiply(g, g, out=self.room("move", *g.shape))
+        squares[at] = s
+        np.sqrt(s, out=s)
+        np.divide(g, s, out=s)
+        s *= self.rate
+        if g.shape[-1] > self.m.dim:
+            s[:, -1] /= 10
+        p[at] = np.subtract(np.take(p, at, 0, self.room("move", *g.shape), "clip"), s, out=s)
+
+    def sums(self, keys: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The different keys, and the sums of the columns of g (components, keys) for each."""
         at = np.flatnonzero(np.bincount(keys, minlength=len(self.read)))
-        return at, np.stack([np.bincount(keys, x, len(self.read))[at] for x in g], 1).astype(np.float32)
+        self.place[at] = np.arange(len(at))
+        keys, found = self.place[keys], self.room("found", len(g), len(at))
+        for into, x in zip(found, g):
+            into[:] = np.bincount(keys, x, len(at))
+        return at, np.ascontiguousarray(found.T)
+
+    def noise_of(self, bounds: np.ndarray, shift: np.ndarray, rows: np.ndarray, places: np.ndarray, low, high, weight: float):
+        """What is drawn, each once, with the negative scores' rows and the weight of as often as it is drawn."""
+        drawn, times = np.unique(np.searchsorted(bounds, places).clip(low, high), return_counts=True)
+        negative = -rows[drawn]
+        negative[:, -1] += shift[drawn]
+        return drawn, negative, (weight * times).astype(np.float32)
 
     def step(self, before: np.ndarray, ids: np.ndarray) -> None:
         """One step over the tokens ids and the ids before them."""
-        m, p, weight = self.m, self.p, np.float32(self.noise / self.drawn)
+        m, weight, n, dim, room = self.m, self.noise / self.drawn, len(ids), self.m.dim, self.room
+        q, u, c = self.rows["q"], self.rows["u"], self.rows["c"]
         order = np.argsort(m.of[ids].astype(np.uint16), kind="stable")
         before, ids = before[:, order], ids[order]
         own = m.of[ids]
-        h = mapped(p["r"], p["c"], before)
-        # Classes: the class that is read against classes drawn by their shares, the same ones for all tokens of the batch.
-        drawn = np.searchsorted(self.class_bounds, self.rng.random(2 * self.drawn)).clip(0, len(m.class_share) - 1)
-        g = weight / 2 * above(h @ p["u"][drawn].T + p["d"][drawn], self.class_shift[drawn])
-        back = g @ p["u"][drawn]
-        to_u, to_d = np.zeros_like(p["u"]), np.zeros_like(p["d"])
-        np.add.at(to_u, drawn, g.T @ h)
-        np.add.at(to_d, drawn, g.sum(0))
-        # Words: the word that is read against words drawn from its class, the same ones for a class in this batch.
-        single, q = np.diff(m.starts) == 1, p["q"][ids]
-        real = above(np.einsum("td,td->t", h, q) + p["b"][ids], self.word_shift[ids])
-        read = np.where(single[own], 0, real - 1).astype(np.float32)
-        q *= read[:, None]
-        back += q
-        keys, grads, biases = [ids], [read * h.T], [read]
-        for k, x, y in segments(own):
-            hk, bk = h[x:y], back[x:y]
-            hit = above(hk @ p["u"][k] + p["d"][k], self.class_shift[k]) - 1
-            bk += np.outer(hit, p["u"][k])
-            to_u[k] += hit @ hk
-            to_d[k] += hit.sum()
-            if not single[k]:
-                drawn = np.searchsorted(self.word_bounds, k + self.rng.random(self.drawn)).clip(m.starts[k], m.starts[k + 1] - 1)
-                q = p["q"][drawn]
-                g = weight * above(hk @ q.T + p["b"][drawn], self.word_shift[drawn])
-                bk += g @ q
-                keys.append(drawn)
-                grads.append(hk.T @ g)
-                biases.append(g.sum(0))
-        keys = np.concatenate(keys)
-        at, to_q = self.rows(keys, np.concatenate(grads, 1))
-        moves = [("u", to_u, slice(None)), ("d", to_d, slice(None)), ("q", to_q, at), ("b", np.bincount(keys, np.concatenate(biases), len(self.read))[at].astype(np.float32), at)]
-        moves.append(("c", np.stack([p["r"][before[k]].T @ back for k in range(m.context)]), slice(None)))
-        at, to_r = self.rows(before.ravel(), np.concatenate([p["c"][k] @ back.T for k in range(m.context)], 1))
-        moves.append(("r", to_r, at))
+        context, h = read_before(self.rows["r"], before, room), room("h", n, dim + 1)
+        np.matmul(context, c.reshape(-1, dim), out=room("product", n, dim))
+        h[:, :-1], h[:, -1] = room("product", n, dim), 1
+        # What is read: its class, and the word within it.
+        rows = np.take(u, own, 0, room("back", n, dim + 1), "clip")
+        hit = np.exp(np.einsum("td,td->t", h, rows) - self.class_shift[own])
+        hit = -1 / (1 + hit)
+        rows *= hit[:, None]
+        back, rows = rows, np.take(q, ids, 0, room("rows", n, dim + 1), "clip")
+        read = np.exp(np.einsum("td,td->t", h, rows) - self.word_shift[ids])
+        read = -1 / (1 + read)
+        read[self.single[own]] = 0
+        rows *= read[:, None]
+        back += rows
+        # Classes drawn by their shares, the same ones for all tokens of the batch.
+        drawn, negative, weights = self.noise_of(self.class_bounds, self.class_shift, u, self.rng.random(2 * self.drawn), 0, len(m.class_share) - 1, weight / 2)
+        to_drawn = np.zeros((len(drawn), dim + 1), np.float32)
+        for x in range(0, n, AT_ONCE):
+            hk = h[x : x + AT_ONCE]
+            g = likely(hk, negative, weights, room)
+            back[x : x + AT_ONCE] -= g @ negative
+            to_drawn += g.T @ hk
+        to_u = np.zeros_like(u)
+        to_u[drawn] = to_drawn
+        # Words drawn from the class that is read, the same ones for a class in this batch.
+        found = segments(own)
+        many = np.array([k for k, _, _ in found if not self.single[k]], np.int64)[:, None]
+        drawn, negative, weights = self.noise_of(self.word_bounds, self.word_shift, q, many + self.rng.random((len(many), self.drawn)), m.starts[many], m.starts[many + 1] - 1, weight)
+        edges = np.searchsorted(drawn, m.starts).tolist()
+        to_q = room("to_q", dim + 1, n + len(drawn))
+        np.multiply(h.T, read, out=to_q[:, :n])
+        for k, x, y in found:
+            hk, a, b = h[x:y], edges[k], edges[k + 1]
+            to_u[k] += hit[x:y] @ hk
+            if b > a:
+                g = likely(hk, negative[a:b], weights[a:b], room)
+                back[x:y] -= g @ negative[a:b]
+                to_q[:, n + a : n + b] = hk.T @ g
+        turned, to_r = room("product", dim, n), room("to_r", dim, m.context * n)
+        turned[:] = back[:, :-1].T
+        for k in range(m.context):
+            to_r[:, k * n : k * n + n] = np.matmul(c[k], turned, out=room("mapped", dim, n))
+        at_q, to_q = self.sums(np.concatenate([ids, drawn]), to_q)
+        at_r, to_r = self.sums(before.ravel(), to_r)
+        to_c = (turned @ context).reshape(dim, m.context, dim).transpose(1, 2, 0)
         self.read += np.bincount(before.ravel(), minlength=len(self.read)) + np.bincount(ids, minlength=len(self.read))
-        for name, g, at in moves:
-            self.move(name, g, at)
+        for move in (("u", to_u), ("q", to_q, at_q), ("c", to_c), ("r", to_r, at_r)):
+            self.move(*move)
+
+
+def likely(h: np.ndarray, negative: np.ndarray, weights: np.ndarray, room: Room) -> np.ndarray:
+    """The weighted probabilities that what is drawn is data and not noise."""
+    g = np.matmul(h, negative.T, out=room("likely", len(h), len(negative)))
+    np.exp(g, out=g)
+    g += 1
+    return np.divide(weights, g, out=g)
 
 
 def before_each(ids: np.ndarray, context: int, end: int) -> np.ndarray:
@@ -225,18 +297,6 @@ def before_each(ids: np.ndarray, context: int, end: int) -> np.ndarray:
     return np.stack([padded[context - 1 - k : len(padded) - 1 - k] for k in range(context)])
 
 
-def parts_of(texts: list, most: int):
-    """(first, last) of runs of texts of about eight times `most` characters or one text."""
-    first = held = 0
-    for i, t in enumerate(texts):
-        held += len(t or "") + 1
-        if held > 8 * most:
-            yield first, i + 1
-            first, held = i + 1, 0
-    if first < len(texts):
-        yield first, len(texts)
-
-
 class Vocabulary:
     """Numbers of the words whose counts are known to every task, and the model's number of each."""
 
@@ -259,35 +319,49 @@ class Vocabulary:
         self.logs = np.concatenate([np.log10(n + SMOOTH), [0.0]])
         self.seen = np.concatenate([n > 0, [False]])
 
-    def index(self) -> dict[bytes, int]:
-        return {w: i for i, w in enumerate(self.words)}
-
 
 def encoded(documents: DataFrame, vocabulary: Vocabulary, learners: int, rounds: int) -> DataFrame:
     """Each document once as numbers: doc_id, held_out, the learner and round that it is dealt to by its id, h by which a
-    learner's documents are ordered, the known words' places (-1 for others; the end last), and the others with their counts."""
-    sent, name = documents.sparkSession.sparkContext.broadcast(vocabulary), uuid.uuid4().hex
+    learner's documents are ordered, the known words' places (-1 for others; the end last) as bytes of 32-bit numbers, the
+    others with their counts, and a number of the row."""
+    sent = documents.sparkSession.sparkContext.broadcast(vocabulary)
 
-    def part(v, index, doc_ids, plain_ids, texts):
-        order = [zlib.crc32((t or "").encode(), zlib.crc32(str(i).encode())) for i, t in zip(plain_ids, texts)]
-        texts = [[*words_of(t), END] for t in texts]
+    def part(known, doc_ids, texts):
+        plain_ids = doc_ids.to_pylist()
+        order = [zlib.crc32(t or b"", zlib.crc32(str(i).encode())) for i, t in zip(plain_ids, texts.cast(pa.binary()).to_pylist())]
         dealt = [zlib.crc32(f"learner {i}".encode()) for i in plain_ids]
-        at = [np.fromiter((index.get(w, -1) for w in t), np.int32, len(t)) for t in texts]
-        tails = [Counter(w for w, i in zip(t, own.tolist()) if i < 0) for t, own in zip(texts, at)]
-        columns = [[held_out(i) for i in plain_ids], [x % learners for x in dealt], [x // learners % rounds for x in dealt], order, at, [list(c) for c in tails], [list(c.values()) for c in tails]]
-        kinds = [pa.bool_(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.int64())]
-        return pa.RecordBatch.from_arrays([doc_ids, *[pa.array(c, t) for c, t in zip(columns, kinds)]], ["doc_id", "held_out", "learner", "round", "h", "ids", "words", "times"])
+        words, at, sizes = words_of(texts)
+        place = pc.index_in(words, value_set=known).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int32)
+        # The end is the first of the known words.
+        ends = np.concatenate([[0], np.cumsum(sizes + 1)])
+        ids, inside = np.zeros(ends[-1], np.int32), np.ones(ends[-1], bool)
+        inside[ends[1:] - 1] = False
+        ids[inside] = place[at]
+        numbers = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(4 * ends), pa.py_buffer(ids)]).cast(pa.binary())
+        other = np.flatnonzero(place[at] < 0)
+        pairs, times = np.unique(np.repeat(np.arange(len(sizes)), sizes)[other] * len(words) + at[other], return_counts=True)
+        starts = pa.array(np.searchsorted(pairs, np.arange(len(sizes) + 1) * max(len(words), 1)), pa.int32())
+        tails = [pa.ListArray.from_arrays(starts, x) for x in (words.take(pa.array(pairs % max(len(words), 1))), pa.array(times, pa.int64()))]
+        columns = [[held_out(i) for i in plain_ids], [x % learners for x in dealt], [x // learners % rounds for x in dealt], order]
+        columns = [pa.array(c, t) for c, t in zip(columns, (pa.bool_(), pa.int32(), pa.int32(), pa.int64()))]
+        return pa.RecordBatch.from_arrays([doc_ids, *columns, numbers, *tails], ["doc_id", "held_out", "learner", "round", "h", "ids", "words", "times"])
 
     def encode(batches):
-        v = sent.value
-        index = kept_by_worker("index", name, v.index)
+        known = pa.array(sent.value.words, pa.binary())
         for batch in batches:
-            plain, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for first, last in parts_of(texts, SCORED):
-                yield part(v, index, batch.column(0).slice(first, last - first), plain[first:last], texts[first:last])
+            for own in parts_of(batch):
+                yield part(known, own.column(0), own.column(1))
 
     kind = dict(documents.dtypes)["doc_id"]
-    return stored(documents.select("doc_id", "text").mapInArrow(encode, f"doc_id {kind}, held_out boolean, learner int, round int, h bigint, ids array<int>, words array<binary>, times array<bigint>"), "encoded")
+    rows = documents.select("doc_id", "text").mapInArrow(encode, f"doc_id {kind}, held_out boolean, learner int, round int, h bigint, ids binary, words array<binary>, times array<bigint>")
+    return stored(rows.withColumn("row", F.monotonically_increasing_id()), "encoded")
+
+
+def numbers_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of a column of `encoded` ids, and how many a row has."""
+    column = column.cast(pa.large_binary())
+    ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(np.int32), np.diff(ends) // 4
 
 
 def trained(rows: DataFrame, vocabulary: Vocabulary, total: int, learners: int, rounds: int, **options) -> Model:
@@ -323,17 +397,17 @@ def trained(rows: DataFrame, vocabulary: Vocabulary, total: int, learners: int,
                     yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([now], pa.int32()), pa.array([data], pa.binary())], ["part", "learner", "data"])
 
             for batch in batches:
-                for who, at in zip(batch.column(0).to_pylist(), batch.column(1)):
+                at, sizes = numbers_of(batch.column(1))
+                for who, at in zip(batch.column(0).to_pylist(), np.split(words.model_ids[at], np.cumsum(sizes)[:-1])):
                     if who != now:
                         if learner:
                             yield from done()
                         now, learner = who, Learner(model, seed=[turn, who], squares=squares)
                         before, ids, held, read = [], [], 0, began
                         size = min(BATCH, max(FIRST, read // 8))
-                    new = words.model_ids[at.values.to_numpy(zero_copy_only=False)]
-                    before.append(before_each(new, model.context, words.end))
-                    ids.append(new)
-                    held += len(new)
+                    before.append(before_each(at, model.context, words.end))
+                    ids.append(at)
+                    held += len(at)
                     if held >= size:
                         x, y, place = np.concatenate(before, 1), np.concatenate(ids), 0
                         while held - place >= size:
@@ -415,31 +489,28 @@ def scored(documents: DataFrame, head: int = HEAD, most: int | None = None, lear
     def begun(batches):
         v, m = sent.value
         for batch in batches:
-            sizes = pc.list_value_length(batch.column(4)).to_numpy(zero_copy_only=False)
-            slot = (np.cumsum(sizes) - sizes) // SCORED
-            cuts = np.flatnonzero(np.diff(slot, prepend=-1)).tolist() + [batch.num_rows]
+            at, sizes = numbers_of(batch.column(3))
+            ends = np.cumsum(sizes)
+            cuts = np.flatnonzero(np.diff((ends - sizes) // SCORED, prepend=-1)).tolist() + [batch.num_rows]
             for first, last in zip(cuts, cuts[1:]):
-                yield part(v, m, batch.slice(first, last - first))
+                yield part(v, m, batch.slice(first, last - first), at[ends[first] - sizes[first] : ends[last - 1]], sizes[first:last])
 
-    def part(v, m, batch):
-        sizes = pc.list_value_length(batch.column(4)).to_numpy(zero_copy_only=False).astype(np.int64)
+    def part(v, m, batch, at, sizes):
         starts = np.cumsum(sizes) - sizes
-        at = batch.column(4).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
         ids = v.model_ids[at]
         before = np.concatenate([before_each(x, m.context, v.end) for x in np.split(ids, starts[1:])], 1)
         logs = np.concatenate([m.scores(before[:, i : i + SCORED], ids[i : i + SCORED]) for i in range(0, len(ids), SCORED)]) / np.log(10)
         logs = logs + np.where(ids == v.other, v.logs[at] - rest_floor, 0.0)
         columns = [sizes, *(np.add.reduceat(x, starts) for x in (v.seen[at].astype(np.int64), v.logs[at] - base_floor, logs))]
-        return pa.RecordBatch.from_arrays([*batch.columns[:4], *map(pa.array, columns)], [*batch.schema.names[:4], "n_tokens", "known", "base", "model"])
+        return pa.RecordBatch.from_arrays([*batch.columns[:3], *map(pa.array, columns)], [*batch.schema.names[:3], "n_tokens", "known", "base", "model"])
 
-    fields = f"doc_id {dict(documents.dtypes)['doc_id']}, held_out boolean, words array<binary>, times array<bigint>, n_tokens bigint, known bigint, base double, model double"
-    done = rows.select("doc_id", "held_out", "words", "times", "ids").mapInArrow(begun, fields)
-    first = stored(done.withColumn("row", F.monotonically_increasing_id()), "scored")
-    tail = first.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
+    fields = f"doc_id {dict(documents.dtypes)['doc_id']}, held_out boolean, row bigint, n_tokens bigint, known bigint, base double, model double"
+    first = rows.select("doc_id", "held_out", "row", "ids").mapInArrow(begun, fields)
+    tail = rows.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
     tail = tail.join(counts.where((step < least) & (F.col("word") != F.lit(END))).withColumnRenamed("word", "w"), F.col("word") == F.col("w"), "left")
     gain = F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + SMOOTH)
     more = tail.groupBy(F.col("row").alias("r")).agg(F.sum(gain).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("times"))).alias("found"))
-    joined = first.drop("words", "times").join(more, F.col("row") == F.col("r"), "left")
+    joined = first.join(more, F.col("row") == F.col("r"), "left")
     added = F.coalesce("more", F.lit(0.0))
     return joined.select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("found", F.lit(0))).alias("n_known"),

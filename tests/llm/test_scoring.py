@@ -3,10 +3,12 @@ import math
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import ASCII, unigram, words
 from conftest import DATA, ROWS
 
+from evidentia.llm import scoring
 from evidentia.llm.scoring import Learner, Model, before_each, op8_log_bilinear, scored
 
 
@@ -131,6 +133,29 @@ def test_scores_by_a_plain_pass():
         assert model.scores(before[:, t : t + 1], ids[t : t + 1])[0] == pytest.approx(wanted, abs=1e-4)
 
 
+def test_a_context_is_summed_once(monkeypatch):
+    """Tokens after the same words share the sum over the classes; each still has its own sum over the words of its class."""
+    rng = np.random.default_rng(5)
+    model = Model(np.sort(rng.integers(1, 900, 60))[::-1].astype(float), classes=7, dim=5)
+    model.params = {k: rng.normal(0, 0.7, v.shape).astype(np.float32) for k, v in model.params.items()}
+    before, ids = np.array([[3, 9, 9], [4, 4, 8]])[:, rng.integers(0, 3, 500)], rng.integers(0, 60, 500)
+    wanted = [model.scores(before[:, t : t + 1], ids[t : t + 1])[0] for t in range(500)]
+    rows, plain = [], scoring.log_sum
+    monkeypatch.setattr(scoring, "log_sum", lambda s, *more: (rows.append(len(s)), plain(s, *more))[1])
+    assert model.scores(before, ids) == pytest.approx(wanted, abs=1e-5)
+    assert sum(rows) <= 3 + 500
+
+
+def test_words_of_texts():
+    """Only A-Z is lower-cased, and only ASCII blanks split."""
+    texts = ["", None, "  Ab\x0bc \t\r\n", "\x0c", "É\u00a0x\u2003Y\x1cz \x00 B", "one", "b\n\nB one "]
+    different, at, sizes = scoring.words_of(pa.array(["skipped", *texts])[1:])
+    found = iter(different.to_pylist()[i] for i in at)
+    assert [[next(found) for _ in range(n)] for n in sizes] == [(t or "").encode().lower().split() for t in texts]
+    assert next(found, None) is None and b"" not in [different.to_pylist()[i] for i in at]
+    assert [part.num_rows for part in scoring.parts_of(pa.RecordBatch.from_arrays([pa.array(range(4)), pa.array(["a" * 9, None, "b" * 30, None])], ["doc_id", "text"]), 10)] == [2, 2]
+
+
 def test_awkward_rows(spark, awkward, empty):
     held(scored(awkward).collect(), [(i, t) for i, t, *_ in ROWS])
     assert scored(empty).count() == 0
