@@ -120,17 +120,17 @@ class Model:
         # Tokens after the same words share their context, and the sum over all classes.
         code = sum(b.astype(object if len(self.of) ** self.context >> 62 else np.int64) * len(self.of) ** k for k, b in enumerate(before))
         _, first, at = np.unique(code, return_index=True, return_inverse=True)
-        h = read_before(p["r"], before[:, first], room) @ p["c"].reshape(-1, self.dim)
-        classes = np.concatenate([log_sum(h[x : x + AT_ONCE], p["u"], p["d"], room) for x in range(0, len(h), AT_ONCE)] or [np.empty(0, h.dtype)])
-        h = np.take(h, at, 0, room("h", len(ids), self.dim), "clip")
-        rows = np.take(p["u"], own, 0, room("rows", len(ids), self.dim), "clip")
-        out = np.einsum("td,td->t", h, rows) + p["d"][own] - classes[at]
-        rows = np.take(p["q"], ids, 0, rows, "clip")
-        words = np.einsum("td,td->t", h, rows) + p["b"][ids]
+        u, q = np.column_stack([p["u"], p["d"]]), np.column_stack([p["q"], p["b"]])
+        h = np.ones((len(first), self.dim + 1), np.float32)
+        h[:, :-1] = read_before(p["r"], before[:, first], room) @ p["c"].reshape(-1, self.dim)
+        classes = np.concatenate([log_sum(h[x : x + AT_ONCE], u, room) for x in range(0, len(h), AT_ONCE)] or [np.empty(0, h.dtype)])
+        h = np.take(h, at, 0, room("h", len(ids), self.dim + 1), "clip")
+        out = np.einsum("td,td->t", h, np.take(u, own, 0, room("rows", *h.shape), "clip")) - classes[at]
+        words = np.einsum("td,td->t", h, np.take(q, ids, 0, room("rows", *h.shape), "clip"))
         for k, x, y in segments(own):
             a, b = self.starts[k], self.starts[k + 1]
             if b - a > 1:
-                out[x:y] += words[x:y] - log_sum(h[x:y], p["q"][a:b], p["b"][a:b], room)
+                out[x:y] += words[x:y] - log_sum(h[x:y], q[a:b], room)
         back = np.empty(len(out))
         back[order] = out
         return back
@@ -155,15 +155,14 @@ def read_before(r: np.ndarray, before: np.ndarray, room: Room) -> np.ndarray:
     return np.take(r, keys, 0, room("before", len(keys), r.shape[1]), "clip").reshape(before.shape[1], -1)
 
 
-def log_sum(h: np.ndarray, vectors: np.ndarray, biases: np.ndarray, room: Room) -> np.ndarray:
-    """ln of the sum of exp(score) over all vectors, for each row of h."""
-    s = np.matmul(h, vectors.T, out=room("scores", len(h), len(vectors)))
-    s += biases
+def log_sum(h: np.ndarray, rows: np.ndarray, room: Room) -> np.ndarray:
+    """ln of the sum of exp(score) over all rows of vectors and biases, for each row of h, whose last component is one."""
+    s = np.matmul(h, rows.T, out=room("scores", len(h), len(rows)))
     with np.errstate(over="ignore"):
-        total = np.exp(s, out=s) @ np.ones(len(vectors), np.float32)
+        total = np.exp(s, out=s) @ np.ones(len(rows), np.float32)
     if 1e-30 < total.min() <= total.max() < 1e30:
         return np.log(total)
-    s = h @ vectors.T + biases  # near the range of 32-bit numbers: row by row
+    s = h @ rows.T  # near the range of 32-bit numbers: row by row
     most = s.max(1)
     return most + np.log(np.exp(s - most[:, None]).sum(1))
 
@@ -507,7 +506,9 @@ def scored(documents: DataFrame, head: int = HEAD, most: int | None = None, lear
     fields = f"doc_id {dict(documents.dtypes)['doc_id']}, held_out boolean, row bigint, n_tokens bigint, known bigint, base double, model double"
     first = rows.select("doc_id", "held_out", "row", "ids").mapInArrow(begun, fields)
     tail = rows.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
-    tail = tail.join(counts.where((step < least) & (F.col("word") != F.lit(END))).withColumnRenamed("word", "w"), F.col("word") == F.col("w"), "left")
+    # A word is one row of the counts, so a partition's share of them fits a hash table; sorting the words would cost more than the rest.
+    rare = counts.where((step < least) & (F.col("word") != F.lit(END))).withColumnRenamed("word", "w").hint("shuffle_hash")
+    tail = tail.join(rare, F.col("word") == F.col("w"), "left")
     gain = F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + SMOOTH)
     more = tail.groupBy(F.col("row").alias("r")).agg(F.sum(gain).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("times"))).alias("found"))
     joined = first.join(more, F.col("row") == F.col("r"), "left")
